@@ -50,3 +50,10 @@ def safe_ln(x: Column) -> Column:
 def row_key(ts: Column) -> Column:
     """Text form of a bar time used as a hash key (same text in the oracle)."""
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+
+
+def round_half_away(x: Column, digits: int) -> Column:
+    """round(x * 10^d) / 10^d, half away from zero, in floating steps (same as SQL engines
+    that round doubles this way, e.g. DuckDB)."""
+    scale = float(10 ** digits)
+    return F.round(x * F.lit(scale), 0) / F.lit(scale)
