@@ -51,3 +51,22 @@ def daily_results(spark: SparkSession, sf_dir: str, params: DetectParams | None
     params = params or DetectParams()
     res = detect(daily_bars(spark, sf_dir), params)
     return materialize(spark, res, "results_daily", table_key(sf_dir, CODE_VERSION, params))
+
+
+def daily_models(spark: SparkSession, sf_dir: str):
+    """Stored (scaler, forest) model tables for the daily fixture (fitted once)."""
+    from ..operators.live import fit_models
+    bars = daily_bars(spark, sf_dir)
+    scaler, forest = fit_models(bars)
+    key = table_key(sf_dir, CODE_VERSION, "daily")
+    return (materialize(spark, scaler, "model_scaler", key),
+            materialize(spark, forest, "model_forest", key))
+
+
+def hourly_models(spark: SparkSession, sf_dir: str):
+    from ..operators.live import fit_models
+    bars = hourly_bars(spark, sf_dir)
+    scaler, forest = fit_models(bars)
+    key = table_key(sf_dir, CODE_VERSION, "hourly")
+    return (materialize(spark, scaler, "model_scaler", key),
+            materialize(spark, forest, "model_forest", key))
