@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_alerts, q_core, q_portfolio  # noqa: F401
+from . import q_alerts, q_core, q_portfolio, q_stream  # noqa: F401
 from .registry import REGISTRY, QuerySpec
 
 

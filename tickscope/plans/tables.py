@@ -28,9 +28,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str, key: str,
-                partition_by: str | None = KEY) -> DataFrame:
-    """Write ``df`` once per (name, key) and return a DataFrame reading the table."""
+def write_once(spark: SparkSession, df: DataFrame, name: str, key: str,
+               partition_by: str | None = KEY) -> str:
+    """Write ``df`` once per (name, key) under the checkpoint folder; return its path."""
     digest = hashlib.sha1(key.encode()).hexdigest()[:16]
     memo_key = (id(spark.sparkContext), f"{name}/{digest}")
     path = _MEMO.get(memo_key)
@@ -42,8 +42,14 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, key: str,
                 writer = writer.partitionBy(partition_by)
             writer.parquet(path)
         _MEMO[memo_key] = path
-    out = spark.read.schema(df.schema).parquet(path)
-    return out.select(*df.columns)
+    return path
+
+
+def materialize(spark: SparkSession, df: DataFrame, name: str, key: str,
+                partition_by: str | None = KEY) -> DataFrame:
+    """Write ``df`` once per (name, key) and return a DataFrame reading the table."""
+    path = write_once(spark, df, name, key, partition_by)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def table_key(sf_dir: str, *parts) -> str:
