@@ -52,25 +52,34 @@ def consensus(df: DataFrame) -> DataFrame:
 
 
 def scored_features(bars: DataFrame, params: DetectParams | None = None,
-                    stats: SeriesStats | None = None, with_baseline: bool = True):
-    """(feature rows with scaled ``x`` [+ baseline columns], forest, stats)."""
+                    stats: SeriesStats | None = None, with_baseline: bool = True,
+                    models: tuple[DataFrame, DataFrame] | None = None):
+    """(feature rows with scaled ``x`` [+ baseline columns], forest, stats).
+
+    ``models`` = stored (scaler, forest) tables: used as they are (no refit), like the
+    reference reusing its saved artefacts; otherwise both are fitted on ``bars``.
+    """
     params = params or DetectParams()
     stats = stats or series_stats(bars)
     src = bl.baseline(bars, stats.n_series) if with_baseline else bars
     feat = build_features(src, stats)
-    scaler = fit_scaler(feat)
+    scaler = models[0] if models is not None else fit_scaler(feat)
     scaled = apply_scaler(feat, scaler, n_series=stats.n_series)
     # read by the forest fit, the scoring join and the threshold: computed once
     scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
-    forest = iforest.fit_forest(scaled, params.n_trees, params.max_samples, params.seed,
-                                stats.n_series)
+    if models is not None:
+        forest = models[1]
+    else:
+        forest = iforest.fit_forest(scaled, params.n_trees, params.max_samples, params.seed,
+                                    stats.n_series)
     return scaled, forest, stats
 
 
-def detect(bars: DataFrame, params: DetectParams | None = None) -> DataFrame:
+def detect(bars: DataFrame, params: DetectParams | None = None,
+           models: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Full result table: features, IF score/flag, band, residual, consensus."""
     params = params or DetectParams()
-    scaled, forest, stats = scored_features(bars, params)
+    scaled, forest, stats = scored_features(bars, params, models=models)
     keep = [c for c in scaled.columns if c not in (KEY, TIME, "x")]
     scored = iforest.score(scaled, forest, stats.n_series, params.n_trees, keep=keep)
     thr = if_threshold(scored, params.percentile, stats)

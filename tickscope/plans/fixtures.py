@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.detect import DetectParams, detect
 from ..session import configure
 from ..sources.bars import bars_from_events, bars_from_lineitem, read_table
-from .tables import materialize, table_key
+from .tables import materialize_lazy, table_key
 
 
 def _code_version() -> str:
@@ -30,43 +30,55 @@ CODE_VERSION = _code_version()
 def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture B1: hourly OHLCV bars per event type from ``events``."""
     configure(spark)
-    bars = bars_from_events(read_table(spark, sf_dir, "events"))
-    return materialize(spark, bars, "bars_hourly", table_key(sf_dir, CODE_VERSION))
+    return materialize_lazy(spark, lambda: bars_from_events(read_table(spark, sf_dir, "events")),
+                            "bars_hourly", table_key(sf_dir, CODE_VERSION))
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture B2: daily bars per return flag from ``lineitem`` (seven years)."""
     configure(spark)
-    bars = bars_from_lineitem(read_table(spark, sf_dir, "lineitem"))
-    return materialize(spark, bars, "bars_daily", table_key(sf_dir, CODE_VERSION))
+    return materialize_lazy(spark, lambda: bars_from_lineitem(read_table(spark, sf_dir, "lineitem")),
+                            "bars_daily", table_key(sf_dir, CODE_VERSION))
+
+
+def _models(spark: SparkSession, sf_dir: str, bars: DataFrame, tag: str, params: DetectParams):
+    """Stored (scaler, forest) model tables, fitted once per fixture and parameters.
+    The forest is fitted on rows scaled with the *stored* scaler."""
+    from ..operators import iforest
+    from ..operators.features import build_features
+    from ..operators.scaler import apply_scaler, fit_scaler
+    from ..operators.windows import series_stats
+    key = table_key(sf_dir, CODE_VERSION, tag, params)
+    st = series_stats(bars)
+    scaler = materialize_lazy(spark, lambda: fit_scaler(build_features(bars, st)), "model_scaler", key)
+
+    def forest():
+        scaled = apply_scaler(build_features(bars, st), scaler, n_series=st.n_series)
+        return iforest.fit_forest(scaled, params.n_trees, params.max_samples, params.seed, st.n_series)
+    return scaler, materialize_lazy(spark, forest, "model_forest", key)
+
+
+def hourly_models(spark: SparkSession, sf_dir: str, params: DetectParams | None = None):
+    params = params or DetectParams()
+    return _models(spark, sf_dir, hourly_bars(spark, sf_dir), "hourly", params)
+
+
+def daily_models(spark: SparkSession, sf_dir: str, params: DetectParams | None = None):
+    params = params or DetectParams()
+    return _models(spark, sf_dir, daily_bars(spark, sf_dir), "daily", params)
 
 
 def hourly_results(spark: SparkSession, sf_dir: str, params: DetectParams | None = None) -> DataFrame:
+    """Detection results for B1, scored with the stored models, written once."""
     params = params or DetectParams()
-    res = detect(hourly_bars(spark, sf_dir), params)
-    return materialize(spark, res, "results_hourly", table_key(sf_dir, CODE_VERSION, params))
+    return materialize_lazy(
+        spark, lambda: detect(hourly_bars(spark, sf_dir), params, hourly_models(spark, sf_dir, params)),
+        "results_hourly", table_key(sf_dir, CODE_VERSION, params))
 
 
 def daily_results(spark: SparkSession, sf_dir: str, params: DetectParams | None = None) -> DataFrame:
+    """Detection results for B2, scored with the stored models, written once."""
     params = params or DetectParams()
-    res = detect(daily_bars(spark, sf_dir), params)
-    return materialize(spark, res, "results_daily", table_key(sf_dir, CODE_VERSION, params))
-
-
-def daily_models(spark: SparkSession, sf_dir: str):
-    """Stored (scaler, forest) model tables for the daily fixture (fitted once)."""
-    from ..operators.live import fit_models
-    bars = daily_bars(spark, sf_dir)
-    scaler, forest = fit_models(bars)
-    key = table_key(sf_dir, CODE_VERSION, "daily")
-    return (materialize(spark, scaler, "model_scaler", key),
-            materialize(spark, forest, "model_forest", key))
-
-
-def hourly_models(spark: SparkSession, sf_dir: str):
-    from ..operators.live import fit_models
-    bars = hourly_bars(spark, sf_dir)
-    scaler, forest = fit_models(bars)
-    key = table_key(sf_dir, CODE_VERSION, "hourly")
-    return (materialize(spark, scaler, "model_scaler", key),
-            materialize(spark, forest, "model_forest", key))
+    return materialize_lazy(
+        spark, lambda: detect(daily_bars(spark, sf_dir), params, daily_models(spark, sf_dir, params)),
+        "results_daily", table_key(sf_dir, CODE_VERSION, params))

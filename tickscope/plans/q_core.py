@@ -13,7 +13,7 @@ from ..operators.windows import series_stats
 from ..schemas import FEATURE_COLS_ALL, MODEL_FEATURES, OHLCV
 from ..sources.bars import date_range, load_status, read_table, recent_bars
 from . import oracle as O
-from .fixtures import daily_bars, hourly_bars
+from .fixtures import daily_bars, daily_results, hourly_bars, hourly_results
 from .registry import register
 
 BAR_COLS = ["ticker", "Date", *OHLCV]
@@ -195,13 +195,14 @@ def q_band_flags(spark, sf):
 @register("detect", RESULT_COLS, RESULT_DOUBLES,
           _detect_sql(O.bars_events(), "SELECT * FROM results"))
 def q_detect(spark, sf):
-    return detect(hourly_bars(spark, sf))
+    """Detection run: fits and stores the models, writes and returns the result table."""
+    return hourly_results(spark, sf)
 
 
 @register("detect_daily", RESULT_COLS, RESULT_DOUBLES,
           _detect_sql(O.bars_daily(), "SELECT * FROM results"))
 def q_detect_daily(spark, sf):
-    return detect(daily_bars(spark, sf))
+    return daily_results(spark, sf)
 
 
 @register("if_threshold", ["ticker", "threshold"], ["threshold"],

@@ -19,6 +19,7 @@ from ..schemas import KEY
 from ..session import scratch_path
 
 _MEMO: dict[tuple[int, str], str] = {}
+_SCHEMAS: dict[tuple[int, str], object] = {}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -52,5 +53,20 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, key: str,
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def materialize_lazy(spark: SparkSession, build, name: str, key: str,
+                     partition_by: str | None = KEY) -> DataFrame:
+    """Like ``materialize`` but ``build()`` (which may assemble a large plan) only runs
+    when the table is not written yet in this session."""
+    digest = hashlib.sha1(key.encode()).hexdigest()[:16]
+    memo_key = (id(spark.sparkContext), f"{name}/{digest}")
+    if memo_key in _MEMO and memo_key in _SCHEMAS:
+        schema = _SCHEMAS[memo_key]
+        return spark.read.schema(schema).parquet(_MEMO[memo_key]).select(*schema.fieldNames())
+    df = build()
+    out = materialize(spark, df, name, key, partition_by)
+    _SCHEMAS[memo_key] = df.schema
+    return out
+
+
 def table_key(sf_dir: str, *parts) -> str:
     return "|".join([os.path.abspath(sf_dir), *[str(p) for p in parts]])
