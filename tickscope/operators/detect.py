@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +26,7 @@ RESULT_COLS = [KEY, TIME, *OHLCV, *FEATURE_COLS_ALL, "if_score", "if_anomaly",
                "yhat", "yhat_lower", "yhat_upper", "residual", "band_anomaly", "consensus_anomaly"]
 
 
-@dataclass
+@dataclass(frozen=True)
 class DetectParams:
     n_trees: int = N_TREES
     max_samples: int = MAX_SAMPLES
@@ -65,23 +64,50 @@ def scored_features(bars: DataFrame, params: DetectParams | None = None,
     feat = build_features(src, stats)
     scaler = models[0] if models is not None else fit_scaler(feat)
     scaled = apply_scaler(feat, scaler, n_series=stats.n_series)
-    # read by the forest fit, the scoring join and the threshold: computed once
-    scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
+    # read by the forest fit, the scoring join and the threshold: computed once and
+    # written to the checkpoint folder (lineage cut, survives executor loss)
+    scaled = scaled.checkpoint(eager=True)
     if models is not None:
         forest = models[1]
     else:
         forest = iforest.fit_forest(scaled, params.n_trees, params.max_samples, params.seed,
-                                    stats.n_series)
+                                    stats.n_series, stats.total_rows)
     return scaled, forest, stats
 
 
+def fit_and_detect(bars: DataFrame, params: DetectParams | None = None,
+                   store=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Train and score in one pass: (scaler, forest, results).
+
+    Feature rows (with the baseline columns) are built once and checkpointed; the
+    scaler, the forest and the scoring all read them. ``store(name, df) -> df`` may
+    write each model table (e.g. to the shared folder) before it is used, so the
+    results are scored with exactly the stored models.
+    """
+    params = params or DetectParams()
+    stats = series_stats(bars)
+    feat = build_features(bl.baseline(bars, stats.n_series), stats).checkpoint(eager=True)
+    keep_store = store or (lambda _name, df: df)
+    scaler = keep_store("scaler", fit_scaler(feat))
+    scaled = apply_scaler(feat, scaler, n_series=stats.n_series)
+    forest = keep_store("forest", iforest.fit_forest(scaled, params.n_trees, params.max_samples,
+                                                     params.seed, stats.n_series, stats.total_rows))
+    keep = [c for c in scaled.columns if c not in (KEY, TIME, "x")]
+    scored = iforest.score(scaled, forest, stats.n_series, params.n_trees, keep=keep,
+                           total_rows=stats.total_rows)
+    thr = if_threshold(scored, params.percentile, stats)
+    results = consensus(if_flags(scored, thr, stats)).select(*RESULT_COLS)
+    return scaler, forest, results
+
+
 def detect(bars: DataFrame, params: DetectParams | None = None,
            models: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Full result table: features, IF score/flag, band, residual, consensus."""
     params = params or DetectParams()
     scaled, forest, stats = scored_features(bars, params, models=models)
     keep = [c for c in scaled.columns if c not in (KEY, TIME, "x")]
-    scored = iforest.score(scaled, forest, stats.n_series, params.n_trees, keep=keep)
+    scored = iforest.score(scaled, forest, stats.n_series, params.n_trees, keep=keep,
+                           total_rows=stats.total_rows)
     thr = if_threshold(scored, params.percentile, stats)
     flagged = consensus(if_flags(scored, thr, stats))
     return flagged.select(*RESULT_COLS)
@@ -91,7 +117,8 @@ def detect_with_threshold(bars: DataFrame, params: DetectParams | None = None) -
     params = params or DetectParams()
     scaled, forest, stats = scored_features(bars, params)
     keep = [c for c in scaled.columns if c not in (KEY, TIME, "x")]
-    scored = iforest.score(scaled, forest, stats.n_series, params.n_trees, keep=keep)
+    scored = iforest.score(scaled, forest, stats.n_series, params.n_trees, keep=keep,
+                           total_rows=stats.total_rows)
     thr = if_threshold(scored, params.percentile, stats)
     return consensus(if_flags(scored, thr, stats))
 

@@ -47,6 +47,8 @@ BROADCAST_MODEL_BYTES = 512 * 1024 * 1024
 MIX_PRIME = 2147483647           # 2^31 - 1
 # A feature whose range in a node is at most this is treated as constant.
 FEATURE_THRESHOLD = 1e-7
+# Inputs up to this many rows are spread over all task slots before a x T expansion.
+SPREAD_MAX_ROWS = 2_000_000
 
 
 def _depth_limit(psi):
@@ -75,10 +77,13 @@ def tree_key(row_hash, t) -> "F.Column":
 
 
 def sample_rows(scaled: DataFrame, sizes: DataFrame, n_trees: int = N_TREES, seed: int = SEED,
-                n_series: int | None = None) -> DataFrame:
+                n_series: int | None = None, total_rows: int | None = None) -> DataFrame:
     """(ticker, t, rk, x, psi, depth_limit): up to psi sampled rows per tree."""
     rk = row_key(F.col(TIME))
-    d = join_small(scaled.select(KEY, TIME, "x"), sizes, KEY, n_series).withColumn("rk", rk)
+    rows = scaled.select(KEY, TIME, "x")
+    if total_rows is not None and total_rows <= SPREAD_MAX_ROWS and total_rows * n_trees >= 1_000_000:
+        rows = rows.repartition(_task_slots(scaled) * 2, KEY, TIME)   # spread the x T expansion
+    d = join_small(rows, sizes, KEY, n_series).withColumn("rk", rk)
     d = d.withColumn("_h", (unit_hash(seed, F.col(KEY), F.col("rk")) * F.lit(TWO_POW_32)).cast("long"))
     n, psi = F.col("n").cast("double"), F.col("psi").cast("double")
     p0 = F.least(F.lit(1.0), 4.0 * n_trees * psi / n)
@@ -148,19 +153,33 @@ def _grow_group(seed: int):
 TREES_PER_TASK = 25
 
 
-def grow(sample: DataFrame, seed: int = SEED) -> DataFrame:
+def grow(sample: DataFrame, seed: int = SEED, n_series: int | None = None,
+         n_trees: int = N_TREES) -> DataFrame:
     """One model row per (ticker, tree). A group is a block of at most TREES_PER_TASK
-    trees of one ticker, i.e. at most TREES_PER_TASK * psi rows."""
+    trees of one ticker, i.e. at most TREES_PER_TASK * psi rows.
+
+    The sample is small in bytes but costly in CPU, so it is hash-partitioned by
+    block into an explicit number of partitions (AQE would otherwise merge it into
+    one task); the grouping then needs no further exchange."""
     block = F.floor(F.col("t") / F.lit(TREES_PER_TASK))
-    return (sample.withColumn("_blk", block)
-            .groupBy(KEY, "_blk").applyInPandas(_grow_group(seed), TREE_SCHEMA))
+    d = sample.withColumn("_blk", block)
+    if n_series is not None:
+        groups = n_series * -(-n_trees // TREES_PER_TASK)
+        d = d.repartition(max(1, min(groups, _task_slots(sample) * 4)), KEY, "_blk")
+    return d.groupBy(KEY, "_blk").applyInPandas(_grow_group(seed), TREE_SCHEMA)
+
+
+def _task_slots(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism,
+               int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
 def fit_forest(scaled: DataFrame, n_trees: int = N_TREES, max_samples: int = MAX_SAMPLES,
-               seed: int = SEED, n_series: int | None = None) -> DataFrame:
+               seed: int = SEED, n_series: int | None = None, total_rows: int | None = None) -> DataFrame:
     sizes = series_sizes(scaled, max_samples)
-    sample = sample_rows(scaled, sizes, n_trees, seed, n_series)
-    return grow(sample, seed)
+    sample = sample_rows(scaled, sizes, n_trees, seed, n_series, total_rows)
+    return grow(sample, seed, n_series, n_trees)
 
 
 def forest_nodes(forest: DataFrame) -> DataFrame:
@@ -171,9 +190,18 @@ def forest_nodes(forest: DataFrame) -> DataFrame:
 
 
 def score(scaled: DataFrame, forest: DataFrame, n_series: int | None = None,
-          n_trees: int = N_TREES, keep: list[str] | None = None) -> DataFrame:
-    """Adds ``if_score`` (and ``mean_path``) to every scaled row."""
+          n_trees: int = N_TREES, keep: list[str] | None = None,
+          total_rows: int | None = None) -> DataFrame:
+    """Adds ``if_score`` (and ``mean_path``) to every scaled row.
+
+    Each row meets every tree of its ticker (rows x T pairs made inside one task and
+    partial-aggregated back to one row there). When the input is small in bytes but
+    the expansion is large (``total_rows`` known and below SPREAD_MAX_ROWS) the rows
+    are first spread over all task slots by (ticker, Date), which also satisfies the
+    per-row aggregation; large inputs already span many partitions."""
     keep = keep if keep is not None else [c for c in scaled.columns if c not in (KEY, TIME)]
+    if total_rows is not None and total_rows <= SPREAD_MAX_ROWS and total_rows * n_trees >= 1_000_000:
+        scaled = scaled.repartition(_task_slots(scaled) * 2, KEY, TIME)
     model = forest.select(KEY, F.col("t").alias("_t"), F.col("psi").alias("_psi"),
                           F.col("f").alias("_f"), F.col("v").alias("_v"), F.col("hb").alias("_hb"))
     model_bytes = (n_series or 0) * n_trees * BYTES_PER_TREE

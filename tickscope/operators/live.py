@@ -58,7 +58,7 @@ def live_scores(bars: DataFrame, scaler: DataFrame, forest: DataFrame, threshold
     feat = build_features(recent, st)
     scaled = apply_scaler(feat, scaler, n_series=st.n_series)   # tickers without a model drop out
     scored = iforest.score(scaled, forest, st.n_series, n_trees,
-                           keep=["Close", "daily_return", "volume_zscore"])
+                           keep=["Close", "daily_return", "volume_zscore"], total_rows=st.total_rows)
     latest = scored.groupBy(KEY).agg(F.max_by(F.struct("Date", "Close", "if_score", "daily_return",
                                                        "volume_zscore"), F.col(TIME)).alias("r"))
     if thresholds is not None:

@@ -156,7 +156,7 @@ def q_forest_shape(spark, sf):
           O.with_([*_FOREST_CTES, *O.score("scaled", "fo")], "SELECT ticker, \"Date\", mean_path, if_score FROM scores"))
 def q_if_scores(spark, sf):
     scaled, forest, stats = scored_features(hourly_bars(spark, sf), with_baseline=False)
-    return iforest.score(scaled, forest, stats.n_series, keep=[])
+    return iforest.score(scaled, forest, stats.n_series, keep=[], total_rows=stats.total_rows)
 
 
 # --- baseline ----------------------------------------------------------------
@@ -211,7 +211,7 @@ def q_if_threshold(spark, sf):
     from ..operators.detect import if_threshold
     b = hourly_bars(spark, sf)
     scaled, forest, stats = scored_features(b)
-    scored = iforest.score(scaled, forest, stats.n_series, keep=[])
+    scored = iforest.score(scaled, forest, stats.n_series, keep=[], total_rows=stats.total_rows)
     return if_threshold(scored, DetectParams().percentile, stats)
 
 

@@ -50,9 +50,21 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, key: str,
                 partition_by: str | None = KEY) -> DataFrame:
     """Write ``df`` once per (name, key) and return a DataFrame reading the table."""
     path = write_once(spark, df, name, key, partition_by)
+    digest = hashlib.sha1(key.encode()).hexdigest()[:16]
+    _SCHEMAS[(id(spark.sparkContext), f"{name}/{digest}")] = df.schema
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def lookup(spark: SparkSession, name: str, key: str) -> DataFrame | None:
+    """The table written for (name, key) in this session, if any."""
+    digest = hashlib.sha1(key.encode()).hexdigest()[:16]
+    memo_key = (id(spark.sparkContext), f"{name}/{digest}")
+    if memo_key in _MEMO and memo_key in _SCHEMAS:
+        schema = _SCHEMAS[memo_key]
+        return spark.read.schema(schema).parquet(_MEMO[memo_key]).select(*schema.fieldNames())
+    return None
+
+
 def materialize_lazy(spark: SparkSession, build, name: str, key: str,
                      partition_by: str | None = KEY) -> DataFrame:
     """Like ``materialize`` but ``build()`` (which may assemble a large plan) only runs
