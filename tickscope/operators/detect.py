@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import (ANOMALY_PERCENTILE, FEATURE_COLS_ALL, KEY, MAX_SAMPLES, N_TREES, OHLCV,
@@ -20,7 +20,7 @@ from .features import build_features
 from .joins import join_small
 from .quantile import quantile_by_key
 from .scaler import apply_scaler, fit_scaler
-from .windows import SeriesStats, series_stats
+from .windows import SeriesStats, over_series, series_stats
 
 RESULT_COLS = [KEY, TIME, *OHLCV, *FEATURE_COLS_ALL, "if_score", "if_anomaly",
                "yhat", "yhat_lower", "yhat_upper", "residual", "band_anomaly", "consensus_anomaly"]
@@ -133,3 +133,60 @@ def detect_summary(results: DataFrame, thresholds: DataFrame | None = None) -> D
     if thresholds is not None:
         agg = agg.join(thresholds, KEY, "left")
     return agg
+
+
+def detect_status(bars: DataFrame, requested: list[str], min_feature_rows: int = 2) -> DataFrame:
+    """Per requested ticker, whether detection can run and why not.
+
+    A ticker fails when it has no bars, when no feature row survives the warm-up and
+    missing-value drop, or when a feature is non-finite (zero previous close or
+    volume: the reference's model rejects infinities for that whole ticker).
+    Other tickers are unaffected (failure isolation without a driver loop).
+    """
+    spark = bars.sparkSession
+    stats = series_stats(bars)
+    feat = build_features(bars, stats)
+    prev_zero = over_series(
+        bars.select(KEY, TIME, "Close", "Volume"),
+        lambda df, part: df.withColumn(
+            "_bad", ((F.lag("Close", 1).over(Window.partitionBy(*part).orderBy(TIME)) == 0)
+                     | (F.lag("Volume", 1).over(Window.partitionBy(*part).orderBy(TIME)) == 0)
+                     | (F.col("Close") == 0)).cast("int")),
+        halo=1, stats=stats)
+    bad = prev_zero.groupBy(KEY).agg(F.coalesce(F.max("_bad"), F.lit(0)).alias("n_bad"),
+                                     F.count(F.lit(1)).alias("n_bars"))
+    good = feat.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_feature_rows"))
+    req = spark.createDataFrame([(t,) for t in requested], f"{KEY} string")
+    j = req.join(bad, KEY, "left").join(good, KEY, "left")
+    n_bars = F.coalesce(F.col("n_bars"), F.lit(0))
+    n_feat = F.coalesce(F.col("n_feature_rows"), F.lit(0))
+    reason = (F.when(n_bars == 0, F.lit("no data"))
+              .when(n_feat < min_feature_rows, F.lit("too few feature rows"))
+              .when(F.col("n_bad") > 0, F.lit("non-finite feature")))
+    return j.select(KEY, n_bars.alias("n_bars"), n_feat.alias("n_feature_rows"),
+                    reason.isNull().alias("ok"), reason.alias("reason"))
+
+
+def train_or_reuse(bars: DataFrame, stored: tuple[DataFrame, DataFrame] | None, retrain: bool,
+                   params: DetectParams | None = None) -> tuple[DataFrame, DataFrame]:
+    """Models for tickers without stored artefacts (or all, when ``retrain``) are
+    fitted; stored ones are reused as they are (the reference never refits a ticker
+    whose artefacts exist, even when new bars arrive)."""
+    params = params or DetectParams()
+    if stored is None or retrain:
+        stats = series_stats(bars)
+        feat = build_features(bars, stats)
+        scaler = fit_scaler(feat)
+        scaled = apply_scaler(feat, scaler, n_series=stats.n_series)
+        return scaler, iforest.fit_forest(scaled, params.n_trees, params.max_samples, params.seed,
+                                          stats.n_series, stats.total_rows)
+    s_old, f_old = stored
+    todo = bars.join(f_old.select(KEY).distinct(), KEY, "left_anti")
+    stats = series_stats(todo)
+    feat = build_features(todo, stats)
+    scaler = fit_scaler(feat)
+    scaled = apply_scaler(feat, scaler, n_series=stats.n_series)
+    forest = iforest.fit_forest(scaled, params.n_trees, params.max_samples, params.seed,
+                                stats.n_series, stats.total_rows)
+    return (s_old.unionByName(scaler.select(*s_old.columns)),
+            f_old.unionByName(forest.select(*f_old.columns)))

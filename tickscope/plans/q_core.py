@@ -235,3 +235,31 @@ def q_detect_summary(spark, sf):
 def q_consensus(spark, sf):
     r = detect(hourly_bars(spark, sf))
     return r.filter(F.col("consensus_anomaly") == 1)
+
+
+STATUS_REQUEST = ["A", "N", "R", "X"]
+
+
+@register("detect_status", ["ticker", "n_bars", "n_feature_rows", "ok", "reason"], [],
+          O.with_([*O.bars_daily(), *O.features("bars", "features")], """
+SELECT r.ticker, coalesce(b.n_bars, 0) AS n_bars, coalesce(f.n_feature_rows, 0) AS n_feature_rows,
+       CASE WHEN coalesce(b.n_bars, 0) = 0 THEN 'no data'
+            WHEN coalesce(f.n_feature_rows, 0) < 2 THEN 'too few feature rows'
+            WHEN b.n_bad > 0 THEN 'non-finite feature' END IS NULL AS ok,
+       CASE WHEN coalesce(b.n_bars, 0) = 0 THEN 'no data'
+            WHEN coalesce(f.n_feature_rows, 0) < 2 THEN 'too few feature rows'
+            WHEN b.n_bad > 0 THEN 'non-finite feature' END AS reason
+FROM (VALUES ('A'), ('N'), ('R'), ('X')) AS r(ticker)
+LEFT JOIN (SELECT ticker, count(*) AS n_bars, coalesce(max(bad), 0) AS n_bad FROM (
+    SELECT ticker, CAST(lag("Close") OVER w = 0 OR lag("Volume") OVER w = 0 OR "Close" = 0 AS INTEGER) AS bad
+    FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY "Date")) GROUP BY ticker) b USING (ticker)
+LEFT JOIN (SELECT ticker, count(*) AS n_feature_rows FROM features GROUP BY ticker) f USING (ticker)"""))
+def q_detect_status(spark, sf):
+    from ..operators.detect import detect_status
+    return detect_status(daily_bars(spark, sf), STATUS_REQUEST)
+
+
+@register("if_flags", ["ticker", "Date", "if_score", "if_anomaly"], ["if_score"],
+          _detect_sql(O.bars_events(), 'SELECT ticker, "Date", if_score, if_anomaly FROM results'))
+def q_if_flags(spark, sf):
+    return hourly_results(spark, sf).select("ticker", "Date", "if_score", "if_anomaly")
