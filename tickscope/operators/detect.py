@@ -32,6 +32,15 @@ class DetectParams:
     max_samples: int = MAX_SAMPLES
     seed: int = SEED
     percentile: float = ANOMALY_PERCENTILE
+    baseline: str = "decompose"     # or "map" (changepoint trend + Fourier seasonality)
+
+
+def band(bars: DataFrame, params: DetectParams, stats: SeriesStats) -> DataFrame:
+    """Baseline columns on every raw bar, by the chosen method."""
+    if params.baseline == "map":
+        from .baseline_map import baseline_map
+        return baseline_map(bars, stats.n_series)
+    return bl.baseline(bars, stats.n_series)
 
 
 def if_threshold(scored: DataFrame, q: float, stats: SeriesStats) -> DataFrame:
@@ -60,7 +69,7 @@ def scored_features(bars: DataFrame, params: DetectParams | None = None,
     """
     params = params or DetectParams()
     stats = stats or series_stats(bars)
-    src = bl.baseline(bars, stats.n_series) if with_baseline else bars
+    src = band(bars, params, stats) if with_baseline else bars
     feat = build_features(src, stats)
     scaler = models[0] if models is not None else fit_scaler(feat)
     scaled = apply_scaler(feat, scaler, n_series=stats.n_series)
@@ -86,7 +95,7 @@ def fit_and_detect(bars: DataFrame, params: DetectParams | None = None,
     """
     params = params or DetectParams()
     stats = series_stats(bars)
-    feat = build_features(bl.baseline(bars, stats.n_series), stats).checkpoint(eager=True)
+    feat = build_features(band(bars, params, stats), stats).checkpoint(eager=True)
     keep_store = store or (lambda _name, df: df)
     scaler = keep_store("scaler", fit_scaler(feat))
     scaled = apply_scaler(feat, scaler, n_series=stats.n_series)

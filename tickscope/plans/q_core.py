@@ -263,3 +263,17 @@ def q_detect_status(spark, sf):
           _detect_sql(O.bars_events(), 'SELECT ticker, "Date", if_score, if_anomaly FROM results'))
 def q_if_flags(spark, sf):
     return hourly_results(spark, sf).select("ticker", "Date", "if_score", "if_anomaly")
+
+
+@register("baseline_map", BASE_COLS, ["Close", "yhat", "yhat_lower", "yhat_upper", "residual"], None,
+          note="MAP changepoint/seasonality fit: rows-only check; tested by KKT conditions")
+def q_baseline_map(spark, sf):
+    from ..operators.baseline_map import baseline_map
+    b = daily_bars(spark, sf)
+    return baseline_map(b, series_stats(b).n_series)
+
+
+@register("detect_map", RESULT_COLS, RESULT_DOUBLES, None,
+          note="full detection with the MAP band: rows-only check")
+def q_detect_map(spark, sf):
+    return daily_results(spark, sf, DetectParams(baseline="map"))
