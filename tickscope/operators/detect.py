@@ -54,6 +54,18 @@ def if_flags(scored: DataFrame, thresholds: DataFrame, stats: SeriesStats) -> Da
     return j.withColumn("if_anomaly", (F.col("if_score") <= F.col("threshold")).cast("int"))
 
 
+def flag_scores(scored: DataFrame, q: float, stats: SeriesStats) -> DataFrame:
+    """Per-ticker quantile threshold + IF flag.
+
+    Bounded series: one window aggregate over the scored rows (the rows x trees
+    scoring runs once). Long series: the exact histogram quantile, joined back."""
+    if stats.chunked:
+        return if_flags(scored, if_threshold(scored, q, stats), stats)
+    thr = F.percentile(F.col("if_score"), F.lit(q)).over(Window.partitionBy(KEY))
+    return (scored.withColumn("threshold", thr)
+            .withColumn("if_anomaly", (F.col("if_score") <= F.col("threshold")).cast("int")))
+
+
 def consensus(df: DataFrame) -> DataFrame:
     both = (F.col("if_anomaly") == 1) & (F.col("band_anomaly") == 1)
     return df.withColumn("consensus_anomaly", F.coalesce(both, F.lit(False)).cast("int"))
@@ -104,8 +116,7 @@ def fit_and_detect(bars: DataFrame, params: DetectParams | None = None,
     keep = [c for c in scaled.columns if c not in (KEY, TIME, "x")]
     scored = iforest.score(scaled, forest, stats.n_series, params.n_trees, keep=keep,
                            total_rows=stats.total_rows)
-    thr = if_threshold(scored, params.percentile, stats)
-    results = consensus(if_flags(scored, thr, stats)).select(*RESULT_COLS)
+    results = consensus(flag_scores(scored, params.percentile, stats)).select(*RESULT_COLS)
     return scaler, forest, results
 
 
@@ -117,8 +128,7 @@ def detect(bars: DataFrame, params: DetectParams | None = None,
     keep = [c for c in scaled.columns if c not in (KEY, TIME, "x")]
     scored = iforest.score(scaled, forest, stats.n_series, params.n_trees, keep=keep,
                            total_rows=stats.total_rows)
-    thr = if_threshold(scored, params.percentile, stats)
-    flagged = consensus(if_flags(scored, thr, stats))
+    flagged = consensus(flag_scores(scored, params.percentile, stats))
     return flagged.select(*RESULT_COLS)
 
 
@@ -128,8 +138,7 @@ def detect_with_threshold(bars: DataFrame, params: DetectParams | None = None) -
     keep = [c for c in scaled.columns if c not in (KEY, TIME, "x")]
     scored = iforest.score(scaled, forest, stats.n_series, params.n_trees, keep=keep,
                            total_rows=stats.total_rows)
-    thr = if_threshold(scored, params.percentile, stats)
-    return consensus(if_flags(scored, thr, stats))
+    return consensus(flag_scores(scored, params.percentile, stats))
 
 
 def detect_summary(results: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:

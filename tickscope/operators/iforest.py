@@ -43,7 +43,7 @@ MAX_DEPTH = 8                      # ceil(log2(256))
 INNER_SLOTS = 2 ** MAX_DEPTH - 1   # 255
 LEAF_SLOTS = 2 ** MAX_DEPTH        # 256
 BYTES_PER_TREE = INNER_SLOTS * 12 + LEAF_SLOTS * 8 + 64
-BROADCAST_MODEL_BYTES = 512 * 1024 * 1024
+BROADCAST_MODEL_BYTES = 256 * 1024 * 1024
 MIX_PRIME = 2147483647           # 2^31 - 1
 # A feature whose range in a node is at most this is treated as constant.
 FEATURE_THRESHOLD = 1e-7

@@ -4,15 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Largest per-series table we broadcast (rows); above it the join shuffles and AQE
-# splits skewed partitions.
-BROADCAST_MAX_ROWS = 2_000_000
+# Largest per-series table we broadcast (estimated bytes = rows x row width); above
+# it the join shuffles and AQE splits skewed partitions.
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+
+
+def row_width(schema: T.StructType) -> int:
+    """Rough in-memory width of a row (arrays counted at 64 elements)."""
+    width = 16
+    for f in schema.fields:
+        dt = f.dataType
+        if isinstance(dt, T.ArrayType):
+            width += 16 + 64 * (dt.elementType.defaultSize() if hasattr(dt.elementType, "defaultSize") else 8)
+        elif isinstance(dt, T.StringType):
+            width += 32
+        else:
+            width += 8
+    return width
 
 
 def join_small(big: DataFrame, small: DataFrame, on, n_rows: int | None, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join a per-series table (at most ``n_rows`` rows) onto a large one."""
-    if n_rows is not None and n_rows <= max_rows:
+               max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Join a per-series table (at most ``n_rows`` rows, a counted bound) onto a large one."""
+    if n_rows is not None and n_rows * row_width(small.schema) <= max_bytes:
         small = F.broadcast(small)
     return big.join(small, on, how)
