@@ -122,12 +122,13 @@ def portfolio_summary(p: DataFrame, n_series: int | None = None) -> DataFrame:
 
 
 def summary_text(summary: DataFrame) -> DataFrame:
-    """Display strings: return '+.1f%', vol '.2f%', rate '.2f%'."""
+    """Display strings: return '+.1f%', vol '.2f%', rate '.2f%' (values rounded half away
+    from zero first, so the text does not depend on the formatter's own rounding)."""
     return summary.select(
-        KEY, F.format_string("%+.1f%%", "period_return_pct").alias("period_return"),
-        F.format_string("%.2f%%", "daily_vol_pct").alias("daily_vol"),
+        KEY, F.format_string("%+.1f%%", round_half_away(F.col("period_return_pct"), 1)).alias("period_return"),
+        F.format_string("%.2f%%", round_half_away(F.col("daily_vol_pct"), 2)).alias("daily_vol"),
         "n_if", "n_band", "n_consensus",
-        F.format_string("%.2f%%", "consensus_rate_pct").alias("consensus_rate"))
+        F.format_string("%.2f%%", round_half_away(F.col("consensus_rate_pct"), 2)).alias("consensus_rate"))
 
 
 def score_series(p: DataFrame) -> DataFrame:

@@ -46,8 +46,10 @@ _STATS_MEMO: dict[tuple, SeriesStats] = {}
 
 
 def series_stats(df: DataFrame, key: str = KEY, order: str = TIME,
-                 target_rows: int = TARGET_ROWS_PER_TASK) -> SeriesStats:
+                 target_rows: int | None = None) -> SeriesStats:
     """Number of series and their largest row count (one partial-aggregated job)."""
+    if target_rows is None:
+        target_rows = TARGET_ROWS_PER_TASK
     memo_key = (df.semanticHash(), key, order, target_rows)
     hit = _STATS_MEMO.get(memo_key)
     if hit is not None:

@@ -269,3 +269,13 @@ def q_agreement(spark, sf):
 @register("ticker_labels", ["ticker", "label"], [], sql("SELECT DISTINCT ticker, ticker AS label FROM results"))
 def q_ticker_labels(spark, sf):
     return P.ticker_labels(_res(spark, sf))
+
+
+@register("portfolio_summary_text", ["ticker", "period_return", "daily_vol", "n_if", "n_band", "n_consensus",
+                                     "consensus_rate"], [], sql(f"""
+SELECT ticker, printf('%+.1f%%', round(period_return_pct, 1)) AS period_return,
+       printf('%.2f%%', round(daily_vol_pct, 2)) AS daily_vol, n_if, n_band, n_consensus,
+       printf('%.2f%%', round(consensus_rate_pct, 2)) AS consensus_rate FROM ({SUMMARY_SQL})"""))
+def q_portfolio_summary_text(spark, sf):
+    r = _res(spark, sf)
+    return P.summary_text(P.portfolio_summary(r, series_stats(r).n_series))
