@@ -97,17 +97,20 @@ def scored_features(bars: DataFrame, params: DetectParams | None = None,
 
 
 def fit_and_detect(bars: DataFrame, params: DetectParams | None = None,
-                   store=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+                   store=None, cut=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Train and score in one pass: (scaler, forest, results).
 
     Feature rows (with the baseline columns) are built once and checkpointed; the
     scaler, the forest and the scoring all read them. ``store(name, df) -> df`` may
     write each model table (e.g. to the shared folder) before it is used, so the
-    results are scored with exactly the stored models.
+    results are scored with exactly the stored models. ``cut(df) -> df`` materialises
+    the feature rows (default: ``checkpoint()``; a parquet table in the shared folder
+    is smaller and lets later passes read only the columns they need).
     """
     params = params or DetectParams()
     stats = series_stats(bars)
-    feat = build_features(band(bars, params, stats), stats).checkpoint(eager=True)
+    feat = build_features(band(bars, params, stats), stats)
+    feat = cut(feat) if cut is not None else feat.checkpoint(eager=True)
     keep_store = store or (lambda _name, df: df)
     scaler = keep_store("scaler", fit_scaler(feat))
     scaled = apply_scaler(feat, scaler, n_series=stats.n_series)

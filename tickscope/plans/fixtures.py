@@ -60,7 +60,9 @@ def _run(spark: SparkSession, sf_dir: str, bars_fn, tag: str, params: DetectPara
 
     def store(name, df):
         return materialize(spark, df, names[name], key)
-    scaler, forest, results = fit_and_detect(bars_fn(spark, sf_dir), params, store)
+    def cut(df):
+        return materialize(spark, df, f"features_{tag}", key)
+    scaler, forest, results = fit_and_detect(bars_fn(spark, sf_dir), params, store, cut)
     results = materialize(spark, results, f"results_{tag}", key)
     _RUNS[memo] = (scaler, forest, results)
     return _RUNS[memo]
