@@ -9,10 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.detect import DetectParams, detect
 from ..session import configure
-from ..sources.bars import bars_from_events, bars_from_lineitem, read_table
+from ..sources.bars import bars_from_brands, bars_from_events, bars_from_lineitem, read_table
 from .tables import lookup, materialize, materialize_lazy, table_key
 
 
+def brand_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wider daily ticker set: one series per part brand (lineitem joined with part)."""
+    configure(spark)
+    return materialize_lazy(
+        spark, lambda: bars_from_brands(read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "part")),
+        "bars_brands", table_key(sf_dir, CODE_VERSION))
+
+
 def _code_version() -> str:
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     h = hashlib.sha1()
@@ -86,3 +94,8 @@ def hourly_results(spark: SparkSession, sf_dir: str, params: DetectParams | None
 def daily_results(spark: SparkSession, sf_dir: str, params: DetectParams | None = None) -> DataFrame:
     """Detection results for B2 (trains and stores the models on first use)."""
     return _run(spark, sf_dir, daily_bars, "daily", params or DetectParams())[2]
+
+
+def brand_results(spark: SparkSession, sf_dir: str, params: DetectParams | None = None) -> DataFrame:
+    """Detection results for the 25 brand series."""
+    return _run(spark, sf_dir, brand_bars, "brands", params or DetectParams())[2]

@@ -41,6 +41,16 @@ def bars_daily(name: str = "bars") -> list[str]:
   FROM lineitem GROUP BY 1, 2)"""]
 
 
+def bars_brands(name: str = "bars") -> list[str]:
+    k = "(l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice)"
+    p = "(l.l_extendedprice / nullif(l.l_quantity, 0))"
+    return [f"""{name} AS (
+  SELECT p.p_brand AS ticker, CAST(l.l_shipdate AS TIMESTAMP) AS "Date",
+         arg_min({p}, {k}) AS "Open", max({p}) AS "High", min({p}) AS "Low",
+         arg_max({p}, {k}) AS "Close", CAST(sum(l.l_quantity) AS DOUBLE) AS "Volume"
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1, 2)"""]
+
+
 def features(src: str = "bars", name: str = "features") -> list[str]:
     w = "PARTITION BY ticker ORDER BY \"Date\""
     w20 = f"({w} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"

@@ -277,3 +277,22 @@ def q_baseline_map(spark, sf):
           note="full detection with the MAP band: rows-only check")
 def q_detect_map(spark, sf):
     return daily_results(spark, sf, DetectParams(baseline="map"))
+
+
+@register("bars_brands", BAR_COLS, OHLCV, O.with_(O.bars_brands(), "SELECT * FROM bars"))
+def q_bars_brands(spark, sf):
+    from ..sources.bars import bars_from_brands
+    return bars_from_brands(read_table(spark, sf, "lineitem"), read_table(spark, sf, "part"))
+
+
+@register("features_brands", FEAT_COLS, [*OHLCV, *FEATURE_COLS_ALL],
+          O.with_([*O.bars_brands(), *O.features("bars", "features")], "SELECT * FROM features"))
+def q_features_brands(spark, sf):
+    from .fixtures import brand_bars
+    return build_features(brand_bars(spark, sf))
+
+
+@register("detect_brands", RESULT_COLS, RESULT_DOUBLES, _detect_sql(O.bars_brands(), "SELECT * FROM results"))
+def q_detect_brands(spark, sf):
+    from .fixtures import brand_results
+    return brand_results(spark, sf)
