@@ -40,6 +40,22 @@ def canon(df: pd.DataFrame) -> pd.DataFrame:
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
+SPARK_TO_DUCK = {"string": "VARCHAR", "double": "DOUBLE", "bigint": "BIGINT", "int": "INTEGER",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE",
+                 "date": "DATE", "float": "FLOAT", "smallint": "SMALLINT"}
+
+
+def type_mismatches(sdf_types: dict, con, sql: str) -> dict:
+    rel = con.sql(sql)
+    duck = {name: str(t) for name, t in zip(rel.columns, rel.types)}
+    out = {}
+    for c, st in sdf_types.items():
+        want = SPARK_TO_DUCK.get(st, st.upper())
+        if duck.get(c) != want:
+            out[c] = (st, duck.get(c))
+    return out
+
+
 def compare(spark, sf_dir: str, keys: list[str] | None = None) -> dict:
     import __spark_entry__ as E
     qs, sql = E.queries(), E.oracle_sql()
@@ -48,7 +64,9 @@ def compare(spark, sf_dir: str, keys: list[str] | None = None) -> dict:
     for k in keys or list(qs):
         t0 = time.time()
         try:
-            sdf = qs[k](spark, sf_dir).toPandas()
+            sdf_spark = qs[k](spark, sf_dir)
+            stypes = dict(sdf_spark.dtypes)
+            sdf = sdf_spark.toPandas()
             ts = time.time() - t0
         except Exception as e:  # noqa: BLE001
             report[k] = {"error": f"spark: {type(e).__name__}: {str(e)[:400]}"}
@@ -68,6 +86,9 @@ def compare(spark, sf_dir: str, keys: list[str] | None = None) -> dict:
         to = time.time() - t1
         r = {"rows": len(sdf), "oracle_rows": len(odf), "spark_s": round(ts, 2), "duck_s": round(to, 2)}
         r["cols_match"] = sorted(sdf.columns) == sorted(odf.columns)
+        tm = type_mismatches(stypes, con, sql[k])
+        if tm:
+            r["type_mismatch"] = tm
         if r["cols_match"] and len(sdf) == len(odf):
             a, b = canon(sdf), canon(odf)
             diff = (a != b).any(axis=1)

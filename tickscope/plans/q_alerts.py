@@ -78,7 +78,7 @@ def q_alerts_saved(spark, sf):
     return _saved(spark, sf)
 
 
-LIVE_ALERTS_SQL = """SELECT ticker, date AS "Date", close AS "Close", if_score, 0.0 AS residual,
+LIVE_ALERTS_SQL = """SELECT ticker, date AS "Date", close AS "Close", if_score, CAST(0.0 AS DOUBLE) AS residual,
        'live_IF_only' AS source FROM live WHERE anomaly"""
 
 

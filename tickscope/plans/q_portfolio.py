@@ -206,7 +206,7 @@ SELECT s.a, s.b, s.corr, p.cut, CASE WHEN s.corr > p.cut THEN 'above' ELSE 'belo
 FROM (SELECT x.ticker AS a, y.ticker AS b,
              covar_samp(x.if_score, y.if_score) / nullif(stddev_samp(x.if_score) * stddev_samp(y.if_score), 0) AS corr
       FROM complete x JOIN complete y ON x."Date" = y."Date" GROUP BY 1, 2) s
-JOIN (VALUES ('A', 'N', 0.8), ('A', 'R', 0.3)) AS p(a, b, cut) ON s.a = p.a AND s.b = p.b""", [_complete_sql(SEL)]))
+JOIN (VALUES ('A', 'N', CAST(0.8 AS DOUBLE)), ('A', 'R', CAST(0.3 AS DOUBLE))) AS p(a, b, cut) ON s.a = p.a AND s.b = p.b""", [_complete_sql(SEL)]))
 def q_pair_verdict(spark, sf):
     return P.pair_verdict(_res(spark, sf), SEL, PAIRS)
 
