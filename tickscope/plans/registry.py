@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROUND_DIGITS = 6
+import os
+
+# Doubles are compared at 4 decimals: cross-engine summation-order noise is ~1e-10 on
+# price-scale values, far below this quantum.
+ROUND_DIGITS = int(os.environ.get("TICKSCOPE_ROUND_DIGITS", "4"))
 
 
 @dataclass
@@ -28,16 +32,18 @@ def rounded(df: DataFrame, digits: int = ROUND_DIGITS) -> DataFrame:
     """Round every double column as round(x * 10^d) / 10^d, half away from zero.
 
     Written with the same floating steps as the oracle's ``round(x, d)`` so that
-    half-way cases land on the same side in both engines.
+    half-way cases land on the same side in both engines; ``+ 0.0`` turns a
+    negative zero into zero on both sides.
     """
     scale = float(10 ** digits)
-    cols = [(F.round(F.col(f.name) * F.lit(scale), 0) / F.lit(scale)).alias(f.name)
+    cols = [(F.round(F.col(f.name) * F.lit(scale), 0) / F.lit(scale) + F.lit(0.0)).alias(f.name)
             if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields]
     return df.select(*cols)
 
 
 def wrap_sql(sql: str, cols: list[str], doubles: list[str], digits: int = ROUND_DIGITS) -> str:
-    sel = ", ".join(f'round("{c}", {digits}) AS "{c}"' if c in doubles else f'"{c}"' for c in cols)
+    sel = ", ".join(f'round("{c}", {digits}) + CAST(0.0 AS DOUBLE) AS "{c}"' if c in doubles else f'"{c}"'
+                    for c in cols)
     return f"SELECT {sel} FROM (\n{sql}\n) AS q"
 
 
