@@ -138,15 +138,27 @@ def _grow_tree(x: np.ndarray, ticker: str, t: int, depth_limit: int, seed: int):
     return f, v, hb, n_splits, n_leaves
 
 
-def _grow_group(seed: int):
+def _grow_group(seed: int, n_features: int):
+    xcols = [f"_x{j}" for j in range(n_features)]
+
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (ticker, t), g in pdf.groupby([KEY, "t"], sort=False):
-            x = np.stack(g["x"].to_numpy())
-            f, v, hb, ns, nl = _grow_tree(x, ticker, int(t), int(g["depth_limit"].iloc[0]), seed)
-            out.append((ticker, int(t), int(g["psi"].iloc[0]), f.tolist(), v.tolist(), hb.tolist(),
-                        ns, nl))
-        return pd.DataFrame(out, columns=[KEY, "t", "psi", "f", "v", "hb", "n_splits", "n_leaves"])
+        pdf = pdf.sort_values("t", kind="stable")
+        x_all = pdf[xcols].to_numpy(dtype=np.float64)
+        t_all = pdf["t"].to_numpy()
+        cuts = np.flatnonzero(np.diff(t_all)) + 1
+        starts = np.concatenate([[0], cuts])
+        ends = np.concatenate([cuts, [len(t_all)]])
+        ticker = pdf[KEY].iloc[0]
+        depth_limit = int(pdf["depth_limit"].iloc[0])
+        psi = int(pdf["psi"].iloc[0])
+        cols = {KEY: [], "t": [], "psi": [], "f": [], "v": [], "hb": [], "n_splits": [], "n_leaves": []}
+        for a, b in zip(starts, ends):
+            t = int(t_all[a])
+            f, v, hb, ns, nl = _grow_tree(x_all[a:b], ticker, t, depth_limit, seed)
+            for k, val in ((KEY, ticker), ("t", t), ("psi", psi), ("f", f), ("v", v), ("hb", hb),
+                           ("n_splits", ns), ("n_leaves", nl)):
+                cols[k].append(val)
+        return pd.DataFrame(cols)
     return build
 
 
@@ -162,11 +174,14 @@ def grow(sample: DataFrame, seed: int = SEED, n_series: int | None = None,
     block into an explicit number of partitions (AQE would otherwise merge it into
     one task); the grouping then needs no further exchange."""
     block = F.floor(F.col("t") / F.lit(TREES_PER_TASK))
-    d = sample.withColumn("_blk", block)
+    n_features = len(MODEL_FEATURES)
+    # scalar columns travel through Arrow as plain float buffers (no list conversion)
+    d = sample.select(KEY, "t", "psi", "depth_limit", block.alias("_blk"),
+                      *[F.get(F.col("x"), j).alias(f"_x{j}") for j in range(n_features)])
     if n_series is not None:
         groups = n_series * -(-n_trees // TREES_PER_TASK)
         d = d.repartition(max(1, min(groups, _task_slots(sample) * 4)), KEY, "_blk")
-    return d.groupBy(KEY, "_blk").applyInPandas(_grow_group(seed), TREE_SCHEMA)
+    return d.groupBy(KEY, "_blk").applyInPandas(_grow_group(seed, n_features), TREE_SCHEMA)
 
 
 def _task_slots(df: DataFrame) -> int:
