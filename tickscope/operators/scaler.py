@@ -27,9 +27,3 @@ def apply_scaler(feat: DataFrame, scaler: DataFrame, cols: list[str] = MODEL_FEA
     joined = join_small(feat, stats, KEY, n_series)
     x = F.array(*[(F.col(c) - F.col(f"mean_{c}")) / F.col(f"std_{c}") for c in cols])
     return joined.select(*feat.columns, x.alias("x"))
-
-
-def scaled_long(scaled: DataFrame, cols: list[str] = MODEL_FEATURES) -> DataFrame:
-    """Long form (ticker, Date, feature, value) of the scaled matrix."""
-    pairs = F.arrays_zip(F.array(*[F.lit(c) for c in cols]).alias("feature"), F.col("x").alias("value"))
-    return (scaled.select(KEY, "Date", F.inline(pairs)))

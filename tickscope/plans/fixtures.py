@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.detect import DetectParams, detect
+from ..operators.detect import DetectParams
 from ..session import configure
 from ..sources.bars import bars_from_brands, bars_from_events, bars_from_lineitem, read_table
 from .tables import lookup, materialize, materialize_lazy, table_key
