@@ -35,3 +35,6 @@ def test_late_tick_dropped_and_in_time_kept(spark):
                                (3, t0 + dt.timedelta(hours=5, minutes=30), 9.0)])
     out = sorted(run_bars_available_now(spark, src, sink, ck).collect(), key=lambda r: r.Date)
     assert [(r.Date.hour, r.High, r.Volume) for r in out] == [(0, 3.0, 2.0), (5, 9.0, 1.0)]
+    # restart from the checkpoint with no new input: nothing is added
+    again = run_bars_available_now(spark, src, sink, ck).collect()
+    assert len(again) == 2
