@@ -85,3 +85,12 @@ def test_detect_status_isolates_failures(spark):
     st = {r.ticker: (r.ok, r.reason) for r in detect_status(bars, ["BAD", "OK", "SHORT", "NONE"]).collect()}
     assert st == {"BAD": (False, "non-finite feature"), "OK": (True, None),
                   "SHORT": (False, "too few feature rows"), "NONE": (False, "no data")}
+
+
+def test_table_layout_by_series_count(spark):
+    from tickscope.plans import tables
+    bars = make_bars(spark, series("A", walk(3, 1)))
+    df, part = tables.layout(bars, 5)
+    assert part == "ticker"
+    df, part = tables.layout(bars, tables.MAX_TICKER_FOLDERS + 1)
+    assert part is None and "Sort" in df._jdf.queryExecution().executedPlan().toString()

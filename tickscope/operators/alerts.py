@@ -44,14 +44,21 @@ def results_fresh(results: DataFrame, as_of, lookback_days: int) -> Column:
     return F.coalesce(last >= cutoff(as_of, lookback_days), F.lit(False))
 
 
-def alerts_auto(results: DataFrame, live: DataFrame, as_of, lookback_days: int = 1,
+def alerts_auto(results: DataFrame, live, as_of, lookback_days: int = 1,
                 force_live: bool = False) -> DataFrame:
-    """L3: live when forced or when stored results are stale, else saved consensus."""
+    """L3: live when forced or when stored results are stale, else saved consensus.
+
+    ``live`` is a DataFrame or a zero-argument callable building one; the one-row
+    freshness flag is evaluated first so only the chosen branch is ever planned
+    and run (the live branch re-scores recent bars)."""
+    def live_df() -> DataFrame:
+        return live() if callable(live) else live
     if force_live:
-        return alerts_live(live)
-    fresh = results_fresh(results, as_of, lookback_days)
-    saved = alerts_saved(results, as_of, lookback_days).filter(fresh)
-    return saved.unionByName(alerts_live(live).filter(~fresh))
+        return alerts_live(live_df())
+    fresh = results.select(results_fresh(results, as_of, lookback_days).alias("f")).limit(1).first()
+    if fresh is not None and fresh["f"]:
+        return alerts_saved(results, as_of, lookback_days)
+    return alerts_live(live_df())
 
 
 def alert_rows(alerts: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.detect import DetectParams
+from ..operators.windows import series_stats
 from ..session import configure
 from ..sources.bars import bars_from_brands, bars_from_events, bars_from_lineitem, read_table
 from .tables import lookup, materialize, materialize_lazy, table_key
@@ -66,12 +67,16 @@ def _run(spark: SparkSession, sf_dir: str, bars_fn, tag: str, params: DetectPara
         _RUNS[memo] = tuple(cached)
         return _RUNS[memo]
 
+    bars = bars_fn(spark, sf_dir)
+    n_series = series_stats(bars).n_series
+
     def store(name, df):
-        return materialize(spark, df, names[name], key)
+        return materialize(spark, df, names[name], key, n_series=n_series)
+
     def cut(df):
-        return materialize(spark, df, f"features_{tag}", key)
-    scaler, forest, results = fit_and_detect(bars_fn(spark, sf_dir), params, store, cut)
-    results = materialize(spark, results, f"results_{tag}", key)
+        return materialize(spark, df, f"features_{tag}", key, n_series=n_series)
+    scaler, forest, results = fit_and_detect(bars, params, store, cut)
+    results = materialize(spark, results, f"results_{tag}", key, n_series=n_series)
     _RUNS[memo] = (scaler, forest, results)
     return _RUNS[memo]
 

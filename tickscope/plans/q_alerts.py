@@ -90,7 +90,7 @@ def q_alerts_live(spark, sf):
 
 def _auto(spark, sf):
     r = daily_results(spark, sf)
-    return A.alerts_auto(r, _live(spark, sf, min_bars=0), r.agg(F.max("Date")).scalar(), AUTO_LOOKBACK)
+    return A.alerts_auto(r, lambda: _live(spark, sf, min_bars=0), r.agg(F.max("Date")).scalar(), AUTO_LOOKBACK)
 
 
 AUTO_SQL = f"""

@@ -38,17 +38,32 @@ def write_once(spark: SparkSession, df: DataFrame, name: str, key: str,
     if path is None:
         path = scratch_path(spark, name, digest)
         if not _exists(spark, path):
-            writer = df.write.mode("overwrite")
             if partition_by:
-                writer = writer.partitionBy(partition_by)
+                writer = df.write.mode("overwrite").partitionBy(partition_by)
+            else:
+                writer = df.write.mode("overwrite")
             writer.parquet(path)
         _MEMO[memo_key] = path
     return path
 
 
+# Up to this many series a table gets one folder per ticker (partition pruning);
+# beyond it, files are written sorted by ticker so parquet row-group statistics
+# still skip unrelated tickers without creating millions of folders.
+MAX_TICKER_FOLDERS = 10_000
+
+
+def layout(df: DataFrame, n_series: int | None) -> tuple[DataFrame, str | None]:
+    if n_series is None or n_series <= MAX_TICKER_FOLDERS:
+        return df, KEY
+    return df.sortWithinPartitions(KEY), None
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str, key: str,
-                partition_by: str | None = KEY) -> DataFrame:
+                partition_by: str | None = KEY, n_series: int | None = None) -> DataFrame:
     """Write ``df`` once per (name, key) and return a DataFrame reading the table."""
+    if partition_by == KEY and n_series is not None:
+        df, partition_by = layout(df, n_series)
     path = write_once(spark, df, name, key, partition_by)
     digest = hashlib.sha1(key.encode()).hexdigest()[:16]
     _SCHEMAS[(id(spark.sparkContext), f"{name}/{digest}")] = df.schema
