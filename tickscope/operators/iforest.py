@@ -185,9 +185,8 @@ def grow(sample: DataFrame, seed: int = SEED, n_series: int | None = None,
 
 
 def _task_slots(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(spark.sparkContext.defaultParallelism,
-               int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
+    """Concurrent task slots of the cluster (total executor cores)."""
+    return max(1, df.sparkSession.sparkContext.defaultParallelism)
 
 
 def fit_forest(scaled: DataFrame, n_trees: int = N_TREES, max_samples: int = MAX_SAMPLES,
