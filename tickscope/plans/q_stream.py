@@ -48,3 +48,28 @@ def _stream_live(spark, sf):
           O.with_([*O.detect(O.bars_daily()), *_live_ctes(60)], "SELECT * FROM live"))
 def q_stream_live(spark, sf):
     return _stream_live(spark, sf)
+
+
+def _stream_state(spark, sf):
+    """Bars arrive as files; keyed state carries each ticker's 49-bar halo."""
+    from ..streaming.state_stream import start_state_scoring
+    bars = daily_bars(spark, sf)
+    scaler, forest = daily_models(spark, sf)
+    thr = stored_thresholds(daily_results(spark, sf))
+    src = write_once(spark, bars, "stream_src", table_key(sf, CODE_VERSION), partition_by=None)
+    run = uuid.uuid4().hex[:12]
+    sink = scratch_path(spark, "stream_state", run, "out")
+    q = start_state_scoring(spark, read_bar_stream(spark, src), scaler, forest, thr, sink,
+                            scratch_path(spark, "stream_state", run, "ckpt"), available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(sink).drop("batch_id")
+
+
+@register("stream_state_scores", ["ticker", "Date", "Close", "if_score", "threshold", "if_anomaly",
+                                  "daily_return", "volume_zscore"],
+          ["Close", "if_score", "threshold", "daily_return", "volume_zscore"],
+          O.with_(O.detect(O.bars_daily()), """
+SELECT r.ticker, r."Date", r."Close", r.if_score, t.threshold, r.if_anomaly, r.daily_return, r.volume_zscore
+FROM results r JOIN thresholds t USING (ticker)"""))
+def q_stream_state_scores(spark, sf):
+    return _stream_state(spark, sf)
