@@ -60,7 +60,8 @@ def series_stats(df: DataFrame, key: str = KEY, order: str = TIME,
                  - F.unix_micros(F.min(order).cast("timestamp")) + 1).alias("span")))
     row = per.agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("m"), F.sum("n").alias("tot"),
                   F.min(F.when(F.col("n") > target_rows,
-                               F.col("span") * target_rows / F.col("n"))).alias("w")).first()
+                               F.col("span").cast("double") * F.lit(float(target_rows))
+                               / F.col("n"))).alias("w")).first()
     width = int(row["w"]) + 1 if row["w"] is not None else 0
     stats = SeriesStats(int(row["k"] or 0), int(row["m"] or 0), width, int(row["tot"] or 0))
     _STATS_MEMO[memo_key] = stats
