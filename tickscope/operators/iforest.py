@@ -208,13 +208,13 @@ def score(scaled: DataFrame, forest: DataFrame, n_series: int | None = None,
           total_rows: int | None = None) -> DataFrame:
     """Adds ``if_score`` (and ``mean_path``) to every scaled row.
 
-    Each row meets every tree of its ticker (rows x T pairs made inside one task and
-    partial-aggregated back to one row there). Small inputs carry their columns
-    through that aggregate; large ones aggregate only the path length and join the
-    score back (cheaper than ~25 buffers per pair, one narrow extra shuffle). When the input is small in bytes but
-    the expansion is large (``total_rows`` known and below SPREAD_MAX_ROWS) the rows
-    are first spread over all task slots by (ticker, Date), which also satisfies the
-    per-row aggregation; large inputs already span many partitions."""
+    Each row meets every tree of its ticker: rows x T pairs are made inside one task
+    and partial-aggregated back to one row there. Small inputs (``total_rows`` known
+    and at most SPREAD_MAX_ROWS) carry their columns through that aggregate and are
+    first spread over all task slots by (ticker, Date), which also satisfies the
+    per-row aggregation. Large inputs aggregate only the path length (2 buffers per
+    pair instead of ~25) and join the score back, at the cost of one narrow shuffle.
+    """
     keep = keep if keep is not None else [c for c in scaled.columns if c not in (KEY, TIME)]
     if total_rows is not None and total_rows <= SPREAD_MAX_ROWS and total_rows * n_trees >= 1_000_000:
         scaled = scaled.repartition(_task_slots(scaled) * 2, KEY, TIME)
