@@ -115,3 +115,12 @@ def test_detect_same_in_chunked_mode(spark, monkeypatch):
         np.testing.assert_allclose(plain[c].to_numpy(), chunked[c].to_numpy(), rtol=1e-9, atol=1e-12)
     for c in ["if_anomaly", "band_anomaly", "consensus_anomaly"]:
         assert (plain[c] == chunked[c]).all()
+
+
+def test_single_feature_row_ticker_does_not_fail(spark):
+    rows = series("ONE", walk(50, 31)) + series("MANY", walk(200, 32))
+    out = detect(make_bars(spark, rows), DetectParams(n_trees=10)).toPandas()
+    one = out[out.ticker == "ONE"]
+    assert len(one) == 1 and one.if_score.isna().all() and (one.if_anomaly == 0).all()
+    many = out[out.ticker == "MANY"]
+    assert many.if_score.notna().all() and many.if_anomaly.sum() == int(np.floor(0.02 * 150)) + 1

@@ -51,7 +51,7 @@ def if_threshold(scored: DataFrame, q: float, stats: SeriesStats) -> DataFrame:
 
 def if_flags(scored: DataFrame, thresholds: DataFrame, stats: SeriesStats) -> DataFrame:
     j = join_small(scored, thresholds, KEY, stats.n_series)
-    return j.withColumn("if_anomaly", (F.col("if_score") <= F.col("threshold")).cast("int"))
+    return j.withColumn("if_anomaly", F.coalesce(F.col("if_score") <= F.col("threshold"), F.lit(False)).cast("int"))
 
 
 def flag_scores(scored: DataFrame, q: float, stats: SeriesStats) -> DataFrame:
@@ -63,7 +63,7 @@ def flag_scores(scored: DataFrame, q: float, stats: SeriesStats) -> DataFrame:
         return if_flags(scored, if_threshold(scored, q, stats), stats)
     thr = F.percentile(F.col("if_score"), F.lit(q)).over(Window.partitionBy(KEY))
     return (scored.withColumn("threshold", thr)
-            .withColumn("if_anomaly", (F.col("if_score") <= F.col("threshold")).cast("int")))
+            .withColumn("if_anomaly", F.coalesce(F.col("if_score") <= F.col("threshold"), F.lit(False)).cast("int")))
 
 
 def consensus(df: DataFrame) -> DataFrame:

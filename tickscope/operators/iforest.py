@@ -231,7 +231,8 @@ def score(scaled: DataFrame, forest: DataFrame, n_series: int | None = None,
                  > F.get(F.col("_v"), F.col("_nd"))).cast("int")
         d = d.withColumn("_nd", 2 * F.col("_nd") + 1 + right)
     d = d.withColumn("_h", F.get(F.col("_hb"), F.col("_nd") - F.lit(INNER_SLOTS)))
-    s = -F.pow(F.lit(2.0), -F.col("mean_path") / avg_path_length(F.col("_psi")))
+    # psi = 1 gives c(psi) = 0: the score is undefined (null), not an error
+    s = -F.pow(F.lit(2.0), -F.try_divide(F.col("mean_path"), avg_path_length(F.col("_psi"))))
     if small:
         # small input: the row's columns ride through the per-row aggregate (one pass)
         agg = d.groupBy(KEY, TIME).agg(

@@ -69,7 +69,7 @@ def live_scores(bars: DataFrame, scaler: DataFrame, forest: DataFrame, threshold
     return latest.select(
         KEY, F.col("r.Date").alias("date"), F.col("r.Close").alias("close"),
         F.col("r.if_score").alias("if_score"), thr.alias("threshold"),
-        (F.col("r.if_score") <= thr).alias("anomaly"),
+        F.coalesce(F.col("r.if_score") <= thr, F.lit(False)).alias("anomaly"),
         F.col("r.daily_return").alias("daily_ret"), F.col("r.volume_zscore").alias("vol_z"))
 
 

@@ -220,7 +220,7 @@ def score(src: str = "scaled", fo: str = "fo", name: str = "scores", n_trees: in
   FROM {name}_w{MAX_DEPTH} w JOIN {fo}_leaves l ON w.ticker = l.ticker AND w.t = l.t AND w.node = l.node
   GROUP BY w.ticker, w."Date")""")
     ctes.append(f"""{name} AS (
-  SELECT h.ticker, h."Date", h.mean_path, -pow(2.0, -h.mean_path / {_c('p.psi')}) AS if_score
+  SELECT h.ticker, h."Date", h.mean_path, -pow(2.0, -h.mean_path / nullif({_c('p.psi')}, 0)) AS if_score
   FROM {name}_h h JOIN {fo}_psi p USING (ticker))""")
     return ctes
 
@@ -238,7 +238,7 @@ def detect(bars_ctes: list[str], n_trees: int = N_TREES, q: float = ANOMALY_PERC
         f"""thresholds AS (SELECT ticker, quantile_cont(if_score, {q!r}) AS threshold FROM scores GROUP BY ticker)""",
         f"""results AS (
   SELECT f.ticker, f."Date", {OHLCV_SQL}, {', '.join('f.' + c for c in FEATS)},
-         s.if_score, CAST(s.if_score <= t.threshold AS INTEGER) AS if_anomaly,
+         s.if_score, CAST(coalesce(s.if_score <= t.threshold, false) AS INTEGER) AS if_anomaly,
          f.yhat, f.yhat_lower, f.yhat_upper, f.residual, f.band_anomaly,
          CAST(coalesce(s.if_score <= t.threshold AND f.band_anomaly = 1, false) AS INTEGER) AS consensus_anomaly
   FROM scaled f JOIN scores s USING (ticker, "Date") JOIN thresholds t USING (ticker))""",

@@ -28,7 +28,7 @@ def _live_ctes(min_bars: int) -> list[str]:
         """live AS (
   SELECT s.ticker, max(s."Date") AS date, arg_max(f."Close", s."Date") AS close, arg_max(s.if_score, s."Date") AS if_score,
          coalesce(any_value(t.threshold), -0.6) AS threshold,
-         arg_max(s.if_score, s."Date") <= coalesce(any_value(t.threshold), -0.6) AS anomaly,
+         coalesce(arg_max(s.if_score, s."Date") <= coalesce(any_value(t.threshold), -0.6), false) AS anomaly,
          arg_max(f.daily_return, s."Date") AS daily_ret, arg_max(f.volume_zscore, s."Date") AS vol_z
   FROM ls s JOIN rf f USING (ticker, "Date") LEFT JOIN thresholds t USING (ticker) GROUP BY s.ticker)""",
     ]

@@ -82,7 +82,7 @@ def score_new_bars(batch: DataFrame, scaler: DataFrame, forest: DataFrame,
         scored = scored.withColumn("threshold", F.lit(None).cast("double"))
     thr = F.coalesce(F.col("threshold"), F.lit(FALLBACK_THRESHOLD))
     return scored.select(KEY, TIME, "Close", "if_score", thr.alias("threshold"),
-                         (F.col("if_score") <= thr).cast("int").alias("if_anomaly"),
+                         F.coalesce(F.col("if_score") <= thr, F.lit(False)).cast("int").alias("if_anomaly"),
                          "daily_return", "volume_zscore")
 
 
