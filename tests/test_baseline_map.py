@@ -43,3 +43,10 @@ def test_recovers_slope_and_weekly_wave(spark):
     assert 0.9 < cover < 0.99
     slope = np.polyfit(np.arange(len(out)), out["yhat"].to_numpy(), 1)[0]
     assert slope == pytest.approx(0.05, rel=0.05)
+
+
+def test_all_zero_series_does_not_fail(spark):
+    rows = [("Z", (dt.date(2020, 1, 1) + dt.timedelta(days=i)).isoformat(), 0.0, 0.0, 0.0, 0.0, 1.0)
+            for i in range(60)]
+    out = BM.baseline_map(make_bars(spark, rows)).toPandas()
+    assert len(out) == 60 and (out.yhat.abs() < 1e-12).all() and (out.band_anomaly == 0).all()

@@ -149,7 +149,8 @@ def fit_map(bars: DataFrame, n_series: int | None = None) -> DataFrame:
     """Model table (ticker, t0, t1, y_scale, cp_days, beta, sigma)."""
     sc = series_scalars(bars)
     rows = join_small(bars.select(KEY, TIME, "Close"), sc, KEY, n_series)
-    xy = rows.select(KEY, design(rows).alias("x"), (F.col("Close") / F.col("y_scale")).alias("y"))
+    y = F.coalesce(F.try_divide(F.col("Close"), F.col("y_scale")), F.lit(0.0))   # all-zero series
+    xy = rows.select(KEY, design(rows).alias("x"), y.alias("y")).filter(F.col("x").isNotNull())
     pieces = xy.mapInPandas(_gram_pieces, GRAM_SCHEMA)
     summed = (pieces.select(KEY, F.posexplode("vec").alias("pos", "v"))
               .groupBy(KEY, "pos").agg(F.sum("v").alias("v")))
