@@ -77,7 +77,7 @@ def live_summary(scores: DataFrame) -> DataFrame:
     """Tickers scored, anomalies, and the sorted list of anomalous tickers."""
     return scores.agg(
         F.count(F.lit(1)).alias("n_scored"),
-        F.sum(F.col("anomaly").cast("int")).cast("long").alias("n_anomalies"),
+        F.coalesce(F.sum(F.col("anomaly").cast("int")), F.lit(0)).cast("long").alias("n_anomalies"),
         F.array_join(F.sort_array(F.collect_list(F.when(F.col("anomaly"), F.col(KEY)))), ",")
         .alias("anomalous_tickers"))
 

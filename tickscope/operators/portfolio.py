@@ -173,9 +173,10 @@ def default_threshold(results: DataFrame, ticker: str, q: float = 0.02) -> Colum
 def deep_kpis(t: DataFrame) -> DataFrame:
     """Counts, rates and period return for the re-flagged ticker."""
     n = F.count(F.lit(1))
-    agg = t.agg(n.alias("n_days"), F.sum("if_anomaly").cast("long").alias("n_if"),
-                F.sum("band_anomaly").cast("long").alias("n_band"),
-                F.sum("consensus_anomaly").cast("long").alias("n_consensus"),
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")  # noqa: E731  (empty range -> 0)
+    agg = t.agg(n.alias("n_days"), total("if_anomaly").alias("n_if"),
+                total("band_anomaly").alias("n_band"),
+                total("consensus_anomaly").alias("n_consensus"),
                 F.min_by("Close", TIME).alias("_f"), F.max_by("Close", TIME).alias("_l"))
     return agg.select("n_days", "n_if", "n_band", "n_consensus",
                       pct_of(F.col("n_if"), F.col("n_days")).alias("pct_if"),

@@ -48,7 +48,7 @@ def q_live_scores(spark, sf):
 
 @register("live_summary", ["n_scored", "n_anomalies", "anomalous_tickers"], [],
           O.with_([*D, *_live_ctes(60)], """
-SELECT count(*) AS n_scored, CAST(sum(CAST(anomaly AS INTEGER)) AS BIGINT) AS n_anomalies,
+SELECT count(*) AS n_scored, CAST(coalesce(sum(CAST(anomaly AS INTEGER)), 0) AS BIGINT) AS n_anomalies,
        coalesce(array_to_string(list_sort(list(ticker) FILTER (WHERE anomaly)), ','), '') AS anomalous_tickers FROM live"""))
 def q_live_summary(spark, sf):
     return L.live_summary(_live(spark, sf))

@@ -146,8 +146,9 @@ def q_reflag(spark, sf):
 
 @register("deep_kpis", ["n_days", "n_if", "n_band", "n_consensus", "pct_if", "pct_consensus", "period_return_pct"],
           ["pct_if", "pct_consensus", "period_return_pct"], sql(f"""
-SELECT count(*) AS n_days, CAST(sum(if_anomaly) AS BIGINT) AS n_if, CAST(sum(band_anomaly) AS BIGINT) AS n_band,
-       CAST(sum(consensus_anomaly) AS BIGINT) AS n_consensus,
+SELECT count(*) AS n_days, CAST(coalesce(sum(if_anomaly), 0) AS BIGINT) AS n_if,
+       CAST(coalesce(sum(band_anomaly), 0) AS BIGINT) AS n_band,
+       CAST(coalesce(sum(consensus_anomaly), 0) AS BIGINT) AS n_consensus,
        {H} * sum(if_anomaly) / greatest(count(*), 1) AS pct_if,
        {H} * sum(consensus_anomaly) / greatest(count(*), 1) AS pct_consensus,
        (arg_max("Close", "Date") / nullif(arg_min("Close", "Date"), 0) - 1) * 100 AS period_return_pct
