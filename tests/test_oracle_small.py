@@ -6,7 +6,8 @@ from conftest import SF_SMALL
 from oracle_check import compare
 
 KEYS = ["bars_hourly", "bars_daily", "features", "scaler", "baseline_scores", "detect",
-        "portfolio_summary", "heatmap", "score_corr", "alerts_saved", "live_scores", "stream_bars"]
+        "portfolio_summary", "heatmap", "score_corr", "alerts_saved", "live_scores", "stream_bars",
+        "detect_status", "live_summary", "deep_kpis", "stream_state_scores", "bars_brands"]
 
 
 @pytest.mark.parametrize("key", KEYS)
@@ -20,7 +21,7 @@ def test_every_query_has_a_builder_and_sql():
     import __spark_entry__ as E
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q)
-    assert len(q) >= 59
+    assert len(q) >= 68
 
 
 def test_entry_runs(spark):
