@@ -8,7 +8,8 @@ Fit
   * sample: each tree takes the psi rows with the smallest (row, tree) key. A row
     is first kept with probability p0 (one hash per row, < 1 only for series much
     longer than 4*T*psi) and then offered to tree t only if its tree key is below
-    2*psi/(n*p0): about 2*psi candidates per tree reach the shuffle instead of n*T,
+    (psi + 6 sqrt(psi))/(n*p0): about that many candidates per tree reach the shuffle
+    instead of n*T (the psi smallest keys are unchanged unless a tree falls short),
     and a partial top-psi (window group limit) runs before it;
   * growth: groups of TREES_PER_TASK trees of one ticker (at most 25*psi rows, a
     bounded group whatever the series length) are grown by a small numpy helper
@@ -88,7 +89,9 @@ def sample_rows(scaled: DataFrame, sizes: DataFrame, n_trees: int = N_TREES, see
     n, psi = F.col("n").cast("double"), F.col("psi").cast("double")
     p0 = F.least(F.lit(1.0), 4.0 * n_trees * psi / n)
     d = d.filter(F.col("_h").cast("double") / F.lit(TWO_POW_32) < p0)
-    q = F.least(F.lit(1.0), 2.0 * psi / (n * p0))
+    # expected candidates per tree psi + 6*sqrt(psi): the psi smallest keys are the same
+    # as with no filter unless a tree falls short (about 1e-9 per tree)
+    q = F.least(F.lit(1.0), (psi + 6.0 * F.sqrt(psi)) / (n * p0))
     d = d.select(KEY, "rk", "x", "psi", "depth_limit", "_h", q.alias("q"),
                  F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("t"))
     d = d.withColumn("u", tree_key(F.col("_h"), F.col("t"))).filter(F.col("u") < F.col("q"))

@@ -166,7 +166,7 @@ def forest(src: str = "scaled", name: str = "fo", n_trees: int = N_TREES,
         f"""{name}_ex AS (
   SELECT ticker, rk, x, psi, depth_limit, t,
          CAST(((((((h % {m}) * 48271 + (t + 1) * 40692) % {m}) * (((h % {m}) * 48271 + (t + 1) * 40692) % {m})) % {m}) * 69621 + (h % {m})) % {m} AS DOUBLE) / {float(m)!r} AS u,
-         least(1.0, CAST(2.0 AS DOUBLE) * CAST(psi AS DOUBLE) / (CAST(n AS DOUBLE) * p0)) AS q
+         least(1.0, (CAST(psi AS DOUBLE) + CAST(6.0 AS DOUBLE) * sqrt(CAST(psi AS DOUBLE))) / (CAST(n AS DOUBLE) * p0)) AS q
   FROM {name}_pre, range(0, {n_trees}) AS r(t))""",
         f"""{name}_l0 AS (
   SELECT ticker, CAST(t AS INTEGER) AS t, x, depth_limit, 0 AS node FROM (
