@@ -124,3 +124,11 @@ def test_single_feature_row_ticker_does_not_fail(spark):
     assert len(one) == 1 and one.if_score.isna().all() and (one.if_anomaly == 0).all()
     many = out[out.ticker == "MANY"]
     assert many.if_score.notna().all() and many.if_anomaly.sum() == int(np.floor(0.02 * 150)) + 1
+
+
+def test_reference_column_names(spark):
+    from tickscope.operators.detect import RESULT_COLS, with_reference_names
+    df = spark.createDataFrame([tuple([None] * len(RESULT_COLS))],
+                               ", ".join(f"`{c}` string" for c in RESULT_COLS))
+    cols = with_reference_names(df).columns
+    assert "prophet_anomaly" in cols and "band_anomaly" not in cols and len(cols) == len(RESULT_COLS)

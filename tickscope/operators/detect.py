@@ -211,3 +211,8 @@ def train_or_reuse(bars: DataFrame, stored: tuple[DataFrame, DataFrame] | None,
                                 stats.n_series, stats.total_rows)
     return (s_old.unionByName(scaler.select(*s_old.columns)),
             f_old.unionByName(forest.select(*f_old.columns)))
+
+
+def with_reference_names(results: DataFrame) -> DataFrame:
+    """Result table under the reference's column names (band flag = ``prophet_anomaly``)."""
+    return results.withColumnRenamed("band_anomaly", "prophet_anomaly")
