@@ -149,7 +149,8 @@ def _c(n: str) -> str:
 
 def forest(src: str = "scaled", name: str = "fo", n_trees: int = N_TREES,
            max_samples: int = MAX_SAMPLES, seed: int = SEED) -> list[str]:
-    """Sample, then grow every tree level by level (unrolled), as in the Spark fit."""
+    """Sample, then grow every tree level by level (unrolled): the same splits the Spark
+    fit makes per tree in its grouped helper."""
     k = len(MODEL_FEATURES)
     m = MIX_PRIME
     ctes = [
