@@ -6,8 +6,8 @@ pure function of the data and the seed (and the SQL oracle reproduces it).
 Fit
   * per series: n rows, psi = min(max_samples, n), depth limit ceil(log2(psi));
   * sample: each tree takes the psi rows with the smallest (row, tree) key. A row
-    is first kept with probability p0 (one hash per row, < 1 only for series much
-    longer than 4*T*psi) and then offered to tree t only if its tree key is below
+    is first kept with probability p0 = min(1, T*psi/n) (one hash per row; trees then
+    share under one row on average) and then offered to tree t only if its tree key is below
     (psi + 6 sqrt(psi))/(n*p0): about that many candidates per tree reach the shuffle
     instead of n*T (the psi smallest keys are unchanged unless a tree falls short),
     and a partial top-psi (window group limit) runs before it;
@@ -87,7 +87,8 @@ def sample_rows(scaled: DataFrame, sizes: DataFrame, n_trees: int = N_TREES, see
     d = join_small(rows, sizes, KEY, n_series).withColumn("rk", rk)
     d = d.withColumn("_h", (unit_hash(seed, F.col(KEY), F.col("rk")) * F.lit(TWO_POW_32)).cast("long"))
     n, psi = F.col("n").cast("double"), F.col("psi").cast("double")
-    p0 = F.least(F.lit(1.0), 4.0 * n_trees * psi / n)
+    # pre-sample of about T*psi rows: two trees then share < 1 row on average (psi/T)
+    p0 = F.least(F.lit(1.0), F.lit(float(n_trees)) * psi / n)
     d = d.filter(F.col("_h").cast("double") / F.lit(TWO_POW_32) < p0)
     # expected candidates per tree psi + 6*sqrt(psi): the psi smallest keys are the same
     # as with no filter unless a tree falls short (about 1e-9 per tree)

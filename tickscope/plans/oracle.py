@@ -161,7 +161,7 @@ def forest(src: str = "scaled", name: str = "fo", n_trees: int = N_TREES,
         f"""{name}_rows AS (
   SELECT s.ticker, strftime(s."Date", '%Y-%m-%d %H:%M:%S') AS rk, s.x, z.n, z.psi, z.depth_limit,
          CAST(CAST(({_uniform(f"'{seed}'", 's.ticker', "strftime(s.\"Date\", '%Y-%m-%d %H:%M:%S')")} * 4294967296.0) AS BIGINT) AS BIGINT) AS h,
-         least(1.0, CAST(4.0 AS DOUBLE) * {n_trees} * CAST(z.psi AS DOUBLE) / CAST(z.n AS DOUBLE)) AS p0
+         least(1.0, CAST({n_trees} AS DOUBLE) * CAST(z.psi AS DOUBLE) / CAST(z.n AS DOUBLE)) AS p0
   FROM {src} s JOIN {name}_sizes z USING (ticker))""",
         f"""{name}_pre AS (SELECT * FROM {name}_rows WHERE CAST(h AS DOUBLE) / 4294967296.0 < p0)""",
         f"""{name}_ex AS (
