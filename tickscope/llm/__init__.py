@@ -1,5 +1,6 @@
 """Operators of a training-data pipeline and their registered queries."""
 
-from .queries import ORACLES, QUERIES
+from .oracles import ORACLES
+from .queries import QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

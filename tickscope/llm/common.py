@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
+from ..session import configure, scratch_path
 
 #: Rows a batch handed to Python; with texts of some kB this keeps a batch at a few MB.
 BATCH_ROWS = 1000
@@ -66,3 +67,10 @@ def list_array(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 def total_bytes(df: DataFrame, text_col: str) -> int:
     """Sum of the texts' UTF-8 lengths: one aggregate, one number."""
     return df.agg(F.sum(F.octet_length(col(text_col)))).first()[0] or 0
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: cuts lineage, survives lost executors, is read by column."""
+    path = scratch_path(df.sparkSession, "llm", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pii
+from . import decontam, langid, lines, lm, mixing, neardup, pii, rpforest, sharding, substring
 from .common import fold, prepare
 
 
@@ -22,6 +22,10 @@ def _count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_docs(spark, sf_dir), 24).select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"].isin(*pii.BASE_KINDS))
@@ -36,5 +40,36 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op9_langid)}
-ORACLES: dict[str, str] = {}
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.drop_repeats(_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return rpforest.embedding_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.drop_boilerplate(_docs(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_docs(spark, sf_dir))
+
+
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(fold(F.col("doc_id"), 5) == 1, F.lit(False))
+    return lm.score(_docs(spark, sf_dir), ~held).select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"), F.round("score", 5).alias("score"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, (size, source_size, target, copies) = mixing.sample(_docs(spark, sf_dir).select("doc_id", "text", "source"))
+    return out.select("doc_id", F.col(size).alias("size"), F.col(source_size).alias("source_size"), F.col(target).alias("target"), (F.col(size) * F.col(copies)).cast("long").alias("taken"), F.col(copies).alias("copies"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_decontamination, op4_substring, op5_embedding, op6_lines, op7_minhash, op8_lm, op9_langid, op10_mixing)}
