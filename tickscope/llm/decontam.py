@@ -33,6 +33,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import words as W
 from .common import WORD, col
@@ -146,36 +148,50 @@ def search(part: Part, column: pa.Array, threshold: float) -> Iterator[tuple[int
                 yield first + int(d), int(item), len(own), shared
 
 
+def item_parts(benchmark: DataFrame, item_col: str, item_text_col: str, permutations: int, part_bytes: int) -> Iterator[tuple[list, Part]]:
+    """The items in parts of about ``part_bytes``: one part at a time comes to the driver."""
+    items = benchmark.select(col(item_col).alias("i"), col(item_text_col).alias("t"))
+    weight = F.octet_length(F.coalesce(F.col("t"), F.lit(""))) + ENTRY_BYTES * (F.coalesce(F.regexp_count("t", F.lit(WORD)), F.lit(0)) + permutations)
+    parts = -(-(items.agg(F.sum(weight)).first()[0] or 0) // part_bytes)
+    for k in range(parts):
+        rows = (items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k) if parts > 1 else items).collect()
+        yield [r["i"] for r in rows], build_part([r["t"] for r in rows], permutations)
+
+
 def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-              item_text_col: str = "text", threshold: float = 0.8, permutations: int = 32, part_bytes: int = 32 << 20) -> DataFrame:
+              item_text_col: str = "text", threshold: float = 0.8, permutations: int = 32, part_bytes: int = 8 << 20) -> DataFrame:
     """One row a document and contained item: ids, the item's number of shingles, how many the document has, their ratio."""
     spark = docs.sparkSession
-    items = benchmark.select(col(item_col).alias("i"), col(item_text_col).alias("t"))
-    weight = F.octet_length(F.coalesce(F.col("t"), F.lit(""))) + ENTRY_BYTES * (F.coalesce(F.regexp_count("t", F.lit(WORD)), F.lit(0)) + permutations)
-    total = items.agg(F.sum(weight)).first()[0] or 0
-    parts = -(-total // part_bytes)
-    out = None
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, n_shingles bigint, n_shared bigint, containment double"
+    kind, item_kind = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
+    schema = T.StructType([T.StructField("doc", kind), T.StructField("item", item_kind), T.StructField("n_shingles", T.LongType()), T.StructField("n_shared", T.LongType()), T.StructField("containment", T.DoubleType())])
     read = docs.select(col(id_col), col(text_col))
-    for k in range(parts):
-        # one part of the items, of about part_bytes, comes to the driver
-        rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).collect() if parts > 1 else items.collect()
-        shared = spark.sparkContext.broadcast(([r["i"] for r in rows], build_part([r["t"] for r in rows], permutations)))
+    out = spark.createDataFrame([], schema)
+    item_arrow = to_arrow_type(item_kind)
+    for part in item_parts(benchmark, item_col, item_text_col, permutations, part_bytes):
+        shared = spark.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, part = shared.value
+            ids, items = shared.value
             for batch in batches:
-                hits = list(search(part, batch.column(1), threshold))
+                hits = list(search(items, batch.column(1), threshold))
                 at, item, n, both = (np.array(x, np.int64) for x in zip(*hits)) if hits else [np.zeros(0, np.int64)] * 4
-                names = pa.array(ids, fields[1].type).take(pa.array(item))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), names, pa.array(n), pa.array(both), pa.array(both / np.maximum(n, 1))], names=[f.name for f in fields])
-        fields = _fields(schema, spark)
-        found = read.mapInArrow(run, schema)
-        out = found if out is None else out.unionAll(found)
-    return out if out is not None else spark.createDataFrame([], schema)
+                names = pa.array(ids, item_arrow).take(pa.array(item))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), names, pa.array(n), pa.array(both), pa.array(both / np.maximum(n, 1))], names=schema.names)
+        out = out.unionAll(read.mapInArrow(run, schema))
+    return out.withColumnsRenamed({"doc": id_col, "item": item_col})
+
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", threshold: float = 0.8,
+          permutations: int = 32, part_bytes: int = 8 << 20) -> DataFrame:
+    """``docs`` without the rows that contain an item: map only, all columns kept."""
+    at = docs.columns.index(text_col)
+    for _, part in item_parts(benchmark, item_text_col, item_text_col, permutations, part_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
 
-def _fields(schema: str, spark) -> list[pa.Field]:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    return list(to_arrow_schema(spark.createDataFrame([], schema).schema))
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                stay = np.ones(len(batch), bool)
+                stay[[row for row, *_ in search(shared.value, batch.column(at), threshold)]] = False
+                yield batch.filter(pa.array(stay))
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

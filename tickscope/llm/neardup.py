@@ -39,11 +39,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import col, list_array, stored
+from .common import col, fresh, list_array, row_key, stored
 from .components import components
 
 SHINGLE = 5
@@ -258,3 +258,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _groups(spark) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class; rows with a null id stay, of rows alike in id and text one stays."""
+    gone = near_duplicates(docs, id_col, text_col, **options).filter(~F.col("kept")).select(col(id_col)).distinct()
+    again, key, place = fresh(docs, "again", "key", "place")
+    twice = docs.filter(col(id_col).isNotNull()).groupBy(col(id_col)).count().filter("count > 1").select(col(id_col))
+    if not twice.isEmpty():
+        same = Window.partitionBy(col(id_col), F.col(key)).orderBy(F.lit(0))
+        marked = docs.join(twice.withColumn(again, F.lit(True)), id_col, "left").withColumn(key, row_key(col(id_col), col(text_col)))
+        alone = marked.filter(F.col(again).isNull())
+        first = marked.filter(F.col(again)).withColumn(place, F.row_number().over(same)).filter(F.col(place) == 1).drop(place)
+        docs = alone.unionByName(first).select(*[col(c) for c in docs.columns])
+    return docs.join(gone, id_col, "left_anti")
