@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import configure, scratch_path
 
@@ -59,6 +60,18 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *extra: T.StructField) -> DataFrame:
+    """``df.mapInArrow`` that keeps all columns, whatever their names, and appends ``extra``; ``run`` gives the columns in this order."""
+    plain = [f"c{i}" for i in range(len(df.columns) + len(extra))]
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=plain)
+    inside = df.toDF(*plain[:len(df.columns)])
+    fields = [*inside.schema.fields, *[T.StructField(n, f.dataType) for n, f in zip(plain[len(df.columns):], extra)]]
+    return inside.mapInArrow(named, T.StructType(fields)).toDF(*df.columns, *[f.name for f in extra])
+
+
 def list_array(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     """A list column from flat values and the length of each row's list."""
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values))

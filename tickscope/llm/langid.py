@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import col
+from .common import col, map_rows
 
 UNKNOWN = "und"
 #: What stands before a text's first byte.
@@ -171,10 +171,11 @@ def predict_column(model: Model, column: pa.Array) -> tuple[list[str], np.ndarra
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """``docs`` with two more columns, the predicted language and its score in 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at, names = docs.columns.index(text_col), [*docs.columns, lang_name, score_name]
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = predict_column(shared.value, batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], names=names)
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())]))
+            columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores)]
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
+    return map_rows(docs, run, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType()))

@@ -61,9 +61,9 @@ def _hashed(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         yield first, end, data, starts, ends, ranges, W.word_hashes(data, starts, ends)
 
 
-def anchors(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, anchor hash) of a batch's distinct anchors a row."""
-    rows, hashes = [], []
+def anchors(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor hash, places) of a batch: each row's distinct anchors and at how many places they are chosen."""
+    rows, hashes, places = [], [], []
     for first, _, _, _, _, ranges, h in _hashed(column):
         _, anchor, grams = window_anchors(h, ranges, length)
         anchor = np.unique(anchor)
@@ -74,7 +74,10 @@ def anchors(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
         new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
         rows.append(first + row[new])
         hashes.append(gram[new])
-    return (np.concatenate(rows), np.concatenate(hashes)) if rows else (np.zeros(0, np.int64), np.zeros(0, W.U64))
+        places.append(np.diff(np.append(np.flatnonzero(new), len(new))))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, W.U64), np.zeros(0, np.int64)
+    return np.concatenate(rows), np.concatenate(hashes), np.concatenate(places)
 
 
 def stretches(column: pa.Array, repeated: pa.ListArray, is_hot: pa.ListArray, length: int) -> Iterator[tuple]:
@@ -176,21 +179,21 @@ def repeats_in_group(table: pa.Table, length: int) -> pa.Table:
     return pa.table({"key": table["key"].take(pa.array(keys, pa.int64())), "ranges": pa.array(out, pa.list_(pa.int32()))})
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, hot: int = 20_000, group_bytes: int = 3 << 20) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, hot: int = 5000, group_bytes: int = 3 << 20) -> DataFrame:
     """One row a document: id, n_words, n_removed, kept (the kept words joined by one space)."""
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"), row_key(col(id_col), col(text_col)).alias("key"))
     usable = F.col("id").isNotNull() & F.col("text").isNotNull()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, anchor = anchors(batch.column(1), length)
+            row, anchor, places = anchors(batch.column(1), length)
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(anchor.view(np.int64))], names=["id", "key", "anchor"])
-    seen = stored(rows.filter(usable).mapInArrow(find, "id bigint, key bigint, anchor bigint"))
-    many = seen.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).filter("low < high")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(anchor.view(np.int64)), pa.array(places)], names=["id", "key", "anchor", "places"])
+    seen = stored(rows.filter(usable).mapInArrow(find, "id bigint, key bigint, anchor bigint, places bigint"))
+    many = seen.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum("places").alias("n")).filter("low < high")
     many = stored(many.select("anchor", "n"))
     groups = max(1, (many.agg(F.sum("n")).first()[0] or 0) * 10 * length // group_bytes)
-    hits = seen.join(many, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", (F.col("n") > hot).alias("hot"))).alias("hits"))
+    hits = seen.select("key", "anchor").join(many, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", (F.col("n") > hot).alias("hot"))).alias("hits"))
     told = rows.join(hits, "key").select("id", "text", "key", F.col("hits.anchor").alias("anchors"), F.col("hits.hot").alias("hot"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
