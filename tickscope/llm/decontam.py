@@ -12,7 +12,8 @@ and 32 permutations a pair is missed with probability under 1e-5); every candida
 then verified on the exact shingle sets of both, whole document included.
 
 Window minima come cheaply: each shingle is hashed once per permutation, minima are taken over
-blocks of the smallest class's stride, and windows of larger classes are minima of whole blocks.
+blocks of a third of the smallest item, and windows are minima of whole blocks. A table of marks, addressed by the top
+bits of a minimum, passes on the few windows that can match; they are looked up among the items' sorted minima.
 
 The items are a query set. They are read in parts of at most ``part_bytes`` of shingles and
 signatures (measured, not guessed), each part broadcast to one map-only pass over the documents; a
@@ -26,6 +27,7 @@ other than those named are not read. Empty tables give an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +39,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import words as W
-from .common import WORD, col
+from .common import WORD, col, map_rows
 
 SHINGLE = 5
 GROWTH = 1.5
@@ -45,22 +47,55 @@ GROWTH = 1.5
 ENTRY_BYTES = 16
 
 
+@dataclass(frozen=True)
+class Keys:
+    """The minimum hashes of a class's items under one permutation, sorted, with their items; ``marks`` tells by the
+    top bits of a hash whether it can be among them."""
+    values: np.ndarray
+    items: np.ndarray
+    shift: np.uint32
+    marks: np.ndarray
+
+
+@dataclass(frozen=True)
+class SizeClass:
+    """Windows of ``size`` blocks every ``stride`` blocks, and the keys by permutation."""
+    size: int
+    stride: int
+    keys: tuple[Keys, ...]
+
+
 @dataclass(frozen=True)
 class Part:
-    """Some items: their numbers, shingles, and for each size class the minimum hashes that point to them."""
+    """Some items: their shingles, and for each size class what points to them."""
     permutations: int
     shingles: tuple[np.ndarray, ...]
     block: int
-    classes: tuple[tuple[int, np.ndarray, np.ndarray], ...]  # (blocks in a window, sorted keys, item of each key)
+    classes: tuple[SizeClass, ...]
 
 
-def _minima(grams: np.ndarray, permutation: int) -> np.ndarray:
-    return W.mix(grams, 1000 + permutation)
+@functools.cache
+def _coefficients(permutations: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(31)
+    return rng.integers(0, 1 << 32, permutations, dtype=np.uint32), rng.integers(0, 1 << 31, permutations, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def _key(value: np.ndarray, permutation: int) -> np.ndarray:
-    """A minimum hash and its permutation as one number."""
-    return (value & ~W.U64(255)) | W.U64(permutation)
+def _permuted(x: np.ndarray, permutation: int, permutations: int) -> np.ndarray:
+    """A permutation of 32-bit numbers that are hashes already."""
+    flip, times = _coefficients(permutations)
+    return (x ^ flip[permutation]) * times[permutation]
+
+
+def _short(grams: np.ndarray) -> np.ndarray:
+    return (grams >> W.U64(32)).astype(np.uint32)
+
+
+def _keys(values: np.ndarray, items: np.ndarray) -> Keys:
+    order = np.argsort(values, kind="stable")
+    bits = min(20, max(14, len(values).bit_length() + 5))
+    marks = np.zeros(1 << bits, bool)
+    marks[values >> np.uint32(32 - bits)] = True
+    return Keys(values[order], items[order], np.uint32(32 - bits), marks)
 
 
 def build_part(texts: list[str | None], permutations: int) -> Part:
@@ -70,61 +105,60 @@ def build_part(texts: list[str | None], permutations: int) -> Part:
     grams, of = W.shingles(W.word_hashes(data, starts, ends, lower=True), ranges, SHINGLE)
     whole = np.diff(ranges)[of] >= SHINGLE
     grams, of = grams[whole], of[whole]
-    sets = [np.unique(grams[of == i]) for i in range(len(texts))]
+    sets = tuple(np.unique(grams[of == i]) for i in range(len(texts)))
     sizes = np.array([len(s) for s in sets])
     present = sizes[sizes > 0]
     if not len(present):
-        return Part(permutations, tuple(sets), 1, ())
-    block = max(1, int(present.min()) // 4)
-    signatures = np.array([[_minima(s, p).min() for p in range(permutations)] if len(s) else [0] * permutations for s in sets], W.U64)
+        return Part(permutations, sets, 1, ())
+    block = max(1, int(present.min()) // 3)
     classes, low = [], int(present.min())
     while low <= present.max():
         high = max(low + 1, int(low * GROWTH) + 1)
         members = np.flatnonzero((sizes >= low) & (sizes < high))
         if len(members):
-            keys = np.concatenate([_key(signatures[members, p], p) for p in range(permutations)])
-            items = np.tile(members, permutations)
-            order = np.argsort(keys, kind="stable")
-            classes.append((-(-(high - 1) // block) + 1, keys[order], items[order]))
+            # a window reaches over the largest item wherever it begins inside a stride
+            stride = max(1, low // 3 // block)
+            least = [np.array([_permuted(_short(sets[i]), p, permutations).min() for i in members], np.uint32) for p in range(permutations)]
+            classes.append(SizeClass(-(-(high - 1) // block) + stride, stride, tuple(_keys(v, members) for v in least)))
         low = high
-    return Part(permutations, tuple(sets), block, tuple(classes))
+    return Part(permutations, sets, block, tuple(classes))
 
 
-def _lookup(keys: np.ndarray, items: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _lookup(keys: Keys, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All (index into wanted, item) with equal keys."""
-    first, last = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
-    hit = np.flatnonzero(last > first)
-    n = last[hit] - first[hit]
-    at = np.repeat(hit, n)
+    maybe = np.flatnonzero(keys.marks[wanted >> keys.shift])
+    first, last = (np.searchsorted(keys.values, wanted[maybe], side) for side in ("left", "right"))
+    n = last - first
+    at = np.repeat(maybe, n)
     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return at, items[first[at] + offset]
+    return at, keys.items[np.repeat(first, n) + offset]
 
 
 def candidates(part: Part, grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Distinct rows (document, item) whose window and item share a minimum hash; starts: first shingle of each document."""
     counts = np.diff(starts)
     full = np.flatnonzero(counts > 0)
+    if not len(full):
+        return np.zeros((0, 2), np.int64)
     blocks = -(-counts // part.block)
-    first_block = np.append(0, np.cumsum(blocks))
-    cut = np.concatenate([np.arange(starts[d], starts[d + 1], part.block) for d in full]) if len(full) else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(counts)), blocks)
-    if not len(cut):
-        return np.zeros((0, 2), np.int64)
-    most = max(size for size, _, _ in part.classes)
-    found = []
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    cut = starts[:-1][doc] + nth * part.block
+    # after each document, blocks of all ones: no window touches two; one that begins there reaches the next document
+    most = max(c.size for c in part.classes)
+    place = np.arange(len(doc)) + doc * most
+    owner = np.repeat(np.arange(len(counts) + 1), np.append(blocks, 0) + np.append(0, np.full(len(counts), most)))[:len(doc) + len(counts) * most]
+    minima = np.empty(len(owner), np.uint32)
+    x, found = _short(grams), []
     for p in range(part.permutations):
-        # blocks of all ones after a document's last, so that windows stop at its end
-        minima = np.full(first_block[-1] + len(counts) * most, W.U64((1 << 64) - 1))
-        place = np.arange(first_block[-1]) + doc * most
-        minima[place] = np.minimum.reduceat(_minima(grams, p), cut)
-        owner = np.full(len(minima), -1)
-        owner[place] = doc
-        for size, keys, items in part.classes:
-            best = W.window_min(minima, size)
-            at, item = _lookup(keys, items, _key(best, p))
-            good = owner[at] >= 0
-            found.append(np.stack([owner[at][good], item[good]], 1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        minima.fill(np.iinfo(np.uint32).max)
+        minima[place] = np.minimum.reduceat(_permuted(x, p, part.permutations), cut)
+        for c in part.classes:
+            at, item = _lookup(c.keys[p], W.window_min(minima, c.size)[::c.stride])
+            found.append(owner[at * c.stride] * len(part.shingles) + item)
+    pairs = np.unique(np.concatenate(found))
+    pairs = pairs[pairs < len(counts) * len(part.shingles)]
+    return np.stack(np.divmod(pairs, len(part.shingles)), 1)
 
 
 def search(part: Part, column: pa.Array, threshold: float) -> Iterator[tuple[int, int, int, int]]:
@@ -193,5 +227,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_te
                 stay = np.ones(len(batch), bool)
                 stay[[row for row, *_ in search(shared.value, batch.column(at), threshold)]] = False
                 yield batch.filter(pa.array(stay))
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_rows(docs, run)
     return docs
