@@ -1,10 +1,10 @@
 """Connected components of a link table, by hooking to the smallest neighbour and pointer jumping.
 
 Every node starts as its own label. A round gives each node the smallest label among its own and its
-neighbours', then replaces labels by their labels' label (twice), so labels travel along paths at doubling
+neighbours', then replaces labels by their labels' label, so labels travel along paths at doubling
 speed. Only minima are aggregated (with map-side combine), so a node with very many links costs no
-more than its rows, and the join that spreads labels can be split by the optimizer. Each round is
-checkpointed; rounds end when no label changes.
+more than its rows; the joins of a round stand alone between checkpoints, so the optimizer can split
+a label that very many nodes share. Rounds end when no label changes.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     labels = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")).checkpoint()
     while True:
         seen = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("m"))
-        hooked = labels.join(seen.select(F.col("x").alias("node"), "m"), "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        hooked = labels.join(seen.select(F.col("x").alias("node"), "m"), "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")).checkpoint()
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
         jumped = hooked.join(up, "label").select("node", "old", F.col("up").alias("label")).checkpoint()
         changed = jumped.filter("label <> old").limit(1).count()
