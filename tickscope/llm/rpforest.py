@@ -154,7 +154,9 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     kind = vectors.schema[id_col].dataType.simpleString()
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(col(id_col).alias("id"), col(vector_col).cast("array<double>").alias("v"))
+    # floats travel as floats; lengths and products are taken in double precision
+    form = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(col(id_col).alias("id"), col(vector_col).cast(form).alias("v"))
     rows = rows.withColumn("fit", F.coalesce(F.col("id").isNotNull() & finite, F.lit(False)))
     rows = rows.withColumn("k1", F.when(F.col("fit"), F.xxhash64("v"))).withColumn("k2", F.when(F.col("fit"), F.xxhash64("v", F.lit(1)))).checkpoint()
     classes = rows.filter("fit").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")).checkpoint()
@@ -171,7 +173,7 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
                 at, leaf = leaves_of(forest.value, unit(padded(batch.column(2), width)[0]))
                 counts = np.bincount(at, minlength=len(batch))
                 yield pa.RecordBatch.from_arrays([*batch.columns, list_array(leaf.astype(np.int32), counts)], names=["rep", "n", "v", "leaves"])
-    placed = classes.select("rep", "n", "v").mapInArrow(assign, f"rep {kind}, n bigint, v array<double>, leaves array<int>").checkpoint()
+    placed = classes.select("rep", "n", "v").mapInArrow(assign, f"rep {kind}, n bigint, v {form}, leaves array<int>").checkpoint()
     sizes = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count()
     cut = sizes.select("leaf", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks"))
     # as many rows as leaves, and their number is bounded by the sample
