@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, row_key
+from .common import col, row_key, stored
 from .sharding import source_key
 
 LG_K = 10
@@ -35,10 +35,12 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     keys = ["h1", "h2"]
     spread = lines.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
     margin = max(1.0, SURE * ERROR * min_sites)
+    # tables of their own, small beside the lines: the joins with all lines then can be split where a line is very frequent
+    spread = stored(spread.filter(F.col("sites") >= max(1.0, min_sites - margin)))
     sure = spread.filter(F.col("sites") > min_sites + margin).select(*keys)
-    near = spread.filter(F.col("sites").between(max(1.0, min_sites - margin), min_sites + margin)).select(*keys)
+    near = spread.filter(F.col("sites") <= min_sites + margin).select(*keys)
     exact = lines.join(near, keys, "left_semi").select(*keys, "site").distinct().groupBy(*keys).count().filter(F.col("count") >= min_sites)
-    return sure.unionAll(exact.select(*keys))
+    return stored(sure.unionAll(exact.select(*keys)))
 
 
 def drop_boilerplate(docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
