@@ -192,7 +192,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     seen = stored(rows.filter(usable).mapInArrow(find, "id bigint, key bigint, anchor bigint, places bigint"))
     many = seen.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum("places").alias("n")).filter("low < high")
     many = stored(many.select("anchor", "n"))
-    groups = max(1, (many.agg(F.sum("n")).first()[0] or 0) * 10 * length // group_bytes)
+    groups = max(1, (many.filter(F.col("n") <= hot).agg(F.sum("n")).first()[0] or 0) * 10 * length // group_bytes)
     hits = seen.select("key", "anchor").join(many, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", (F.col("n") > hot).alias("hot"))).alias("hits"))
     told = rows.join(hits, "key").select("id", "text", "key", F.col("hits.anchor").alias("anchors"), F.col("hits.hot").alias("hot"))
 
