@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import col, row_key, stored
+from .common import col, list_array, row_key, stored
 
 PREFIX = 20
 #: Bits of an anchor's number that hold its place; the rest order anchors by hash.
@@ -81,10 +81,8 @@ def anchors(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def stretches(column: pa.Array, repeated: pa.ListArray, is_hot: pa.ListArray, length: int) -> Iterator[tuple]:
-    """Of each row's windows with a repeated anchor: (row, anchor, first window, windows, text) and (row, first word, window hash) if the anchor is hot.
-
-    Yields (rows, anchors, firsts, counts, texts) and (rows, hashes, firsts) a slice of rows.
-    """
+    """Of each row's windows with a repeated anchor, a slice of rows at a time: (rows, anchors, first windows, window counts, texts) of
+    its stretches, and, of hot anchors, (rows, window hashes, covered word ranges): one row a document and distinct window."""
     wanted, flags = repeated.flatten().to_numpy().view(W.U64), is_hot.flatten().to_numpy(zero_copy_only=False)
     lengths = np.append(0, np.cumsum(repeated.value_lengths().to_numpy()))
     for first, end, data, starts, ends, ranges, h in _hashed(column):
@@ -104,8 +102,7 @@ def stretches(column: pa.Array, repeated: pa.ListArray, is_hot: pa.ListArray, le
         found = keys[at] == key if len(keys) else np.zeros(len(key), bool)
         heavy = found & hot[at] if len(keys) else found
         if heavy.any():
-            whole = W.gram_hashes(h, length)[window[heavy]]
-            yield None, (first + row[heavy], whole, window[heavy] - ranges[:-1][row[heavy]])
+            yield None, _whole_windows(first + row[heavy], W.gram_hashes(h, length)[window[heavy]], window[heavy] - ranges[:-1][row[heavy]], length)
         light = np.flatnonzero(found & ~heavy)
         if len(light):
             # a run of consecutive windows with one anchor is one stretch
@@ -119,6 +116,19 @@ def stretches(column: pa.Array, repeated: pa.ListArray, is_hot: pa.ListArray, le
             yield (first + r, gram[light[head]], a - ranges[:-1][r], count, texts), None
 
 
+def _whole_windows(row: np.ndarray, whole: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """Rows and hashes of the distinct windows of each row, and the word ranges (from, to, ...) that each one's places cover, joined."""
+    order = np.lexsort((first, whole, row))
+    row, whole, first = row[order], whole[order], first[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (whole[1:] != whole[:-1]))
+    cut = new | np.append(True, np.diff(first) > length)
+    begin = np.flatnonzero(cut)
+    end = np.append(begin[1:], len(first)) - 1
+    covered = np.stack([first[begin], first[end] + length], 1).reshape(-1).astype(np.int32)
+    at = np.flatnonzero(new)
+    return row[at], whole[at], list_array(covered, 2 * np.diff(np.append(np.searchsorted(begin, at), len(begin))))
+
+
 def _double(names: np.ndarray, step: int) -> np.ndarray:
     """Names of the suffixes at a depth greater by ``step``, from names at the present depth."""
     pair = np.full(len(names), -1, np.int64)
@@ -202,18 +212,19 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if light:
                     row, anchor, first, count, texts = light
                     n, at = len(row), pa.array(row)
-                    columns = [pa.array((anchor % W.U64(groups)).astype(np.int64)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(texts, pa.binary()), pa.nulls(n, pa.int64())]
+                    columns = [pa.array((anchor % W.U64(groups)).astype(np.int64)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(texts, pa.binary()),
+                               pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))]
                 else:
-                    row, whole, first = heavy
+                    row, whole, ranges = heavy
                     n, at = len(row), pa.array(row)
-                    columns = [pa.nulls(n, pa.int64()), pa.array(first.astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(whole.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), *columns], names=["id", "key", "grp", "first", "count", "text", "whole"])
-    sent = stored(told.mapInArrow(send, "id bigint, key bigint, grp bigint, first int, count int, text binary, whole bigint"))
+                    columns = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(whole.view(np.int64)), ranges]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), *columns], names=["id", "key", "grp", "first", "count", "text", "whole", "ranges"])
+    sent = stored(told.mapInArrow(send, "id bigint, key bigint, grp bigint, first int, count int, text binary, whole bigint, ranges array<int>"))
     grouped = sent.filter("grp is not null").select("id", "key", "grp", "first", "count", "text")
     inside = grouped.groupBy("grp").applyInArrow(lambda table: repeats_in_group(table, length), "key bigint, ranges array<int>")
-    heavy = sent.filter("whole is not null").select("id", "key", "first", "whole")
+    heavy = sent.filter("whole is not null").select("id", "key", "whole", "ranges")
     nodes = heavy.groupBy("whole").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("whole", "low")
-    across = heavy.join(nodes, "whole").filter("low < id").select("key", F.array(F.col("first"), F.col("first") + length).alias("ranges"))
+    across = heavy.join(nodes, "whole").filter("low < id").select("key", "ranges")
     removed = inside.unionAll(across).groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     last = rows.join(removed, "key", "left").select("id", "text", "ranges")
 
