@@ -1,3 +1,3 @@
-from .exprs import unit_hash, avg_path_length, safe_ratio, safe_ln, row_key
+from .exprs import avg_path_length, finite, log_of, ratio, row_key, unit_hash
 
-__all__ = ["unit_hash", "avg_path_length", "safe_ratio", "safe_ln", "row_key"]
+__all__ = ["avg_path_length", "finite", "log_of", "ratio", "row_key", "unit_hash"]

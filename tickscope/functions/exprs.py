@@ -38,18 +38,25 @@ def avg_path_length_py(n: int) -> float:
     return 2.0 * (math.log(n - 1.0) + EULER_GAMMA) - 2.0 * (n - 1.0) / n
 
 
-def safe_ratio(num: Column, den: Column) -> Column:
-    """num / den, null when den is 0 or null (instead of inf or an ANSI error)."""
-    return F.try_divide(num, den)
+def ratio(num: Column, den: Column) -> Column:
+    """num / den as floating point has it: x / 0 is infinite with the sign of x, 0 / 0 undefined (null)."""
+    infinite = F.when(num > 0, F.lit(float("inf"))).when(num < 0, F.lit(float("-inf")))
+    return F.when(den == 0, infinite).otherwise(F.try_divide(num, den))
 
 
-def safe_ln(x: Column) -> Column:
-    return F.when(x > 0, F.ln(x))
+def log_of(x: Column) -> Column:
+    """Natural logarithm; of 0 it is minus infinity, of a negative number undefined (null)."""
+    return F.when(x > 0, F.ln(x)).when(x == 0, F.lit(float("-inf")))
+
+
+def finite(x: Column) -> Column:
+    """x where it is a finite number, else null."""
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
 
 
 def row_key(ts: Column) -> Column:
-    """Text form of a bar time used as a hash key (same text in the oracle)."""
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    """A bar's time in microseconds as text: the hash key of its row (same text in the oracle)."""
+    return F.unix_micros(ts.cast("timestamp")).cast("string")
 
 
 def round_half_away(x: Column, digits: int) -> Column:
