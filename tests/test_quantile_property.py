@@ -16,7 +16,7 @@ def test_grid_quantile_matches_numpy(spark, a, b, dup, q):
     a = a + a[:dup]                                 # ties
     rows = [("a", float(v)) for v in a] + [("b", float(v)) for v in b]
     df = spark.createDataFrame(rows, "ticker string, s double")
-    got = {r[0]: r[1] for r in quantile_by_key(df, "s", q, skew_safe=True).collect()}
+    got = {r[0]: r[1] for r in quantile_by_key(df, "s", q).collect()}
     for key, vals in (("a", a), ("b", b)):
         want = float(np.quantile(np.asarray(vals, dtype=float), q, method="linear"))
         assert abs(got[key] - want) <= 1e-15 * max(1.0, abs(want)), (key, got[key], want)

@@ -30,8 +30,8 @@ def test_chunked_equals_plain(spark, lengths, gaps, chunk_days, seed):
     bars = make_bars(spark, rows)
     total = sum(lengths)
     plain = build_features(bars, SeriesStats(len(lengths), max(lengths), 0, total)).toPandas()
-    chunked = build_features(bars, SeriesStats(len(lengths), max(lengths), chunk_days * 86_400_000_000,
-                                               total)).toPandas()
+    # cells of a day, chunks of chunk_days counted bars
+    chunked = build_features(bars, SeriesStats(len(lengths), max(lengths), 86_400_000_000, total, chunk_days)).toPandas()
     a = plain.sort_values(["ticker", "Date"]).reset_index(drop=True)
     b = chunked.sort_values(["ticker", "Date"]).reset_index(drop=True)
     assert len(a) == len(b)
