@@ -31,7 +31,7 @@ def test_forest_matches_sql(spark, seed):
     feat = build_features(bars)
     scaled = apply_scaler(feat, fit_scaler(feat), n_series=2)
     forest = iforest.fit_forest(scaled, n_trees=n_trees, n_series=2)
-    got = (iforest.score(scaled, forest, 2, n_trees, keep=[]).toPandas()
+    got = (iforest.score(scaled, forest, keep=[]).toPandas()
            .sort_values(["ticker", "Date"]).reset_index(drop=True))
     splits = int(forest.agg({"n_splits": "sum"}).first()[0])
     con = duckdb.connect()

@@ -68,13 +68,12 @@ def test_tree_arrays_walk_matches_leaves():
         assert hb[nd - iforest.INNER_SLOTS] > 0
 
 
-@pytest.mark.parametrize("skew_safe", [False, True])
-def test_quantile_matches_pandas(spark, skew_safe):
+def test_quantile_matches_pandas(spark):
     rng = np.random.default_rng(5)
     vals = [("a", float(v)) for v in rng.uniform(-0.9, -0.1, 997)] + \
-           [("b", float(v)) for v in rng.uniform(-0.7, -0.3, 51)] + [("c", -0.5)]
+           [("b", float(v)) for v in rng.uniform(-0.7, -0.3, 51)] + [("c", -0.5)] + [("tied", -0.4)] * 500
     df = spark.createDataFrame(vals, "ticker string, s double")
-    got = {r[0]: r[1] for r in quantile_by_key(df, "s", 0.02, skew_safe=skew_safe).collect()}
+    got = {r[0]: r[1] for r in quantile_by_key(df, "s", 0.02).collect()}
     pdf = pd.DataFrame(vals, columns=["ticker", "s"])
     for t, g in pdf.groupby("ticker"):
         assert got[t] == pytest.approx(g.s.quantile(0.02), abs=1e-15)
@@ -132,3 +131,57 @@ def test_reference_column_names(spark):
                                ", ".join(f"`{c}` string" for c in RESULT_COLS))
     cols = with_reference_names(df).columns
     assert "prophet_anomaly" in cols and "band_anomaly" not in cols and len(cols) == len(RESULT_COLS)
+
+
+def test_no_ticker_left_is_an_error(spark):
+    vols = [1000.0 + (i * 37) % 101 for i in range(80)]
+    vols[60] = 0.0
+    with pytest.raises(ValueError, match="no ticker"):
+        detect(make_bars(spark, series("Z", walk(80), vols)), DetectParams(n_trees=5, baseline="decompose"))
+    rows = detect(make_bars(spark, series("Z", walk(80), vols)), DetectParams(n_trees=5, baseline="decompose", on_bad="drop_rows"))
+    assert rows.count() == 30
+
+
+def test_scoring_keeps_every_row_and_equals_any_block_size(spark, monkeypatch):
+    from tickscope.operators.features import build_features
+    from tickscope.operators.scaler import apply_scaler, fit_scaler
+    bars = make_bars(spark, series("A", walk(160, 1)) + series("B", walk(120, 2)))
+    feat = build_features(bars)
+    scaled = apply_scaler(feat, fit_scaler(feat)).checkpoint()
+    forest = iforest.fit_forest(scaled, 15)
+    # a repeated (ticker, Date) with other values stays a row of its own
+    twice = scaled.unionByName(scaled.filter("ticker = 'A'").limit(1).withColumn("x", F.transform("x", lambda v: v + 3)))
+    one = iforest.score(twice, forest, keep=["Close"]).toPandas().sort_values(["ticker", "Date", "if_score"]).reset_index(drop=True)
+    monkeypatch.setattr(iforest, "BLOCK_ROWS", 17)
+    many = iforest.score(twice, forest, keep=["Close"]).toPandas().sort_values(["ticker", "Date", "if_score"]).reset_index(drop=True)
+    assert len(one) == scaled.count() + 1
+    pd.testing.assert_frame_equal(one, many)
+
+
+def test_trees_that_fall_short_are_redone(spark, monkeypatch):
+    from tickscope.operators.features import build_features
+    from tickscope.operators.scaler import apply_scaler, fit_scaler
+    feat = build_features(make_bars(spark, series("A", walk(900, 3)) + series("B", walk(90, 4))))
+    scaled = apply_scaler(feat, fit_scaler(feat)).checkpoint()
+    cols = ["ticker", "t", "n_rows", "n_splits", "f", "v"]
+
+    def forest():
+        return iforest.fit_forest(scaled, 30, 64).select(*cols).toPandas().sort_values(["ticker", "t"]).reset_index(drop=True)
+    want = forest()
+    monkeypatch.setattr(iforest, "SLACK", -1.0)      # most trees get too few candidates
+    got = forest()
+    assert set(got.n_rows) == {64, 41} and len(got) == 60
+    assert all((a == b).all() for c in ("f", "v") for a, b in zip(got[c], want[c])) and (got.n_splits == want.n_splits).all()
+
+
+def test_tree_keys_are_not_linearly_tied(spark):
+    """key(t) - 2 key(t+1) + key(t+2) differs from row to row, and keys of sub-second bars differ."""
+    import datetime as dt
+    base = dt.datetime(2020, 1, 1)
+    df = spark.createDataFrame([("A", base + dt.timedelta(milliseconds=100 * i), [0.0] * 10) for i in range(400)], "ticker string, Date timestamp_ntz, x array<double>")
+    keyed = iforest._keyed(df, iforest.all_trees(iforest.series_sizes(df), 12, 42), 42, 1)
+    wide = keyed.groupBy("rk").pivot("t", list(range(12))).agg(F.first("u")).toPandas().drop(columns="rk").to_numpy()
+    assert len(wide) == 400
+    second = (wide[:, :-2] - 2 * wide[:, 1:-1] + wide[:, 2:]) % 1
+    assert min(len(np.unique(np.round(second[:, k], 9))) for k in range(second.shape[1])) > 390
+    assert np.abs(np.corrcoef(wide.T) - np.eye(12)).max() < 0.2 and abs(wide.mean() - 0.5) < 0.03

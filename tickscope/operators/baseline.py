@@ -43,6 +43,19 @@ def fit_decompose(bars: DataFrame, n_series: int | None = None) -> tuple[DataFra
     return trend, weekly, yearly
 
 
+def model_table(model: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """The three model tables as one row a ticker: weekly and yearly terms as maps (at most 7 and 12 entries)."""
+    trend, weekly, yearly = model
+    by_dow = weekly.groupBy(KEY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("dow", "weekly")))).alias("weekly"))
+    by_moy = yearly.groupBy(KEY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("moy", "yearly")))).alias("yearly"))
+    return trend.join(by_dow, KEY, "left").join(by_moy, KEY, "left")
+
+
+def from_model_table(table: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (table.drop("weekly", "yearly"), table.select(KEY, F.explode("weekly").alias("dow", "weekly")),
+            table.select(KEY, F.explode("yearly").alias("moy", "yearly")))
+
+
 def score_decompose(bars: DataFrame, model: tuple[DataFrame, DataFrame, DataFrame],
                     n_series: int | None = None, z: float = INTERVAL_Z) -> DataFrame:
     """Adds yhat, yhat_lower, yhat_upper, residual, band_anomaly to every bar."""

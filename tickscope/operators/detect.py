@@ -1,29 +1,32 @@
 """Detection: features -> scaler -> forest -> IF flag; baseline -> band flag; consensus.
 
-``detect`` is one Spark plan. With every series under the per-task row target the
-bars are shuffled once by ticker; the baseline joins, feature windows, scaler,
-forest scoring, score aggregation and quantile all reuse that partitioning.
+Tickers whose surviving feature rows hold an infinite model input fail as a whole by default
+(``on_bad``), the others are unaffected; if no ticker is left the run is an error.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import round_half_away
 from ..schemas import (ANOMALY_PERCENTILE, FEATURE_COLS_ALL, KEY, MAX_SAMPLES, N_TREES, OHLCV,
                        SEED, TIME)
 from . import baseline as bl
+from . import baseline_map as bm
 from . import iforest
-from .features import build_features
+from .features import build_features, drop_bad, is_finite_row
 from .joins import join_small
 from .quantile import quantile_by_key
 from .scaler import apply_scaler, fit_scaler
-from .windows import SeriesStats, over_series, series_stats
+from .windows import SeriesStats, series_stats
 
 RESULT_COLS = [KEY, TIME, *OHLCV, *FEATURE_COLS_ALL, "if_score", "if_anomaly",
                "yhat", "yhat_lower", "yhat_upper", "residual", "band_anomaly", "consensus_anomaly"]
+# Scores are compared at this many digits, above the last-bit noise of a sum over trees.
+SCORE_DIGITS = 9
 
 
 @dataclass(frozen=True)
@@ -32,38 +35,44 @@ class DetectParams:
     max_samples: int = MAX_SAMPLES
     seed: int = SEED
     percentile: float = ANOMALY_PERCENTILE
-    baseline: str = "decompose"     # or "map" (changepoint trend + Fourier seasonality)
+    baseline: str = "map"           # changepoint trend + Fourier seasonality; or "decompose"
+    on_bad: str = "fail_ticker"     # or "drop_rows": see features.drop_bad
 
 
-def band(bars: DataFrame, params: DetectParams, stats: SeriesStats) -> DataFrame:
-    """Baseline columns on every raw bar, by the chosen method."""
+@dataclass(frozen=True)
+class Models:
+    """Stored model tables: scaler, forest and the baseline's (None: fitted anew)."""
+    scaler: DataFrame
+    forest: DataFrame
+    baseline: DataFrame | None = None
+
+
+def fit_baseline(bars: DataFrame, params: DetectParams, stats: SeriesStats) -> DataFrame:
+    """The baseline's model table: one row a ticker."""
     if params.baseline == "map":
-        from .baseline_map import baseline_map
-        return baseline_map(bars, stats.n_series)
-    return bl.baseline(bars, stats.n_series)
+        return bm.fit_map(bars, stats.n_series)
+    return bl.model_table(bl.fit_decompose(bars, stats.n_series))
 
 
-def if_threshold(scored: DataFrame, q: float, stats: SeriesStats) -> DataFrame:
-    """Per-ticker score quantile (linear interpolation), exact."""
-    return quantile_by_key(scored, "if_score", q, out="threshold",
-                           skew_safe=stats.chunked, n_series=stats.n_series)
+def band(bars: DataFrame, model: DataFrame, params: DetectParams, stats: SeriesStats) -> DataFrame:
+    """Baseline columns on every raw bar, by the chosen method."""
+    if params.baseline == "map":
+        return bm.score_map(bars, model, stats.n_series)
+    return bl.score_decompose(bars, bl.from_model_table(model), stats.n_series)
+
 
+def comparable(score):
+    return round_half_away(score, SCORE_DIGITS)
 
-def if_flags(scored: DataFrame, thresholds: DataFrame, stats: SeriesStats) -> DataFrame:
-    j = join_small(scored, thresholds, KEY, stats.n_series)
-    return j.withColumn("if_anomaly", F.coalesce(F.col("if_score") <= F.col("threshold"), F.lit(False)).cast("int"))
 
+def if_threshold(scored: DataFrame, q: float) -> DataFrame:
+    """Per-ticker score quantile (linear interpolation), exact: a narrow aggregate of (ticker, score)."""
+    return quantile_by_key(scored.select(KEY, comparable(F.col("if_score")).alias("if_score")), "if_score", q, out="threshold")
 
-def flag_scores(scored: DataFrame, q: float, stats: SeriesStats) -> DataFrame:
-    """Per-ticker quantile threshold + IF flag.
 
-    Bounded series: one window aggregate over the scored rows (the rows x trees
-    scoring runs once). Long series: the exact histogram quantile, joined back."""
-    if stats.chunked:
-        return if_flags(scored, if_threshold(scored, q, stats), stats)
-    thr = F.percentile(F.col("if_score"), F.lit(q)).over(Window.partitionBy(KEY))
-    return (scored.withColumn("threshold", thr)
-            .withColumn("if_anomaly", F.coalesce(F.col("if_score") <= F.col("threshold"), F.lit(False)).cast("int")))
+def if_flags(scored: DataFrame, thresholds: DataFrame, n_series: int | None = None) -> DataFrame:
+    j = join_small(scored, thresholds.select(KEY, "threshold"), KEY, n_series, "left")
+    return j.withColumn("if_anomaly", F.coalesce(comparable(F.col("if_score")) <= F.col("threshold"), F.lit(False)).cast("int"))
 
 
 def consensus(df: DataFrame) -> DataFrame:
@@ -71,77 +80,59 @@ def consensus(df: DataFrame) -> DataFrame:
     return df.withColumn("consensus_anomaly", F.coalesce(both, F.lit(False)).cast("int"))
 
 
+def _checkpointed(df: DataFrame) -> DataFrame:
+    return df.checkpoint(eager=True)
+
+
 def scored_features(bars: DataFrame, params: DetectParams | None = None,
                     stats: SeriesStats | None = None, with_baseline: bool = True,
-                    models: tuple[DataFrame, DataFrame] | None = None):
-    """(feature rows with scaled ``x`` [+ baseline columns], forest, stats).
-
-    ``models`` = stored (scaler, forest) tables: used as they are (no refit), like the
-    reference reusing its saved artefacts; otherwise both are fitted on ``bars``.
+                    models: Models | None = None, cut=None, store=None):
+    """(feature rows with scaled ``x`` [+ baseline columns], models, stats).
+
+    ``models`` are used as they are (no refit), like the reference reusing its saved artefacts; what is missing is
+    fitted on ``bars``. ``store(name, df) -> df`` may write each model table before it is used, so the
+    results are scored with exactly the stored models. ``cut(df) -> df`` materialises the feature rows, which the
+    scaler, the forest and the scoring all read (default: a checkpoint; a parquet table lets later passes read
+    only the columns they need).
     """
     params = params or DetectParams()
     stats = stats or series_stats(bars)
-    src = band(bars, params, stats) if with_baseline else bars
-    feat = build_features(src, stats)
-    scaler = models[0] if models is not None else fit_scaler(feat)
+    store = store or (lambda _name, df: df)
+    base = models.baseline if models is not None else None
+    if with_baseline and base is None:
+        base = store("baseline", fit_baseline(bars, params, stats))
+    src = band(bars, base, params, stats) if with_baseline else bars
+    feat = drop_bad((cut or _checkpointed)(build_features(src, stats, on_bad="keep")), params.on_bad)
+    if feat.isEmpty():
+        raise ValueError("no ticker has feature rows that a model can take")
+    scaler = models.scaler if models is not None else store("scaler", fit_scaler(feat))
     scaled = apply_scaler(feat, scaler, n_series=stats.n_series)
-    # read by the forest fit, the scoring join and the threshold: computed once and
-    # written to the checkpoint folder (lineage cut, survives executor loss)
-    scaled = scaled.checkpoint(eager=True)
-    if models is not None:
-        forest = models[1]
-    else:
-        forest = iforest.fit_forest(scaled, params.n_trees, params.max_samples, params.seed,
-                                    stats.n_series, stats.total_rows)
-    return scaled, forest, stats
+    forest = models.forest if models is not None else store(
+        "forest", iforest.fit_forest(scaled, params.n_trees, params.max_samples, params.seed, stats.n_series))
+    return scaled, Models(scaler, forest, base), stats
+
+
+def _flagged(bars: DataFrame, params: DetectParams, models: Models | None, store=None, cut=None) -> tuple[Models, DataFrame]:
+    scaled, models, stats = scored_features(bars, params, models=models, store=store, cut=cut)
+    # read twice, by the threshold and by the flags: the trees are walked once
+    scored = iforest.score(scaled, models.forest).checkpoint(eager=True)
+    return models, consensus(if_flags(scored, if_threshold(scored, params.percentile), stats.n_series))
 
 
 def fit_and_detect(bars: DataFrame, params: DetectParams | None = None,
                    store=None, cut=None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Train and score in one pass: (scaler, forest, results).
-
-    Feature rows (with the baseline columns) are built once and checkpointed; the
-    scaler, the forest and the scoring all read them. ``store(name, df) -> df`` may
-    write each model table (e.g. to the shared folder) before it is used, so the
-    results are scored with exactly the stored models. ``cut(df) -> df`` materialises
-    the feature rows (default: ``checkpoint()``; a parquet table in the shared folder
-    is smaller and lets later passes read only the columns they need).
-    """
-    params = params or DetectParams()
-    stats = series_stats(bars)
-    feat = build_features(band(bars, params, stats), stats)
-    feat = cut(feat) if cut is not None else feat.checkpoint(eager=True)
-    keep_store = store or (lambda _name, df: df)
-    scaler = keep_store("scaler", fit_scaler(feat))
-    scaled = apply_scaler(feat, scaler, n_series=stats.n_series)
-    forest = keep_store("forest", iforest.fit_forest(scaled, params.n_trees, params.max_samples,
-                                                     params.seed, stats.n_series, stats.total_rows))
-    keep = [c for c in scaled.columns if c not in (KEY, TIME, "x")]
-    scored = iforest.score(scaled, forest, stats.n_series, params.n_trees, keep=keep,
-                           total_rows=stats.total_rows)
-    results = consensus(flag_scores(scored, params.percentile, stats)).select(*RESULT_COLS)
-    return scaler, forest, results
+    """Train and score in one pass: (scaler, forest, results); ``store`` also gets the baseline model."""
+    models, flagged = _flagged(bars, params or DetectParams(), None, store, cut)
+    return models.scaler, models.forest, flagged.select(*RESULT_COLS)
 
 
-def detect(bars: DataFrame, params: DetectParams | None = None,
-           models: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def detect(bars: DataFrame, params: DetectParams | None = None, models: Models | None = None) -> DataFrame:
     """Full result table: features, IF score/flag, band, residual, consensus."""
-    params = params or DetectParams()
-    scaled, forest, stats = scored_features(bars, params, models=models)
-    keep = [c for c in scaled.columns if c not in (KEY, TIME, "x")]
-    scored = iforest.score(scaled, forest, stats.n_series, params.n_trees, keep=keep,
-                           total_rows=stats.total_rows)
-    flagged = consensus(flag_scores(scored, params.percentile, stats))
-    return flagged.select(*RESULT_COLS)
+    return detect_with_threshold(bars, params, models).select(*RESULT_COLS)
 
 
-def detect_with_threshold(bars: DataFrame, params: DetectParams | None = None) -> DataFrame:
-    params = params or DetectParams()
-    scaled, forest, stats = scored_features(bars, params)
-    keep = [c for c in scaled.columns if c not in (KEY, TIME, "x")]
-    scored = iforest.score(scaled, forest, stats.n_series, params.n_trees, keep=keep,
-                           total_rows=stats.total_rows)
-    return consensus(flag_scores(scored, params.percentile, stats))
+def detect_with_threshold(bars: DataFrame, params: DetectParams | None = None, models: Models | None = None) -> DataFrame:
+    return _flagged(bars, params or DetectParams(), models)[1]
 
 
 def detect_summary(results: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
@@ -159,58 +150,47 @@ def detect_summary(results: DataFrame, thresholds: DataFrame | None = None) -> D
 def detect_status(bars: DataFrame, requested: list[str], min_feature_rows: int = 2) -> DataFrame:
     """Per requested ticker, whether detection can run and why not.
 
-    A ticker fails when it has no bars, when no feature row survives the warm-up and
-    missing-value drop, or when a feature is non-finite (zero previous close or
-    volume: the reference's model rejects infinities for that whole ticker).
-    Other tickers are unaffected (failure isolation without a driver loop).
+    A ticker fails when it has no bars, when too few feature rows survive the warm-up and missing-value drop, or
+    when a surviving row holds an infinite model input (the reference's model refuses that whole ticker). It is
+    the same test that keeps a failed ticker out of the run.
     """
     spark = bars.sparkSession
-    stats = series_stats(bars)
-    feat = build_features(bars, stats)
-    prev_zero = over_series(
-        bars.select(KEY, TIME, "Close", "Volume"),
-        lambda df, part: df.withColumn(
-            "_bad", ((F.lag("Close", 1).over(Window.partitionBy(*part).orderBy(TIME)) == 0)
-                     | (F.lag("Volume", 1).over(Window.partitionBy(*part).orderBy(TIME)) == 0)
-                     | (F.col("Close") == 0)).cast("int")),
-        halo=1, stats=stats)
-    bad = prev_zero.groupBy(KEY).agg(F.coalesce(F.max("_bad"), F.lit(0)).alias("n_bad"),
-                                     F.count(F.lit(1)).alias("n_bars"))
-    good = feat.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_feature_rows"))
+    feat = build_features(bars, series_stats(bars), on_bad="keep")
+    counts = bars.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_bars"))
+    good = feat.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_feature_rows"), F.max((~is_finite_row()).cast("int")).alias("_bad"))
     req = spark.createDataFrame([(t,) for t in requested], f"{KEY} string")
-    j = req.join(bad, KEY, "left").join(good, KEY, "left")
+    j = req.join(counts, KEY, "left").join(good, KEY, "left")
     n_bars = F.coalesce(F.col("n_bars"), F.lit(0))
     n_feat = F.coalesce(F.col("n_feature_rows"), F.lit(0))
     reason = (F.when(n_bars == 0, F.lit("no data"))
               .when(n_feat < min_feature_rows, F.lit("too few feature rows"))
-              .when(F.col("n_bad") > 0, F.lit("non-finite feature")))
+              .when(F.col("_bad") > 0, F.lit("non-finite feature")))
     return j.select(KEY, n_bars.alias("n_bars"), n_feat.alias("n_feature_rows"),
                     reason.isNull().alias("ok"), reason.alias("reason"))
 
 
-def train_or_reuse(bars: DataFrame, stored: tuple[DataFrame, DataFrame] | None, retrain: bool,
-                   params: DetectParams | None = None) -> tuple[DataFrame, DataFrame]:
+def train_or_reuse(bars: DataFrame, stored: Models | None, retrain: bool,
+                   params: DetectParams | None = None) -> Models:
     """Models for tickers without stored artefacts (or all, when ``retrain``) are
     fitted; stored ones are reused as they are (the reference never refits a ticker
     whose artefacts exist, even when new bars arrive)."""
     params = params or DetectParams()
     if stored is None or retrain:
-        stats = series_stats(bars)
-        feat = build_features(bars, stats)
-        scaler = fit_scaler(feat)
-        scaled = apply_scaler(feat, scaler, n_series=stats.n_series)
-        return scaler, iforest.fit_forest(scaled, params.n_trees, params.max_samples, params.seed,
-                                          stats.n_series, stats.total_rows)
-    s_old, f_old = stored
-    todo = bars.join(f_old.select(KEY).distinct(), KEY, "left_anti")
-    stats = series_stats(todo)
-    feat = build_features(todo, stats)
-    scaler = fit_scaler(feat)
-    scaled = apply_scaler(feat, scaler, n_series=stats.n_series)
-    forest = iforest.fit_forest(scaled, params.n_trees, params.max_samples, params.seed,
-                                stats.n_series, stats.total_rows)
-    return (s_old.unionByName(scaler.select(*s_old.columns)),
-            f_old.unionByName(forest.select(*f_old.columns)))
+        return scored_features(bars, params)[1]
+    fitted = stored.forest.select(KEY).distinct()
+    if stored.baseline is not None:
+        fitted = fitted.join(stored.baseline.select(KEY).distinct(), KEY, "left_semi")
+    todo = bars.join(fitted, KEY, "left_anti")
+    if todo.isEmpty():
+        return stored
+    new = scored_features(todo, params, with_baseline=stored.baseline is not None)[1]
+
+    def both(old: DataFrame | None, fresh: DataFrame | None) -> DataFrame | None:
+        if old is None or fresh is None:
+            return old
+        known = old.join(fresh.select(KEY).distinct(), KEY, "left_anti")
+        return known.select(*old.columns).unionByName(fresh.select(*old.columns))
+    return Models(both(stored.scaler, new.scaler), both(stored.forest, new.forest), both(stored.baseline, new.baseline))
 
 
 def with_reference_names(results: DataFrame) -> DataFrame:

@@ -5,12 +5,10 @@ pure function of the data and the seed (and the SQL oracle reproduces it).
 
 Fit
   * per series: n rows, psi = min(max_samples, n), depth limit ceil(log2(psi));
-  * sample: each tree takes the psi rows with the smallest (row, tree) key. A row
-    is first kept with probability p0 = min(1, T*psi/n) (one hash per row; trees then
-    share under one row on average) and then offered to tree t only if its tree key is below
-    (psi + 6 sqrt(psi))/(n*p0): about that many candidates per tree reach the shuffle
-    instead of n*T (the psi smallest keys are unchanged unless a tree falls short),
-    and a partial top-psi (window group limit) runs before it;
+  * sample: each tree takes the psi rows with the smallest (row, tree) key. A row is offered to a tree
+    only if its key is below (psi + SLACK sqrt(psi))/n: about that many candidates per tree reach the shuffle
+    instead of n, and a partial top-psi (window group limit) runs before it. The sample is the same
+    as without that filter if a tree gets psi candidates; the trees that fall short are counted and redone without it;
   * growth: groups of TREES_PER_TASK trees of one ticker (at most 25*psi rows, a
     bounded group whatever the series length) are grown by a small numpy helper
     in ``applyInPandas``: a node splits when it holds more than one row, is above
@@ -22,9 +20,9 @@ Model
   2^D-1 inner slots of a full depth-D tree; leaves above depth D send rows down
   their leftmost branch) and ``hb`` (path length for the 2^D bottom slots).
 Score
-  rows x trees (broadcast join when the model size is bounded), D fixed array
-  steps per pair, partial-aggregated mean path length per row,
-  score = -2^(-E[h] / c(psi)) (lower = more unusual).
+  a ticker's rows are dealt into blocks of about BLOCK_ROWS by a hash of their time and meet the ticker's trees
+  there (a cogroup: the trees travel once a block, rows are neither multiplied nor regrouped). A numpy walk
+  takes a block's rows down all trees at once; score = -2^(-E[h] / c(psi)) (lower = more unusual).
 """
 
 from __future__ import annotations
@@ -33,23 +31,26 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.exprs import TWO_POW_32, avg_path_length, avg_path_length_py, row_key, unit_hash
+from ..functions.exprs import TWO_POW_32, avg_path_length_py, row_key, unit_hash
 from ..schemas import KEY, MAX_SAMPLES, MODEL_FEATURES, N_TREES, SEED, TIME
 from .joins import join_small
 
 MAX_DEPTH = 8                      # ceil(log2(256))
 INNER_SLOTS = 2 ** MAX_DEPTH - 1   # 255
 LEAF_SLOTS = 2 ** MAX_DEPTH        # 256
-BYTES_PER_TREE = INNER_SLOTS * 12 + LEAF_SLOTS * 8 + 64
-BROADCAST_MODEL_BYTES = 256 * 1024 * 1024
 MIX_PRIME = 2147483647           # 2^31 - 1
 # A feature whose range in a node is at most this is treated as constant.
 FEATURE_THRESHOLD = 1e-7
-# Inputs up to this many rows are spread over all task slots before a x T expansion.
-SPREAD_MAX_ROWS = 2_000_000
+# Standard deviations by which the expected number of a tree's candidates passes psi.
+SLACK = 6.0
+# Rows of a ticker that are scored together.
+BLOCK_ROWS = 50_000
 
 
 def _depth_limit(psi):
@@ -67,42 +68,55 @@ def series_sizes(scaled: DataFrame, max_samples: int = MAX_SAMPLES) -> DataFrame
             .withColumn("depth_limit", _depth_limit(F.col("psi"))))
 
 
-def tree_key(row_hash, t) -> "F.Column":
-    """Uniform [0, 1) key of (row, tree) from the row's 32-bit hash: integer mixing modulo
-    the prime 2^31-1 (exact in 64-bit arithmetic, written identically in the oracle)."""
-    a = row_hash % F.lit(MIX_PRIME)
-    b = (a * F.lit(48271) + (t + 1) * F.lit(40692)) % F.lit(MIX_PRIME)
-    c = (b * b) % F.lit(MIX_PRIME)
-    d = (c * F.lit(69621) + a) % F.lit(MIX_PRIME)
-    return d.cast("double") / F.lit(float(MIX_PRIME))
-
-
-def sample_rows(scaled: DataFrame, sizes: DataFrame, n_trees: int = N_TREES, seed: int = SEED,
-                n_series: int | None = None, total_rows: int | None = None) -> DataFrame:
-    """(ticker, t, rk, x, psi, depth_limit): up to psi sampled rows per tree."""
-    rk = row_key(F.col(TIME))
-    rows = scaled.select(KEY, TIME, "x")
-    if total_rows is not None and total_rows <= SPREAD_MAX_ROWS and total_rows * n_trees >= 1_000_000:
-        rows = rows.repartition(_task_slots(scaled) * 2, KEY, TIME)   # spread the x T expansion
-    d = join_small(rows, sizes, KEY, n_series).withColumn("rk", rk)
-    d = d.withColumn("_h", (unit_hash(seed, F.col(KEY), F.col("rk")) * F.lit(TWO_POW_32)).cast("long"))
-    n, psi = F.col("n").cast("double"), F.col("psi").cast("double")
-    # pre-sample of about T*psi rows: two trees then share < 1 row on average (psi/T)
-    p0 = F.least(F.lit(1.0), F.lit(float(n_trees)) * psi / n)
-    d = d.filter(F.col("_h").cast("double") / F.lit(TWO_POW_32) < p0)
-    # expected candidates per tree psi + 6*sqrt(psi): the psi smallest keys are the same
-    # as with no filter unless a tree falls short (about 1e-9 per tree)
-    q = F.least(F.lit(1.0), (psi + 6.0 * F.sqrt(psi)) / (n * p0))
-    d = d.select(KEY, "rk", "x", "psi", "depth_limit", "_h", q.alias("q"),
-                 F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("t"))
-    d = d.withColumn("u", tree_key(F.col("_h"), F.col("t"))).filter(F.col("u") < F.col("q"))
+def _hash_below(limit: int, *parts) -> Column:
+    """A hashed integer in [0, limit)."""
+    return (unit_hash(*parts) * F.lit(TWO_POW_32)).cast("long") % F.lit(limit)
+
+
+def tree_coefficients(n_trees: int, seed: int) -> Column:
+    """Per ticker: (multiplier, addend) of every tree, each hashed from (seed, ticker, tree)."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(
+        (_hash_below(MIX_PRIME - 1, seed, F.lit("mul"), F.col(KEY), t) + 1).alias("a"),
+        _hash_below(MIX_PRIME, seed, F.lit("add"), F.col(KEY), t).alias("b")))
+
+
+def tree_key(h1: Column, h2: Column, a: Column, b: Column) -> Column:
+    """Uniform [0, 1) key of (row, tree) from two hashes of the row and the tree's own coefficients: exact integer
+    arithmetic modulo the prime 2^31-1, written identically in the oracle."""
+    x = (h1 * a + b) % F.lit(MIX_PRIME)
+    return (((x * x) % F.lit(MIX_PRIME) * F.lit(48271) + h2) % F.lit(MIX_PRIME)).cast("double") / F.lit(float(MIX_PRIME))
+
+
+def _keyed(scaled: DataFrame, trees: DataFrame, seed: int, n_series: int | None) -> DataFrame:
+    """(ticker, rk, x, psi, depth_limit, n, t, u): rows x their trees; ``trees`` holds a list of (t, a, b) a ticker."""
+    d = join_small(scaled.select(KEY, TIME, "x"), trees, KEY, n_series).withColumn("rk", row_key(F.col(TIME)))
+    d = d.withColumn("_h1", _hash_below(MIX_PRIME, seed, F.lit("row"), F.col(KEY), F.col("rk")))
+    d = d.withColumn("_h2", _hash_below(MIX_PRIME, seed, F.lit("tie"), F.col(KEY), F.col("rk")))
+    d = d.select(KEY, "rk", "x", "psi", "depth_limit", "n", "_h1", "_h2", F.explode("trees").alias("_t"))
+    return d.withColumn("u", tree_key(F.col("_h1"), F.col("_h2"), F.col("_t.a"), F.col("_t.b"))).withColumn("t", F.col("_t.t"))
+
+
+def _smallest(keyed: DataFrame) -> DataFrame:
     w = Window.partitionBy(KEY, "t").orderBy("u", "rk")
-    return (d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.col("psi"))
+    return (keyed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.col("psi"))
             .select(KEY, "t", "x", "psi", "depth_limit"))
 
 
+def all_trees(sizes: DataFrame, n_trees: int, seed: int) -> DataFrame:
+    """sizes with ``trees``: every tree's number and coefficients."""
+    numbered = F.transform(tree_coefficients(n_trees, seed), lambda c, t: F.struct(t.alias("t"), c["a"].alias("a"), c["b"].alias("b")))
+    return sizes.withColumn("trees", numbered)
+
+
+def sample_rows(scaled: DataFrame, trees: DataFrame, seed: int = SEED, n_series: int | None = None) -> DataFrame:
+    """(ticker, t, x, psi, depth_limit): up to psi sampled rows per tree, from the rows whose key is small."""
+    n, psi = F.col("n").cast("double"), F.col("psi").cast("double")
+    q = (psi + F.lit(SLACK) * F.sqrt(psi)) / n
+    return _smallest(_keyed(scaled, trees, seed, n_series).filter(F.col("u") < q))
+
+
 TREE_SCHEMA = ("ticker string, t int, psi long, f array<int>, v array<double>, "
-               "hb array<double>, n_splits int, n_leaves int")
+               "hb array<double>, n_splits int, n_leaves int, n_rows long")
 
 
 def _node_uniform(seed: int, tag: str, ticker: str, t: int, node: int) -> float:
@@ -155,12 +169,12 @@ def _grow_group(seed: int, n_features: int):
         ticker = pdf[KEY].iloc[0]
         depth_limit = int(pdf["depth_limit"].iloc[0])
         psi = int(pdf["psi"].iloc[0])
-        cols = {KEY: [], "t": [], "psi": [], "f": [], "v": [], "hb": [], "n_splits": [], "n_leaves": []}
+        cols = {KEY: [], "t": [], "psi": [], "f": [], "v": [], "hb": [], "n_splits": [], "n_leaves": [], "n_rows": []}
         for a, b in zip(starts, ends):
             t = int(t_all[a])
             f, v, hb, ns, nl = _grow_tree(x_all[a:b], ticker, t, depth_limit, seed)
             for k, val in ((KEY, ticker), ("t", t), ("psi", psi), ("f", f), ("v", v), ("hb", hb),
-                           ("n_splits", ns), ("n_leaves", nl)):
+                           ("n_splits", ns), ("n_leaves", nl), ("n_rows", b - a)):
                 cols[k].append(val)
         return pd.DataFrame(cols)
     return build
@@ -194,10 +208,20 @@ def _task_slots(df: DataFrame) -> int:
 
 
 def fit_forest(scaled: DataFrame, n_trees: int = N_TREES, max_samples: int = MAX_SAMPLES,
-               seed: int = SEED, n_series: int | None = None, total_rows: int | None = None) -> DataFrame:
-    sizes = series_sizes(scaled, max_samples)
-    sample = sample_rows(scaled, sizes, n_trees, seed, n_series, total_rows)
-    return grow(sample, seed, n_series, n_trees)
+               seed: int = SEED, n_series: int | None = None, cut=None) -> DataFrame:
+    """The forest, materialised by ``cut`` (default: a checkpoint) so that short samples can be found and redone."""
+    cut = cut or (lambda df: df.checkpoint(eager=True))
+    trees = all_trees(series_sizes(scaled, max_samples), n_trees, seed)
+    forest = cut(grow(sample_rows(scaled, trees, seed, n_series), seed, n_series, n_trees))
+    full = forest.filter(F.col("n_rows") >= F.col("psi")).groupBy(KEY).agg(F.collect_set("t").alias("_done"))
+    short = trees.join(full, KEY, "left").withColumn("trees", F.filter("trees", lambda t: ~F.coalesce(
+        F.array_contains("_done", t["t"]), F.lit(False)))).filter(F.size("trees") > 0).drop("_done")
+    if short.isEmpty():
+        return forest
+    short = short.checkpoint(eager=True)
+    redone = grow(_smallest(_keyed(scaled, short, seed, n_series)), seed, n_series, n_trees)
+    kept = forest.filter(F.col("n_rows") >= F.col("psi"))
+    return cut(kept.unionByName(redone))
 
 
 def forest_nodes(forest: DataFrame) -> DataFrame:
@@ -207,46 +231,46 @@ def forest_nodes(forest: DataFrame) -> DataFrame:
             .select(KEY, "t", "node", F.col("s.f").alias("feature"), F.col("s.v").alias("threshold")))
 
 
-def score(scaled: DataFrame, forest: DataFrame, n_series: int | None = None,
-          n_trees: int = N_TREES, keep: list[str] | None = None,
-          total_rows: int | None = None) -> DataFrame:
-    """Adds ``if_score`` (and ``mean_path``) to every scaled row.
-
-    Each row meets every tree of its ticker: rows x T pairs are made inside one task
-    and partial-aggregated back to one row there. Small inputs (``total_rows`` known
-    and at most SPREAD_MAX_ROWS) carry their columns through that aggregate and are
-    first spread over all task slots by (ticker, Date), which also satisfies the
-    per-row aggregation. Large inputs aggregate only the path length (2 buffers per
-    pair instead of ~25) and join the score back, at the cost of one narrow shuffle.
-    """
-    keep = keep if keep is not None else [c for c in scaled.columns if c not in (KEY, TIME)]
-    if total_rows is not None and total_rows <= SPREAD_MAX_ROWS and total_rows * n_trees >= 1_000_000:
-        scaled = scaled.repartition(_task_slots(scaled) * 2, KEY, TIME)
-    model = forest.select(KEY, F.col("t").alias("_t"), F.col("psi").alias("_psi"),
-                          F.col("f").alias("_f"), F.col("v").alias("_v"), F.col("hb").alias("_hb"))
-    model_bytes = (n_series or 0) * n_trees * BYTES_PER_TREE
-    if n_series is not None and model_bytes <= BROADCAST_MODEL_BYTES:
-        model = F.broadcast(model)
-    small = total_rows is not None and total_rows <= SPREAD_MAX_ROWS
-    rows = scaled if small else scaled.select(KEY, TIME, "x")
-    d = rows.join(model, KEY).withColumn("_nd", F.lit(0))
-    for _ in range(MAX_DEPTH):
-        right = (F.get(F.col("x"), F.get(F.col("_f"), F.col("_nd")))
-                 > F.get(F.col("_v"), F.col("_nd"))).cast("int")
-        d = d.withColumn("_nd", 2 * F.col("_nd") + 1 + right)
-    d = d.withColumn("_h", F.get(F.col("_hb"), F.col("_nd") - F.lit(INNER_SLOTS)))
-    # psi = 1 gives c(psi) = 0: the score is undefined (null), not an error
-    s = -F.pow(F.lit(2.0), -F.try_divide(F.col("mean_path"), avg_path_length(F.col("_psi"))))
-    if small:
-        # small input: the row's columns ride through the per-row aggregate (one pass)
-        agg = d.groupBy(KEY, TIME).agg(
-            F.avg("_h").alias("mean_path"), F.first("_psi").alias("_psi"),
-            *[F.any_value(c).alias(c) for c in keep])
-        return agg.select(KEY, TIME, *keep, "mean_path", s.alias("if_score"))
-    # large input: only the path length is aggregated per pair (2 buffers); the row's
-    # other columns join back once per row instead of riding through every pair
-    agg = d.groupBy(KEY, TIME).agg(F.avg("_h").alias("mean_path"), F.first("_psi").alias("_psi"))
-    scores = agg.select(KEY, TIME, "mean_path", s.alias("if_score"))
-    if not keep:
-        return scores
-    return scaled.select(KEY, TIME, *keep).join(scores, [KEY, TIME])
+def walk(x: np.ndarray, f: np.ndarray, v: np.ndarray, hb: np.ndarray) -> np.ndarray:
+    """Mean path length of each row of x over all trees (rows of f, v, hb)."""
+    trees = np.arange(len(f))[:, None]
+    out = np.empty(len(x))
+    step = max(1, 1_000_000 // max(1, len(f)))
+    for first in range(0, len(x), step):
+        rows = x[first:first + step]
+        node = np.zeros((len(f), len(rows)), np.int64)
+        at = np.arange(len(rows))[None, :]
+        for _ in range(MAX_DEPTH):
+            node = 2 * node + 1 + (rows[at, f[trees, node]] > v[trees, node])
+        out[first:first + step] = hb[trees, node - INNER_SLOTS].mean(0)
+    return out
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def score(scaled: DataFrame, forest: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(ticker, Date, ``keep``, mean_path, if_score) of every scaled row whose ticker has a forest, row by row."""
+    keep = keep if keep is not None else [c for c in scaled.columns if c not in (KEY, TIME, "x")]
+    blocks = F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int")
+    sizes = scaled.groupBy(KEY).agg(blocks.alias("_blocks"))
+    rows = scaled.select(KEY, TIME, *keep, "x").join(sizes, KEY)
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64(TIME), F.col("_blocks")).cast("int")).drop("_blocks")
+    trees = forest.select(KEY, "t", "psi", "f", "v", "hb").join(sizes, KEY)
+    trees = trees.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    fields = [scaled.schema[c] for c in (KEY, TIME, *keep)]
+    schema = T.StructType([*fields, T.StructField("mean_path", T.DoubleType()), T.StructField("if_score", T.DoubleType())])
+    empty = to_arrow_schema(schema).empty_table()
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return empty
+        right = right.sort_by("t")
+        path = walk(_matrix(left["x"]), _matrix(right["f"]), _matrix(right["v"]), _matrix(right["hb"]))
+        c = avg_path_length_py(right["psi"][0].as_py())
+        # psi = 1 gives c = 0: the score is undefined (null), not an error
+        value = pa.array(-np.exp2(-path / c)) if c else pa.nulls(len(path), pa.float64())
+        return left.select([KEY, TIME, *keep]).append_column("mean_path", pa.array(path)).append_column("if_score", value)
+    return rows.groupBy(KEY, "_block").cogroup(trees.groupBy(KEY, "_block")).applyInArrow(work, schema)

@@ -1,4 +1,8 @@
-"""Join helpers: broadcast only sides whose size is bounded by a known count."""
+"""Join helpers: a side is broadcast only if its own row count is known and small.
+
+``n_rows`` must bound the rows of the small side itself: a table fitted on the same bars has one row a series of
+those bars. Stored models, which may hold more series, are joined without a hint (see live.score_rows).
+"""
 
 from __future__ import annotations
 
