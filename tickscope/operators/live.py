@@ -4,7 +4,8 @@ Mirrors the reference's live scorer: take the recent history (``lookback_days``
 calendar days up to ``as_of``), require ``min_bars`` raw bars, rebuild features on
 that window (windows restart at its start), scale with the stored scaler, score
 with the stored forest, keep the last feature row, flag it against the stored
-per-ticker threshold (fallback -0.60 when no results exist).
+per-ticker threshold (fallback -0.60 when no results exist). The latest row is taken before
+scoring, so one row a ticker meets its trees.
 """
 
 from __future__ import annotations
@@ -14,25 +15,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import (FALLBACK_THRESHOLD, KEY, LIVE_LOOKBACK_DAYS, MIN_LIVE_BARS, N_TREES, TIME)
+from ..schemas import FALLBACK_THRESHOLD, KEY, LIVE_LOOKBACK_DAYS, MIN_LIVE_BARS, TIME
 from . import iforest
+from .detect import comparable
 from .features import build_features
-from .joins import join_small
-from .scaler import apply_scaler, fit_scaler
+from .scaler import apply_scaler
 from .windows import series_stats
 
 LIVE_COLS = ["ticker", "date", "close", "if_score", "threshold", "anomaly", "daily_ret", "vol_z"]
 
 
-def fit_models(bars: DataFrame, n_trees: int = N_TREES) -> tuple[DataFrame, DataFrame]:
-    """(scaler, forest) model tables fitted on the full feature history."""
-    st = series_stats(bars)
-    feat = build_features(bars, st)
-    scaler = fit_scaler(feat)
-    scaled = apply_scaler(feat, scaler, n_series=st.n_series)
-    return scaler, iforest.fit_forest(scaled, n_trees=n_trees, n_series=st.n_series)
-
-
 def as_of_default(bars: DataFrame) -> Column:
     """Latest bar time over all series (a scalar subquery, not a driver value)."""
     return bars.agg(F.max(TIME)).scalar()
@@ -46,43 +38,66 @@ def recent_window(bars: DataFrame, as_of: Column | str | None = None,
     return bars.filter((F.col(TIME) > start) & (F.col(TIME) <= end))
 
 
+def score_rows(feat: DataFrame, scaler: DataFrame, forest: DataFrame, keep: list[str]) -> DataFrame:
+    """Feature rows scored with stored models; rows of tickers without a model drop out. Of the stored
+    tables only the tickers at hand are read."""
+    asked = feat.select(KEY).distinct()
+    scaled = apply_scaler(feat, scaler.join(asked, KEY, "left_semi"))
+    return iforest.score(scaled, forest.join(asked, KEY, "left_semi"), keep)
+
+
+def with_thresholds(scored: DataFrame, thresholds: DataFrame | None) -> DataFrame:
+    """Adds the stored ``threshold`` of the row's ticker, or the fallback."""
+    if thresholds is None:
+        return scored.withColumn("threshold", F.lit(FALLBACK_THRESHOLD))
+    joined = scored.join(thresholds.select(KEY, "threshold"), KEY, "left")
+    return joined.withColumn("threshold", F.coalesce("threshold", F.lit(FALLBACK_THRESHOLD)))
+
+
 def live_scores(bars: DataFrame, scaler: DataFrame, forest: DataFrame, thresholds: DataFrame | None,
                 as_of: Column | str | None = None, lookback_days: int = LIVE_LOOKBACK_DAYS,
-                min_bars: int = MIN_LIVE_BARS, n_trees: int = N_TREES) -> DataFrame:
+                min_bars: int = MIN_LIVE_BARS) -> DataFrame:
     recent = recent_window(bars, as_of, lookback_days)
     if min_bars > 0:
         enough = (recent.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
                   .filter(F.col("_n") >= min_bars).select(KEY))
         recent = recent.join(enough, KEY, "left_semi")
-    st = series_stats(bars)
-    feat = build_features(recent, st)
-    scaled = apply_scaler(feat, scaler, n_series=st.n_series)   # tickers without a model drop out
-    scored = iforest.score(scaled, forest, st.n_series, n_trees,
-                           keep=["Close", "daily_return", "volume_zscore"], total_rows=st.total_rows)
-    latest = scored.groupBy(KEY).agg(F.max_by(F.struct("Date", "Close", "if_score", "daily_return",
-                                                       "volume_zscore"), F.col(TIME)).alias("r"))
-    if thresholds is not None:
-        latest = join_small(latest, thresholds.select(KEY, "threshold"), KEY, st.n_series, "left")
-    else:
-        latest = latest.withColumn("threshold", F.lit(None).cast("double"))
-    thr = F.coalesce(F.col("threshold"), F.lit(FALLBACK_THRESHOLD))
-    return latest.select(
-        KEY, F.col("r.Date").alias("date"), F.col("r.Close").alias("close"),
-        F.col("r.if_score").alias("if_score"), thr.alias("threshold"),
-        F.coalesce(F.col("r.if_score") <= thr, F.lit(False)).alias("anomaly"),
-        F.col("r.daily_return").alias("daily_ret"), F.col("r.volume_zscore").alias("vol_z"))
+    feat = build_features(recent, series_stats(recent))
+    # only the latest row of a ticker is scored
+    rest = [c for c in feat.columns if c != KEY]
+    latest = feat.groupBy(KEY).agg(F.max_by(F.struct(*rest), F.col(TIME)).alias("r")).select(KEY, "r.*")
+    scored = with_thresholds(score_rows(latest, scaler, forest, ["Close", "daily_return", "volume_zscore"]), thresholds)
+    return scored.select(
+        KEY, F.col(TIME).alias("date"), F.col("Close").alias("close"), "if_score", "threshold",
+        F.coalesce(comparable(F.col("if_score")) <= F.col("threshold"), F.lit(False)).alias("anomaly"),
+        F.col("daily_return").alias("daily_ret"), F.col("volume_zscore").alias("vol_z"))
 
 
 def live_summary(scores: DataFrame) -> DataFrame:
-    """Tickers scored, anomalies, and the sorted list of anomalous tickers."""
+    """How many tickers were scored and how many of them are anomalous."""
     return scores.agg(
         F.count(F.lit(1)).alias("n_scored"),
-        F.coalesce(F.sum(F.col("anomaly").cast("int")), F.lit(0)).cast("long").alias("n_anomalies"),
-        F.array_join(F.sort_array(F.collect_list(F.when(F.col("anomaly"), F.col(KEY)))), ",")
-        .alias("anomalous_tickers"))
+        F.coalesce(F.sum(F.col("anomaly").cast("int")), F.lit(0)).cast("long").alias("n_anomalies"))
+
+
+def anomalous_tickers(scores: DataFrame) -> DataFrame:
+    """The anomalous tickers, one row each."""
+    return scores.filter("anomaly").select(KEY).distinct()
 
 
 def missing_models(spark, forest: DataFrame, requested: Sequence[str]) -> DataFrame:
     """Requested tickers that have no stored model."""
     req = spark.createDataFrame([(t,) for t in requested], "ticker string")
     return req.join(forest.select(KEY).distinct(), KEY, "left_anti")
+
+
+def latest_bar(bars: DataFrame) -> DataFrame:
+    """The newest bar of each ticker."""
+    rest = [c for c in bars.columns if c != KEY]
+    return bars.groupBy(KEY).agg(F.max_by(F.struct(*rest), F.col(TIME)).alias("r")).select(KEY, "r.*")
+
+
+def history_guard(bars: DataFrame, min_bars: int = MIN_LIVE_BARS) -> DataFrame:
+    """Per ticker, its bars and whether they are enough for live scoring."""
+    counts = bars.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_bars"))
+    return counts.withColumn("enough", F.col("n_bars") >= min_bars)

@@ -10,10 +10,10 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schemas import BARS_SCHEMA, KEY, OHLCV, TIME
+from ..schemas import KEY, OHLCV, TIME
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,24 +67,43 @@ def bars_from_brands(lineitem: DataFrame, part: DataFrame) -> DataFrame:
                  F.sum("l_quantity").cast("double").alias("Volume")))
 
 
-def normalise(df: DataFrame) -> DataFrame:
-    """Bring any OHLCV frame to the canonical column set and types (tz stripped)."""
-    cols = {c.lower(): c for c in df.columns}
-    out = [F.col(cols.get(KEY.lower(), KEY)).cast("string").alias(KEY),
-           F.col(cols.get(TIME.lower(), TIME)).cast("timestamp_ntz").alias(TIME)]
-    out += [F.col(cols.get(c.lower(), c)).cast("double").alias(c) for c in OHLCV]
-    return df.select(*out)
+CSV_FILE = r"^(.*)_raw\.csv$"
+
+
+def unique_bars(bars: DataFrame, version: str | None = None) -> DataFrame:
+    """One bar a (ticker, Date): of several the one of the greatest ``version`` (a column; then left out), ties
+    by the greatest values, so the choice never depends on the order of rows."""
+    value = F.struct(*OHLCV)
+    order = value if version is None else F.struct(F.col(version), value)
+    return bars.groupBy(KEY, TIME).agg(F.max_by(value, order).alias("v")).select(KEY, TIME, "v.*")
+
+
+def bar_lines(reader, path: str):
+    """Lines of ``{ticker}_raw.csv`` files with their file and its time (``reader``: spark.read or spark.readStream)."""
+    return reader.text(path).select("value", F.col("_metadata.file_name").alias("file"),
+                                    F.col("_metadata.file_modification_time").alias("version"))
+
+
+def parse_bar_lines(lines: DataFrame) -> DataFrame:
+    """Bars (and ``version``) from CSV lines: columns are found by their names in each file's own header, in any order;
+    a missing column or a malformed value is an error."""
+    plain = lines.withColumn("value", F.regexp_replace("value", r'^\ufeff|[\s"]+$|^\s+', "")).filter("value <> ''")
+    cells = F.transform(F.split("value", ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
+    split = plain.select("file", "version", cells.alias("cells")).withColumn("is_head", F.array_contains("cells", TIME))
+    heads = split.filter("is_head").groupBy("file").agg(F.first("cells").alias("head"))
+    rows = split.filter(~F.col("is_head")).join(heads, "file", "left")
+
+    def cell(name: str) -> Column:
+        at = F.array_position("head", name)
+        missing = F.raise_error(F.concat(F.lit(f"no column {name} in "), F.col("file")))
+        return F.when(F.coalesce(at, F.lit(0)) > 0, F.get("cells", (at - 1).cast("int"))).otherwise(missing.cast("string"))
+    values = [F.nullif(cell(c), F.lit("")).cast("double").alias(c) for c in OHLCV]
+    return rows.select(F.regexp_extract("file", CSV_FILE, 1).alias(KEY), cell(TIME).cast("timestamp_ntz").alias(TIME), *values, "version")
 
 
 def read_bars_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Read ``{ticker}_raw.csv`` files: ticker from the file name, explicit schema, fail fast."""
-    schema = BARS_SCHEMA
-    file_schema = schema.__class__([f for f in schema.fields if f.name != KEY])
-    df = (spark.read.schema(file_schema).option("header", True).option("mode", "FAILFAST")
-          .option("timestampNTZFormat", "yyyy-MM-dd[ HH:mm:ss][.SSSSSS]")
-          .csv(path))
-    ticker = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_raw\.csv$", 1)
-    return df.select(ticker.alias(KEY), *[c for c in df.columns])
+    """Read ``{ticker}_raw.csv`` files: ticker from the file name, columns by name, fail fast, one bar a time."""
+    return unique_bars(parse_bar_lines(bar_lines(spark.read, path)), "version")
 
 
 def write_bars(bars: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -1,49 +1,115 @@
 """Continuous scoring of new bars with stored models (Structured Streaming).
 
-Each micro-batch of new bars is combined with the stored history of the tickers
-it touches (a semi-join, so only those partitions are read), the latest bar of
-each touched ticker is scored exactly as the batch live scorer does, and the rows
-are written under ``batch_id=<n>`` with overwrite: replaying a batch after a
-failure rewrites the same folder, so the sink is idempotent. Models and
-thresholds are read once when the query starts (stream-static joins).
+The bars a query has accepted are kept under ``bars/batch_id=<n>`` beside its scores. A micro-batch is joined with the
+bars before it (the history given at the start and all earlier batches; of several versions of
+a bar the newest batch's counts), cut to the tickers it touches and to the LOOK_BACK bars before the
+first new one. Features of that slice are exact for every new bar, and for the bars after a corrected or late one, whose
+features it changes: all of them are scored. Rows are written under ``scores/batch_id=<n>`` with overwrite, so replaying a
+batch rewrites the same folder; ``latest_scores`` reads the newest score of each (ticker, Date).
+Models and thresholds are read once when the query starts (stream-static joins).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.live import live_scores, live_summary
-from ..schemas import BARS_SCHEMA, KEY, TIME
+from ..operators.detect import comparable
+from ..operators.features import build_features
+from ..operators.live import anomalous_tickers, live_summary, score_rows, with_thresholds
+from ..operators.windows import over_series, series_stats
+from ..schemas import BARS_SCHEMA, KEY, OHLCV, TIME, WARMUP_BARS
+from ..sources.bars import bar_lines, parse_bar_lines, unique_bars
 
+#: Bars before the first new one that a batch needs: the longest look-back of a feature.
+LOOK_BACK = WARMUP_BARS
+SCORE_COLS = [KEY, TIME, "Close", "if_score", "threshold", "if_anomaly", "daily_return", "volume_zscore"]
 
-def read_bar_stream(spark: SparkSession, directory: str, max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(BARS_SCHEMA)
+
+def read_bar_stream(spark: SparkSession, directory: str, max_files: int | None = None, fmt: str = "parquet") -> DataFrame:
+    """Bars of parquet files (``fmt`` parquet), or lines of ``{ticker}_raw.csv`` files that each batch parses (``csv``)."""
+    reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(directory)
+    if fmt == "csv":
+        return bar_lines(reader, directory)
+    return reader.schema(BARS_SCHEMA).parquet(directory).withColumn("version", F.col("_metadata.file_modification_time"))
+
+
+def new_bars(batch: DataFrame) -> DataFrame:
+    """A micro-batch as bars, one a (ticker, Date): of several the one from the newest file."""
+    bars = parse_bar_lines(batch) if "value" in batch.columns else batch
+    return unique_bars(bars, "version" if "version" in bars.columns else None)
+
+
+def _known(spark: SparkSession, history: DataFrame | None, folder: str, batch_id: int) -> DataFrame:
+    """All bars before this batch, one a (ticker, Date)."""
+    earlier = spark.createDataFrame([], BARS_SCHEMA).withColumn("version", F.lit(-1))
+    if history is not None:
+        earlier = earlier.unionByName(history.select(KEY, TIME, *OHLCV).withColumn("version", F.lit(-1)))
+    if batch_id > 0:
+        folders = [f"{folder}/batch_id={b}" for b in range(batch_id)]
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path
+        fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        there = [f for f in folders if fs.exists(path(f))]
+        if there:
+            kept = spark.read.option("basePath", folder).parquet(*there).withColumnRenamed("batch_id", "version")
+            earlier = earlier.unionByName(kept.select(*earlier.columns))
+    return earlier
+
+
+def score_batch(batch: DataFrame, known: DataFrame, scaler: DataFrame, forest: DataFrame, thresholds: DataFrame | None) -> DataFrame:
+    """Scores of the batch's bars and of those whose look-back holds one; ``known``: bars before, with ``version``."""
+    first = batch.groupBy(KEY).agg(F.min(TIME).alias("_first"))
+    before = unique_bars(known.join(first.select(KEY), KEY, "left_semi"), "version").join(first, KEY)
+    newest = Window.partitionBy(KEY).orderBy(F.col(TIME).desc())
+    lead = (before.filter(F.col(TIME) < F.col("_first")).withColumn("_rn", F.row_number().over(newest))
+            .filter(F.col("_rn") <= LOOK_BACK).select(KEY, TIME, *OHLCV))
+    later = (before.filter(F.col(TIME) >= F.col("_first")).join(batch.select(KEY, TIME), [KEY, TIME], "left_anti")
+             .select(KEY, TIME, *OHLCV))
+    old = lead.unionByName(later).withColumn("_new", F.lit(0))
+    part = old.unionByName(batch.select(KEY, TIME, *OHLCV).withColumn("_new", F.lit(1))).checkpoint(eager=True)
+    stats = series_stats(part)
+
+    def touched(df: DataFrame, keys: list[str]) -> DataFrame:
+        return df.withColumn("_touched", F.max("_new").over(Window.partitionBy(*keys).orderBy(TIME).rowsBetween(-LOOK_BACK, 0)))
+    feat = build_features(over_series(part, touched, LOOK_BACK, stats=stats), stats).filter(F.col("_touched") == 1)
+    scored = with_thresholds(score_rows(feat, scaler, forest, ["Close", "daily_return", "volume_zscore"]), thresholds)
+    flag = F.coalesce(comparable(F.col("if_score")) <= F.col("threshold"), F.lit(False)).cast("int")
+    return scored.withColumn("if_anomaly", flag).select(*SCORE_COLS)
+
+
+def latest_scores(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """The newest score of every (ticker, Date) that a query has written."""
+    rows = spark.read.parquet(f"{sink_dir}/scores")
+    value = F.struct(*[c for c in SCORE_COLS if c not in (KEY, TIME)])
+    return rows.groupBy(KEY, TIME).agg(F.max_by(value, "batch_id").alias("v")).select(KEY, TIME, "v.*")
 
 
-def score_batch(batch: DataFrame, history: DataFrame, scaler: DataFrame, forest: DataFrame,
-                thresholds: DataFrame | None, min_bars: int = 60) -> DataFrame:
-    touched = batch.select(KEY).distinct()
-    hist = history.join(touched, KEY, "left_semi")
-    bars = batch.select(*history.columns).unionByName(hist).dropDuplicates([KEY, TIME])
-    return live_scores(bars, scaler, forest, thresholds, min_bars=min_bars)
+def latest_per_ticker(scores: DataFrame) -> DataFrame:
+    """The live view: each ticker's newest scored bar, with the live scorer's column names."""
+    value = F.struct(TIME, "Close", "if_score", "threshold", "if_anomaly", "daily_return", "volume_zscore")
+    last = scores.groupBy(KEY).agg(F.max_by(value, F.col(TIME)).alias("r"))
+    return last.select(KEY, F.col(f"r.{TIME}").alias("date"), F.col("r.Close").alias("close"), "r.if_score", "r.threshold",
+                       (F.col("r.if_anomaly") == 1).alias("anomaly"), F.col("r.daily_return").alias("daily_ret"),
+                       F.col("r.volume_zscore").alias("vol_z"))
 
 
-def start_live_scoring(spark: SparkSession, bar_stream: DataFrame, history: DataFrame,
+def start_live_scoring(spark: SparkSession, bar_stream: DataFrame, history: DataFrame | None,
                        scaler: DataFrame, forest: DataFrame, thresholds: DataFrame | None,
                        sink_dir: str, checkpoint: str, available_now: bool = False,
-                       processing_time: str = "300 seconds", min_bars: int = 60):
+                       processing_time: str = "300 seconds"):
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        scores = score_batch(batch, history, scaler, forest, thresholds, min_bars)
-        (scores.withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").parquet(f"{sink_dir}/scores/batch_id={batch_id}"))
-        (live_summary(scores).withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").parquet(f"{sink_dir}/summary/batch_id={batch_id}"))
+        folder = f"{sink_dir}/bars"
+        new_bars(batch).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+        bars = spark.read.schema(BARS_SCHEMA).parquet(f"{folder}/batch_id={batch_id}")
+        known = _known(spark, history, folder, batch_id)
+        target = f"{sink_dir}/scores/batch_id={batch_id}"
+        score_batch(bars, known, scaler, forest, thresholds).write.mode("overwrite").parquet(target)
+        latest = latest_per_ticker(spark.read.parquet(target))
+        live_summary(latest).write.mode("overwrite").parquet(f"{sink_dir}/summary/batch_id={batch_id}")
+        anomalous_tickers(latest).write.mode("overwrite").parquet(f"{sink_dir}/anomalous/batch_id={batch_id}")
 
     writer = bar_stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)

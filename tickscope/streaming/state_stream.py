@@ -1,15 +1,13 @@
 """Keyed-state continuous scoring (X6): every new bar scored, no history re-read.
 
-``applyInPandasWithState`` keeps, per ticker, the last ``halo`` bars (the longest
-feature look-back, 49) in the state store. For each micro-batch it emits those
-halo bars (``is_new`` false) followed by the ticker's new bars (``is_new`` true)
-and keeps the newest ``halo`` bars as the next state; state per ticker is bounded
-and a batch's group holds only that batch's bars plus the halo. A ``foreachBatch``
-then runs the ordinary feature windows on that small batch — exact for every new
-bar because its whole look-back is present — scores the new bars with the stored
-scaler and forest, flags them against the stored thresholds, and overwrites the
-``batch_id`` folder (idempotent replays). Bars older than the halo that arrive
-late are scored with the look-back the state holds.
+``applyInPandasWithState`` keeps, per ticker, the last RING bars in the state store: twice the longest feature
+look-back (49), so that bars after a late or corrected one within the last 49 can be scored again exactly. A
+micro-batch's bars pass through in the pieces Spark hands over (``is_new`` true), never as one group; only the
+ring is kept and given out after them (``is_new`` false, without the bars replaced). A ``foreachBatch``
+then orders the rows with ordinary windows (split when a series is long), scores each new bar and each bar whose
+look-back holds a new one with the stored scaler and forest, flags them against the stored thresholds, and
+overwrites the ``batch_id`` folder (idempotent replays). Bars older than the ring that arrive late are scored with the
+look-back the state holds.
 """
 
 from __future__ import annotations
@@ -17,73 +15,62 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators import iforest
+from ..operators.detect import comparable
 from ..operators.features import build_features
-from ..operators.joins import join_small
-from ..operators.scaler import apply_scaler
-from ..operators.windows import series_stats
-from ..schemas import FALLBACK_THRESHOLD, KEY, OHLCV, TIME, WARMUP_BARS
+from ..operators.live import score_rows, with_thresholds
+from ..operators.windows import over_series, series_stats
+from ..schemas import KEY, OHLCV, TIME, WARMUP_BARS
+from ..sources.bars import unique_bars
+from .live_stream import SCORE_COLS
 
+RING = 2 * WARMUP_BARS
 HALO_SCHEMA = ("ticker string, Date timestamp_ntz, Open double, High double, Low double, "
                "Close double, Volume double, is_new boolean")
 STATE_SCHEMA = ("micros array<long>, open array<double>, high array<double>, low array<double>, "
                 "close array<double>, volume array<double>")
-_STATE_COLS = ["micros", "open", "high", "low", "close", "volume"]
 
 
-def _ring(halo: int):
+def _ring(size: int):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        ticker = key[0]
-        new = pd.concat(list(batches), ignore_index=True)
-        new = new.assign(_m=pd.to_datetime(new[TIME]).astype("datetime64[us]").astype("int64"))
-        if state.exists:
-            st = state.get
-            old = pd.DataFrame({"_m": list(st[0]), "Open": list(st[1]), "High": list(st[2]),
-                                "Low": list(st[3]), "Close": list(st[4]), "Volume": list(st[5])})
+        columns = ["_m", *OHLCV]
+        old = pd.DataFrame(dict(zip(columns, map(list, state.get)))) if state.exists else pd.DataFrame(columns=columns)
+        ring = old
+        for new in batches:
+            yield new.assign(is_new=True)[[KEY, TIME, *OHLCV, "is_new"]]
+            new = new.assign(_m=pd.to_datetime(new[TIME]).astype("datetime64[us]").astype("int64"))
             old = old[~old["_m"].isin(new["_m"])]
-        else:
-            old = new.iloc[:0][["_m", *OHLCV]]
-        old = old.assign(is_new=False)
-        new = new.drop_duplicates("_m", keep="last").assign(is_new=True)
-        allb = pd.concat([old, new[["_m", *OHLCV, "is_new"]]], ignore_index=True).sort_values("_m")
-        keep = allb.tail(halo)
-        state.update((keep["_m"].tolist(), keep["Open"].tolist(), keep["High"].tolist(),
-                      keep["Low"].tolist(), keep["Close"].tolist(), keep["Volume"].tolist()))
-        out = allb.assign(ticker=ticker, Date=pd.to_datetime(allb["_m"], unit="us"))
-        yield out[[KEY, TIME, *OHLCV, "is_new"]]
+            both = pd.concat([ring[~ring["_m"].isin(new["_m"])], new[columns]], ignore_index=True) if len(ring) else new[columns]
+            # of equal times the greatest values stay, as in the batch's own choice
+            ring = both.sort_values(columns).drop_duplicates("_m", keep="last").tail(size)
+        state.update(tuple(ring[c].tolist() for c in columns))
+        if len(old):
+            yield old.assign(ticker=key[0], Date=pd.to_datetime(old["_m"].astype("int64"), unit="us"), is_new=False)[[KEY, TIME, *OHLCV, "is_new"]]
     return step
 
 
-def with_halo(bar_stream: DataFrame, halo: int = WARMUP_BARS) -> DataFrame:
+def with_halo(bar_stream: DataFrame, halo: int = RING) -> DataFrame:
     """Streaming rows: each ticker's new bars plus its last ``halo`` stored bars."""
     return (bar_stream.select(KEY, TIME, *OHLCV).groupBy(KEY)
             .applyInPandasWithState(_ring(halo), HALO_SCHEMA, STATE_SCHEMA, "append",
                                     GroupStateTimeout.NoTimeout))
 
 
-SCORE_COLS = [KEY, TIME, "Close", "if_score", "threshold", "if_anomaly", "daily_return", "volume_zscore"]
-
-
 def score_new_bars(batch: DataFrame, scaler: DataFrame, forest: DataFrame,
                    thresholds: DataFrame | None) -> DataFrame:
-    st = series_stats(batch)
-    feat = build_features(batch, st)
-    scaled = apply_scaler(feat, scaler, n_series=st.n_series)
-    scored = iforest.score(scaled, forest, st.n_series,
-                           keep=["Close", "daily_return", "volume_zscore", "is_new"],
-                           total_rows=st.total_rows).filter(F.col("is_new"))
-    if thresholds is not None:
-        scored = join_small(scored, thresholds.select(KEY, "threshold"), KEY, st.n_series, "left")
-    else:
-        scored = scored.withColumn("threshold", F.lit(None).cast("double"))
-    thr = F.coalesce(F.col("threshold"), F.lit(FALLBACK_THRESHOLD))
-    return scored.select(KEY, TIME, "Close", "if_score", thr.alias("threshold"),
-                         F.coalesce(F.col("if_score") <= thr, F.lit(False)).cast("int").alias("if_anomaly"),
-                         "daily_return", "volume_zscore")
+    fresh = unique_bars(batch.filter("is_new")).withColumn("_new", F.lit(1))
+    bars = batch.filter(~F.col("is_new")).select(KEY, TIME, *OHLCV).withColumn("_new", F.lit(0)).unionByName(fresh)
+    stats = series_stats(bars)
+
+    def touched(df: DataFrame, keys: list[str]) -> DataFrame:
+        return df.withColumn("_touched", F.max("_new").over(Window.partitionBy(*keys).orderBy(TIME).rowsBetween(-WARMUP_BARS, 0)))
+    feat = build_features(over_series(bars, touched, WARMUP_BARS, stats=stats), stats).filter(F.col("_touched") == 1)
+    scored = with_thresholds(score_rows(feat, scaler, forest, ["Close", "daily_return", "volume_zscore"]), thresholds)
+    flag = F.coalesce(comparable(F.col("if_score")) <= F.col("threshold"), F.lit(False)).cast("int")
+    return scored.withColumn("if_anomaly", flag).select(*SCORE_COLS)
 
 
 def start_state_scoring(spark: SparkSession, bar_stream: DataFrame, scaler: DataFrame,
@@ -91,8 +78,7 @@ def start_state_scoring(spark: SparkSession, bar_stream: DataFrame, scaler: Data
                         checkpoint: str, available_now: bool = False,
                         processing_time: str = "300 seconds"):
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
+        batch = batch.checkpoint(eager=True)   # the stateful step runs once
         (score_new_bars(batch, scaler, forest, thresholds).withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}"))
 
