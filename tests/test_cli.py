@@ -14,8 +14,29 @@ def test_cli_detect_then_alerts(spark, capsys):
     make_bars(spark, rows).write.parquet(os.path.join(root, "bars"))
     out = os.path.join(root, "out")
     main(["detect", "--bars", os.path.join(root, "bars"), "--parquet", "--out", out])
-    assert sorted(os.listdir(out))[:3] == ["forest", "forest.tmp", "results"]
+    assert sorted(os.listdir(out)) == ["baseline", "forest", "results", "scaler"]
     main(["detect", "--bars", os.path.join(root, "bars"), "--parquet", "--out", out])   # reuse path
-    main(["alerts", "--out", out, "--lookback", "400"])
+    main(["alerts", "--out", out, "--lookback", "400", "--as-of", "2020-04-30"])
     text = capsys.readouterr().out
     assert "consensus" in text and "IF" in text
+
+
+def test_cli_live_reads_a_folder_of_csv_files_and_stale_results_go_live(spark, capsys):
+    from tickscope.__main__ import main
+    rng = np.random.default_rng(5)
+    root = tempfile.mkdtemp(prefix="tickscope-cli-")
+    bars, out = os.path.join(root, "raw"), os.path.join(root, "out")
+    os.makedirs(bars)
+    for t in ("AA", "BB"):
+        close = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 110)))
+        days = np.arange("2020-01-01", "2020-04-20", dtype="datetime64[D]")
+        with open(os.path.join(bars, f"{t}_raw.csv"), "w") as f:
+            f.write("Date,Close,High,Low,Open,Volume\n" + "".join(f"{d},{c},{c * 1.01},{c * 0.99},{c},{1000 + i * 37 % 101}\n" for i, (d, c) in enumerate(zip(days, close))))
+    main(["detect", "--bars", bars, "--out", out, "--baseline", "decompose"])
+    main(["live", "--bars", bars, "--out", out, "--available-now"])
+    results, live = (spark.read.parquet(os.path.join(out, p)).toPandas().sort_values(["ticker", "Date"]) for p in ("results", "live/scores"))
+    assert len(live) == len(results) == 2 * 61
+    np.testing.assert_allclose(live.if_score.to_numpy(), results.if_score.to_numpy(), rtol=0, atol=1e-12)
+    capsys.readouterr()
+    main(["alerts", "--out", out, "--bars", bars, "--as-of", "2021-01-01"])     # long after the last bar: live
+    assert "consensus" not in capsys.readouterr().out

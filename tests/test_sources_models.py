@@ -2,12 +2,13 @@ import os
 import tempfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import make_bars, series
-from tickscope.operators.detect import DetectParams, detect_status, train_or_reuse
+from tickscope.operators.detect import DetectParams, Models, detect, detect_status, scored_features, train_or_reuse
 from tickscope.operators.portfolio import data_view, export_csv
-from tickscope.sources.bars import date_range, load_status, read_bars_csv, recent_bars, write_bars
+from tickscope.sources.bars import date_range, load_status, read_bars_csv, recent_bars, unique_bars, write_bars
 
 
 def walk(n, seed):
@@ -65,32 +66,64 @@ def test_train_or_reuse_fits_only_missing(spark):
     bars_a = make_bars(spark, series("A", walk(120, 1)))
     bars_ab = make_bars(spark, series("A", walk(130, 1)) + series("B", walk(120, 2)))
     p = DetectParams(n_trees=10)
-    scaler_a, forest_a = train_or_reuse(bars_a, None, False, p)
-    scaler_a, forest_a = scaler_a.cache(), forest_a.cache()
-    s2, f2 = train_or_reuse(bars_ab, (scaler_a, forest_a), False, p)
-    assert sorted(r.ticker for r in s2.collect()) == ["A", "B"]
-    # A was not refitted: same stored mean although A has new bars
-    m_old = scaler_a.first()["mean_daily_return"]
-    m_new = s2.filter(F.col("ticker") == "A").first()["mean_daily_return"]
-    assert m_old == m_new
-    assert f2.filter(F.col("ticker") == "B").count() == 10
-    s3, _f3 = train_or_reuse(bars_ab, (scaler_a, forest_a), True, p)
-    assert s3.filter(F.col("ticker") == "A").first()["n_rows"] == 81
+    stored = train_or_reuse(bars_a, None, False, p)
+    stored = Models(stored.scaler.cache(), stored.forest.cache(), stored.baseline.cache())
+    new = train_or_reuse(bars_ab, stored, False, p)
+    assert all(sorted(r.ticker for r in t.select("ticker").distinct().collect()) == ["A", "B"] for t in (new.scaler, new.forest, new.baseline))
+    # A was not refitted: same stored mean and band although A has new bars
+    for old, now, c in ((stored.scaler, new.scaler, "mean_daily_return"), (stored.baseline, new.baseline, "sigma")):
+        assert old.first()[c] == now.filter(F.col("ticker") == "A").first()[c]
+    assert new.forest.filter(F.col("ticker") == "B").count() == 10
+    assert train_or_reuse(bars_ab, stored, True, p).scaler.filter(F.col("ticker") == "A").first()["n_rows"] == 81
+    assert train_or_reuse(bars_a, stored, False, p) is stored
+
+
+def test_stored_baseline_is_reused_and_its_band_widens_after_training(spark):
+    bars = make_bars(spark, series("A", walk(400, 1)))
+    p = DetectParams(n_trees=10)
+    models = scored_features(date_range(bars, end="2020-12-01"), p)[1]
+    models = Models(models.scaler.cache(), models.forest.cache(), models.baseline.cache())
+    out = detect(bars, p, models).toPandas().sort_values("Date")
+    width = (out.yhat_upper - out.yhat_lower).to_numpy()
+    inside = (out.Date < "2020-12-01").to_numpy()
+    assert np.allclose(width[inside], width[0]) and (np.diff(width[~inside]) >= 0).all()
+    assert models.baseline.first()["n"] < 400
+
+
+def test_csv_columns_by_name(spark):
+    out = tempfile.mkdtemp(prefix="tickscope-csv-")
+    with open(os.path.join(out, "AA_raw.csv"), "w") as f:
+        f.write("Date,Close,High,Low,Open,Volume\n2020-01-01,11,12,9,10,100\n2020-01-02 00:00:00-05:00,21,22,19,20,\n")
+    with open(os.path.join(out, "BB_raw.csv"), "w") as f:
+        f.write('"Date","Open","High","Low","Close","Volume","Adj Close"\r\n2020-01-01,10,12,9,11,100,1\r\n')
+    got = {(r.ticker, str(r.Date)[:10]): (r.Open, r.High, r.Low, r.Close, r.Volume) for r in read_bars_csv(spark, out).collect()}
+    assert got == {("AA", "2020-01-01"): (10, 12, 9, 11, 100), ("AA", "2020-01-02"): (20, 22, 19, 21, None), ("BB", "2020-01-01"): (10, 12, 9, 11, 100)}
+    for bad in ("Date,Close,High,Low,Volume\n2020-01-01,11,12,9,100\n", "Date,Close,High,Low,Open,Volume\n2020-01-01,x,12,9,10,100\n"):
+        with open(os.path.join(out, "CC_raw.csv"), "w") as f:
+            f.write(bad)
+        with pytest.raises(Exception, match="no column Open|CAST_INVALID_INPUT"):
+            read_bars_csv(spark, out).collect()
+
+
+def test_unique_bars_do_not_depend_on_row_order(spark):
+    rows = series("A", walk(5, 1)) + [("A", "2020-01-03", 1.0, 2.0, 0.5, 1.5, 7.0)]
+    a, b = (sorted(unique_bars(make_bars(spark, r)).collect()) for r in (rows, rows[::-1]))
+    assert a == b and len(a) == 5
+
+
+def test_table_key_follows_the_files(spark):
+    from tickscope.plans.tables import table_key
+    out = tempfile.mkdtemp(prefix="tickscope-key-")
+    spark.range(3).write.parquet(os.path.join(out, "t.parquet"))
+    one = table_key(spark, out, ["t"], 1)
+    spark.range(4).write.mode("append").parquet(os.path.join(out, "t.parquet"))
+    assert table_key(spark, out, ["t"], 1) != one
 
 
 def test_detect_status_isolates_failures(spark):
     closes = walk(100, 3)
-    closes[60] = 0.0                    # zero close: non-finite return next bar
+    closes[60] = 0.0                    # zero close past the warm-up: its logarithm is infinite
     bars = make_bars(spark, series("BAD", closes) + series("OK", walk(100, 4)) + series("SHORT", walk(30, 5)))
     st = {r.ticker: (r.ok, r.reason) for r in detect_status(bars, ["BAD", "OK", "SHORT", "NONE"]).collect()}
     assert st == {"BAD": (False, "non-finite feature"), "OK": (True, None),
                   "SHORT": (False, "too few feature rows"), "NONE": (False, "no data")}
-
-
-def test_table_layout_by_series_count(spark):
-    from tickscope.plans import tables
-    bars = make_bars(spark, series("A", walk(3, 1)))
-    df, part = tables.layout(bars, 5)
-    assert part == "ticker"
-    df, part = tables.layout(bars, tables.MAX_TICKER_FOLDERS + 1)
-    assert part is None and "Sort" in df._jdf.queryExecution().executedPlan().toString()

@@ -1,39 +1,46 @@
 """Command line: the reference's three entry points as Spark jobs.
 
-  python -m tickscope detect --bars DIR --out DIR [--retrain] [--baseline map]
+  python -m tickscope detect --bars DIR --out DIR [--retrain] [--baseline decompose]
   python -m tickscope live   --bars DIR --out DIR [--once | --interval SECONDS]
   python -m tickscope alerts --out DIR [--bars DIR] [--live] [--lookback DAYS] [--as-of DATE]
 
-``--bars`` holds ``{TICKER}_raw.csv`` files (or parquet bars with ``--parquet``);
-``--out`` receives the model tables (scaler, forest) and the partitioned results.
+``--bars`` holds ``{TICKER}_raw.csv`` files (or parquet bars with ``--parquet``); new bars of a live run arrive as new
+files. ``--out`` receives the model tables (scaler, forest, baseline) and the partitioned results. ``--as-of`` is the
+run date, by default today.
 """
 
 from __future__ import annotations
 
 import argparse
+import datetime
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from .operators import alerts as A
 from .operators import live as L
-from .operators.detect import DetectParams, fit_and_detect, train_or_reuse
+from .operators.detect import DetectParams, Models, detect, fit_and_detect, train_or_reuse
 from .operators.portfolio import stored_thresholds
 from .schemas import KEY, LIVE_LOOKBACK_DAYS
 from .session import get_session
-from .sources.bars import read_bars_csv
+from .sources.bars import read_bars_csv, unique_bars
 from .streaming.live_stream import read_bar_stream, start_live_scoring
 
+TABLES = ("scaler", "forest", "baseline")
+
 
 def _bars(spark, args):
-    return spark.read.parquet(args.bars) if args.parquet else read_bars_csv(spark, args.bars)
+    return unique_bars(spark.read.parquet(args.bars)) if args.parquet else read_bars_csv(spark, args.bars)
 
 
-def _models(spark, out):
+def _models(spark, out) -> Models | None:
+    """The stored models, or None if there are none yet."""
     try:
-        return (spark.read.parquet(os.path.join(out, "scaler")),
-                spark.read.parquet(os.path.join(out, "forest")))
-    except Exception:  # noqa: BLE001 - no stored models yet
+        return Models(*[spark.read.parquet(os.path.join(out, name)) for name in TABLES])
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -41,18 +48,21 @@ def cmd_detect(spark, args) -> None:
     bars = _bars(spark, args)
     params = DetectParams(baseline=args.baseline)
     stored = _models(spark, args.out)
+
+    def write(name, df):
+        df.write.mode("overwrite").parquet(os.path.join(args.out, name))
+        return spark.read.parquet(os.path.join(args.out, name))
     if stored is None or args.retrain:
-        scaler, forest, results = fit_and_detect(bars, params)
+        results = fit_and_detect(bars, params, store=write)[2]
     else:
-        from .operators.detect import detect
-        scaler, forest = train_or_reuse(bars, stored, False, params)
-        results = detect(bars, params, (scaler, forest))
-    scaler.write.mode("overwrite").parquet(os.path.join(args.out, "scaler.tmp"))
-    forest.write.mode("overwrite").parquet(os.path.join(args.out, "forest.tmp"))
+        models = train_or_reuse(bars, stored, False, params)
+        if models is not stored:
+            # the new tables are made from the old ones, so they are written beside them first
+            for name in TABLES:
+                write(f"{name}.new", getattr(models, name))
+            models = Models(*[write(name, spark.read.parquet(os.path.join(args.out, f"{name}.new"))) for name in TABLES])
+        results = detect(bars, params, models)
     results.write.mode("overwrite").partitionBy(KEY).parquet(os.path.join(args.out, "results"))
-    for name in ("scaler", "forest"):
-        spark.read.parquet(os.path.join(args.out, f"{name}.tmp")).write.mode("overwrite").parquet(
-            os.path.join(args.out, name))
     res = spark.read.parquet(os.path.join(args.out, "results"))
     res.groupBy(KEY).agg(F.sum("if_anomaly").alias("IF"), F.sum("band_anomaly").alias("band"),
                          F.sum("consensus_anomaly").alias("consensus")).orderBy(KEY).show(truncate=False)
@@ -63,27 +73,29 @@ def cmd_live(spark, args) -> None:
     if stored is None:
         print("No models loaded. Run detect first.")
         return
-    scaler, forest = stored
     thr = stored_thresholds(spark.read.parquet(os.path.join(args.out, "results")))
     if args.once:
-        scores = L.live_scores(_bars(spark, args), scaler, forest, thr, lookback_days=LIVE_LOOKBACK_DAYS)
+        scores = L.live_scores(_bars(spark, args), stored.scaler, stored.forest, thr, lookback_days=LIVE_LOOKBACK_DAYS)
         scores.orderBy(KEY).show(truncate=False)
         L.live_summary(scores).show(truncate=False)
+        L.anomalous_tickers(scores).orderBy(KEY).show(truncate=False)
         return
-    history = _bars(spark, args)
-    q = start_live_scoring(spark, read_bar_stream(spark, args.bars), history, scaler, forest, thr,
+    stream = read_bar_stream(spark, args.bars, fmt="parquet" if args.parquet else "csv")
+    q = start_live_scoring(spark, stream, None, stored.scaler, stored.forest, thr,
                            os.path.join(args.out, "live"), os.path.join(args.out, "live_ckpt"),
-                           processing_time=f"{args.interval} seconds")
+                           available_now=args.available_now, processing_time=f"{args.interval} seconds")
     q.awaitTermination()
 
 
 def cmd_alerts(spark, args) -> None:
     results = spark.read.parquet(os.path.join(args.out, "results"))
-    as_of = args.as_of or results.agg(F.max("Date")).first()[0]
+    as_of = args.as_of or datetime.date.today().isoformat()
 
     def live():
-        scaler, forest = _models(spark, args.out)
-        return L.live_scores(_bars(spark, args), scaler, forest, stored_thresholds(results), min_bars=0)
+        models = _models(spark, args.out)
+        if models is None or not args.bars:
+            raise SystemExit("Stored results are not fresh and live scoring needs --bars and stored models.")
+        return L.live_scores(_bars(spark, args), models.scaler, models.forest, stored_thresholds(results), min_bars=0)
     flagged = A.alerts_auto(results, live, as_of, args.lookback, force_live=args.live)
     if not A.anything_to_send(flagged):
         print("No anomalies detected. No alert sent.")
@@ -102,10 +114,11 @@ def main(argv=None) -> None:
         s.add_argument("--parquet", action="store_true")
         if name == "detect":
             s.add_argument("--retrain", action="store_true")
-            s.add_argument("--baseline", default="decompose", choices=["decompose", "map"])
+            s.add_argument("--baseline", default="map", choices=["map", "decompose"])
         if name == "live":
             s.add_argument("--once", action="store_true")
             s.add_argument("--interval", type=int, default=300)
+            s.add_argument("--available-now", action="store_true", dest="available_now")
         if name == "alerts":
             s.add_argument("--live", action="store_true")
             s.add_argument("--lookback", type=int, default=1)

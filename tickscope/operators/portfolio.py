@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from ..schemas import KEY, ROLLING_RATE_BARS, TIME, TOP_ANOMALIES
 from ..functions.exprs import round_half_away
 from .joins import join_small
-from .quantile import quantile_by_key
-from .windows import series_stats
+from .detect import if_threshold
 from .windows import gated, over_series
 
 MONTH_FMT = "yyyy-MM"
@@ -104,7 +103,7 @@ def _pct_change(df: DataFrame, part: list[str]) -> DataFrame:
     return df.withColumn("_chg", F.try_divide(F.col("Close"), F.lag("Close", 1).over(w)) - 1)
 
 
-def portfolio_summary(p: DataFrame, n_series: int | None = None) -> DataFrame:
+def portfolio_summary(p: DataFrame) -> DataFrame:
     """Per ticker period return %, daily vol % (sample std of pct change), flags, rate."""
     chg = over_series(p.select(KEY, TIME, "Close", "if_anomaly", "band_anomaly", "consensus_anomaly"),
                       _pct_change, halo=1)
@@ -132,8 +131,8 @@ def summary_text(summary: DataFrame) -> DataFrame:
 
 
 def score_series(p: DataFrame) -> DataFrame:
-    """(ticker, Date, if_score), in date order per ticker."""
-    return p.select(KEY, TIME, "if_score").orderBy(KEY, TIME)
+    """(ticker, Date, if_score), sorted inside each partition (the stored table is range-partitioned by both)."""
+    return p.select(KEY, TIME, "if_score").sortWithinPartitions(KEY, TIME)
 
 
 def month_col() -> Column:
@@ -157,10 +156,8 @@ def reflag(results: DataFrame, ticker: str, threshold: float | Column,
 
 
 def stored_thresholds(results: DataFrame, q: float = 0.02) -> DataFrame:
-    """Per-ticker q-quantile of the stored scores (exact; skew-safe for long series)."""
-    st = series_stats(results)
-    return quantile_by_key(results, "if_score", q, out="threshold", skew_safe=st.chunked,
-                           n_series=st.n_series)
+    """Per-ticker q-quantile of the stored scores (exact), compared as detection compares them."""
+    return if_threshold(results, q)
 
 
 def default_threshold(results: DataFrame, ticker: str, q: float = 0.02) -> Column:
@@ -216,10 +213,11 @@ def score_pivot(p: DataFrame, selection: Sequence[str]) -> DataFrame:
     return long.groupBy(TIME).pivot(KEY, sorted(set(selection))).agg(F.first("if_score"))
 
 
-def _pair_stats(long: DataFrame, pairs: DataFrame) -> DataFrame:
+def _pair_stats(long: DataFrame) -> DataFrame:
+    """Correlation of every pair a < b: the matrix of the selection, so its size is the selection's square."""
     a = long.select(TIME, F.col(KEY).alias("a"), F.col("if_score").alias("sa"))
     b = long.select(TIME, F.col(KEY).alias("b"), F.col("if_score").alias("sb"))
-    j = a.join(F.broadcast(pairs), "a").join(b, [TIME, "b"])
+    j = a.join(b, TIME).filter(F.col("a") < F.col("b"))
     return j.groupBy("a", "b").agg(
         F.try_divide(F.covar_samp("sa", "sb"),
                      F.stddev_samp("sa") * F.stddev_samp("sb")).alias("corr"))
@@ -228,14 +226,12 @@ def _pair_stats(long: DataFrame, pairs: DataFrame) -> DataFrame:
 def score_corr(p: DataFrame, selection: Sequence[str]) -> DataFrame:
     """Pearson correlation of scores for every pair of selected tickers (rounded
     to 2), over complete dates; symmetric with unit diagonal; empty for one ticker.
-    The pair list comes from the (bounded) selection, not from the data."""
+    The work is dates x selection squared: the selection is a list of names that a user picks, some hundreds at most."""
     sel = sorted(set(selection))
     if len(sel) < 2:
         return p.sparkSession.createDataFrame([], "a string, b string, corr double")
     long = complete_dates(p, sel)
-    pairs = p.sparkSession.createDataFrame([(x, y) for i, x in enumerate(sel) for y in sel[i + 1:]],
-                                           "a string, b string")
-    upper = _pair_stats(long, pairs).withColumn("corr", round_half_away(F.col("corr"), 2))
+    upper = _pair_stats(long).withColumn("corr", round_half_away(F.col("corr"), 2))
     present = long.select(F.col(KEY).alias("a")).distinct()
     diag = present.select("a", F.col("a").alias("b"), F.lit(1.0).alias("corr"))
     lower = upper.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
@@ -247,8 +243,9 @@ def pair_verdict(p: DataFrame, selection: Sequence[str], pairs: Sequence[tuple[s
     long = complete_dates(p, selection)
     spark = p.sparkSession
     ptab = spark.createDataFrame([(a, b, float(c)) for a, b, c in pairs], "a string, b string, cut double")
-    st = _pair_stats(long, ptab.select("a", "b"))
-    return (st.join(ptab, ["a", "b"])
+    st = _pair_stats(long)
+    both = st.unionByName(st.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
+    return (both.join(ptab, ["a", "b"])
             .select("a", "b", "corr", "cut",
                     F.when(F.col("corr") > F.col("cut"), F.lit("above")).otherwise(F.lit("below"))
                     .alias("verdict")))
@@ -257,18 +254,13 @@ def pair_verdict(p: DataFrame, selection: Sequence[str], pairs: Sequence[tuple[s
 def heatmap(p: DataFrame, selection: Sequence[str]) -> DataFrame:
     """A18 (long form): ticker x month consensus counts over all months present, 0 where
     a ticker has no flag that month, null (NaN in the reference) for a selected ticker
-    without any rows. The dense matrix comes from an explicit-value pivot (months are
-    a calendar dimension) and is unpivoted; no cross join."""
+    without any rows. Each month present is given every selected ticker, then joined with the counts."""
     counts = monthly_consensus(p)
-    months = [r[0] for r in counts.select("month").distinct().orderBy("month").collect()]
-    if not months:
-        return p.sparkSession.createDataFrame([], "ticker string, month string, consensus_count double")
-    wide = (counts.groupBy(KEY).pivot("month", months)
-            .agg(F.sum("consensus_count").cast("double")).na.fill(0.0))
-    sel = p.sparkSession.createDataFrame([(t, i) for i, t in enumerate(selection)], "ticker string, _ord int")
-    wide = sel.join(wide, KEY, "left")
-    stack = ", ".join(f"'{m}', `{m}`" for m in months)
-    return wide.selectExpr(KEY, f"stack({len(months)}, {stack}) AS (month, consensus_count)")
+    grid = counts.select("month").distinct().withColumn(KEY, F.explode(F.array(*[F.lit(t) for t in selection])))
+    there = counts.select(KEY).distinct().withColumn("_there", F.lit(True))
+    full = grid.join(counts, ["month", KEY], "left").join(there, KEY, "left")
+    count = F.coalesce(F.col("consensus_count").cast("double"), F.when(F.col("_there"), F.lit(0.0)))
+    return full.select(KEY, "month", count.alias("consensus_count"))
 
 
 def rolling_rate(p: DataFrame, bars: int = ROLLING_RATE_BARS) -> DataFrame:
@@ -326,9 +318,9 @@ def agreement(p: DataFrame) -> DataFrame:
     return agg.select(KEY, "n_both", "n_either", pct.alias("agreement_pct"), band.alias("guide"))
 
 
-def ticker_labels(results: DataFrame) -> DataFrame:
-    """Display label from the fixed table, else the ticker itself."""
+def ticker_labels(results: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
+    """Display label from the table of known labels, else the ticker itself."""
     spark = results.sparkSession
-    labels = spark.createDataFrame(list(TICKER_LABELS.items()), "ticker string, label string")
+    labels = spark.createDataFrame(list((known or TICKER_LABELS).items()), "ticker string, label string")
     t = results.select(KEY).distinct()
-    return t.join(F.broadcast(labels), KEY, "left").select(KEY, F.coalesce("label", KEY).alias("label"))
+    return t.join(labels, KEY, "left").select(KEY, F.coalesce("label", KEY).alias("label"))

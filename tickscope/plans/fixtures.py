@@ -5,21 +5,25 @@ from __future__ import annotations
 import hashlib
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from ..operators.detect import DetectParams
-from ..operators.windows import series_stats
+from ..operators.detect import DetectParams, Models
+from ..schemas import KEY, TIME
 from ..session import configure
 from ..sources.bars import bars_from_brands, bars_from_events, bars_from_lineitem, read_table
 from .tables import lookup, materialize, materialize_lazy, table_key
 
+#: The registered detection runs whose band SQL can restate; ``detect_map`` runs the default.
+DECOMPOSE = DetectParams(baseline="decompose")
+
 
 def brand_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wider daily ticker set: one series per part brand (lineitem joined with part)."""
     configure(spark)
     return materialize_lazy(
         spark, lambda: bars_from_brands(read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "part")),
-        "bars_brands", table_key(sf_dir, CODE_VERSION))
+        "bars_brands", table_key(spark, sf_dir, ["lineitem", "part"], CODE_VERSION))
 
 
 def _code_version() -> str:
@@ -40,67 +44,76 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture B1: hourly OHLCV bars per event type from ``events``."""
     configure(spark)
     return materialize_lazy(spark, lambda: bars_from_events(read_table(spark, sf_dir, "events")),
-                            "bars_hourly", table_key(sf_dir, CODE_VERSION))
+                            "bars_hourly", table_key(spark, sf_dir, ["events"], CODE_VERSION))
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture B2: daily bars per return flag from ``lineitem`` (seven years)."""
     configure(spark)
     return materialize_lazy(spark, lambda: bars_from_lineitem(read_table(spark, sf_dir, "lineitem")),
-                            "bars_daily", table_key(sf_dir, CODE_VERSION))
+                            "bars_daily", table_key(spark, sf_dir, ["lineitem"], CODE_VERSION))
+
+
+#: Bars (by position) at which the gate's fixture has no volume: inside the warm-up of the first ticker, past it in the second.
+EARLY_ZERO, LATE_ZERO = ("A", 10), ("N", 80)
+
+
+def daily_bars_with_zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture B2 with one zero volume inside the warm-up of a ticker and one past it in another."""
+    bars = daily_bars(spark, sf_dir).withColumn("_at", F.row_number().over(Window.partitionBy(KEY).orderBy(TIME)) - 1)
+    hit = [(F.col(KEY) == t) & (F.col("_at") == at) for t, at in (EARLY_ZERO, LATE_ZERO)]
+    return bars.withColumn("Volume", F.when(hit[0] | hit[1], F.lit(0.0)).otherwise(F.col("Volume"))).drop("_at")
 
 
-_RUNS: dict[tuple, tuple[DataFrame, DataFrame, DataFrame]] = {}
+_RUNS: dict[tuple, tuple[Models, DataFrame]] = {}
+_SOURCES = {"hourly": ["events"], "daily": ["lineitem"], "brands": ["lineitem", "part"]}
 
 
-def _run(spark: SparkSession, sf_dir: str, bars_fn, tag: str, params: DetectParams):
-    """Detection run for a fixture: stored scaler, stored forest, stored results.
+def _run(spark: SparkSession, sf_dir: str, bars_fn, tag: str, params: DetectParams) -> tuple[Models, DataFrame]:
+    """Detection run for a fixture: stored models, stored results.
     Trains once per session (features built once), later calls read the tables."""
     from ..operators.detect import fit_and_detect
-    memo = (id(spark.sparkContext), sf_dir, tag, params)
+    key = table_key(spark, sf_dir, _SOURCES[tag], CODE_VERSION, tag, params)
+    memo = (id(spark.sparkContext), key)
     if memo in _RUNS:
         return _RUNS[memo]
-    key = table_key(sf_dir, CODE_VERSION, tag, params)
-    names = {"scaler": "model_scaler", "forest": "model_forest"}
-    cached = [lookup(spark, n, key) for n in ("model_scaler", "model_forest", f"results_{tag}")]
-    if all(c is not None for c in cached):
-        _RUNS[memo] = tuple(cached)
-        return _RUNS[memo]
-
-    bars = bars_fn(spark, sf_dir)
-    n_series = series_stats(bars).n_series
+    names = [f"model_{n}" for n in ("scaler", "forest", "baseline")]
+    stored: dict[str, DataFrame] = {}
 
     def store(name, df):
-        return materialize(spark, df, names[name], key, n_series=n_series)
+        stored[name] = materialize(spark, df, f"model_{name}", key)
+        return stored[name]
 
     def cut(df):
-        return materialize(spark, df, f"features_{tag}", key, n_series=n_series)
-    scaler, forest, results = fit_and_detect(bars, params, store, cut)
-    results = materialize(spark, results, f"results_{tag}", key, n_series=n_series)
-    _RUNS[memo] = (scaler, forest, results)
+        return materialize(spark, df, f"features_{tag}", key)
+    cached = [lookup(spark, n, key) for n in [*names, f"results_{tag}"]]
+    if all(c is not None for c in cached):
+        _RUNS[memo] = Models(*cached[:3]), cached[3]
+        return _RUNS[memo]
+    results = fit_and_detect(bars_fn(spark, sf_dir), params, store, cut)[2]
+    results = materialize(spark, results, f"results_{tag}", key)
+    _RUNS[memo] = Models(stored["scaler"], stored["forest"], stored["baseline"]), results
     return _RUNS[memo]
 
 
-def hourly_models(spark: SparkSession, sf_dir: str, params: DetectParams | None = None):
-    s, f, _r = _run(spark, sf_dir, hourly_bars, "hourly", params or DetectParams())
-    return s, f
+def hourly_models(spark: SparkSession, sf_dir: str, params: DetectParams = DECOMPOSE) -> Models:
+    return _run(spark, sf_dir, hourly_bars, "hourly", params)[0]
 
 
-def daily_models(spark: SparkSession, sf_dir: str, params: DetectParams | None = None):
-    s, f, _r = _run(spark, sf_dir, daily_bars, "daily", params or DetectParams())
-    return s, f
+def daily_models(spark: SparkSession, sf_dir: str, params: DetectParams = DECOMPOSE) -> Models:
+    return _run(spark, sf_dir, daily_bars, "daily", params)[0]
 
 
-def hourly_results(spark: SparkSession, sf_dir: str, params: DetectParams | None = None) -> DataFrame:
+def hourly_results(spark: SparkSession, sf_dir: str, params: DetectParams = DECOMPOSE) -> DataFrame:
     """Detection results for B1 (trains and stores the models on first use)."""
-    return _run(spark, sf_dir, hourly_bars, "hourly", params or DetectParams())[2]
+    return _run(spark, sf_dir, hourly_bars, "hourly", params)[1]
 
 
-def daily_results(spark: SparkSession, sf_dir: str, params: DetectParams | None = None) -> DataFrame:
+def daily_results(spark: SparkSession, sf_dir: str, params: DetectParams = DECOMPOSE) -> DataFrame:
     """Detection results for B2 (trains and stores the models on first use)."""
-    return _run(spark, sf_dir, daily_bars, "daily", params or DetectParams())[2]
+    return _run(spark, sf_dir, daily_bars, "daily", params)[1]
 
 
-def brand_results(spark: SparkSession, sf_dir: str, params: DetectParams | None = None) -> DataFrame:
+def brand_results(spark: SparkSession, sf_dir: str, params: DetectParams = DECOMPOSE) -> DataFrame:
     """Detection results for the 25 brand series."""
-    return _run(spark, sf_dir, brand_bars, "brands", params or DetectParams())[2]
+    return _run(spark, sf_dir, brand_bars, "brands", params)[1]

@@ -7,13 +7,12 @@ source tables.
 
 from __future__ import annotations
 
-from ..schemas import (ANOMALY_PERCENTILE, INTERVAL_Z, MAX_SAMPLES, MODEL_FEATURES, N_TREES, SEED)
+from ..schemas import (ANOMALY_PERCENTILE, FEATURE_COLS_ALL, INTERVAL_Z, MAX_SAMPLES, MODEL_FEATURES, N_TREES,
+                       SEED)
 
 Q = '"'
 OHLCV_SQL = '"Open", "High", "Low", "Close", "Volume"'
-FEATS = ["daily_return", "log_return", "price_range", "volatility_20d", "volume_change",
-         "volume_zscore", "ma_20", "ma_50", "price_vs_ma20", "price_vs_ma50", "momentum_5d",
-         "momentum_20d"]
+FEATS = FEATURE_COLS_ALL
 MAX_DEPTH = 8
 EULER = 0.5772156649015329
 MIX_PRIME = 2147483647
@@ -136,6 +135,11 @@ def _uniform(*parts: str) -> str:
     return f"(CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT) / 4294967296.0)"
 
 
+def _below(limit: int, *parts: str) -> str:
+    key = " || '|' || ".join(parts)
+    return f"(CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT) % {limit})"
+
+
 def _depth_limit(psi: str) -> str:
     cases = " ".join(f"WHEN {psi} <= {2 ** d} THEN {d}" for d in range(1, MAX_DEPTH))
     return f"(CASE {cases} ELSE {MAX_DEPTH} END)"
@@ -158,20 +162,18 @@ def forest(src: str = "scaled", name: str = "fo", n_trees: int = N_TREES,
   SELECT ticker, count(*) AS n, least(count(*), {max_samples}) AS psi,
          {_depth_limit(f'least(count(*), {max_samples})')} AS depth_limit
   FROM {src} GROUP BY ticker)""",
-        f"""{name}_rows AS (
-  SELECT s.ticker, strftime(s."Date", '%Y-%m-%d %H:%M:%S') AS rk, s.x, z.n, z.psi, z.depth_limit,
-         CAST(CAST(({_uniform(f"'{seed}'", 's.ticker', "strftime(s.\"Date\", '%Y-%m-%d %H:%M:%S')")} * 4294967296.0) AS BIGINT) AS BIGINT) AS h,
-         least(1.0, CAST({n_trees} AS DOUBLE) * CAST(z.psi AS DOUBLE) / CAST(z.n AS DOUBLE)) AS p0
-  FROM {src} s JOIN {name}_sizes z USING (ticker))""",
-        f"""{name}_pre AS (SELECT * FROM {name}_rows WHERE CAST(h AS DOUBLE) / 4294967296.0 < p0)""",
+        f"""{name}_keys AS (
+  SELECT s.ticker, rk, s.x, z.n, z.psi, z.depth_limit, {_below(m, f"'{seed}'", "'row'", 's.ticker', 'rk')} AS h1,
+         {_below(m, f"'{seed}'", "'tie'", 's.ticker', 'rk')} AS h2
+  FROM (SELECT *, CAST(epoch_us("Date") AS VARCHAR) AS rk FROM {src}) s JOIN {name}_sizes z USING (ticker))""",
+        f"""{name}_trees AS (
+  SELECT ticker, CAST(t AS INTEGER) AS t, {_below(m - 1, f"'{seed}'", "'mul'", 'ticker', 'CAST(t AS VARCHAR)')} + 1 AS a,
+         {_below(m, f"'{seed}'", "'add'", 'ticker', 'CAST(t AS VARCHAR)')} AS b FROM {name}_sizes, range(0, {n_trees}) AS r(t))""",
         f"""{name}_ex AS (
-  SELECT ticker, rk, x, psi, depth_limit, t,
-         CAST(((((((h % {m}) * 48271 + (t + 1) * 40692) % {m}) * (((h % {m}) * 48271 + (t + 1) * 40692) % {m})) % {m}) * 69621 + (h % {m})) % {m} AS DOUBLE) / {float(m)!r} AS u,
-         least(1.0, (CAST(psi AS DOUBLE) + CAST(6.0 AS DOUBLE) * sqrt(CAST(psi AS DOUBLE))) / (CAST(n AS DOUBLE) * p0)) AS q
-  FROM {name}_pre, range(0, {n_trees}) AS r(t))""",
+  SELECT k.ticker, rk, x, psi, depth_limit, t, (h1 * a + b) % {m} AS y, h2 FROM {name}_keys k JOIN {name}_trees USING (ticker))""",
         f"""{name}_l0 AS (
-  SELECT ticker, CAST(t AS INTEGER) AS t, x, depth_limit, 0 AS node FROM (
-    SELECT *, row_number() OVER (PARTITION BY ticker, t ORDER BY u, rk) AS rn FROM {name}_ex WHERE u < q)
+  SELECT ticker, t, x, depth_limit, 0 AS node FROM (
+    SELECT *, row_number() OVER (PARTITION BY ticker, t ORDER BY ((y * y) % {m} * 48271 + h2) % {m}, rk) AS rn FROM {name}_ex)
   WHERE rn <= psi)""",
     ]
     mins = ", ".join(f"min(x[{j + 1}])" for j in range(k))
@@ -236,19 +238,27 @@ def detect(bars_ctes: list[str], n_trees: int = N_TREES, q: float = ANOMALY_PERC
         *scaled("features", "scaler", "scaled"),
         *forest("scaled", "fo", n_trees),
         *score("scaled", "fo", "scores", n_trees),
-        f"""thresholds AS (SELECT ticker, quantile_cont(if_score, {q!r}) AS threshold FROM scores GROUP BY ticker)""",
+        f"""thresholds AS (SELECT ticker, quantile_cont(round(if_score, 9), {q!r}) AS threshold FROM scores GROUP BY ticker)""",
         f"""results AS (
   SELECT f.ticker, f."Date", {OHLCV_SQL}, {', '.join('f.' + c for c in FEATS)},
-         s.if_score, CAST(coalesce(s.if_score <= t.threshold, false) AS INTEGER) AS if_anomaly,
+         s.if_score, CAST(coalesce(round(s.if_score, 9) <= t.threshold, false) AS INTEGER) AS if_anomaly,
          f.yhat, f.yhat_lower, f.yhat_upper, f.residual, f.band_anomaly,
-         CAST(coalesce(s.if_score <= t.threshold AND f.band_anomaly = 1, false) AS INTEGER) AS consensus_anomaly
+         CAST(coalesce(round(s.if_score, 9) <= t.threshold AND f.band_anomaly = 1, false) AS INTEGER) AS consensus_anomaly
   FROM scaled f JOIN scores s USING (ticker, "Date") JOIN thresholds t USING (ticker))""",
     ]
 
 
-def round_cols(cols: list[str], doubles: set[str], digits: int = 6) -> str:
-    out = []
-    for c in cols:
-        qc = f'"{c}"'
-        out.append(f"round({qc}, {digits}) AS {qc}" if c in doubles else qc)
-    return ", ".join(out)
+def design(src: str = "bars", name: str = "dz") -> list[str]:
+    """Scaled closes with the 53 regression columns of the trend-and-seasonality model, and y as the 54th."""
+    probs = ", ".join(f"{0.8 * j / 25!r}" for j in range(1, 26))
+    d = 'epoch_us("Date") / 86400000000.0::DOUBLE'
+    waves = [f"{fn}({2.0 * 3.141592653589793 * i / period!r}::DOUBLE * d)" for period, order in ((7.0, 3), (365.25, 10))
+             for i in range(1, order + 1) for fn in ("sin", "cos")]
+    t = "((d - t0) / CASE WHEN t1 > t0 THEN t1 - t0 ELSE 1 END)"
+    bends = f"list_transform(cp, lambda s: greatest({t} - (s - t0) / CASE WHEN t1 > t0 THEN t1 - t0 ELSE 1 END, 0))"
+    return [
+        f"""{name}_s AS (SELECT ticker, min({d}) AS t0, max({d}) AS t1, max(abs("Close")) AS y_scale,
+  quantile_disc({d}, [{probs}]) AS cp FROM {src} GROUP BY ticker)""",
+        f"""{name} AS (SELECT ticker, list_concat([1.0::DOUBLE, {t}], {bends}, [{', '.join(waves)}], [coalesce("Close" / nullif(y_scale, 0), 0)]) AS z
+  FROM (SELECT *, {d} AS d FROM {src}) JOIN {name}_s USING (ticker))""",
+    ]

@@ -9,11 +9,13 @@ from ..operators import iforest
 from ..operators.detect import DetectParams, RESULT_COLS, detect, detect_summary, scored_features
 from ..operators.features import build_features, model_features
 from ..operators.scaler import fit_scaler
+from ..operators.live import history_guard, latest_bar
 from ..operators.windows import series_stats
 from ..schemas import FEATURE_COLS_ALL, MODEL_FEATURES, OHLCV
 from ..sources.bars import date_range, load_status, read_table, recent_bars
 from . import oracle as O
-from .fixtures import daily_bars, daily_results, hourly_bars, hourly_results
+from .fixtures import (DECOMPOSE, EARLY_ZERO, LATE_ZERO, daily_bars, daily_bars_with_zeros, daily_results, hourly_bars,
+                       hourly_results)
 from .registry import register
 
 BAR_COLS = ["ticker", "Date", *OHLCV]
@@ -68,18 +70,13 @@ def q_recent_bars(spark, sf):
 SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY "Date" DESC) AS rn FROM bars)
 WHERE rn = 1"""))
 def q_latest_bar(spark, sf):
-    b = daily_bars(spark, sf)
-    last = b.groupBy("ticker").agg(F.max_by(F.struct(*[c for c in b.columns if c != "ticker"]),
-                                            F.col("Date")).alias("r"))
-    return last.select("ticker", "r.*")
+    return latest_bar(daily_bars(spark, sf))
 
 
 @register("history_guard", ["ticker", "n_bars", "enough"], [], O.with_(O.bars_events(), """
 SELECT ticker, count(*) AS n_bars, count(*) >= 60 AS enough FROM bars GROUP BY ticker"""))
 def q_history_guard(spark, sf):
-    b = hourly_bars(spark, sf)
-    return (b.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_bars"))
-            .withColumn("enough", F.col("n_bars") >= 60))
+    return history_guard(hourly_bars(spark, sf))
 
 
 # --- features ----------------------------------------------------------------
@@ -136,8 +133,7 @@ _FOREST_CTES = [*O.bars_events(), *O.features("bars", "features"), *O.scaler("fe
 @register("forest_nodes", ["ticker", "t", "node", "feature", "threshold"], ["threshold"],
           O.with_(_FOREST_CTES, "SELECT ticker, t, node, CAST(f AS INTEGER) AS feature, thr AS threshold FROM fo_splits"))
 def q_forest_nodes(spark, sf):
-    _scaled, forest, _ = scored_features(hourly_bars(spark, sf), with_baseline=False)
-    return iforest.forest_nodes(forest)
+    return iforest.forest_nodes(scored_features(hourly_bars(spark, sf), with_baseline=False)[1].forest)
 
 
 @register("forest_shape", ["ticker", "n_trees", "n_splits", "n_leaves"], [],
@@ -146,7 +142,7 @@ SELECT s.ticker, s.n_trees, s.n_splits, l.n_leaves FROM
  (SELECT ticker, count(DISTINCT t) AS n_trees, count(*) AS n_splits FROM fo_splits GROUP BY ticker) s
  JOIN (SELECT ticker, count(*) AS n_leaves FROM fo_leaves GROUP BY ticker) l USING (ticker)"""))
 def q_forest_shape(spark, sf):
-    _scaled, forest, _ = scored_features(hourly_bars(spark, sf), with_baseline=False)
+    forest = scored_features(hourly_bars(spark, sf), with_baseline=False)[1].forest
     return forest.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_trees"),
                                         F.sum("n_splits").cast("long").alias("n_splits"),
                                         F.sum("n_leaves").cast("long").alias("n_leaves"))
@@ -155,8 +151,8 @@ def q_forest_shape(spark, sf):
 @register("if_scores", ["ticker", "Date", "mean_path", "if_score"], ["mean_path", "if_score"],
           O.with_([*_FOREST_CTES, *O.score("scaled", "fo")], "SELECT ticker, \"Date\", mean_path, if_score FROM scores"))
 def q_if_scores(spark, sf):
-    scaled, forest, stats = scored_features(hourly_bars(spark, sf), with_baseline=False)
-    return iforest.score(scaled, forest, stats.n_series, keep=[], total_rows=stats.total_rows)
+    scaled, models, _stats = scored_features(hourly_bars(spark, sf), with_baseline=False)
+    return iforest.score(scaled, models.forest, keep=[])
 
 
 # --- baseline ----------------------------------------------------------------
@@ -210,9 +206,8 @@ def q_detect_daily(spark, sf):
 def q_if_threshold(spark, sf):
     from ..operators.detect import if_threshold
     b = hourly_bars(spark, sf)
-    scaled, forest, stats = scored_features(b)
-    scored = iforest.score(scaled, forest, stats.n_series, keep=[], total_rows=stats.total_rows)
-    return if_threshold(scored, DetectParams().percentile, stats)
+    scaled, models, _stats = scored_features(b, with_baseline=False)
+    return if_threshold(iforest.score(scaled, models.forest, keep=[]), DetectParams().percentile)
 
 
 SUMMARY_COLS = ["ticker", "n_rows", "n_if", "n_band", "n_consensus", "threshold"]
@@ -225,7 +220,7 @@ SELECT r.ticker, count(*) AS n_rows, CAST(sum(if_anomaly) AS BIGINT) AS n_if,
 FROM results r JOIN thresholds t USING (ticker) GROUP BY r.ticker"""))
 def q_detect_summary(spark, sf):
     from ..operators.detect import detect_with_threshold
-    r = detect_with_threshold(hourly_bars(spark, sf))
+    r = detect_with_threshold(hourly_bars(spark, sf), DECOMPOSE)
     thr = r.groupBy("ticker").agg(F.first("threshold").alias("threshold"))
     return detect_summary(r, thr)
 
@@ -233,32 +228,59 @@ def q_detect_summary(spark, sf):
 @register("consensus", ["ticker", "Date", "Close", "if_score", "residual"], ["Close", "if_score", "residual"],
           _detect_sql(O.bars_events(), 'SELECT ticker, "Date", "Close", if_score, residual FROM results WHERE consensus_anomaly = 1'))
 def q_consensus(spark, sf):
-    r = detect(hourly_bars(spark, sf))
+    r = detect(hourly_bars(spark, sf), DECOMPOSE)
     return r.filter(F.col("consensus_anomaly") == 1)
 
 
 STATUS_REQUEST = ["A", "N", "R", "X"]
 
 
-@register("detect_status", ["ticker", "n_bars", "n_feature_rows", "ok", "reason"], [],
-          O.with_([*O.bars_daily(), *O.features("bars", "features")], """
-SELECT r.ticker, coalesce(b.n_bars, 0) AS n_bars, coalesce(f.n_feature_rows, 0) AS n_feature_rows,
-       CASE WHEN coalesce(b.n_bars, 0) = 0 THEN 'no data'
-            WHEN coalesce(f.n_feature_rows, 0) < 2 THEN 'too few feature rows'
-            WHEN b.n_bad > 0 THEN 'non-finite feature' END IS NULL AS ok,
-       CASE WHEN coalesce(b.n_bars, 0) = 0 THEN 'no data'
-            WHEN coalesce(f.n_feature_rows, 0) < 2 THEN 'too few feature rows'
-            WHEN b.n_bad > 0 THEN 'non-finite feature' END AS reason
+def _status_sql(src: str) -> str:
+    """From the definitions: a row survives the drop if no feature is undefined (0 / 0, a short window, an infinite return in a
+    window); it is bad if a surviving model input is infinite (x / 0, the logarithm of 0)."""
+    return f"""
+SELECT r.ticker, coalesce(b.n_bars, 0) AS n_bars, coalesce(f.n, 0) AS n_feature_rows, reason IS NULL AS ok, reason
 FROM (VALUES ('A'), ('N'), ('R'), ('X')) AS r(ticker)
-LEFT JOIN (SELECT ticker, count(*) AS n_bars, coalesce(max(bad), 0) AS n_bad FROM (
-    SELECT ticker, CAST(lag("Close") OVER w = 0 OR lag("Volume") OVER w = 0 OR "Close" = 0 AS INTEGER) AS bad
-    FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY "Date")) GROUP BY ticker) b USING (ticker)
-LEFT JOIN (SELECT ticker, count(*) AS n_feature_rows FROM features GROUP BY ticker) f USING (ticker)"""))
+LEFT JOIN (SELECT ticker, count(*) AS n_bars FROM {src} GROUP BY ticker) b USING (ticker)
+LEFT JOIN (
+  SELECT ticker, count(*) AS n, max(CAST(("Close" = 0 AND c1 > 0) OR ("Close" = 0 AND "High" <> "Low") OR (v1 = 0 AND "Volume" <> 0) AS INTEGER)) AS bad
+  FROM (
+    SELECT *, "Close" AS c, row_number() OVER w AS pos, lag("Close") OVER w AS c1, lag("Volume") OVER w AS v1,
+           min("Close") OVER (PARTITION BY ticker ORDER BY "Date" ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS low_before,
+           stddev_samp("Volume") OVER (PARTITION BY ticker ORDER BY "Date" ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS sv
+    FROM {src} WINDOW w AS (PARTITION BY ticker ORDER BY "Date"))
+  WHERE pos >= 50 AND low_before > 0 AND sv > 0 AND NOT ("Close" = 0 AND "High" = "Low") AND NOT (v1 = 0 AND "Volume" = 0)
+  GROUP BY ticker) f USING (ticker),
+LATERAL (SELECT CASE WHEN coalesce(b.n_bars, 0) = 0 THEN 'no data' WHEN coalesce(f.n, 0) < 2 THEN 'too few feature rows'
+                     WHEN f.bad > 0 THEN 'non-finite feature' END AS reason)"""
+
+
+@register("detect_status", ["ticker", "n_bars", "n_feature_rows", "ok", "reason"], [], O.with_(O.bars_daily(), _status_sql("bars")))
 def q_detect_status(spark, sf):
     from ..operators.detect import detect_status
     return detect_status(daily_bars(spark, sf), STATUS_REQUEST)
 
 
+ZEROS = [f"""zeros AS (
+  SELECT * EXCLUDE (pos, "Volume"), CASE WHEN (ticker = '{EARLY_ZERO[0]}' AND pos = {EARLY_ZERO[1]}) OR (ticker = '{LATE_ZERO[0]}' AND pos = {LATE_ZERO[1]})
+         THEN 0 ELSE "Volume" END AS "Volume" FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY "Date") - 1 AS pos FROM bars))"""]
+
+
+@register("detect_gate", ["ticker", "n_bars", "n_feature_rows", "ok", "reason"], [], O.with_([*O.bars_daily(), *ZEROS], _status_sql("zeros")))
+def q_detect_gate(spark, sf):
+    """A zero volume inside the warm-up does no harm, one past it fails its ticker."""
+    from ..operators.detect import detect_status
+    return detect_status(daily_bars_with_zeros(spark, sf), STATUS_REQUEST)
+
+
+@register("detect_gate_rows", ["ticker", "n_rows"], [], O.with_(O.bars_daily(), f"""
+SELECT ticker, count(*) - 49 AS n_rows FROM bars WHERE ticker <> '{LATE_ZERO[0]}' GROUP BY ticker"""))
+def q_detect_gate_rows(spark, sf):
+    """The run gives no row of the failed ticker and all feature rows of the others."""
+    r = detect(daily_bars_with_zeros(spark, sf), DECOMPOSE)
+    return r.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @register("if_flags", ["ticker", "Date", "if_score", "if_anomaly"], ["if_score"],
           _detect_sql(O.bars_events(), 'SELECT ticker, "Date", if_score, if_anomaly FROM results'))
 def q_if_flags(spark, sf):
@@ -266,17 +288,38 @@ def q_if_flags(spark, sf):
 
 
 @register("baseline_map", BASE_COLS, ["Close", "yhat", "yhat_lower", "yhat_upper", "residual"], None,
-          note="MAP changepoint/seasonality fit: rows-only check; tested by KKT conditions")
+          note="MAP changepoint/seasonality fit: rows-only check; its sums and its optimality have keys of their own")
 def q_baseline_map(spark, sf):
     from ..operators.baseline_map import baseline_map
     b = daily_bars(spark, sf)
     return baseline_map(b, series_stats(b).n_series)
 
 
+@register("map_gram", ["ticker", "i", "j", "value"], ["value"], O.with_([*O.bars_daily(), *O.design()], """
+SELECT ticker, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, sum(z[i + 1] * z[j + 1]) AS value
+FROM dz, range(0, 54) AS a(i), range(0, 54) AS b(j) WHERE i <= j GROUP BY 1, 2, 3"""))
+def q_map_gram(spark, sf):
+    """The sums that the MAP fit rests on: the upper triangle of Z'Z, Z = [X y]."""
+    from ..operators import baseline_map as bm
+    b = daily_bars(spark, sf)
+    sums = bm.gram_sums(b, bm.series_scalars(b), series_stats(b).n_series)
+    at = [F.get(F.array(*[F.lit(int(k)) for k in index]), F.col("pos")) for index in bm.TRIANGLE]
+    return sums.select("ticker", at[0].alias("i"), at[1].alias("j"), F.col("v").alias("value"))
+
+
+@register("map_kkt", ["ticker", "converged"], [], O.with_(O.bars_brands(), "SELECT DISTINCT ticker, true AS converged FROM bars"))
+def q_map_kkt(spark, sf):
+    """Every series' MAP fit meets its optimality conditions."""
+    from ..operators.baseline_map import fit_map
+    from .fixtures import brand_bars
+    b = brand_bars(spark, sf)
+    return fit_map(b, series_stats(b).n_series).select("ticker", "converged")
+
+
 @register("detect_map", RESULT_COLS, RESULT_DOUBLES, None,
           note="full detection with the MAP band: rows-only check")
 def q_detect_map(spark, sf):
-    return daily_results(spark, sf, DetectParams(baseline="map"))
+    return daily_results(spark, sf, DetectParams())
 
 
 @register("bars_brands", BAR_COLS, OHLCV, O.with_(O.bars_brands(), "SELECT * FROM bars"))

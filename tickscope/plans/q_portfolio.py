@@ -55,12 +55,15 @@ def q_extent(spark, sf):
 KPI_COLS = ["total_rows", "total_if", "total_band", "total_consensus", "pct_if", "pct_band", "pct_consensus"]
 
 
-@register("kpis", KPI_COLS, ["pct_if", "pct_band", "pct_consensus"], sql(f"""
+KPI_SQL = f"""
 SELECT *, {H} * total_if / greatest(total_rows, 1) AS pct_if, {H} * total_band / greatest(total_rows, 1) AS pct_band,
        {H} * total_consensus / greatest(total_rows, 1) AS pct_consensus FROM (
   SELECT count(*) AS total_rows, CAST(coalesce(sum(if_anomaly), 0) AS BIGINT) AS total_if,
          CAST(coalesce(sum(band_anomaly), 0) AS BIGINT) AS total_band,
-         CAST(coalesce(sum(consensus_anomaly), 0) AS BIGINT) AS total_consensus FROM results)"""))
+         CAST(coalesce(sum(consensus_anomaly), 0) AS BIGINT) AS total_consensus FROM results)"""
+
+
+@register("kpis", KPI_COLS, ["pct_if", "pct_band", "pct_consensus"], sql(KPI_SQL))
 def q_kpis(spark, sf):
     return P.kpis(_res(spark, sf))
 
@@ -106,8 +109,7 @@ GROUP BY ticker"""
 @register("portfolio_summary", SUMMARY_COLS, ["period_return_pct", "daily_vol_pct", "consensus_rate_pct"],
           sql(SUMMARY_SQL))
 def q_portfolio_summary(spark, sf):
-    r = _res(spark, sf)
-    return P.portfolio_summary(r, series_stats(r).n_series)
+    return P.portfolio_summary(_res(spark, sf))
 
 
 @register("score_series", ["ticker", "Date", "if_score"], ["if_score"],
@@ -220,9 +222,12 @@ def q_heatmap(spark, sf):
     return P.heatmap(P.port(r, tickers=SEL_WITH_MISSING), SEL_WITH_MISSING)
 
 
-@register("rolling_rate", ["ticker", "Date", "rolling_rate_pct"], ["rolling_rate_pct"], sql("""
+ROLLING_SQL = """
 SELECT ticker, "Date", CASE WHEN count(consensus_anomaly) OVER w = 30 THEN avg(consensus_anomaly) OVER w END * 100 AS rolling_rate_pct
-FROM results WINDOW w AS (PARTITION BY ticker ORDER BY "Date" ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"""))
+FROM results WINDOW w AS (PARTITION BY ticker ORDER BY "Date" ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"""
+
+
+@register("rolling_rate", ["ticker", "Date", "rolling_rate_pct"], ["rolling_rate_pct"], sql(ROLLING_SQL))
 def q_rolling_rate(spark, sf):
     return P.rolling_rate(_res(spark, sf))
 
@@ -245,8 +250,7 @@ SELECT ticker, consensus_rate_pct, daily_vol_pct,
        CASE WHEN consensus_rate_pct > 5 OR daily_vol_pct > 2.5 THEN 'elevated'
             WHEN consensus_rate_pct > 2 THEN 'moderate' ELSE 'stable' END AS tier FROM ({SUMMARY_SQL})"""))
 def q_risk_tier(spark, sf):
-    r = _res(spark, sf)
-    return P.risk_tier(P.portfolio_summary(r, series_stats(r).n_series))
+    return P.risk_tier(P.portfolio_summary(_res(spark, sf)))
 
 
 @register("stress_months", ["month", "n_tickers"], [], sql(f"""
@@ -266,9 +270,60 @@ def q_agreement(spark, sf):
     return P.agreement(_res(spark, sf))
 
 
-@register("ticker_labels", ["ticker", "label"], [], sql("SELECT DISTINCT ticker, ticker AS label FROM results"))
+LABELS = {"A": "A — Accepted", "R": "R — Returned"}
+
+
+@register("ticker_labels", ["ticker", "label"], [], sql("""
+SELECT DISTINCT ticker, CASE ticker WHEN 'A' THEN 'A — Accepted' WHEN 'R' THEN 'R — Returned' ELSE ticker END AS label FROM results"""))
 def q_ticker_labels(spark, sf):
-    return P.ticker_labels(_res(spark, sf))
+    return P.ticker_labels(_res(spark, sf), LABELS)
+
+
+# --- the same over a date range: lags, rolling windows and bases start anew at its first bar
+
+def _range_sql(body: str) -> str:
+    cut = f"""ranged AS (SELECT * FROM results WHERE CAST("Date" AS DATE) BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}')"""
+    return sql(body.replace("FROM results", "FROM ranged"), [cut])
+
+
+def _ranged(spark, sf):
+    return P.port(_res(spark, sf), *RANGE)
+
+
+@register("portfolio_summary_range", SUMMARY_COLS, ["period_return_pct", "daily_vol_pct", "consensus_rate_pct"], _range_sql(SUMMARY_SQL))
+def q_portfolio_summary_range(spark, sf):
+    return P.portfolio_summary(_ranged(spark, sf))
+
+
+@register("normalised_price_range", ["ticker", "Date", "norm_price"], ["norm_price"],
+          _range_sql(f"SELECT ticker, \"Date\", norm_price FROM ({NORM_SQL})"))
+def q_normalised_price_range(spark, sf):
+    return P.normalised_price(_ranged(spark, sf))
+
+
+@register("rolling_rate_range", ["ticker", "Date", "rolling_rate_pct"], ["rolling_rate_pct"], _range_sql(ROLLING_SQL))
+def q_rolling_rate_range(spark, sf):
+    return P.rolling_rate(_ranged(spark, sf))
+
+
+@register("kpis_range", KPI_COLS, ["pct_if", "pct_band", "pct_consensus"], _range_sql(KPI_SQL))
+def q_kpis_range(spark, sf):
+    return P.kpis(_ranged(spark, sf))
+
+
+@register("heatmap_range", ["ticker", "month", "consensus_count"], ["consensus_count"], _range_sql(f"""
+SELECT s.ticker, m.month, CAST(coalesce(c.n, 0) AS DOUBLE) AS consensus_count
+FROM (VALUES ('A'), ('N'), ('R')) AS s(ticker) CROSS JOIN (SELECT DISTINCT strftime("Date", '%Y-%m') AS month FROM results) m
+LEFT JOIN (SELECT ticker, strftime("Date", '%Y-%m') AS month, sum(consensus_anomaly) AS n FROM results GROUP BY 1, 2) c USING (ticker, month)"""))
+def q_heatmap_range(spark, sf):
+    return P.heatmap(_ranged(spark, sf), SEL)
+
+
+@register("score_pivot_wide", ["Date", *SEL], SEL, sql("""
+SELECT "Date", max(if_score) FILTER (ticker = 'A') AS "A", max(if_score) FILTER (ticker = 'N') AS "N", max(if_score) FILTER (ticker = 'R') AS "R"
+FROM complete GROUP BY 1""", [_complete_sql(SEL)]))
+def q_score_pivot_wide(spark, sf):
+    return P.score_pivot(_res(spark, sf), SEL)
 
 
 @register("portfolio_summary_text", ["ticker", "period_return", "daily_vol", "n_if", "n_band", "n_consensus",
@@ -277,5 +332,4 @@ SELECT ticker, printf('%+.1f%%', round(period_return_pct, 1)) AS period_return,
        printf('%.2f%%', round(daily_vol_pct, 2)) AS daily_vol, n_if, n_band, n_consensus,
        printf('%.2f%%', round(consensus_rate_pct, 2)) AS consensus_rate FROM ({SUMMARY_SQL})"""))
 def q_portfolio_summary_text(spark, sf):
-    r = _res(spark, sf)
-    return P.summary_text(P.portfolio_summary(r, series_stats(r).n_series))
+    return P.summary_text(P.portfolio_summary(_res(spark, sf)))

@@ -6,15 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import live as L
 from ..operators.portfolio import stored_thresholds
 from ..session import scratch_path
 from ..streaming.bars_stream import run_bars_available_now
-from ..streaming.live_stream import read_bar_stream, start_live_scoring
+from ..streaming.live_stream import latest_per_ticker, latest_scores, read_bar_stream, start_live_scoring
 from . import oracle as O
-from .fixtures import CODE_VERSION, daily_bars, daily_models, daily_results
-from .q_alerts import _live_ctes
+from .fixtures import daily_bars, daily_models, daily_results
 from .registry import register
-from .tables import table_key, write_once
 
 BAR_COLS = ["ticker", "Date", "Open", "High", "Low", "Close", "Volume"]
 
@@ -27,49 +26,58 @@ def q_stream_bars(spark, sf):
                                   scratch_path(spark, "stream_bars", run, "ckpt"), glob="events.parquet")
 
 
-def _stream_live(spark, sf):
-    """Bars arrive as files; every batch is scored with the stored models."""
-    bars = daily_bars(spark, sf)
-    scaler, forest = daily_models(spark, sf)
+STREAM_FILES = 4
+
+
+def _arrivals(spark, sf) -> str:
+    """The daily bars as STREAM_FILES files that arrive one after the other, each a stretch of time."""
+    bars, run = daily_bars(spark, sf), scratch_path(spark, "stream_src", uuid.uuid4().hex[:12])
+    day = F.unix_date(F.to_date("Date"))
+    first, last = bars.agg(F.min(day)).scalar(), bars.agg(F.max(day)).scalar()
+    numbered = bars.withColumn("_at", F.floor((day - first) * STREAM_FILES / (last - first + 1)))
+    for k in range(STREAM_FILES):
+        numbered.filter(F.col("_at") == k).drop("_at").coalesce(1).write.parquet(f"{run}/arrival={k}")
+    return run
+
+
+STREAM_COLS = ["ticker", "Date", "Close", "if_score", "threshold", "if_anomaly", "daily_return", "volume_zscore"]
+STREAM_DOUBLES = ["Close", "if_score", "threshold", "daily_return", "volume_zscore"]
+STREAM_SQL = O.with_(O.detect(O.bars_daily()), """
+SELECT r.ticker, r."Date", r."Close", r.if_score, t.threshold, r.if_anomaly, r.daily_return, r.volume_zscore
+FROM results r JOIN thresholds t USING (ticker)""")
+
+
+@register("stream_live", STREAM_COLS, STREAM_DOUBLES, STREAM_SQL)
+def q_stream_live(spark, sf):
+    """Bars arrive file by file from an empty history; every bar's newest score equals the batch run's."""
+    models = daily_models(spark, sf)
     thr = stored_thresholds(daily_results(spark, sf))
-    src = write_once(spark, bars, "stream_src", table_key(sf, CODE_VERSION), partition_by=None)
     run = uuid.uuid4().hex[:12]
     sink = scratch_path(spark, "stream_live", run)
-    q = start_live_scoring(spark, read_bar_stream(spark, src), bars, scaler, forest, thr, sink,
-                           scratch_path(spark, "stream_live", run, "ckpt"), available_now=True)
+    q = start_live_scoring(spark, read_bar_stream(spark, _arrivals(spark, sf), max_files=1), None, models.scaler, models.forest,
+                           thr, sink, scratch_path(spark, "stream_live", run, "ckpt"), available_now=True)
     q.awaitTermination()
-    scores = spark.read.parquet(f"{sink}/scores")
-    last = scores.agg(F.max("batch_id")).scalar()
-    return scores.filter(F.col("batch_id") == last).drop("batch_id")
+    return latest_scores(spark, sink)
 
 
-@register("stream_live", ["ticker", "date", "close", "if_score", "threshold", "anomaly", "daily_ret", "vol_z"],
-          ["close", "if_score", "threshold", "daily_ret", "vol_z"],
-          O.with_([*O.detect(O.bars_daily()), *_live_ctes(60)], "SELECT * FROM live"))
-def q_stream_live(spark, sf):
-    return _stream_live(spark, sf)
+@register("stream_live_latest", L.LIVE_COLS, ["close", "if_score", "threshold", "daily_ret", "vol_z"],
+          O.with_(O.detect(O.bars_daily()), """
+SELECT r.ticker, r."Date" AS date, r."Close" AS close, r.if_score, t.threshold, r.if_anomaly = 1 AS anomaly, r.daily_return AS daily_ret, r.volume_zscore AS vol_z
+FROM results r JOIN thresholds t USING (ticker) QUALIFY row_number() OVER (PARTITION BY r.ticker ORDER BY r."Date" DESC) = 1"""))
+def q_stream_live_latest(spark, sf):
+    """The live view of the same stream: each ticker's newest scored bar."""
+    return latest_per_ticker(q_stream_live(spark, sf))
 
 
-def _stream_state(spark, sf):
-    """Bars arrive as files; keyed state carries each ticker's 49-bar halo."""
+@register("stream_state_scores", STREAM_COLS, STREAM_DOUBLES, STREAM_SQL)
+def q_stream_state_scores(spark, sf):
+    """Bars arrive file by file; keyed state carries each ticker's last bars."""
     from ..streaming.state_stream import start_state_scoring
-    bars = daily_bars(spark, sf)
-    scaler, forest = daily_models(spark, sf)
+    models = daily_models(spark, sf)
     thr = stored_thresholds(daily_results(spark, sf))
-    src = write_once(spark, bars, "stream_src", table_key(sf, CODE_VERSION), partition_by=None)
     run = uuid.uuid4().hex[:12]
-    sink = scratch_path(spark, "stream_state", run, "out")
-    q = start_state_scoring(spark, read_bar_stream(spark, src), scaler, forest, thr, sink,
+    sink = scratch_path(spark, "stream_state", run)
+    q = start_state_scoring(spark, read_bar_stream(spark, _arrivals(spark, sf), max_files=1), models.scaler, models.forest, thr, f"{sink}/scores",
                             scratch_path(spark, "stream_state", run, "ckpt"), available_now=True)
     q.awaitTermination()
-    return spark.read.parquet(sink).drop("batch_id")
-
-
-@register("stream_state_scores", ["ticker", "Date", "Close", "if_score", "threshold", "if_anomaly",
-                                  "daily_return", "volume_zscore"],
-          ["Close", "if_score", "threshold", "daily_return", "volume_zscore"],
-          O.with_(O.detect(O.bars_daily()), """
-SELECT r.ticker, r."Date", r."Close", r.if_score, t.threshold, r.if_anomaly, r.daily_return, r.volume_zscore
-FROM results r JOIN thresholds t USING (ticker)"""))
-def q_stream_state_scores(spark, sf):
-    return _stream_state(spark, sf)
+    return latest_scores(spark, sink)

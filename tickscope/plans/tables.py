@@ -15,7 +15,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..schemas import KEY
+from ..schemas import KEY, TIME
 from ..session import scratch_path
 
 _MEMO: dict[tuple[int, str], str] = {}
@@ -47,24 +47,14 @@ def write_once(spark: SparkSession, df: DataFrame, name: str, key: str,
     return path
 
 
-# Up to this many series a table gets one folder per ticker (partition pruning);
-# beyond it, files are written sorted by ticker so parquet row-group statistics
-# still skip unrelated tickers without creating millions of folders.
-MAX_TICKER_FOLDERS = 10_000
-
-
-def layout(df: DataFrame, n_series: int | None) -> tuple[DataFrame, str | None]:
-    if n_series is None or n_series <= MAX_TICKER_FOLDERS:
-        return df, KEY
-    return df.sortWithinPartitions(KEY), None
-
-
 def materialize(spark: SparkSession, df: DataFrame, name: str, key: str,
-                partition_by: str | None = KEY, n_series: int | None = None) -> DataFrame:
-    """Write ``df`` once per (name, key) and return a DataFrame reading the table."""
-    if partition_by == KEY and n_series is not None:
-        df, partition_by = layout(df, n_series)
-    path = write_once(spark, df, name, key, partition_by)
+                partition_by: str | None = KEY) -> DataFrame:
+    """Write ``df`` once per (name, key) and return a DataFrame reading the table.
+
+    One layout: a folder a ticker. Rows are range-partitioned by (ticker, Date) first, so a task writes to few
+    folders and a long series is split over tasks."""
+    order = [c for c in (KEY, TIME, "t") if c in df.columns]
+    path = write_once(spark, df.repartitionByRange(*order) if partition_by and order else df, name, key, partition_by)
     digest = hashlib.sha1(key.encode()).hexdigest()[:16]
     _SCHEMAS[(id(spark.sparkContext), f"{name}/{digest}")] = df.schema
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
@@ -95,5 +85,20 @@ def materialize_lazy(spark: SparkSession, build, name: str, key: str,
     return out
 
 
-def table_key(sf_dir: str, *parts) -> str:
-    return "|".join([os.path.abspath(sf_dir), *[str(p) for p in parts]])
+def fingerprint(spark: SparkSession, sf_dir: str, tables: list[str]) -> str:
+    """Names, lengths and times of the files of the source tables: changed input gives another key."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for table in tables:
+        at = path(os.path.join(sf_dir, f"{table}.parquet"))
+        fs = at.getFileSystem(conf)
+        files = fs.listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha1("|".join(sorted(found)).encode()).hexdigest()[:16]
+
+
+def table_key(spark: SparkSession, sf_dir: str, tables: list[str], *parts) -> str:
+    return "|".join([sf_dir, fingerprint(spark, sf_dir, tables), *[str(p) for p in parts]])

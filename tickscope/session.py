@@ -24,6 +24,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -66,9 +67,8 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the operator and points at shared storage; it is
-    only invented here (a fresh scratch folder) when the session leaves it unset,
-    as in tests and local runs.
+    On a cluster this must be set and point at shared storage. It is only invented here
+    (a fresh scratch folder) when a local session leaves it unset, as in tests.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -76,6 +76,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tickscope-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     sc.setCheckpointDir(path)
