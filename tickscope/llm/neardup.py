@@ -26,7 +26,7 @@ Steps:
 4. components of the verified links.
 
 Missed links: with 25 bands of 5 registers a pair of J = 0.8 shares no band with probability 5e-5; the
-register filter (SLACK below the expected agreement) passes such a pair with 0.9998.
+register filter (SLACK below the expected agreement) passes all but 1e-8 of such pairs.
 
 Null and empty texts have no shingles: each such document is a class of its own. Repeated ids: rows of one id are one
 document to the link graph if their contents agree; else the id stands for any of them. Null ids take no part
@@ -48,8 +48,8 @@ from .components import components
 
 SHINGLE = 5
 REGISTERS, BANDS, ROWS = 128, 25, 5
-#: Pairs that agree in fewer than (threshold - SLACK) of the registers are not verified: 3.6 standard deviations at 0.8.
-SLACK = 0.127
+#: Pairs that agree in fewer than (threshold - SLACK) of the registers are not verified: 5.6 standard deviations at 0.8.
+SLACK = 0.2
 #: Pairs tried between two looks at what is connected by now.
 CHUNK = 4096
 
