@@ -121,9 +121,11 @@ def test_table_key_follows_the_files(spark):
 
 
 def test_detect_status_isolates_failures(spark):
+    vols = [1000.0 + (i * 37) % 101 for i in range(100)]
+    vols[60] = 0.0                      # zero volume past the warm-up: the next bar's change is infinite
     closes = walk(100, 3)
-    closes[60] = 0.0                    # zero close past the warm-up: its logarithm is infinite
-    bars = make_bars(spark, series("BAD", closes) + series("OK", walk(100, 4)) + series("SHORT", walk(30, 5)))
-    st = {r.ticker: (r.ok, r.reason) for r in detect_status(bars, ["BAD", "OK", "SHORT", "NONE"]).collect()}
-    assert st == {"BAD": (False, "non-finite feature"), "OK": (True, None),
+    closes[60] = 0.0                    # zero close without a range: its own row is undefined, the next twenty have no volatility
+    bars = make_bars(spark, series("BAD", walk(100, 3), vols) + series("GAP", closes) + series("OK", walk(100, 4)) + series("SHORT", walk(30, 5)))
+    st = {r.ticker: (r.ok, r.reason) for r in detect_status(bars, ["BAD", "GAP", "OK", "SHORT", "NONE"]).collect()}
+    assert st == {"BAD": (False, "non-finite feature"), "GAP": (True, None), "OK": (True, None),
                   "SHORT": (False, "too few feature rows"), "NONE": (False, "no data")}
