@@ -15,6 +15,9 @@ raises if that table would pass ``max_model_bytes``. Prediction is map only over
 Nulls: rows without text or label are not learned from; a null text, or one without a letter, is
 predicted as ``und`` with score 0, as is every text if nothing could be learned. Ties go to the
 language first by name. Columns other than those named are not read.
+
+The score compares languages only: its gaps grow with the length of a text, whatever the text. Whether a text
+is in a learned language at all is decided by recognised(), from a figure that doesn't grow with length.
 """
 
 from __future__ import annotations
@@ -29,11 +32,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import col, map_rows
+from .common import col, fresh, map_rows
 
 UNKNOWN = "und"
 #: What stands before a text's first byte.
 EDGE = 0x20
+#: Letters are A-Z, a-z and all bytes above ASCII; only their code lengths make rates, so unusual punctuation and digits don't.
+LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
+#: Letters whose mean code length is one rate; a text's rate is the median of its blocks', so foreign inserts below half of it don't count.
+BLOCK = 8
+#: A text may lie so many spreads of its language's block rates above their median; fewer letters than a block widen this by the square root.
+SPREADS = 8.0
+#: Code lengths are 0 to 100 bits a byte, their histogram's bins BIN wide; a limit needs LEAST_BLOCKS blocks.
+BIN, BINS, LEAST_BLOCKS = 0.02, 5000, 30
+#: recognised() learns only what so many texts of a language hold.
+LEAST_TEXTS = 2
 
 
 def _lower() -> np.ndarray:
@@ -67,18 +80,22 @@ def _contexts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def gram_counts(sample: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, gram, n): how often a byte follows two bytes, gram = two bytes before << 8 | byte."""
+    """(lang, gram, n, texts): how often and in how many texts a byte follows two bytes, gram = two bytes before << 8 | byte."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             for first, end, data, bounds in W.slices(batch.column(0)):
                 b, context = _contexts(data, bounds)
-                of = np.repeat(langs[first:end], np.diff(bounds))
+                row = np.repeat(np.arange(end - first), np.diff(bounds))
+                of, once = langs[first:end][row], row << 24 | context << 8 | b
                 for lang in set(langs[first:end]):
-                    grams, n = np.unique((context << 8 | b)[of == lang], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
-    counted = sample.select(col(text_col), col(lang_col).alias("lang")).mapInArrow(run, "lang string, gram int, n bigint")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+                    pairs, times = np.unique(once[of == lang], return_counts=True)
+                    grams, at, texts = np.unique(pairs & 0xFFFFFF, return_inverse=True, return_counts=True)
+                    n = np.bincount(at, times, len(grams))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(texts.astype(np.int64))],
+                                                     names=["lang", "gram", "n", "texts"])
+    counted = sample.select(col(text_col), col(lang_col).alias("lang")).mapInArrow(run, "lang string, gram int, n bigint, texts bigint")
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
 
 
 def _escape(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -122,28 +139,45 @@ def build(counts: dict[str, dict[int, int]], max_model_bytes: int) -> Model:
     return Model(languages, symbol_of, row_of, bits)
 
 
-def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        sample_docs: int = 2000, max_model_bytes: int = 256 << 20) -> Model:
-    """Learns from about ``sample_docs`` rows of each language (all, if it has fewer) among those that ``learn`` selects."""
-    usable = col(text_col).isNotNull() & col(lang_col).isNotNull()
-    rows = docs.filter(usable & learn) if learn is not None else docs.filter(usable)
+def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int) -> tuple[DataFrame, dict[str, int]]:
+    """About ``sample_docs`` labelled rows of each language, and how many rows each has in all."""
+    rows = docs.filter(col(text_col).isNotNull() & col(lang_col).isNotNull())
     sizes = rows.groupBy(col(lang_col).alias("lang")).count().collect()  # one row a language
     if not sizes:
-        return Model((), np.zeros(256, np.int32), np.zeros(65536, np.int32), np.zeros((0, 1, 1), np.float32))
+        return rows, {}
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_docs / r["count"])))])
     u = F.pmod(F.xxhash64(col(id_col), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.filter(u < share[col(lang_col)])
+    return rows.filter(u < share[col(lang_col)]), {r["lang"]: r["count"] for r in sizes}
+
+
+def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+        sample_docs: int = 2000, max_model_bytes: int = 256 << 20, least_texts: int = 1) -> Model:
+    """Learns from about ``sample_docs`` rows of each language (all, if it has fewer) among those that ``learn`` selects.
+
+    What fewer than ``least_texts`` of a language's learned texts hold is left out of its tree.
+    """
+    sample, sizes = _sample(docs.filter(learn) if learn is not None else docs, id_col, text_col, lang_col, sample_docs)
+    if not sizes:
+        return Model((), np.zeros(256, np.int32), np.zeros(65536, np.int32), np.zeros((0, 1, 1), np.float32))
     counts: dict[str, dict[int, int]] = {}
     for r in gram_counts(sample, text_col, lang_col).toLocalIterator():
-        counts.setdefault(r["lang"], {})[r["gram"]] = r["n"]
+        if r["texts"] >= least_texts:
+            counts.setdefault(r["lang"], {})[r["gram"]] = r["n"]
     return build(counts, max_model_bytes) if counts else Model((), np.zeros(256, np.int32), np.zeros(65536, np.int32), np.zeros((0, 1, 1), np.float32))
 
 
+def _places(model: Model, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Each byte's place in a language's table."""
+    b, context = _contexts(data, bounds)
+    return model.row_of[context] * model.bits.shape[2] + model.symbol_of[b]
+
+
 def code_lengths(model: Model, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Bits of each text (rows) under each language (columns)."""
-    b, context = _contexts(data, bounds)
-    a = model.bits.shape[2]
-    at = model.row_of[context] * a + model.symbol_of[b]
+    return _text_bits(model, _places(model, data, bounds), bounds)
+
+
+def _text_bits(model: Model, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     out = np.zeros((len(bounds) - 1, len(model.languages)))
     full = np.flatnonzero(np.diff(bounds) > 0)
     for k in range(len(model.languages)):
@@ -179,3 +213,105 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_name: st
             columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores)]
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
     return map_rows(docs, run, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType()))
+
+
+def block_rates(model: Model, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's best language by its letters; the text of each block, and the block's bits a letter byte under that language."""
+    at = np.flatnonzero(LETTER[data])
+    place, bounds = _places(model, data, bounds)[at], np.searchsorted(at, bounds)
+    sizes, best = np.diff(bounds), _text_bits(model, place, bounds).argmin(1)
+    bits = model.bits.reshape(len(model.languages), -1)[np.repeat(best, sizes), place].astype(np.float64)
+    blocks = np.where(sizes > 0, np.maximum((sizes + BLOCK // 2) // BLOCK, 1), 0)  # the last one goes on to the text's end
+    of = np.repeat(np.arange(len(sizes)), blocks)
+    starts = bounds[:-1][of] + (np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
+    return best, of, np.add.reduceat(bits, starts) / np.diff(np.append(starts, len(at))) if len(of) else np.zeros(0)
+
+
+def text_rates(of: np.ndarray, rates: np.ndarray, texts: int) -> np.ndarray:
+    """The (lower) median rate of each text's blocks, 0 for a text without letters."""
+    out, blocks = np.zeros(texts), np.bincount(of, minlength=texts)
+    some = blocks > 0
+    out[some] = rates[np.lexsort((rates, of))][(np.cumsum(blocks) - blocks + (blocks - 1) // 2)[some]]
+    return out
+
+
+def _middle(values: np.ndarray, counts: np.ndarray) -> float:
+    """Median of values that occur ``counts`` times."""
+    order = np.argsort(values)
+    return float(values[order][np.searchsorted(np.cumsum(counts[order]), counts.sum() / 2)])
+
+
+def rate_limits(rows: DataFrame, model: Model, text_col: str, lang_col: str) -> np.ndarray:
+    """(median, spread) of block rates for each language of the model, from labelled rows that it didn't learn from.
+
+    Rows count if the model tells their label; the spread is the median deviation, so wrong rows among them don't
+    move it. A language of fewer than LEAST_BLOCKS blocks gets the widest of the others' limits, infinity if there is none.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        at = {lang: k for k, lang in enumerate(model.languages)}
+        for batch in batches:
+            labels = np.array([at.get(x, -1) for x in batch.column(1).to_pylist()])
+            for first, end, data, bounds in W.slices(batch.column(0)):
+                best, of, rates = block_rates(model, data, bounds)
+                right = (best == labels[first:end])[of]
+                cells, n = np.unique(best[of][right] * BINS + np.minimum(rates[right] / BIN, BINS - 1).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64)), pa.array(n.astype(np.int64))], names=["cell", "n"])
+    cells = rows.select(col(text_col), col(lang_col)).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    counts = np.zeros((len(model.languages), BINS), np.int64)
+    for r in cells.toLocalIterator():  # at most languages x BINS
+        counts[r["cell"] // BINS, r["cell"] % BINS] = r["n"]
+    rates, out = (np.arange(BINS) + 0.5) * BIN, np.full((len(model.languages), 2), np.inf)
+    known = counts.sum(1) >= LEAST_BLOCKS
+    for k in np.flatnonzero(known):
+        middle = _middle(rates, counts[k])
+        out[k] = middle, max(1.4826 * _middle(np.abs(rates - middle), counts[k]), BIN)
+    if known.any():
+        widest = np.flatnonzero(known)[(out[known] @ [1, SPREADS]).argmax()]
+        out[~known] = out[widest]
+    return out
+
+
+def in_language(model: Model, limits: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Whether each text has a letter and a rate within its best language's limit."""
+    good = np.zeros(len(column), bool)
+    if model.languages:
+        for first, end, data, bounds in W.slices(column):
+            best, of, rates = block_rates(model, data, bounds)
+            wider = np.sqrt(BLOCK / np.clip(np.diff(np.append(0, np.cumsum(LETTER[data]))[bounds]), 1, BLOCK))
+            good[first:end] = text_rates(of, rates, end - first) <= limits[best, 0] + SPREADS * limits[best, 1] * wider
+    return good & np.array([text is not None and any(map(str.isalpha, text)) for text in column.to_pylist()], bool)
+
+
+def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 2000) -> DataFrame:
+    """The rows of ``docs`` whose text is in a language learned from other texts.
+
+    A hash of the text deals rows into two sides. Each side is judged by trees and limits (rate_limits) of
+    its own: learned from the labelled rows of the other side, limits from about ``sample_docs`` labelled rows a language of this
+    side. So no text, nor a copy of it, is judged by trees that have seen it, and a language that only one text
+    holds is not learned. What fewer than LEAST_TEXTS texts of a language hold is not learned either, so one text under a
+    wrong label doesn't let others like it in. If one side has no labelled rows, the other's trees judge both, without limits.
+    """
+    side, (name,) = F.pmod(F.xxhash64(col(text_col), F.lit(23)), F.lit(2)).cast("int"), fresh(docs, "side")
+    models = [fit(docs, side != k, id_col, text_col, lang_col, sample_docs, least_texts=LEAST_TEXTS) for k in (0, 1)]
+    limits = [np.full((len(m.languages), 2), np.inf) for m in models]
+    if all(m.languages for m in models):
+        for k, model in enumerate(models):
+            limits[k] = rate_limits(_sample(docs.filter(side == k), id_col, text_col, lang_col, sample_docs)[0], model, text_col, lang_col)
+    else:
+        models, limits = [max(models, key=lambda m: len(m.languages))] * 2, [max(limits, key=len)] * 2
+    shared = docs.sparkSession.sparkContext.broadcast((models, limits))
+    at, (keep,) = docs.columns.index(text_col), fresh(docs, "keep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, limits = shared.value
+        for batch in batches:
+            of, good = np.asarray(batch.column(batch.num_columns - 1)), np.zeros(batch.num_rows, bool)
+            for k in (0, 1):
+                rows = np.flatnonzero(of == k)
+                good[rows] = in_language(models[k], limits[k], batch.column(at).take(pa.array(rows)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(good)], names=[f"c{i}" for i in range(batch.num_columns + 1)])
+    told = map_rows(docs.withColumn(name, side), run, T.StructField(keep, T.BooleanType()))
+    return told.filter(col(keep)).drop(name, keep)
