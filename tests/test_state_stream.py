@@ -103,3 +103,19 @@ def test_state_scoring_with_a_late_bar_inside_the_ring(spark):
     q = start_state_scoring(spark, read_bar_stream(spark, _files(spark, parts), max_files=1), scaler, forest, None, f"{sink}/scores", ck, available_now=True)
     q.awaitTermination()
     _same(latest_scores(spark, sink), results)
+
+
+def test_state_scoring_with_bars_older_than_the_ring(spark):
+    """Late and corrected bars 150 and 70 bars old beside new ones: every newest score is the batch run's."""
+    from tickscope.streaming.live_stream import latest_scores
+    rows = series("A", walk(300, 5)) + series("B", walk(260, 6))
+    a, b = rows[:300], rows[300:]
+    wrong = list(a[175])
+    wrong[5] *= 1.3                                             # bar 175 of A comes wrong first
+    first = [r for i, r in enumerate(a[:250]) if i not in (99, 100, 101, 175)] + [tuple(wrong)] + b[:200]
+    parts = [first, [a[100]] + b[200:230], [a[99], a[101], *a[250:260]] + b[230:250], [a[175], *a[260:270]], a[270:] + b[250:]]
+    scaler, forest, results = _trained(spark, rows)
+    sink, ck = tempfile.mkdtemp(prefix="tickscope-state-out-"), tempfile.mkdtemp(prefix="tickscope-state-ck-")
+    q = start_state_scoring(spark, read_bar_stream(spark, _files(spark, parts), max_files=1), scaler, forest, None, f"{sink}/scores", ck, available_now=True)
+    q.awaitTermination()
+    _same(latest_scores(spark, sink), results)

@@ -1,4 +1,4 @@
-"""Keyed-state continuous scoring (X6): every new bar scored, no history re-read.
+"""Keyed-state continuous scoring (X6): every new bar scored, no history re-read but for bars too old for the state.
 
 ``applyInPandasWithState`` keeps, per ticker, the last RING bars in the state store: twice the longest feature
 look-back (49), so that bars after a late or corrected one within the last 49 can be scored again exactly. A
@@ -6,8 +6,11 @@ micro-batch's bars pass through in the pieces Spark hands over (``is_new`` true)
 ring is kept and given out after them (``is_new`` false, without the bars replaced). A ``foreachBatch``
 then orders the rows with ordinary windows (split when a series is long), scores each new bar and each bar whose
 look-back holds a new one with the stored scaler and forest, flags them against the stored thresholds, and
-overwrites the ``batch_id`` folder (idempotent replays). Bars older than the ring that arrive late are scored with the
-look-back the state holds.
+overwrites the ``batch_id`` folder (idempotent replays).
+
+The accepted bars are also kept under ``_bars/batch_id=<n>`` of the sink. A bar with fewer than 49 bars of a full ring
+before it (``is_late``) lacks its look-back there, older bars being dropped: the batch's bars of its ticker are scored by
+``score_batch`` over the kept bars instead, as are the bars after them, and stay out of the ring's windows.
 """
 
 from __future__ import annotations
@@ -23,13 +26,13 @@ from ..operators.detect import comparable
 from ..operators.features import build_features
 from ..operators.live import score_rows, with_thresholds
 from ..operators.windows import over_series, series_stats
-from ..schemas import KEY, OHLCV, TIME, WARMUP_BARS
+from ..schemas import BARS_SCHEMA, KEY, OHLCV, TIME, WARMUP_BARS
 from ..sources.bars import unique_bars
-from .live_stream import SCORE_COLS
+from .live_stream import SCORE_COLS, _known, score_batch
 
 RING = 2 * WARMUP_BARS
 HALO_SCHEMA = ("ticker string, Date timestamp_ntz, Open double, High double, Low double, "
-               "Close double, Volume double, is_new boolean")
+               "Close double, Volume double, is_new boolean, is_late boolean")
 STATE_SCHEMA = ("micros array<long>, open array<double>, high array<double>, low array<double>, "
                 "close array<double>, volume array<double>")
 
@@ -39,16 +42,18 @@ def _ring(size: int):
         columns = ["_m", *OHLCV]
         old = pd.DataFrame(dict(zip(columns, map(list, state.get)))) if state.exists else pd.DataFrame(columns=columns)
         ring = old
+        # up to here a full ring doesn't hold the look-back
+        edge = sorted(old["_m"])[min(WARMUP_BARS, size) - 1] if len(old) >= size else None
         for new in batches:
-            yield new.assign(is_new=True)[[KEY, TIME, *OHLCV, "is_new"]]
             new = new.assign(_m=pd.to_datetime(new[TIME]).astype("datetime64[us]").astype("int64"))
+            yield new.assign(is_new=True, is_late=new["_m"] <= edge if edge is not None else False)[[KEY, TIME, *OHLCV, "is_new", "is_late"]]
             old = old[~old["_m"].isin(new["_m"])]
             both = pd.concat([ring[~ring["_m"].isin(new["_m"])], new[columns]], ignore_index=True) if len(ring) else new[columns]
             # of equal times the greatest values stay, as in the batch's own choice
             ring = both.sort_values(columns).drop_duplicates("_m", keep="last").tail(size)
         state.update(tuple(ring[c].tolist() for c in columns))
         if len(old):
-            yield old.assign(ticker=key[0], Date=pd.to_datetime(old["_m"].astype("int64"), unit="us"), is_new=False)[[KEY, TIME, *OHLCV, "is_new"]]
+            yield old.assign(ticker=key[0], Date=pd.to_datetime(old["_m"].astype("int64"), unit="us"), is_new=False, is_late=False)[[KEY, TIME, *OHLCV, "is_new", "is_late"]]
     return step
 
 
@@ -79,7 +84,16 @@ def start_state_scoring(spark: SparkSession, bar_stream: DataFrame, scaler: Data
                         processing_time: str = "300 seconds"):
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.checkpoint(eager=True)   # the stateful step runs once
-        (score_new_bars(batch, scaler, forest, thresholds).withColumn("batch_id", F.lit(batch_id))
+        folder = f"{sink_dir}/_bars"
+        unique_bars(batch.filter("is_new")).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+        late = batch.filter("is_late").select(KEY).distinct()
+        if late.isEmpty():
+            scored = score_new_bars(batch, scaler, forest, thresholds)
+        else:
+            bars = spark.read.schema(BARS_SCHEMA).parquet(f"{folder}/batch_id={batch_id}").join(late, KEY, "left_semi")
+            exact = score_batch(bars, _known(spark, None, folder, batch_id), scaler, forest, thresholds)
+            scored = score_new_bars(batch.join(late, KEY, "left_anti"), scaler, forest, thresholds).unionByName(exact)
+        (scored.withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}"))
 
     writer = (with_halo(bar_stream).writeStream.outputMode("append").foreachBatch(on_batch)
