@@ -67,3 +67,13 @@ def test_odd_rows(spark, docs):
     assert by[1]["spans"] == [] and by[1]["redacted"] is None and by[2]["redacted"] == ""
     assert [s["kind"] for s in by[14]["spans"]] == ["email", "card"]
     assert pii.detect_pii(odd.empty(spark)).count() == 0
+
+
+def test_ibans_beside_each_other_and_after_a_token():
+    first, second = "DE89370400440532013000", "GB29NWBK60161331926819"
+    spans = lambda text: [text[a:b] for a, b in pii.ibans(text)]
+    assert spans(f"{first} {second}") == [first, second]
+    assert spans(f"ID12 {first}") == [first]
+    assert spans(f"ID12 DE89 3704 0044 0532 0130 00 {second} end") == ["DE89 3704 0044 0532 0130 00", second]
+    assert spans("x" + first) == []
+    assert len(spans("AB12 " * 50_000)) == 0

@@ -90,14 +90,17 @@ def phones(text: str) -> list[tuple[int, int]]:
 
 
 def ibans(text: str) -> list[tuple[int, int]]:
-    """The longest end of each match that mod-97 confirms."""
-    out = []
-    for m in IBAN.finditer(text):
+    """The longest end of each match that mod-97 confirms; the search goes on from there, or after the first character of a match without one."""
+    out, m = [], IBAN.search(text)
+    while m:
+        at = m.start() + 1  # matches start at a word's start, so the next one is at the next word at the earliest
         for end in range(m.end(), m.start() + 14, -1):
             code = text[m.start():end].replace(" ", "")
             if text[end - 1] != " " and (end == len(text) or not text[end].isalnum()) and 15 <= len(code) <= 34 and mod97(code):
                 out.append((m.start(), end))
+                at = end
                 break
+        m = IBAN.search(text, at)
     return out
 
 
