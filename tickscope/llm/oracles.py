@@ -105,5 +105,60 @@ SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(*) F
 FROM x GROUP BY doc_id
 """
 
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+MERKLE = f"""
+WITH RECURSIVE d AS (SELECT *, {_crc("doc_id::VARCHAR")} % 2 = 0 AS tampered FROM documents),
+h AS (SELECT doc_id, source, {_LEAF.format(text='text')} AS leaf, CASE WHEN tampered THEN {_LEAF.format(text="replace(text, chr(10), '')")} ELSE {_LEAF.format(text='text')} END AS claim FROM d),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM h),
+up AS (SELECT source, 0 AS level, pos, n, leaf AS hash FROM leaves
+       UNION ALL SELECT source, level + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(hash, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY source, level, pos // 3),
+tops AS (SELECT source, hash AS subroot, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS sources FROM up WHERE n = 1),
+over AS (SELECT 0 AS level, place AS pos, sources AS n, subroot AS hash FROM tops
+         UNION ALL SELECT level + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(hash, '' ORDER BY pos)) FROM over WHERE n > 1 GROUP BY level, pos // 3),
+root AS (SELECT hash AS root FROM over WHERE n = 1),
+-- one numbering of the levels of both trees of a leaf: those of its group, then those over the groups
+near AS (SELECT source, level, pos, hash FROM up WHERE n > 1 UNION ALL SELECT source, height + over.level, over.pos, hash FROM over, tops WHERE n > 1 AND over.pos // 3 = (place // pow(3, over.level)::BIGINT) // 3),
+runs AS (SELECT source, level, pos // 3 AS run, list(hash ORDER BY pos) AS hashes FROM near GROUP BY ALL),
+ends AS (SELECT source, max(level) + 1 AS levels FROM runs GROUP BY source),
+climb AS (SELECT doc_id, source, leaf, pos AS first, 0 AS level, pos, claim AS folded, '' AS proof FROM leaves
+          UNION ALL
+          SELECT doc_id, c.source, leaf, first, c.level + 1, p // 3, sha256(array_to_string(hashes[1:p % 3], '') || folded || array_to_string(hashes[p % 3 + 2:], '')),
+                 proof || array_to_string(hashes[1:p % 3], '') || array_to_string(hashes[p % 3 + 2:], '')
+          FROM (SELECT c.*, CASE WHEN c.level = height THEN place ELSE c.pos END AS p FROM climb c JOIN tops ON c.source IS NOT DISTINCT FROM tops.source) c
+          JOIN runs ON c.source IS NOT DISTINCT FROM runs.source AND c.level = runs.level AND p // 3 = run)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM climb JOIN tops ON climb.source IS NOT DISTINCT FROM tops.source CROSS JOIN root LEFT JOIN ends ON climb.source IS NOT DISTINCT FROM ends.source
+WHERE climb.level = coalesce(levels, 0)
+"""
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, min(page_id) AS low, count(*) AS n FROM p GROUP BY h)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
+       -- five hex digits are four of base 32
+       array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, 5 * i::INTEGER + 1, 5))::INTEGER >> k) % 32 + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM low AND low IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM low THEN low END AS refers_to
+FROM p JOIN m USING (h)
+"""
+
+SPELLING = r"""
+WITH RECURSIVE codes AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b::UBIGINT, [0, 1, 2, 3, 4, 5, 6, 7]::UBIGINT[]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))) AS code),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+per AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'), lambda h: ('0x' || h)::UBIGINT)),
+                                          lambda c, b: xor(c >> 8, code[(xor(c, b) & 255)::INTEGER + 1])), 4294967295::UBIGINT)::BIGINT AS h FROM per, codes),
+told AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+lex AS (SELECT word, sum(n)::BIGINT AS n FROM told GROUP BY word HAVING length(word) >= 6 AND sum(n) >= 5),
+cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM lex)),
+near AS (SELECT a.word AS x, b.word AS y FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+         UNION SELECT cut.word, lex.word FROM cut JOIN lex ON rest = lex.word UNION SELECT lex.word, cut.word FROM cut JOIN lex ON rest = lex.word),
+ranked AS (SELECT x, y, n, count(*) OVER (PARTITION BY x) AS n_near, row_number() OVER (PARTITION BY x ORDER BY n DESC, encode(y)) AS place FROM near JOIN lex ON y = lex.word),
+forms AS (SELECT lex.word, lex.n, coalesce(n_near, 0) AS n_near, CASE WHEN r.n >= 5 * lex.n THEN y END AS form, CASE WHEN r.n >= 5 * lex.n THEN r.n END AS form_n FROM lex LEFT JOIN ranked r ON x = word AND place = 1),
+chain AS (SELECT word, word AS root FROM forms UNION ALL SELECT chain.word, form FROM chain JOIN forms ON root = forms.word WHERE form IS NOT NULL)
+SELECT word, forms.form, root, n, n_near, form_n FROM forms JOIN (SELECT chain.word, root FROM chain JOIN forms f ON root = f.word WHERE f.form IS NULL) USING (word)
+"""
+
 ORACLES = {"op1_sharding": SHARDING, "op3_decontamination": DECONTAMINATION, "op4_substring": SUBSTRING, "op5_embedding": EMBEDDING,
-           "op6_lines": LINES, "op8_lm": LM, "op10_mixing": MIXING}
+           "op6_lines": LINES, "op8_lm": LM, "op10_mixing": MIXING, "op11_merkle": MERKLE, "op12_warc": WARC, "op13_spelling": SPELLING}

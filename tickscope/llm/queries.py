@@ -1,11 +1,11 @@
-"""The ten registered queries: each applies one operator to its whole table and derives the digest columns."""
+"""The registered queries: each applies one operator to its whole table and derives the digest columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lines, lm, mixing, neardup, pii, rpforest, sharding, substring
+from . import decontam, langid, lines, lm, merkle, mixing, neardup, pii, rpforest, sharding, spelling, substring, warc
 from .common import fold, prepare
 
 
@@ -72,4 +72,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col(size).alias("size"), F.col(source_size).alias("source_size"), F.col(target).alias("target"), (F.col(size) * F.col(copies)).cast("long").alias("taken"), F.col(copies).alias("copies"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_decontamination, op4_substring, op5_embedding, op6_lines, op7_minhash, op8_lm, op9_langid, op10_mixing)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.verified(_docs(spark, sf_dir), claims={"text": tampered})
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_decontamination, op4_substring, op5_embedding, op6_lines, op7_minhash, op8_lm, op9_langid, op10_mixing, op11_merkle, op12_warc, op13_spelling)}
