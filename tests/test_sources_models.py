@@ -101,10 +101,59 @@ def test_csv_columns_by_name(spark):
     for bad in ("Date,Close,High,Low,Volume\n2020-01-01,11,12,9,100\n", "Date,Close,High,Low,Open,Volume\n2020-01-01,x,12,9,10,100\n"):
         with open(os.path.join(out, "CC_raw.csv"), "w") as f:
             f.write(bad)
-        with pytest.raises(Exception, match="no column Open|CAST_INVALID_INPUT"):
+        with pytest.raises(Exception, match="no header with|is no number"):
             read_bars_csv(spark, out).collect()
 
 
+HEAD = "Date,Open,High,Low,Close,Volume\n"
+
+
+def _folder(**files):
+    out = tempfile.mkdtemp(prefix="tickscope-csv-")
+    for name, text in files.items():
+        with open(os.path.join(out, f"{name}_raw.csv"), "w", newline="", encoding="utf-8") as f:
+            f.write(text)
+    return out
+
+
+def test_csv_quoting_follows_the_parser(spark):
+    out = _folder(Q='\ufeff"Date","note, with comma",Volume,"Close",Low,High,Open\r\n2024-01-02,"a, ""b"", c","1234.5",4, 3 ,5,"1"\r\n\r\n2024-01-03,Date,NaN,null,,1e3,+.5\n',
+                  R=HEAD + "2024-01-02,1,2,3,4,5\n", S="Volume,Close,Date,Open,High,Low\ninf,9,2024-01-02,1,2,3\n", T="Volume,t,Close,Date,Open,High,Low\n1,Date,9,2024-01-02,1,2,3\n")
+    got = {(r.ticker, str(r.Date)[:10]): (r.Open, r.High, r.Low, r.Close, r.Volume) for r in read_bars_csv(spark, out).collect()}
+    assert got == {("Q", "2024-01-02"): (1, 5, 3, 4, 1234.5), ("Q", "2024-01-03"): (0.5, 1000, None, None, None),
+                   ("R", "2024-01-02"): (1, 2, 3, 4, 5), ("S", "2024-01-02"): (1, 2, 3, 9, float("inf")), ("T", "2024-01-02"): (1, 2, 3, 9, 1)}
+
+
+BAD_LINES = ['2024-01-02,10,11,9,10.5,"1,234"', '2024-01-03,"1,010",1020,1000,1015,500', "2024-01-03,1,2", "2024-01-03,1,2,3,4,5,6", "2024-01-03,1,2,3,4,5d", '2024-01-03,1,2,3,"4,5', "soon,1,2,3,4,5"]
+
+
+@pytest.mark.parametrize("line", BAD_LINES)
+def test_csv_lines_that_are_refused(spark, line):
+    with pytest.raises(Exception, match="is no number|MALFORMED|CAST_INVALID_INPUT"):
+        read_bars_csv(spark, _folder(A=HEAD + "2024-01-01,1,2,3,4,5\n" + line + "\n")).collect()
+
+
+def test_csv_without_header_or_column(spark):
+    with pytest.raises(Exception, match="no header with"):
+        read_bars_csv(spark, _folder(A=HEAD, B="2024-01-01,1,2,3,4,5\n")).collect()
+    assert read_bars_csv(spark, _folder(A=HEAD)).count() == 0
+
+
+def test_csv_stream_uses_the_same_parser(spark):
+    from tickscope.streaming.live_stream import new_bars, read_bar_stream
+    good = 'Volume,Close,Low,High,Open,Date,"x,y"\n"7",4,3,5,1,2024-01-02,"q, r"\n'
+    for text, bad in ((good, False), *[(HEAD + line + "\n", True) for line in BAD_LINES[:3]]):
+        seen = []
+        q = (read_bar_stream(spark, _folder(A=text), fmt="csv").writeStream.foreachBatch(lambda b, _: seen.extend(new_bars(b).collect()))
+             .option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start())
+        if bad:
+            with pytest.raises(Exception, match="is no number|MALFORMED|STREAM_FAILED|FOREACH_BATCH"):
+                q.awaitTermination()
+        else:
+            q.awaitTermination()
+            assert [tuple(r)[2:] for r in seen] == [(1, 5, 3, 4, 7)]
+
+
 def test_unique_bars_do_not_depend_on_row_order(spark):
     rows = series("A", walk(5, 1)) + [("A", "2020-01-03", 1.0, 2.0, 0.5, 1.5, 7.0)]
     a, b = (sorted(unique_bars(make_bars(spark, r)).collect()) for r in (rows, rows[::-1]))

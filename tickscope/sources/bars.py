@@ -7,8 +7,11 @@ Volume)``. Tick or line-item tables become bars through a partial-aggregated
 
 from __future__ import annotations
 
+import csv
 import os
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,27 +81,65 @@ def unique_bars(bars: DataFrame, version: str | None = None) -> DataFrame:
     return bars.groupBy(KEY, TIME).agg(F.max_by(value, order).alias("v")).select(KEY, TIME, "v.*")
 
 
+#: Cells that count as missing (fixed values: the usual spellings of a missing number in CSV files).
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+NUMBER = r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)$"
+#: Headers that a folder of bar files may have; they come to the driver.
+MAX_HEADERS = 1000
+
+
 def bar_lines(reader, path: str):
     """Lines of ``{ticker}_raw.csv`` files with their file and its time (``reader``: spark.read or spark.readStream)."""
     return reader.text(path).select("value", F.col("_metadata.file_name").alias("file"),
                                     F.col("_metadata.file_modification_time").alias("version"))
 
 
+def header_catalogue(lines: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(file, cells, at) of every file with a header, and the distinct numbers of cells: where each bar column stands
+    in the file's own header. Each distinct header is parsed once."""
+    spark = lines.sparkSession
+    # a header names all bar columns
+    is_head = reduce(and_, [F.col("value").rlike(f'(^|,)\\s*"?{c}"?\\s*(,|$)') for c in [TIME, *OHLCV]])
+    heads = lines.filter(is_head).groupBy("file").agg(F.min("value").alias("head"))
+    found = [r["head"] for r in heads.select("head").distinct().limit(MAX_HEADERS + 1).collect()]
+    if len(found) > MAX_HEADERS:
+        raise ValueError(f"more than {MAX_HEADERS} different headers")
+    rows = []
+    for head in found:
+        names = [c.strip() for c in next(csv.reader([head]))]
+        rows.append((head, len(names), [names.index(c) for c in [TIME, *OHLCV]]))
+    layouts = spark.createDataFrame(rows, "head string, cells int, at array<int>")
+    return heads.join(F.broadcast(layouts), "head").select("file", "head", "cells", "at"), sorted({r[1] for r in rows})
+
+
 def parse_bar_lines(lines: DataFrame) -> DataFrame:
-    """Bars (and ``version``) from CSV lines: columns are found by their names in each file's own header, in any order;
-    a missing column or a malformed value is an error."""
-    plain = lines.withColumn("value", F.regexp_replace("value", r'^\ufeff|[\s"]+$|^\s+', "")).filter("value <> ''")
-    cells = F.transform(F.split("value", ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
-    split = plain.select("file", "version", cells.alias("cells")).withColumn("is_head", F.array_contains("cells", TIME))
-    heads = split.filter("is_head").groupBy("file").agg(F.first("cells").alias("head"))
-    rows = split.filter(~F.col("is_head")).join(heads, "file", "left")
-
-    def cell(name: str) -> Column:
-        at = F.array_position("head", name)
-        missing = F.raise_error(F.concat(F.lit(f"no column {name} in "), F.col("file")))
-        return F.when(F.coalesce(at, F.lit(0)) > 0, F.get("cells", (at - 1).cast("int"))).otherwise(missing.cast("string"))
-    values = [F.nullif(cell(c), F.lit("")).cast("double").alias(c) for c in OHLCV]
-    return rows.select(F.regexp_extract("file", CSV_FILE, 1).alias(KEY), cell(TIME).cast("timestamp_ntz").alias(TIME), *values, "version")
+    """Bars (and ``version``) from CSV lines: columns are found by their names in each file's own header, in any order.
+
+    Lines are taken apart by Spark's CSV parser with the usual quoting (a doubled quote inside quotes); files whose
+    headers are equally wide go through one parser. A line with more or fewer cells than its header, a cell
+    that is no number and not one of MISSING, a time that is none, and a file without header are errors: a file is taken as a whole or refused.
+    """
+    plain = lines.withColumn("value", F.regexp_replace("value", r"^\ufeff|[\r\n]+$", "")).filter("trim(value) <> ''")
+    heads, widths = header_catalogue(plain)
+    rows = plain.join(heads, "file", "left").filter("head is null or value <> head")
+    options = {"mode": "FAILFAST", "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    cells = F.raise_error(F.concat(F.lit(f"no header with {', '.join([TIME, *OHLCV])} in "), F.col("file"))).cast("array<string>")
+    for n in widths:
+        names = [f"c{i}" for i in range(n)]
+        # a struct is parsed once and then read by place
+        parsed = F.from_csv("value", ", ".join(f"{c} string" for c in names), options)
+        cells = F.when(F.col("cells") == n, F.transform(F.array(parsed), lambda r: F.array(*[r[c] for c in names]))[0]).otherwise(cells)  # noqa: B023
+    split = rows.select("file", "version", "at", cells.alias("row"))
+
+    def cell(k: int) -> Column:
+        text = F.trim(F.get("row", F.get("at", F.lit(k))))
+        return F.when(text.isin(MISSING), None).otherwise(text)
+
+    def number(k: int) -> Column:
+        bad = F.raise_error(F.concat(F.lit(f"{OHLCV[k - 1]} is no number in "), F.col("file"), F.lit(": "), cell(k)))
+        return F.when(cell(k).isNull() | cell(k).rlike(NUMBER), cell(k)).otherwise(bad.cast("string")).cast("double")
+    values = [number(k).alias(c) for k, c in enumerate(OHLCV, 1)]
+    return split.select(F.regexp_extract("file", CSV_FILE, 1).alias(KEY), cell(0).cast("timestamp_ntz").alias(TIME), *values, "version")
 
 
 def read_bars_csv(spark: SparkSession, path: str) -> DataFrame:
