@@ -114,3 +114,47 @@ def test_odd_rows(spark, docs):
     ids = [r["doc_id"] for r in left.select("doc_id").collect()]
     assert ids.count(11) == 1 and ids.count(12) == 2 and ids.count(None) == 2 and 5 not in ids and 7 not in ids
     assert neardup.near_duplicates(odd.empty(spark)).count() == 0 and neardup.one_of_each(odd.empty(spark)).count() == 0
+
+
+def test_an_ids_texts_are_apart(spark, docs):
+    """An id of two texts loses only the one that another row has."""
+    one, two = ("alpha beta gamma delta epsilon zeta " * 3).strip(), "quite another text of some seven words"
+    rows = [(3, one), (12, one), (12, two), (20, two), (20, two)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, neardup.one_of_each(frame).collect())) == [(3, one), (12, two)]
+    got = sorted((r["doc_id"], r["class_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(frame).collect())
+    assert got == [(3, 3, 3, True), (12, 3, 3, False), (12, 12, 12, True), (20, 12, 12, False), (20, 12, 12, False)]
+    near = spark.createDataFrame([(1, one + " end"), (1, one), (2, one)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in neardup.near_duplicates(near).select("doc_id", "component_id").collect()) == [(1, 1), (1, 1), (2, 1)]
+    assert neardup.one_of_each(near).count() == 1
+
+
+@pytest.mark.parametrize("n", [1000, 4000])
+def test_a_familys_links_and_texts_grow_with_its_size_only(spark, docs, monkeypatch, n):
+    """One family of n near copies: at most n - 1 links, at most n log2(blocks) texts."""
+    import math
+    rng = random.Random(n)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        text = list(base)
+        for _ in range(rng.randrange(3)):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(text) + f" end{i}"))
+    links, texts = [], []
+
+    def count_links(found, x, y, join=neardup.components):
+        links.append(found.filter(f"{x} <> {y}").distinct().count())
+        return join(found, x, y)
+
+    def counting(work):
+        def run(told, *rest):
+            texts.append(told.count())
+            return work(told, *rest)
+        return run
+    monkeypatch.setattr(neardup, "components", count_links)
+    for name in ("_confirmed", "_in_blocks"):
+        monkeypatch.setattr(neardup, name, counting(getattr(neardup, name)))
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block_docs=100)
+    assert {r["component_id"] for r in out.collect()} == {0}
+    assert links[-1] <= n - 1 and sum(texts) <= n * math.log2(n / 100)

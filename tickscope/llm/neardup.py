@@ -14,23 +14,28 @@ documents agree in a register with probability J. Points of a shingle come in or
 soon as its next point is later than the last register's time (early termination).
 
 Steps:
-1. one pass over the texts: signature, content hash. Equal contents are one class from the start; the
-   smallest id speaks for it.
-2. banding: documents that agree in a whole band of registers fall into a bucket; each is tied to the bucket's
+1. one pass over the texts: signature, content hash. Equal contents are one node of the link graph from the start, whatever
+   ids hold them; the smallest id speaks for it.
+2. banding: contents that agree in a whole band of registers fall into a bucket; each is tied to the bucket's
    smallest. Components of these ties are families: no link leads out of a family.
-3. verification: the texts of families (singles are done) are shuffled once by family. A task compares
-   signatures of a family in blocks, takes pairs that agree in enough registers in the order of
+3. families of more than ``block_docs`` first join what is easy to join: in each round, one a band, every component so far picks one pair
+   with a component that shares a bucket with it, and the pair is verified exactly. Rounds go on until two of them link less than an eighth of their pairs;
+   each round before that costs an eighth of the components at least. What is left are the buckets whose members are still apart.
+4. verification in blocks: the texts of small families and of such left buckets are shuffled by block. A task compares
+   signatures, takes pairs that agree in enough registers in the order of
    that number, and verifies a pair exactly, skipping pairs already connected; it gives out a spanning
-   forest of verified links, never all pairs. Families of more than ``block_docs`` are cut into blocks, one
-   task a pair of blocks.
-4. components of the verified links.
+   forest of verified links, never all pairs. A component of more than ``block_docs`` has blocks of its own, which never meet each other;
+   smaller components share blocks (pools). Pools meet each other first, then the blocks of large components, then large components each other; what a wave
+   links is one component in the next. So a family of N near
+   copies costs about N texts a round and N - 1 links; only texts that share bands without being near copies still meet block by block.
+5. components of the verified links.
 
 Missed links: with 25 bands of 5 registers a pair of J = 0.8 shares no band with probability 5e-5; the
 register filter (SLACK below the expected agreement) passes all but 1e-8 of such pairs.
 
-Null and empty texts have no shingles: each such document is a class of its own. Repeated ids: rows of one id are one
-document to the link graph if their contents agree; else the id stands for any of them. Null ids take no part
-and are kept, each its own class with null id. Empty tables give empty results.
+Null and empty texts have no shingles: each such document is a class of its own. Repeated ids: rows are told apart by id and
+text, so each row belongs to the class of its own text, and a class keeps the row of its smallest id (of an id's texts in one class, that
+of the smallest content hash). Null ids take no part and are kept, each its own class with null id. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -39,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -52,6 +57,10 @@ REGISTERS, BANDS, ROWS = 128, 25, 5
 SLACK = 0.2
 #: Pairs tried between two looks at what is connected by now.
 CHUNK = 4096
+#: Two rounds in a row that link less than one in so many of their pairs are the last ones.
+STOP = 8
+#: Texts of about so many bytes make a group of small families.
+GROUP_BYTES = 4 << 20
 
 
 def weighted(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -110,16 +119,21 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, content, bands): one row a document with shingles and an id."""
+    """(id, row, bytes, content, bands): one row a row of ``docs``; content and bands are null without shingles or id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, shingles, counts, row, content in weighted(batch.column(1)):
+            for first, end, shingles, counts, row, content in weighted(batch.column(3)):
                 found = bands(prob_minhash(shingles, counts, row, end - first)).view(np.int64)
-                has = np.flatnonzero(np.bincount(row, minlength=end - first) > 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first).take(pa.array(has)), pa.array(content.view(np.int64)[has]),
-                                                  list_array(found[has].reshape(-1), np.full(len(has), BANDS))], names=["id", "content", "bands"])
+                has = np.bincount(row, minlength=end - first) > 0
+                lists = list_array(found[has].reshape(-1), np.full(int(has.sum()), BANDS))
+                # rows without shingles take the null after the last list
+                place = np.where(has, np.cumsum(has) - 1, -1)
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(first, end - first) for k in range(3)], pa.array(content.view(np.int64), mask=~has),
+                                                  lists.take(pa.array(place, mask=~has))], names=["id", "row", "bytes", "content", "bands"])
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.filter(col(id_col).isNotNull()).select(col(id_col), col(text_col)).mapInArrow(run, f"id {kind}, content bigint, bands array<bigint>")
+    text = F.when(col(id_col).isNotNull(), col(text_col))
+    rows = docs.select(col(id_col).alias("id"), row_key(col(id_col), col(text_col)).alias("row"), F.octet_length(col(text_col)).cast("long").alias("bytes"), text.alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, row bigint, bytes bigint, content bigint, bands array<bigint>")
 
 
 def probability_jaccard(a: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_n: np.ndarray) -> float:
@@ -161,8 +175,8 @@ class Forest:
         return True
 
 
-def links_within(sets: list[tuple[np.ndarray, np.ndarray]], signature: np.ndarray, side: np.ndarray | None, threshold: float) -> list[tuple[int, int]]:
-    """A spanning forest of the verified links of one family, or of the links between its two sides (0 and 1)."""
+def links_within(sets: list[tuple[np.ndarray, np.ndarray]], signature: np.ndarray, side: np.ndarray | None, comp: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Verified links that, with what is connected by ``comp``, span one family, or the links between its two sides (0 and 1)."""
     n = len(sets)
     need = (threshold - SLACK) * REGISTERS
     xs, ys, agree = [], [], []
@@ -173,14 +187,16 @@ def links_within(sets: list[tuple[np.ndarray, np.ndarray]], signature: np.ndarra
         for r in range(REGISTERS):
             same += short[first:first + step, r][:, None] == short[:, r][None, :]
         x, y = np.nonzero(same >= need)
-        keep = (x + first < y) & (True if side is None else side[x + first] != side[y])
+        keep = (x + first < y) & (comp[x + first] != comp[y]) & (True if side is None else side[x + first] != side[y])
         xs.append(x[keep] + first)
         ys.append(y[keep])
         agree.append(same[x[keep], y[keep]])
     x, y, agree = np.concatenate(xs), np.concatenate(ys), np.concatenate(agree)
     order = np.argsort(-agree.astype(np.int64), kind="stable")
     x, y = x[order], y[order]
-    forest, out = Forest(n), []
+    forest, out, seen = Forest(n), [], {}
+    for i, c in enumerate(comp.tolist()):
+        forest.join(seen.setdefault(c, i), i)
     while len(x):
         for i, j in zip(x[:CHUNK].tolist(), y[:CHUNK].tolist()):
             if forest.root(i) != forest.root(j) and probability_jaccard(*sets[i], *sets[j]) >= threshold - 1e-12:
@@ -194,9 +210,9 @@ def links_within(sets: list[tuple[np.ndarray, np.ndarray]], signature: np.ndarra
 
 
 def verify(table: pa.Table, threshold: float) -> tuple[list[int], list[int]]:
-    """Rows of linked pairs in a group of whole families, or of pairs of blocks (column side: 0 or 1; -1: one block)."""
+    """Rows of linked pairs in a group of whole families, or of two blocks that meet (column side: 0 or 1; -1: one block)."""
     table = table.combine_chunks()
-    family, side = table["family"].to_numpy(), table["side"].to_numpy()
+    family, side, comp = (table[c].to_numpy() for c in ("family", "side", "comp"))
     sets: list[tuple[np.ndarray, np.ndarray]] = []
     signature = []
     column = table["text"].chunk(0) if table["text"].num_chunks else pa.array([], pa.string())
@@ -210,65 +226,181 @@ def verify(table: pa.Table, threshold: float) -> tuple[list[int], list[int]]:
     left, right = [], []
     for members in np.split(order, edges[1:]):
         two = side[members] if (side[members] >= 0).any() else None
-        for i, j in links_within([sets[m] for m in members], signature[members], two, threshold):
+        for i, j in links_within([sets[m] for m in members], signature[members], two, comp[members], threshold):
             left.append(int(members[i]))
             right.append(int(members[j]))
     return left, right
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, block_docs: int = 500) -> DataFrame:
-    """One row a document: id, class_id (smallest id of equal content), component_id (smallest id of its near-duplicate class), kept.
-
-    ``kept`` marks one document a component: the row whose id is component_id.
+def confirmed(table: pa.Table, threshold: float) -> pa.Table:
+    """(x, y, linked) of a group of pairs: rows (x, y, text of y), and each x once as (x, null, text of x)."""
+    table = table.combine_chunks()
+    sets = []
+    for first, end, shingles, counts, row, _ in weighted(table["text"].chunk(0)):
+        at = np.searchsorted(row, np.arange(end - first + 1))
+        sets += [(shingles[i:j], counts[i:j]) for i, j in zip(at, at[1:])]
+    xs, ys = table["x"].to_pylist(), table["y"].to_pylist()
+    heads = {x: k for k, (x, y) in enumerate(zip(xs, ys)) if y is None}
+    at = [k for k, y in enumerate(ys) if y is not None]
+    linked = [probability_jaccard(*sets[heads[xs[k]]], *sets[k]) >= threshold - 1e-12 for k in at]
+    return pa.table({"x": table["x"].take(pa.array(at, pa.int64())), "y": table["y"].take(pa.array(at, pa.int64())), "linked": pa.array(linked, pa.bool_())})
+
+
+def _told(pairs: DataFrame, texts: DataFrame, block_docs: int) -> DataFrame:
+    """The texts (node, text) of node pairs in groups of about ``block_docs``: each y with its x, each x once a group."""
+    often = pairs.groupBy("x").agg(F.ceil(F.count("*") / block_docs).alias("parts"))
+    groups = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // block_docs))
+    dealt = pairs.join(often, "x").withColumn("grp", F.pmod(F.xxhash64("x", F.pmod(F.xxhash64("y"), F.col("parts"))), F.lit(groups))).select("x", "y", "grp")
+    rows = dealt.withColumn("node", F.col("y")).unionByName(dealt.select("x", "grp").distinct().select("x", F.lit(None).cast("long").alias("y"), "grp", F.col("x").alias("node")))
+    return rows.join(texts, "node").select("x", "y", "text", "grp")
+
+
+def _confirmed(told: DataFrame, threshold: float) -> DataFrame:
+    """(x, y, linked) of the pairs in ``told``."""
+    return told.groupBy("grp").applyInArrow(lambda table: confirmed(table, threshold), "x bigint, y bigint, linked boolean")
+
+
+def _apart(inside: DataFrame) -> DataFrame:
+    """(band, key, head: struct of the least comp and one of its nodes, drawn by hash) of the buckets that hold several components."""
+    drawn = F.min(F.struct(F.col("comp"), F.xxhash64("node", "band").alias("draw"), F.col("node")))
+    return inside.groupBy("band", "key").agg(drawn.alias("head"), F.max("comp").alias("hi")).filter("head.comp < hi").drop("hi")
+
+
+def _relabelled(labels: DataFrame, joined: DataFrame) -> DataFrame:
+    """(node, comp) after the links (a, b) between components."""
+    new = components(joined, "a", "b").select(F.col("node").alias("comp"), F.col("component").alias("to"))
+    return labels.join(new, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+
+
+def rounds(wide: DataFrame, texts: DataFrame, threshold: float, block_docs: int) -> DataFrame:
+    """(node, comp) of the nodes in ``wide`` (node, bands), joined by what single verified pairs join (step 3)."""
+    labels, poor = wide.select("node", F.col("node").alias("comp")), 0
+    for band in range(BANDS):
+        inside = wide.select("node", F.lit(band).alias("band"), F.element_at("bands", band + 1).alias("key")).join(labels, "node").checkpoint()
+        pairs = inside.join(_apart(inside), ["band", "key"]).filter("comp <> head.comp").select("comp", F.col("head.comp").alias("other"), F.col("head.node").alias("x"), F.col("node").alias("y"))
+        # the order of a hash: any one of the component's pairs
+        picked = pairs.groupBy("comp").agg(F.min(F.struct(F.xxhash64("x", "y"), "x", "y", "other")).alias("p")).select("comp", "p.other", "p.x", "p.y").checkpoint()
+        found = picked.join(_confirmed(_told(picked.select("x", "y").distinct(), texts, block_docs), threshold), ["x", "y"]).checkpoint()
+        total, linked = found.agg(F.count("*"), F.count_if("linked")).first()
+        if linked:
+            labels = stored(_relabelled(labels, found.filter("linked").select(F.col("comp").alias("a"), F.col("other").alias("b"))))
+        poor = poor + 1 if STOP * linked < total else 0
+        if poor == 2 or not total:
+            break
+    return labels
+
+
+def meetings(apart: DataFrame, wave: str, block_docs: int) -> DataFrame:
+    """(node, comp, family, side, grp): the blocks of each family's components, once for each block they have to meet in a wave.
+
+    Waves: ``among``, pools of small components; ``beside``, pools with the blocks of large components; ``between``, blocks of large ones.
     """
+    sized = apart.join(apart.groupBy("family", "comp").agg(F.count("*").alias("own")), ["family", "comp"])
+    small = apart.groupBy("family", "comp").agg(F.count("*").alias("own")).filter(F.col("own") <= block_docs).groupBy("family").agg(F.ceil(F.sum("own") / block_docs).alias("pools"))
+    large = F.col("own") > block_docs
+    # a large component's blocks are numbered by hash of the node, small components go into the pools whole
+    block = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / block_docs))).otherwise(F.pmod(F.xxhash64("comp"), F.col("pools")))
+    members = sized.join(small, "family", "left").select("node", "comp", "family", F.when(large, F.col("comp")).alias("pure"), block.alias("block")).checkpoint()
+    blocks = members.select("family", "pure", "block").distinct().checkpoint()
+    pools, pures = blocks.filter("pure is null").select("family", F.col("block").alias("a")), blocks.filter("pure is not null").select("family", F.col("pure").alias("q"), F.col("block").alias("b"))
+    none = F.lit(None).cast("long")
+    if wave == "among":
+        met = pools.join(pools.select("family", F.col("a").alias("b")), "family").filter("a <= b").select("family", none.alias("p"), "a", none.alias("q"), "b")
+    elif wave == "beside":
+        met = pools.join(pures, "family").select("family", none.alias("p"), "a", "q", "b")
+    else:
+        comps = pures.select("family", "q").distinct()
+        unlike = comps.select("family", F.col("q").alias("p")).join(comps, "family").filter("p < q")
+        met = unlike.join(pures.select("family", F.col("q").alias("p"), F.col("b").alias("a")), ["family", "p"]).join(pures, ["family", "q"]).select("family", "p", "a", "q", "b")
+    met = met.withColumn("grp", F.xxhash64("family", "p", "a", "q", "b"))
+    alone = F.col("p").eqNullSafe(F.col("q")) & (F.col("a") == F.col("b"))
+    sides = met.select("family", F.col("p").alias("pure"), F.col("a").alias("block"), F.when(alone, -1).otherwise(0).alias("side"), "grp").unionByName(
+        met.filter(~alone).select("family", F.col("q").alias("pure"), F.col("b").alias("block"), F.lit(1).alias("side"), "grp"))
+    m, o = members.alias("m"), sides.alias("o")
+    same = (F.col("m.family") == F.col("o.family")) & (F.col("m.block") == F.col("o.block")) & F.col("m.pure").eqNullSafe(F.col("o.pure"))
+    return m.join(o, same).select("m.node", "m.comp", "m.family", "o.side", "o.grp")
+
+
+def _in_blocks(told: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (x, y) inside the groups of (node, comp, family, side, grp, text)."""
+    def compare(table: pa.Table) -> pa.Table:
+        left, right = verify(table, threshold)
+        take = lambda c, at: table[c].take(pa.array(at, pa.int64()))
+        return pa.table({"x": take("comp", left), "y": take("comp", right)})
+    return told.groupBy("grp").applyInArrow(compare, "x bigint, y bigint")
+
+
+def links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float, block_docs: int) -> DataFrame:
+    """(node, component) of the contents that have a near duplicate; ``signed``: the stored signatures of ``docs``."""
     spark = docs.sparkSession
+    full = signed.filter("content is not null")
+    speakers = full.join(full.groupBy("content").agg(F.min(F.struct("id", "row")).alias("s")).select("content", "s.id", "s.row"), ["content", "id", "row"], "left_semi")
+    # rows alike in id and text can't be told apart: any one of them will do
+    speaking = stored(speakers.dropDuplicates(["content"]).select(F.col("content").alias("node"), "id", "row", "bytes", "bands"))
+    rows = speaking.select("node", F.posexplode("bands").alias("band", "key"))
+    heads = rows.groupBy("band", "key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("band", "key", "head")
+    ties = rows.join(heads, ["band", "key"]).filter("node <> head").select("node", "head").distinct()
+    family = components(ties, "node", "head").select("node", F.col("component").alias("family"))
+    large = family.groupBy("family").count().filter(F.col("count") > block_docs).select("family").checkpoint()
+    raw = docs.select(col(id_col).alias("id"), row_key(col(id_col), col(text_col)).alias("row"), col(text_col).alias("text"))
+
+    def with_texts(nodes: DataFrame) -> DataFrame:
+        found = raw.join(nodes.join(speaking.select("node", "id", "row"), "node"), ["id", "row"]).drop("id", "row")
+        return found if once else found.dropDuplicates(["node"])
+    once = full.groupBy("id", "row").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    small = family.join(large, "family", "left_anti")
+    total = small.join(speaking.select("node", "bytes"), "node").agg(F.sum("bytes")).first()[0] or 0
+    # whole families in groups of a few MB
+    count = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_BYTES))
+    told = with_texts(small.select("node", F.col("node").alias("comp"), "family", F.lit(-1).alias("side"), F.pmod(F.xxhash64("family"), F.lit(count)).alias("grp")))
+    found = _in_blocks(told, threshold)
+    if not large.isEmpty():
+        members = family.join(large, "family", "left_semi").select("node")
+        texts = stored(with_texts(members))
+        wide = stored(speaking.join(members, "node", "left_semi").select("node", "bands"))
+        labels = rounds(wide, texts, threshold, block_docs)
+        for wave in ("among", "beside", "between"):  # small and small, small and large, large and large: no pair of texts is left out
+            inside = wide.join(labels, "node").select("node", "comp", F.posexplode("bands").alias("band", "key"))
+            left = inside.join(_apart(inside), ["band", "key"])
+            rest = components(left.filter("node <> head.node").select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct(), "a", "b")
+            apart = stored(labels.join(rest.withColumnRenamed("component", "family"), "node"))
+            if not apart.isEmpty():
+                met = _in_blocks(meetings(apart, wave, block_docs).join(texts, "node"), threshold)
+                labels = stored(_relabelled(labels, met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()))
+        found = found.union(labels.filter("node <> comp").select("node", "comp"))
+    return components(found, "x", "y")
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, block_docs: int) -> DataFrame:
+    """(id, row, rep, component, kept) of every row; rep and component null for rows without shingles or id."""
     signed = stored(signatures(docs, id_col, text_col))
-    classes = signed.groupBy("content").agg(F.min("id").alias("rep"))
-    of = signed.select("id", "content").distinct().join(classes, "content").select("id", "content", "rep").checkpoint()
-    speakers = signed.join(of.filter("id = rep").select("id", "content"), ["id", "content"], "left_semi").dropDuplicates(["id", "content"])
-    rows = stored(speakers.select("id", F.posexplode("bands").alias("band", "key")))
-    heads = rows.groupBy("band", "key").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head < last").select("band", "key", "head")
-    ties = rows.join(heads, ["band", "key"]).filter("id <> head").select("id", "head").distinct()
-    family = components(ties, "id", "head").checkpoint()
-    # how large each family is decides whether it's cut into blocks
-    size = family.groupBy("component").count()
-    blocks = F.ceil(F.col("count") / block_docs).cast("int")
-    parts = family.join(size, "component").select(F.col("node").alias("id"), F.col("component").alias("family"), blocks.alias("blocks"))
-    parts = parts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    # an id of several rows would stand twice: the smallest text speaks
-    told = texts.join(parts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    groups = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(_groups(spark)))).otherwise(F.xxhash64("family", low, high))
-    side = F.when((F.col("blocks") == 1) | (low == high), -1).otherwise(F.when(F.col("block") == low, 0).otherwise(1))
-    told = told.select("id", "text", "family", side.cast("int").alias("side"), groups.alias("grp"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    full = signed.filter("content is not null")
+    classes = full.groupBy("content").agg(F.min("id").alias("rep"))
+    linked = links(signed, docs, id_col, text_col, threshold, block_docs)
+    of = classes.join(linked.withColumnRenamed("node", "content"), "content", "left").select("content", "rep", F.coalesce("component", "content").alias("component")).checkpoint()
+    first = of.groupBy("component").agg(F.min(F.struct("rep", "content")).alias("first"))
+    of = of.join(first, "component").select("content", "rep", F.col("first.rep").alias("component"), F.col("first.content").alias("keeps"))
+    out = signed.select("id", "row", "content").join(of, "content", "left")
+    kept = F.coalesce((F.col("content") == F.col("keeps")) & (F.col("id") == F.col("component")), F.lit(True))
+    return out.select("id", "row", "rep", "component", kept.alias("kept"))
 
-    def compare(table: pa.Table) -> pa.Table:
-        left, right = verify(table, threshold)
-        return pa.table({"x": table["id"].take(pa.array(left, pa.int64())), "y": table["id"].take(pa.array(right, pa.int64()))})
-    links = told.groupBy("grp").applyInArrow(compare, f"x {kind}, y {kind}")
-    linked = components(links, "x", "y")
-    per_id = of.groupBy("id").agg(F.min("rep").alias("rep"))
-    found = per_id.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "rep", F.coalesce("component", "rep").alias("component"))
-    out = docs.select(col(id_col).alias("id")).join(found, "id", "left")
-    class_id, component = F.coalesce("rep", "id"), F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, block_docs: int = 500) -> DataFrame:
+    """One row a document: id, class_id (smallest id of equal content), component_id (smallest id of its near-duplicate class), kept.
 
-def _groups(spark) -> int:
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ``kept`` marks one document a component (all rows alike in id and text to it): the one whose id is component_id.
+    """
+    out = _classified(docs, id_col, text_col, threshold, block_docs)
+    return out.select(F.col("id").alias(id_col), F.coalesce("rep", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id"), "kept")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, block_docs: int = 500) -> DataFrame:
     """``docs`` with one row of each near-duplicate class; rows with a null id stay, of rows alike in id and text one stays."""
-    gone = near_duplicates(docs, id_col, text_col, **options).filter(~F.col("kept")).select(col(id_col)).distinct()
-    again, key, place = fresh(docs, "again", "key", "place")
-    twice = docs.filter(col(id_col).isNotNull()).groupBy(col(id_col)).count().filter("count > 1").select(col(id_col))
+    out = stored(_classified(docs, id_col, text_col, threshold, block_docs))
+    gone, key = out.filter("not kept").select("row").distinct(), fresh(docs, "key")[0]
+    marked = docs.withColumn(key, row_key(col(id_col), col(text_col))).join(gone.withColumnRenamed("row", key), key, "left_anti")
+    twice = out.filter("id is not null").groupBy("id", "row").agg(F.count("*").alias("n")).filter("n > 1").select("row").distinct()
     if not twice.isEmpty():
-        same = Window.partitionBy(col(id_col), F.col(key)).orderBy(F.lit(0))
-        marked = docs.join(twice.withColumn(again, F.lit(True)), id_col, "left").withColumn(key, row_key(col(id_col), col(text_col)))
-        alone = marked.filter(F.col(again).isNull())
-        first = marked.filter(F.col(again)).withColumn(place, F.row_number().over(same)).filter(F.col(place) == 1).drop(place)
-        docs = alone.unionByName(first).select(*[col(c) for c in docs.columns])
-    return docs.join(gone, id_col, "left_anti")
+        again = marked.join(twice.withColumnRenamed("row", key), key, "left_semi").dropDuplicates([key])
+        marked = marked.join(twice.withColumnRenamed("row", key), key, "left_anti").unionByName(again)
+    return marked.select(*[col(c) for c in docs.columns])
