@@ -34,7 +34,8 @@ def test_cli_live_reads_a_folder_of_csv_files_and_stale_results_go_live(spark, c
             f.write("Date,Close,High,Low,Open,Volume\n" + "".join(f"{d},{c},{c * 1.01},{c * 0.99},{c},{1000 + i * 37 % 101}\n" for i, (d, c) in enumerate(zip(days, close))))
     main(["detect", "--bars", bars, "--out", out, "--baseline", "decompose"])
     main(["live", "--bars", bars, "--out", out, "--available-now"])
-    results, live = (spark.read.parquet(os.path.join(out, p)).toPandas().sort_values(["ticker", "Date"]) for p in ("results", "live/scores"))
+    from tickscope.streaming.live_stream import latest_scores
+    results, live = (df.toPandas().sort_values(["ticker", "Date"]) for df in (spark.read.parquet(os.path.join(out, "results")), latest_scores(spark, os.path.join(out, "live"))))
     assert len(live) == len(results) == 2 * 61
     np.testing.assert_allclose(live.if_score.to_numpy(), results.if_score.to_numpy(), rtol=0, atol=1e-12)
     capsys.readouterr()

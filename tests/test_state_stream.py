@@ -9,7 +9,8 @@ from conftest import make_bars, series
 from tickscope.operators.detect import DetectParams, fit_and_detect
 from tickscope.operators.portfolio import stored_thresholds
 from tickscope.schemas import BARS_SCHEMA
-from tickscope.streaming.live_stream import read_bar_stream
+from tickscope.streaming.live_stream import SCORE_SCHEMA, read_bar_stream
+from tickscope.streaming.store import RunStore
 from tickscope.streaming.state_stream import start_state_scoring
 
 
@@ -41,7 +42,7 @@ def test_state_scoring_equals_batch(spark):
     q = start_state_scoring(spark, read_bar_stream(spark, flat, max_files=1), scaler, forest, thr,
                             sink, ck, available_now=True)
     q.awaitTermination()
-    got = spark.read.parquet(sink)
+    got = RunStore(spark, sink).read("scores", SCORE_SCHEMA)
     assert got.select("batch_id").distinct().count() == 3
     assert got.count() == results.count()      # files in order of time: no bar is scored twice
     a = got.select("ticker", "Date", "if_score", "if_anomaly").toPandas().sort_values(["ticker", "Date"])
@@ -100,7 +101,7 @@ def test_state_scoring_with_a_late_bar_inside_the_ring(spark):
     parts = [rows[:150] + rows[151:170], [rows[150]], rows[170:]]
     scaler, forest, results = _trained(spark, rows)
     sink, ck = tempfile.mkdtemp(prefix="tickscope-state-out-"), tempfile.mkdtemp(prefix="tickscope-state-ck-")
-    q = start_state_scoring(spark, read_bar_stream(spark, _files(spark, parts), max_files=1), scaler, forest, None, f"{sink}/scores", ck, available_now=True)
+    q = start_state_scoring(spark, read_bar_stream(spark, _files(spark, parts), max_files=1), scaler, forest, None, sink, ck, available_now=True)
     q.awaitTermination()
     _same(latest_scores(spark, sink), results)
 
@@ -116,6 +117,27 @@ def test_state_scoring_with_bars_older_than_the_ring(spark):
     parts = [first, [a[100]] + b[200:230], [a[99], a[101], *a[250:260]] + b[230:250], [a[175], *a[260:270]], a[270:] + b[250:]]
     scaler, forest, results = _trained(spark, rows)
     sink, ck = tempfile.mkdtemp(prefix="tickscope-state-out-"), tempfile.mkdtemp(prefix="tickscope-state-ck-")
-    q = start_state_scoring(spark, read_bar_stream(spark, _files(spark, parts), max_files=1), scaler, forest, None, f"{sink}/scores", ck, available_now=True)
+    q = start_state_scoring(spark, read_bar_stream(spark, _files(spark, parts), max_files=1), scaler, forest, None, sink, ck, available_now=True)
     q.awaitTermination()
     _same(latest_scores(spark, sink), results)
+
+
+def test_a_restart_takes_up_new_models(spark):
+    from tickscope.streaming.live_stream import start_live_scoring
+    rows = series("A", walk(130, 8))
+    first = _trained(spark, rows[:100])
+    second = _trained(spark, rows)
+    src = _files(spark, [rows[:100]])
+    sink, ck = tempfile.mkdtemp(prefix="tickscope-live-out-"), tempfile.mkdtemp(prefix="tickscope-live-ck-")
+    for models, more in ((first, None), (second, rows[100:])):
+        if more:
+            out = os.path.join(tempfile.mkdtemp(prefix="tickscope-live-part-"), "p")
+            make_bars(spark, more).coalesce(1).write.parquet(out)
+            for name in os.listdir(out):
+                if name.endswith(".parquet"):
+                    os.link(os.path.join(out, name), os.path.join(src, f"99-{name}"))
+        start_live_scoring(spark, read_bar_stream(spark, src, max_files=1), None, models[0], models[1], None, sink, ck, available_now=True).awaitTermination()
+    got = RunStore(spark, sink).read("scores", SCORE_SCHEMA)
+    cut = F.lit(rows[100][1]).cast("timestamp_ntz")
+    for batch, models, part in ((0, first, F.col("Date") < cut), (1, second, F.col("Date") >= cut)):
+        _same(got.filter(f"batch_id = {batch}"), models[2].filter(part))

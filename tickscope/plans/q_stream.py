@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import live as L
@@ -29,15 +30,16 @@ def q_stream_bars(spark, sf):
 STREAM_FILES = 4
 
 
-def _arrivals(spark, sf) -> str:
-    """The daily bars as STREAM_FILES files that arrive one after the other, each a stretch of time."""
+def _arrivals(spark, sf) -> DataFrame:
+    """The stream of the daily bars, that arrive in STREAM_FILES folders one after the other, each a stretch of time."""
     bars, run = daily_bars(spark, sf), scratch_path(spark, "stream_src", uuid.uuid4().hex[:12])
     day = F.unix_date(F.to_date("Date"))
     first, last = bars.agg(F.min(day)).scalar(), bars.agg(F.max(day)).scalar()
     numbered = bars.withColumn("_at", F.floor((day - first) * STREAM_FILES / (last - first + 1)))
     for k in range(STREAM_FILES):
-        numbered.filter(F.col("_at") == k).drop("_at").coalesce(1).write.parquet(f"{run}/arrival={k}")
-    return run
+        numbered.filter(F.col("_at") == k).drop("_at").repartitionByRange("ticker", "Date").write.parquet(f"{run}/arrival={k}")
+    files = len(spark.read.parquet(run).inputFiles())
+    return read_bar_stream(spark, run, max_files=-(-files // STREAM_FILES))
 
 
 STREAM_COLS = ["ticker", "Date", "Close", "if_score", "threshold", "if_anomaly", "daily_return", "volume_zscore"]
@@ -54,7 +56,7 @@ def q_stream_live(spark, sf):
     thr = stored_thresholds(daily_results(spark, sf))
     run = uuid.uuid4().hex[:12]
     sink = scratch_path(spark, "stream_live", run)
-    q = start_live_scoring(spark, read_bar_stream(spark, _arrivals(spark, sf), max_files=1), None, models.scaler, models.forest,
+    q = start_live_scoring(spark, _arrivals(spark, sf), None, models.scaler, models.forest,
                            thr, sink, scratch_path(spark, "stream_live", run, "ckpt"), available_now=True)
     q.awaitTermination()
     return latest_scores(spark, sink)
@@ -77,7 +79,7 @@ def q_stream_state_scores(spark, sf):
     thr = stored_thresholds(daily_results(spark, sf))
     run = uuid.uuid4().hex[:12]
     sink = scratch_path(spark, "stream_state", run)
-    q = start_state_scoring(spark, read_bar_stream(spark, _arrivals(spark, sf), max_files=1), models.scaler, models.forest, thr, f"{sink}/scores",
+    q = start_state_scoring(spark, _arrivals(spark, sf), models.scaler, models.forest, thr, sink,
                             scratch_path(spark, "stream_state", run, "ckpt"), available_now=True)
     q.awaitTermination()
     return latest_scores(spark, sink)

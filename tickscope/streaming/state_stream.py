@@ -6,11 +6,11 @@ micro-batch's bars pass through in the pieces Spark hands over (``is_new`` true)
 ring is kept and given out after them (``is_new`` false, without the bars replaced). A ``foreachBatch``
 then orders the rows with ordinary windows (split when a series is long), scores each new bar and each bar whose
 look-back holds a new one with the stored scaler and forest, flags them against the stored thresholds, and
-overwrites the ``batch_id`` folder (idempotent replays).
+adds the scores to the sink; a replayed batch adds nothing.
 
-The accepted bars are also kept under ``_bars/batch_id=<n>`` of the sink. A bar with fewer than 49 bars of a full ring
+The sink is a ``RunStore`` of the accepted bars and the scores. A bar with fewer than 49 bars of a full ring
 before it (``is_late``) lacks its look-back there, older bars being dropped: the batch's bars of its ticker are scored by
-``score_batch`` over the kept bars instead, as are the bars after them, and stay out of the ring's windows.
+``score_batch`` over the stored bars around them instead, as are the bars after them, and stay out of the ring's windows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from ..operators.live import score_rows, with_thresholds
 from ..operators.windows import over_series, series_stats
 from ..schemas import BARS_SCHEMA, KEY, OHLCV, TIME, WARMUP_BARS
 from ..sources.bars import unique_bars
-from .live_stream import SCORE_COLS, _known, score_batch
+from .live_stream import SCORE_COLS, SCORE_SCHEMA, around, score_batch
+from .store import RunStore
 
 RING = 2 * WARMUP_BARS
 HALO_SCHEMA = ("ticker string, Date timestamp_ntz, Open double, High double, Low double, "
@@ -82,19 +83,23 @@ def start_state_scoring(spark: SparkSession, bar_stream: DataFrame, scaler: Data
                         forest: DataFrame, thresholds: DataFrame | None, sink_dir: str,
                         checkpoint: str, available_now: bool = False,
                         processing_time: str = "300 seconds"):
+    store = RunStore(spark, sink_dir)
+
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.checkpoint(eager=True)   # the stateful step runs once
-        folder = f"{sink_dir}/_bars"
-        unique_bars(batch.filter("is_new")).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+        if batch_id <= store.state()["batch"]:
+            return
+        run = store.write("bars", unique_bars(batch.filter("is_new")), batch_id)
         late = batch.filter("is_late").select(KEY).distinct()
         if late.isEmpty():
             scored = score_new_bars(batch, scaler, forest, thresholds)
         else:
-            bars = spark.read.schema(BARS_SCHEMA).parquet(f"{folder}/batch_id={batch_id}").join(late, KEY, "left_semi")
-            exact = score_batch(bars, _known(spark, None, folder, batch_id), scaler, forest, thresholds)
+            bars = store.read_runs([run], BARS_SCHEMA).drop("batch_id").join(late, KEY, "left_semi")
+            exact = score_batch(bars, around(store, bars).drop("batch_id").withColumn("version", F.lit(0)), scaler, forest, thresholds)
             scored = score_new_bars(batch.join(late, KEY, "left_anti"), scaler, forest, thresholds).unionByName(exact)
-        (scored.withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}"))
+        store.publish(batch_id, {"bars": run, "scores": store.write("scores", scored, batch_id)})
+        store.compact("bars", BARS_SCHEMA, [KEY, TIME])
+        store.compact("scores", SCORE_SCHEMA, [KEY, TIME])
 
     writer = (with_halo(bar_stream).writeStream.outputMode("append").foreachBatch(on_batch)
               .option("checkpointLocation", checkpoint))
