@@ -19,14 +19,13 @@ Steps:
 2. banding: contents that agree in a whole band of registers fall into a bucket; each is tied to the bucket's
    smallest. Components of these ties are families: no link leads out of a family.
 3. families of more than ``block_docs`` first join what is easy to join: in each round, one a band, every component so far picks one pair
-   with a component that shares a bucket with it, and the pair is verified exactly. Rounds go on until two of them link less than an eighth of their pairs;
-   each round before that costs an eighth of the components at least. What is left are the buckets whose members are still apart.
+   with a component that shares a bucket with it, and the pair is verified exactly. Rounds go on while an eighth of the pairs
+   link and more than ``block_docs`` are tried, so the components fall geometrically. What is left are the buckets whose members are still apart.
 4. verification in blocks: the texts of small families and of such left buckets are shuffled by block. A task compares
    signatures, takes pairs that agree in enough registers in the order of
    that number, and verifies a pair exactly, skipping pairs already connected; it gives out a spanning
    forest of verified links, never all pairs. A component of more than ``block_docs`` has blocks of its own, which never meet each other;
-   smaller components share blocks (pools). Pools meet each other first, then the blocks of large components, then large components each other; what a wave
-   links is one component in the next. So a family of N near
+   smaller components share blocks (pools). Pools meet each other and the blocks of large components; large components meet each other. So a family of N near
    copies costs about N texts a round and N - 1 links; only texts that share bands without being near copies still meet block by block.
 5. components of the verified links.
 
@@ -57,7 +56,7 @@ REGISTERS, BANDS, ROWS = 128, 25, 5
 SLACK = 0.2
 #: Pairs tried between two looks at what is connected by now.
 CHUNK = 4096
-#: Two rounds in a row that link less than one in so many of their pairs are the last ones.
+#: A round that links less than one in so many of its pairs is the last one.
 STOP = 8
 #: Texts of about so many bytes make a group of small families.
 GROUP_BYTES = 4 << 20
@@ -246,10 +245,10 @@ def confirmed(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"x": table["x"].take(pa.array(at, pa.int64())), "y": table["y"].take(pa.array(at, pa.int64())), "linked": pa.array(linked, pa.bool_())})
 
 
-def _told(pairs: DataFrame, texts: DataFrame, block_docs: int) -> DataFrame:
+def _told(pairs: DataFrame, texts: DataFrame, total: int, block_docs: int) -> DataFrame:
     """The texts (node, text) of node pairs in groups of about ``block_docs``: each y with its x, each x once a group."""
     often = pairs.groupBy("x").agg(F.ceil(F.count("*") / block_docs).alias("parts"))
-    groups = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // block_docs))
+    groups = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // block_docs))
     dealt = pairs.join(often, "x").withColumn("grp", F.pmod(F.xxhash64("x", F.pmod(F.xxhash64("y"), F.col("parts"))), F.lit(groups))).select("x", "y", "grp")
     rows = dealt.withColumn("node", F.col("y")).unionByName(dealt.select("x", "grp").distinct().select("x", F.lit(None).cast("long").alias("y"), "grp", F.col("x").alias("node")))
     return rows.join(texts, "node").select("x", "y", "text", "grp")
@@ -266,35 +265,39 @@ def _apart(inside: DataFrame) -> DataFrame:
     return inside.groupBy("band", "key").agg(drawn.alias("head"), F.max("comp").alias("hi")).filter("head.comp < hi").drop("hi")
 
 
-def _relabelled(labels: DataFrame, joined: DataFrame) -> DataFrame:
-    """(node, comp) after the links (a, b) between components."""
-    new = components(joined, "a", "b").select(F.col("node").alias("comp"), F.col("component").alias("to"))
-    return labels.join(new, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+def _roots(parents: DataFrame) -> DataFrame:
+    """(comp, root) of a forest (comp, parent), by pointer jumping; a parent is less than its child."""
+    at = parents.select("comp", F.col("parent").alias("root")).checkpoint()
+    while True:
+        up = at.select(F.col("comp").alias("root"), F.col("root").alias("further"))
+        jumped = at.join(up, "root", "left").select("comp", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")).checkpoint()
+        at = jumped.select("comp", "root")
+        if jumped.filter("moved").isEmpty():
+            return at
 
 
 def rounds(wide: DataFrame, texts: DataFrame, threshold: float, block_docs: int) -> DataFrame:
     """(node, comp) of the nodes in ``wide`` (node, bands), joined by what single verified pairs join (step 3)."""
-    labels, poor = wide.select("node", F.col("node").alias("comp")), 0
+    labels = wide.select("node", F.col("node").alias("comp"))
     for band in range(BANDS):
-        inside = wide.select("node", F.lit(band).alias("band"), F.element_at("bands", band + 1).alias("key")).join(labels, "node").checkpoint()
+        inside = wide.select("node", F.lit(band).alias("band"), F.element_at("bands", band + 1).alias("key")).join(labels, "node")
         pairs = inside.join(_apart(inside), ["band", "key"]).filter("comp <> head.comp").select("comp", F.col("head.comp").alias("other"), F.col("head.node").alias("x"), F.col("node").alias("y"))
-        # the order of a hash: any one of the component's pairs
+        # any one of the component's pairs, by the order of a hash; the other component is always the smaller one
         picked = pairs.groupBy("comp").agg(F.min(F.struct(F.xxhash64("x", "y"), "x", "y", "other")).alias("p")).select("comp", "p.other", "p.x", "p.y").checkpoint()
-        found = picked.join(_confirmed(_told(picked.select("x", "y").distinct(), texts, block_docs), threshold), ["x", "y"]).checkpoint()
-        total, linked = found.agg(F.count("*"), F.count_if("linked")).first()
-        if linked:
-            labels = stored(_relabelled(labels, found.filter("linked").select(F.col("comp").alias("a"), F.col("other").alias("b"))))
-        poor = poor + 1 if STOP * linked < total else 0
-        if poor == 2 or not total:
+        total = picked.count()
+        if total <= block_docs:
+            break
+        found = picked.join(_confirmed(_told(picked.select("x", "y").distinct(), texts, total, block_docs), threshold), ["x", "y"]).filter("linked").checkpoint()
+        roots = _roots(found.select("comp", F.col("other").alias("parent")))
+        # a table, not a checkpoint: see components
+        labels = stored(labels.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
+        if STOP * found.count() < total:
             break
     return labels
 
 
-def meetings(apart: DataFrame, wave: str, block_docs: int) -> DataFrame:
-    """(node, comp, family, side, grp): the blocks of each family's components, once for each block they have to meet in a wave.
-
-    Waves: ``among``, pools of small components; ``beside``, pools with the blocks of large components; ``between``, blocks of large ones.
-    """
+def meetings(apart: DataFrame, block_docs: int) -> DataFrame:
+    """(node, comp, family, side, grp): the blocks of each family's components, once for each block they have to meet."""
     sized = apart.join(apart.groupBy("family", "comp").agg(F.count("*").alias("own")), ["family", "comp"])
     small = apart.groupBy("family", "comp").agg(F.count("*").alias("own")).filter(F.col("own") <= block_docs).groupBy("family").agg(F.ceil(F.sum("own") / block_docs).alias("pools"))
     large = F.col("own") > block_docs
@@ -304,14 +307,12 @@ def meetings(apart: DataFrame, wave: str, block_docs: int) -> DataFrame:
     blocks = members.select("family", "pure", "block").distinct().checkpoint()
     pools, pures = blocks.filter("pure is null").select("family", F.col("block").alias("a")), blocks.filter("pure is not null").select("family", F.col("pure").alias("q"), F.col("block").alias("b"))
     none = F.lit(None).cast("long")
-    if wave == "among":
-        met = pools.join(pools.select("family", F.col("a").alias("b")), "family").filter("a <= b").select("family", none.alias("p"), "a", none.alias("q"), "b")
-    elif wave == "beside":
-        met = pools.join(pures, "family").select("family", none.alias("p"), "a", "q", "b")
-    else:
-        comps = pures.select("family", "q").distinct()
-        unlike = comps.select("family", F.col("q").alias("p")).join(comps, "family").filter("p < q")
-        met = unlike.join(pures.select("family", F.col("q").alias("p"), F.col("b").alias("a")), ["family", "p"]).join(pures, ["family", "q"]).select("family", "p", "a", "q", "b")
+    among = pools.join(pools.select("family", F.col("a").alias("b")), "family").filter("a <= b").select("family", none.alias("p"), "a", none.alias("q"), "b")
+    beside = pools.join(pures, "family").select("family", none.alias("p"), "a", "q", "b")
+    comps = pures.select("family", "q").distinct()
+    unlike = comps.select("family", F.col("q").alias("p")).join(comps, "family").filter("p < q")
+    between = unlike.join(pures.select("family", F.col("q").alias("p"), F.col("b").alias("a")), ["family", "p"]).join(pures, ["family", "q"]).select("family", "p", "a", "q", "b")
+    met = among.unionByName(beside).unionByName(between)
     met = met.withColumn("grp", F.xxhash64("family", "p", "a", "q", "b"))
     alone = F.col("p").eqNullSafe(F.col("q")) & (F.col("a") == F.col("b"))
     sides = met.select("family", F.col("p").alias("pure"), F.col("a").alias("block"), F.when(alone, -1).otherwise(0).alias("side"), "grp").unionByName(
@@ -344,31 +345,27 @@ def links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, thresh
     large = family.groupBy("family").count().filter(F.col("count") > block_docs).select("family").checkpoint()
     raw = docs.select(col(id_col).alias("id"), row_key(col(id_col), col(text_col)).alias("row"), col(text_col).alias("text"))
 
-    def with_texts(nodes: DataFrame) -> DataFrame:
-        found = raw.join(nodes.join(speaking.select("node", "id", "row"), "node"), ["id", "row"]).drop("id", "row")
-        return found if once else found.dropDuplicates(["node"])
-    once = full.groupBy("id", "row").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    # the texts of families are taken out of the table once; a third of all rows may be alike in id and text
+    texts = raw.join(family.join(speaking.select("node", "id", "row"), "node").select("node", "id", "row"), ["id", "row"]).select("node", "text")
+    if not full.groupBy("id", "row").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        texts = texts.dropDuplicates(["node"])
+    texts = stored(texts)
     small = family.join(large, "family", "left_anti")
     total = small.join(speaking.select("node", "bytes"), "node").agg(F.sum("bytes")).first()[0] or 0
     # whole families in groups of a few MB
     count = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_BYTES))
-    told = with_texts(small.select("node", F.col("node").alias("comp"), "family", F.lit(-1).alias("side"), F.pmod(F.xxhash64("family"), F.lit(count)).alias("grp")))
-    found = _in_blocks(told, threshold)
-    if not large.isEmpty():
-        members = family.join(large, "family", "left_semi").select("node")
-        texts = stored(with_texts(members))
-        wide = stored(speaking.join(members, "node", "left_semi").select("node", "bands"))
-        labels = rounds(wide, texts, threshold, block_docs)
-        for wave in ("among", "beside", "between"):  # small and small, small and large, large and large: no pair of texts is left out
-            inside = wide.join(labels, "node").select("node", "comp", F.posexplode("bands").alias("band", "key"))
-            left = inside.join(_apart(inside), ["band", "key"])
-            rest = components(left.filter("node <> head.node").select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct(), "a", "b")
-            apart = stored(labels.join(rest.withColumnRenamed("component", "family"), "node"))
-            if not apart.isEmpty():
-                met = _in_blocks(meetings(apart, wave, block_docs).join(texts, "node"), threshold)
-                labels = stored(_relabelled(labels, met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()))
-        found = found.union(labels.filter("node <> comp").select("node", "comp"))
-    return components(found, "x", "y")
+    told = texts.join(small.select("node", F.col("node").alias("comp"), "family", F.lit(-1).alias("side"), F.pmod(F.xxhash64("family"), F.lit(count)).alias("grp")), "node")
+    linked = components(_in_blocks(told, threshold), "x", "y")
+    if large.isEmpty():
+        return linked
+    wide = stored(speaking.join(family.join(large, "family", "left_semi").select("node"), "node", "left_semi").select("node", "bands"))
+    labels = rounds(wide, texts, threshold, block_docs)
+    inside = wide.join(labels, "node").select("node", "comp", F.posexplode("bands").alias("band", "key"))
+    left = inside.join(_apart(inside), ["band", "key"]).select("node", "comp").distinct()
+    met = _in_blocks(meetings(stored(left.join(family, "node")), block_docs).join(texts, "node"), threshold)
+    # what the rounds have joined goes on as one node
+    merged = components(met.distinct(), "x", "y").select(F.col("node").alias("comp"), F.col("component").alias("to"))
+    return linked.union(labels.join(merged, "comp", "left").select("node", F.coalesce("to", "comp")))
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, block_docs: int) -> DataFrame:
