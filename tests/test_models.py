@@ -171,7 +171,7 @@ def test_trees_that_fall_short_are_redone(spark, monkeypatch):
     monkeypatch.setattr(iforest, "SLACK", -1.0)      # most trees get too few candidates
     got = forest()
     assert set(got.n_rows) == {64, 41} and len(got) == 60
-    assert all((a == b).all() for c in ("f", "v") for a, b in zip(got[c], want[c])) and (got.n_splits == want.n_splits).all()
+    assert all(np.array_equal(a, b) for c in ("f", "v") for a, b in zip(got[c], want[c])) and (got.n_splits == want.n_splits).all()
 
 
 def test_tree_keys_are_not_linearly_tied(spark):
@@ -185,3 +185,52 @@ def test_tree_keys_are_not_linearly_tied(spark):
     second = (wide[:, :-2] - 2 * wide[:, 1:-1] + wide[:, 2:]) % 1
     assert min(len(np.unique(np.round(second[:, k], 9))) for k in range(second.shape[1])) > 390
     assert np.abs(np.corrcoef(wide.T) - np.eye(12)).max() < 0.2 and abs(wide.mean() - 0.5) < 0.03
+
+
+def test_trees_of_larger_samples_are_deeper(spark):
+    from tickscope.operators import iforest
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1024, 3))
+    for psi, depth in ((256, 8), (257, 9), (1024, 10)):
+        f, v, hb, n_splits, n_leaves = iforest._grow_tree(x[:psi], "A", 0, depth, 42, psi)
+        assert len(f) == len(v) == 2 ** depth - 1 and len(hb) == 2 ** depth and n_leaves == n_splits + 1
+        assert psi == 256 or np.isfinite(v[255:]).any()
+        # the walk ends where a plain descent does, a leaf's path being its depth and c of its rows
+        def descend(node, level, idx):
+            if np.isinf(v[node]) if node < len(v) else True:
+                return {i: level + iforest.avg_path_length_py(len(idx)) for i in idx}
+            left = [i for i in idx if x[i, f[node]] <= v[node]]
+            return descend(2 * node + 1, level + 1, left) | descend(2 * node + 2, level + 1, [i for i in idx if i not in set(left)])
+        want = descend(0, 0, list(range(psi)))
+        got = iforest.walk(x[:psi], f[None], v[None], hb[None])
+        np.testing.assert_allclose(got, [want[i] for i in range(psi)])
+    with pytest.raises(ValueError):
+        iforest.series_sizes(spark.createDataFrame([("A",)], "ticker string"), 2 ** 17)
+
+
+def test_broadcast_bound_counts_what_arrays_hold(spark):
+    from tickscope.operators import iforest, joins
+    sizes = spark.createDataFrame([("A", 10, 10, 4)], "ticker string, n long, psi long, depth_limit int")
+    trees = iforest.all_trees(sizes, 300, 42)
+    assert joins.row_width(trees.schema, 300) > 300 * 24
+
+
+def test_recent_window_reaches_the_scan(spark):
+    import tempfile
+    from conftest import make_bars, series
+    from tickscope.operators.live import recent_window
+    out = tempfile.mkdtemp() + "/bars"
+    make_bars(spark, series("A", [100.0 + i for i in range(200)])).write.parquet(out)
+    recent = recent_window(spark.read.parquet(out), lookback_days=30)
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(Date" in plan and recent.count() == 30
+
+
+def test_unconverged_tickers_have_no_band(spark):
+    from conftest import make_bars, series
+    from tickscope.operators import baseline_map as bm
+    from pyspark.sql import functions as F
+    bars = make_bars(spark, series("A", [100.0 + i % 9 for i in range(120)]) + series("B", [50.0 + i % 5 for i in range(120)]))
+    model = bm.fit_map(bars).withColumn("converged", F.col("ticker") == "A").checkpoint()
+    got = {r["ticker"]: r for r in bm.score_map(bars, model).groupBy("ticker").agg(F.count("yhat_upper").alias("n"), F.max("band_anomaly").alias("m"), F.count("band_anomaly").alias("k")).collect()}
+    assert got["A"]["n"] == 120 and got["B"]["n"] == 0 and got["B"]["m"] == 0 and got["B"]["k"] == 120

@@ -209,8 +209,8 @@ def fit_map(bars: DataFrame, n_series: int | None = None) -> DataFrame:
 
 def score_map(bars: DataFrame, model: DataFrame, n_series: int | None = None,
               z: float = INTERVAL_Z) -> DataFrame:
-    """Adds yhat, yhat_lower, yhat_upper, residual, band_anomaly."""
-    j = join_small(bars, model.select(KEY, "t0", "t1", "y_scale", "cp_days", "beta", "sigma"),
+    """Adds yhat, yhat_lower, yhat_upper, residual, band_anomaly. A ticker whose fit hasn't converged has no band and no flag."""
+    j = join_small(bars, model.select(KEY, "t0", "t1", "y_scale", "cp_days", "beta", "sigma", "converged"),
                    KEY, n_series)
     j = j.withColumn("_x", design(j))
     fx = sum((F.get(F.col("_x"), i) * F.get(F.col("beta"), i) for i in range(N_COLS)), F.lit(0.0))
@@ -219,12 +219,12 @@ def score_map(bars: DataFrame, model: DataFrame, n_series: int | None = None,
     after = F.greatest((_days(F.col(TIME)) - F.col("t1")) / span, F.lit(0.0))
     change = F.aggregate(F.slice("beta", 3, N_CHANGEPOINTS), F.lit(0.0), lambda acc, b: acc + F.abs(b)) / F.lit(float(N_CHANGEPOINTS))
     spread = F.sqrt(F.col("sigma") * F.col("sigma") + F.lit(2.0 * N_CHANGEPOINTS / 3.0) * change * change * after * after * after)
-    half = F.lit(z) * spread * F.col("y_scale")
+    half = F.when(F.col("converged"), F.lit(z) * spread * F.col("y_scale"))
     out = j.select(*bars.columns, "yhat", (F.col("yhat") - half).alias("yhat_lower"),
                    (F.col("yhat") + half).alias("yhat_upper"),
                    (F.col("Close") - F.col("yhat")).alias("residual"))
     flag = ((F.col("Close") < F.col("yhat_lower")) | (F.col("Close") > F.col("yhat_upper"))).cast("int")
-    return out.withColumn("band_anomaly", flag)
+    return out.withColumn("band_anomaly", F.coalesce(flag, F.lit(0)))
 
 
 def baseline_map(bars: DataFrame, n_series: int | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ Fit
     with value <= threshold go left (child 2i+1), the rest right (2i+2).
 Model
   one row per (ticker, tree): ``f``/``v`` arrays (split feature/threshold for the
-  2^D-1 inner slots of a full depth-D tree; leaves above depth D send rows down
+  2^D-1 inner slots of a full depth-D tree, D = max(8, ceil(log2(psi))); leaves above depth D send rows down
   their leftmost branch) and ``hb`` (path length for the 2^D bottom slots).
 Score
   a ticker's rows are dealt into blocks of about BLOCK_ROWS by a hash of their time and meet the ticker's trees
@@ -41,7 +41,8 @@ from ..functions.exprs import TWO_POW_32, avg_path_length_py, row_key, unit_hash
 from ..schemas import KEY, MAX_SAMPLES, MODEL_FEATURES, N_TREES, SEED, TIME
 from .joins import join_small
 
-MAX_DEPTH = 8                      # ceil(log2(256))
+MAX_DEPTH = 8                      # ceil(log2(256)): trees have at least so many levels of slots
+MOST_DEPTH = 16                    # of a tree over max_samples rows; more would make models of many MB a ticker
 INNER_SLOTS = 2 ** MAX_DEPTH - 1   # 255
 LEAF_SLOTS = 2 ** MAX_DEPTH        # 256
 MIX_PRIME = 2147483647           # 2^31 - 1
@@ -55,13 +56,21 @@ BLOCK_ROWS = 50_000
 
 def _depth_limit(psi):
     """ceil(log2(max(psi, 2))) with integer comparisons only."""
-    expr = F.lit(MAX_DEPTH)
-    for d in range(MAX_DEPTH - 1, 0, -1):
+    expr = F.lit(MOST_DEPTH)
+    for d in range(MOST_DEPTH - 1, 0, -1):
         expr = F.when(psi <= 2 ** d, F.lit(d)).otherwise(expr)
     return expr
 
 
+def slots(psi: int) -> tuple[int, int]:
+    """Levels of a tree over psi rows, and its bottom slots; it has one inner slot less."""
+    depth = max(MAX_DEPTH, (psi - 1).bit_length())
+    return depth, 2 ** depth
+
+
 def series_sizes(scaled: DataFrame, max_samples: int = MAX_SAMPLES) -> DataFrame:
+    if max_samples > 2 ** MOST_DEPTH:
+        raise ValueError(f"max_samples of at most {2 ** MOST_DEPTH}")
     n = F.count(F.lit(1))
     return (scaled.groupBy(KEY).agg(n.alias("n"))
             .withColumn("psi", F.least(F.col("n"), F.lit(max_samples)))
@@ -87,9 +96,9 @@ def tree_key(h1: Column, h2: Column, a: Column, b: Column) -> Column:
     return (((x * x) % F.lit(MIX_PRIME) * F.lit(48271) + h2) % F.lit(MIX_PRIME)).cast("double") / F.lit(float(MIX_PRIME))
 
 
-def _keyed(scaled: DataFrame, trees: DataFrame, seed: int, n_series: int | None) -> DataFrame:
+def _keyed(scaled: DataFrame, trees: DataFrame, seed: int, n_series: int | None, n_trees: int = N_TREES) -> DataFrame:
     """(ticker, rk, x, psi, depth_limit, n, t, u): rows x their trees; ``trees`` holds a list of (t, a, b) a ticker."""
-    d = join_small(scaled.select(KEY, TIME, "x"), trees, KEY, n_series).withColumn("rk", row_key(F.col(TIME)))
+    d = join_small(scaled.select(KEY, TIME, "x"), trees, KEY, n_series, items=n_trees).withColumn("rk", row_key(F.col(TIME)))
     d = d.withColumn("_h1", _hash_below(MIX_PRIME, seed, F.lit("row"), F.col(KEY), F.col("rk")))
     d = d.withColumn("_h2", _hash_below(MIX_PRIME, seed, F.lit("tie"), F.col(KEY), F.col("rk")))
     d = d.select(KEY, "rk", "x", "psi", "depth_limit", "n", "_h1", "_h2", F.explode("trees").alias("_t"))
@@ -108,11 +117,11 @@ def all_trees(sizes: DataFrame, n_trees: int, seed: int) -> DataFrame:
     return sizes.withColumn("trees", numbered)
 
 
-def sample_rows(scaled: DataFrame, trees: DataFrame, seed: int = SEED, n_series: int | None = None) -> DataFrame:
+def sample_rows(scaled: DataFrame, trees: DataFrame, seed: int = SEED, n_series: int | None = None, n_trees: int = N_TREES) -> DataFrame:
     """(ticker, t, x, psi, depth_limit): up to psi sampled rows per tree, from the rows whose key is small."""
     n, psi = F.col("n").cast("double"), F.col("psi").cast("double")
     q = (psi + F.lit(SLACK) * F.sqrt(psi)) / n
-    return _smallest(_keyed(scaled, trees, seed, n_series).filter(F.col("u") < q))
+    return _smallest(_keyed(scaled, trees, seed, n_series, n_trees).filter(F.col("u") < q))
 
 
 TREE_SCHEMA = ("ticker string, t int, psi long, f array<int>, v array<double>, "
@@ -124,11 +133,12 @@ def _node_uniform(seed: int, tag: str, ticker: str, t: int, node: int) -> float:
     return int(digest[:8], 16) / TWO_POW_32
 
 
-def _grow_tree(x: np.ndarray, ticker: str, t: int, depth_limit: int, seed: int):
+def _grow_tree(x: np.ndarray, ticker: str, t: int, depth_limit: int, seed: int, psi: int = MAX_SAMPLES):
     """Arrays f, v (inner slots) and hb (bottom slots) of one tree over <= psi rows."""
-    f = np.zeros(INNER_SLOTS, dtype=np.int32)
-    v = np.full(INNER_SLOTS, np.inf)
-    hb = np.zeros(LEAF_SLOTS)
+    levels, bottom = slots(psi)
+    f = np.zeros(bottom - 1, dtype=np.int32)
+    v = np.full(bottom - 1, np.inf)
+    hb = np.zeros(bottom)
     n_splits = n_leaves = 0
     stack = [(0, 0, np.arange(x.shape[0]))]
     while stack:
@@ -150,7 +160,7 @@ def _grow_tree(x: np.ndarray, ticker: str, t: int, depth_limit: int, seed: int):
                 split = True
                 n_splits += 1
         if not split:
-            slot = (node + 1) * 2 ** (MAX_DEPTH - depth) - LEAF_SLOTS
+            slot = (node + 1) * 2 ** (levels - depth) - bottom
             hb[slot] = depth + avg_path_length_py(len(idx))
             n_leaves += 1
     return f, v, hb, n_splits, n_leaves
@@ -172,7 +182,7 @@ def _grow_group(seed: int, n_features: int):
         cols = {KEY: [], "t": [], "psi": [], "f": [], "v": [], "hb": [], "n_splits": [], "n_leaves": [], "n_rows": []}
         for a, b in zip(starts, ends):
             t = int(t_all[a])
-            f, v, hb, ns, nl = _grow_tree(x_all[a:b], ticker, t, depth_limit, seed)
+            f, v, hb, ns, nl = _grow_tree(x_all[a:b], ticker, t, depth_limit, seed, psi)
             for k, val in ((KEY, ticker), ("t", t), ("psi", psi), ("f", f), ("v", v), ("hb", hb),
                            ("n_splits", ns), ("n_leaves", nl), ("n_rows", b - a)):
                 cols[k].append(val)
@@ -212,14 +222,14 @@ def fit_forest(scaled: DataFrame, n_trees: int = N_TREES, max_samples: int = MAX
     """The forest, materialised by ``cut`` (default: a checkpoint) so that short samples can be found and redone."""
     cut = cut or (lambda df: df.checkpoint(eager=True))
     trees = all_trees(series_sizes(scaled, max_samples), n_trees, seed)
-    forest = cut(grow(sample_rows(scaled, trees, seed, n_series), seed, n_series, n_trees))
+    forest = cut(grow(sample_rows(scaled, trees, seed, n_series, n_trees), seed, n_series, n_trees))
     full = forest.filter(F.col("n_rows") >= F.col("psi")).groupBy(KEY).agg(F.collect_set("t").alias("_done"))
     short = trees.join(full, KEY, "left").withColumn("trees", F.filter("trees", lambda t: ~F.coalesce(
         F.array_contains("_done", t["t"]), F.lit(False)))).filter(F.size("trees") > 0).drop("_done")
     if short.isEmpty():
         return forest
     short = short.checkpoint(eager=True)
-    redone = grow(_smallest(_keyed(scaled, short, seed, n_series)), seed, n_series, n_trees)
+    redone = grow(_smallest(_keyed(scaled, short, seed, n_series, n_trees)), seed, n_series, n_trees)
     kept = forest.filter(F.col("n_rows") >= F.col("psi"))
     return cut(kept.unionByName(redone))
 
@@ -240,9 +250,9 @@ def walk(x: np.ndarray, f: np.ndarray, v: np.ndarray, hb: np.ndarray) -> np.ndar
         rows = x[first:first + step]
         node = np.zeros((len(f), len(rows)), np.int64)
         at = np.arange(len(rows))[None, :]
-        for _ in range(MAX_DEPTH):
+        for _ in range(hb.shape[1].bit_length() - 1):
             node = 2 * node + 1 + (rows[at, f[trees, node]] > v[trees, node])
-        out[first:first + step] = hb[trees, node - INNER_SLOTS].mean(0)
+        out[first:first + step] = hb[trees, node - f.shape[1]].mean(0)
     return out
 
 

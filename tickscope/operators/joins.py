@@ -15,23 +15,20 @@ from pyspark.sql import types as T
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
-def row_width(schema: T.StructType) -> int:
-    """Rough in-memory width of a row (arrays counted at 64 elements)."""
-    width = 16
-    for f in schema.fields:
-        dt = f.dataType
+def row_width(schema: T.StructType, items: int = 64) -> int:
+    """Rough in-memory width of a row; arrays hold ``items`` elements."""
+    def width(dt: T.DataType) -> int:
         if isinstance(dt, T.ArrayType):
-            width += 16 + 64 * (dt.elementType.defaultSize() if hasattr(dt.elementType, "defaultSize") else 8)
-        elif isinstance(dt, T.StringType):
-            width += 32
-        else:
-            width += 8
-    return width
+            return 16 + items * width(dt.elementType)
+        if isinstance(dt, T.StructType):
+            return 16 + sum(width(f.dataType) for f in dt.fields)
+        return 32 if isinstance(dt, T.StringType) else 8
+    return width(schema)
 
 
 def join_small(big: DataFrame, small: DataFrame, on, n_rows: int | None, how: str = "inner",
-               max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """Join a per-series table (at most ``n_rows`` rows, a counted bound) onto a large one."""
-    if n_rows is not None and n_rows * row_width(small.schema) <= max_bytes:
+               max_bytes: int = BROADCAST_MAX_BYTES, items: int = 64) -> DataFrame:
+    """Join a per-series table (at most ``n_rows`` rows, a counted bound, with arrays of ``items`` elements) onto a large one."""
+    if n_rows is not None and n_rows * row_width(small.schema, items) <= max_bytes:
         small = F.broadcast(small)
     return big.join(small, on, how)

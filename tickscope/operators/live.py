@@ -10,6 +10,7 @@ scoring, so one row a ticker meets its trees.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -25,16 +26,23 @@ from .windows import series_stats
 LIVE_COLS = ["ticker", "date", "close", "if_score", "threshold", "anomaly", "daily_ret", "vol_z"]
 
 
-def as_of_default(bars: DataFrame) -> Column:
-    """Latest bar time over all series (a scalar subquery, not a driver value)."""
-    return bars.agg(F.max(TIME)).scalar()
+def as_of_default(bars: DataFrame) -> datetime.datetime | None:
+    """Latest bar time over all series: a pass over one column, and one value for the driver."""
+    return bars.agg(F.max(TIME)).first()[0]
 
 
-def recent_window(bars: DataFrame, as_of: Column | str | None = None,
+def recent_window(bars: DataFrame, as_of: Column | datetime.datetime | str | None = None,
                   lookback_days: int = LIVE_LOOKBACK_DAYS) -> DataFrame:
-    end = as_of_default(bars) if as_of is None else (
-        as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz"))
-    start = end - F.make_interval(days=F.lit(lookback_days))
+    """Bars of the last ``lookback_days``. Both ends are literals (unless ``as_of`` is a column), so they reach the scan,
+    which then skips the history by its statistics."""
+    if as_of is None:
+        as_of = as_of_default(bars)
+    if isinstance(as_of, Column):
+        start, end = as_of - F.make_interval(days=F.lit(lookback_days)), as_of
+    else:
+        end = datetime.datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of
+        start = end - datetime.timedelta(days=lookback_days) if end is not None else None
+        start, end = (F.lit(x).cast("timestamp_ntz") for x in (start, end))
     return bars.filter((F.col(TIME) > start) & (F.col(TIME) <= end))
 
 
@@ -55,7 +63,7 @@ def with_thresholds(scored: DataFrame, thresholds: DataFrame | None) -> DataFram
 
 
 def live_scores(bars: DataFrame, scaler: DataFrame, forest: DataFrame, thresholds: DataFrame | None,
-                as_of: Column | str | None = None, lookback_days: int = LIVE_LOOKBACK_DAYS,
+                as_of: Column | datetime.datetime | str | None = None, lookback_days: int = LIVE_LOOKBACK_DAYS,
                 min_bars: int = MIN_LIVE_BARS) -> DataFrame:
     recent = recent_window(bars, as_of, lookback_days)
     if min_bars > 0:
