@@ -5,7 +5,7 @@
   python -m tickscope alerts --out DIR [--bars DIR] [--live] [--lookback DAYS] [--as-of DATE]
 
 ``--bars`` holds ``{TICKER}_raw.csv`` files (or parquet bars with ``--parquet``); new bars of a live run arrive as new
-files. ``--out`` receives the model tables (scaler, forest, baseline) and the partitioned results. ``--as-of`` is the
+files. ``--out`` receives the model tables (scaler, forest, baseline) and the partitioned results, published together. ``--as-of`` is the
 run date, by default today.
 """
 
@@ -15,7 +15,6 @@ import argparse
 import datetime
 import os
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from .operators import alerts as A
@@ -25,6 +24,7 @@ from .operators.portfolio import stored_thresholds
 from .schemas import KEY, LIVE_LOOKBACK_DAYS
 from .session import get_session
 from .sources.bars import read_bars_csv, unique_bars
+from .sources.pointer import TableSet
 from .streaming.live_stream import read_bar_stream, start_live_scoring
 
 TABLES = ("scaler", "forest", "baseline")
@@ -36,34 +36,36 @@ def _bars(spark, args):
 
 def _models(spark, out) -> Models | None:
     """The stored models, or None if there are none yet."""
-    try:
-        return Models(*[spark.read.parquet(os.path.join(out, name)) for name in TABLES])
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    found = TableSet(spark, out).read(*TABLES)
+    return Models(*found) if found else None
+
+
+def _results(spark, out):
+    found = TableSet(spark, out).read("results")
+    if found is None:
+        raise SystemExit(f"No results in {out}. Run detect first.")
+    return found[0]
 
 
 def cmd_detect(spark, args) -> None:
+    """Models and results become visible together, by one pointer: a run that is killed leaves the old set."""
     bars = _bars(spark, args)
     params = DetectParams(baseline=args.baseline)
-    stored = _models(spark, args.out)
+    stored, tables, written = _models(spark, args.out), TableSet(spark, args.out), {}
 
     def write(name, df):
-        df.write.mode("overwrite").parquet(os.path.join(args.out, name))
-        return spark.read.parquet(os.path.join(args.out, name))
+        written[name] = tables.write(name, df)
+        return tables.at(written[name])
     if stored is None or args.retrain:
         results = fit_and_detect(bars, params, store=write)[2]
     else:
         models = train_or_reuse(bars, stored, False, params)
         if models is not stored:
-            # the new tables are made from the old ones, so they are written beside them first
-            for name in TABLES:
-                write(f"{name}.new", getattr(models, name))
-            models = Models(*[write(name, spark.read.parquet(os.path.join(args.out, f"{name}.new"))) for name in TABLES])
+            models = Models(*[write(name, getattr(models, name)) for name in TABLES])
         results = detect(bars, params, models)
-    results.write.mode("overwrite").partitionBy(KEY).parquet(os.path.join(args.out, "results"))
-    res = spark.read.parquet(os.path.join(args.out, "results"))
+    written["results"] = tables.write("results", results, KEY)
+    tables.publish(written)
+    res = _results(spark, args.out)
     res.groupBy(KEY).agg(F.sum("if_anomaly").alias("IF"), F.sum("band_anomaly").alias("band"),
                          F.sum("consensus_anomaly").alias("consensus")).orderBy(KEY).show(truncate=False)
 
@@ -73,7 +75,7 @@ def cmd_live(spark, args) -> None:
     if stored is None:
         print("No models loaded. Run detect first.")
         return
-    thr = stored_thresholds(spark.read.parquet(os.path.join(args.out, "results")))
+    thr = stored_thresholds(_results(spark, args.out))
     if args.once:
         scores = L.live_scores(_bars(spark, args), stored.scaler, stored.forest, thr, lookback_days=LIVE_LOOKBACK_DAYS)
         scores.orderBy(KEY).show(truncate=False)
@@ -88,7 +90,7 @@ def cmd_live(spark, args) -> None:
 
 
 def cmd_alerts(spark, args) -> None:
-    results = spark.read.parquet(os.path.join(args.out, "results"))
+    results = _results(spark, args.out)
     as_of = args.as_of or datetime.date.today().isoformat()
 
     def live():

@@ -1,8 +1,7 @@
 """Tables that a stream adds to: runs of files under one atomic pointer, merged on read.
 
 A batch writes its rows of each table as a new folder (a run) and publishes all of them at once by one small file,
-``_versions/<n>.json``, that names every run there is. It is written under another name and renamed, so a reader sees the state
-before or after a batch, never between; a batch killed before its rename leaves the old state, and
+``_versions/<n>.json`` (``sources.pointer``), that names every run there is: a batch killed before that leaves the old state, and
 its folders are never read. The pointer holds the last batch, so a replayed batch is recognised and adds nothing.
 
 Rows carry ``batch_id``; of several rows of a key the newest batch's counts (``newest``). Runs are merged by size: ``fan`` runs of one
@@ -14,7 +13,6 @@ keeps each run's first and last time: a read of a date range opens only the runs
 from __future__ import annotations
 
 import datetime as dt
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import TIME
-
-#: Pointers kept for readers that began before the last batch.
-KEPT_VERSIONS = 3
+from ..sources.pointer import Pointer
 
 
 def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,28 +31,11 @@ def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 class RunStore:
     def __init__(self, spark: SparkSession, folder: str, fan: int = 8):
-        self.spark, self.folder, self.fan = spark, folder, fan
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._text = lambda stream: jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        self._fs = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[str]:
-        at = self._path(self.folder, "_versions")
-        if not self._fs.exists(at):
-            return []
-        return sorted(n for n in (s.getPath().getName() for s in self._fs.listStatus(at)) if n.endswith(".json") and not n.startswith("."))
+        self.spark, self.folder, self.fan, self.pointer = spark, folder, fan, Pointer(spark, folder)
 
     def state(self) -> dict:
         """{"version", "batch", "tables": {name: [run]}}; batch is -1 and the tables are empty before the first one."""
-        versions = self._versions()
-        if not versions:
-            return {"version": -1, "batch": -1, "tables": {}}
-        stream = self._fs.open(self._path(self.folder, f"_versions/{versions[-1]}"))
-        try:
-            return json.loads(self._text(stream))
-        finally:
-            stream.close()
+        return self.pointer.last() or {"version": -1, "batch": -1, "tables": {}}
 
     def write(self, table: str, rows: DataFrame, batch: int, level: int = 0) -> dict | None:
         """Writes a run and describes it; None if it is empty. Not part of the table before ``publish``."""
@@ -77,15 +56,7 @@ class RunStore:
         for table, run in added.items():
             tables[table] = tables.get(table, []) + ([run] if run else [])
         state = {"version": state["version"] + 1, "batch": batch, "tables": tables}
-        name = f"_versions/{state['version']:012d}.json"
-        beside = self._path(self.folder, f"_versions/.{uuid.uuid4().hex}")
-        out = self._fs.create(beside, False)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        if self._fs.exists(self._path(self.folder, name)) or not self._fs.rename(beside, self._path(self.folder, name)):
-            raise RuntimeError(f"{name} is there already: two writers use {self.folder}")
-        for old in self._versions()[:-KEPT_VERSIONS]:
-            self._fs.delete(self._path(self.folder, f"_versions/{old}"), False)
+        self.pointer.publish(state["version"], state)
         return state
 
     def read(self, table: str, schema: T.StructType | str, first: dt.datetime | None = None, last: dt.datetime | None = None) -> DataFrame:
@@ -131,15 +102,11 @@ class RunStore:
 
     def vacuum(self) -> int:
         """Deletes the folders that no kept pointer names; how many. Not while a batch is being written."""
-        used = set()
-        for name in self._versions():
-            stream = self._fs.open(self._path(self.folder, f"_versions/{name}"))
-            used |= {r["path"] for runs in json.loads(self._text(stream))["tables"].values() for r in runs}
-            stream.close()
-        gone = 0
+        used = {r["path"] for name in self.pointer.names() for runs in self.pointer.load(name)["tables"].values() for r in runs}
+        gone, fs = 0, self.pointer.fs
         for table in self.state()["tables"]:
-            at = self._path(self.folder, table)
-            for status in self._fs.listStatus(at) if self._fs.exists(at) else []:
+            at = self.pointer.path(table)
+            for status in fs.listStatus(at) if fs.exists(at) else []:
                 if f"{table}/{status.getPath().getName()}" not in used:
-                    gone += self._fs.delete(status.getPath(), True)
+                    gone += fs.delete(status.getPath(), True)
         return gone
