@@ -232,7 +232,7 @@ def verify(table: pa.Table, threshold: float) -> tuple[list[int], list[int]]:
 
 
 def confirmed(table: pa.Table, threshold: float) -> pa.Table:
-    """(x, y, linked) of a group of pairs: rows (x, y, text of y), and each x once as (x, null, text of x)."""
+    """(comp, other, linked) of a group of pairs: rows (comp, other, x, y, text of y), and each x once as (null, null, x, null, text of x)."""
     table = table.combine_chunks()
     sets = []
     for first, end, shingles, counts, row, _ in weighted(table["text"].chunk(0)):
@@ -242,21 +242,26 @@ def confirmed(table: pa.Table, threshold: float) -> pa.Table:
     heads = {x: k for k, (x, y) in enumerate(zip(xs, ys)) if y is None}
     at = [k for k, y in enumerate(ys) if y is not None]
     linked = [probability_jaccard(*sets[heads[xs[k]]], *sets[k]) >= threshold - 1e-12 for k in at]
-    return pa.table({"x": table["x"].take(pa.array(at, pa.int64())), "y": table["y"].take(pa.array(at, pa.int64())), "linked": pa.array(linked, pa.bool_())})
+    pairs = table.select(["comp", "other"]).take(pa.array(at, pa.int64()))
+    return pairs.append_column("linked", pa.array(linked, pa.bool_()))
 
 
 def _told(pairs: DataFrame, texts: DataFrame, total: int, block_docs: int) -> DataFrame:
-    """The texts (node, text) of node pairs in groups of about ``block_docs``: each y with its x, each x once a group."""
-    often = pairs.groupBy("x").agg(F.ceil(F.count("*") / block_docs).alias("parts"))
-    groups = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // block_docs))
-    dealt = pairs.join(often, "x").withColumn("grp", F.pmod(F.xxhash64("x", F.pmod(F.xxhash64("y"), F.col("parts"))), F.lit(groups))).select("x", "y", "grp")
-    rows = dealt.withColumn("node", F.col("y")).unionByName(dealt.select("x", "grp").distinct().select("x", F.lit(None).cast("long").alias("y"), "grp", F.col("x").alias("node")))
-    return rows.join(texts, "node").select("x", "y", "text", "grp")
+    """The texts (node, text) of node pairs in groups of about ``block_docs``: each y with its x, each x once a group.
+
+    The pairs of one x are dealt over as many groups as all pairs need, so an x that most pairs share fills no group.
+    """
+    parts = -(-total // block_docs)
+    groups = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts)
+    dealt = pairs.withColumn("grp", F.pmod(F.xxhash64("x", F.pmod(F.xxhash64("y"), F.lit(parts))), F.lit(groups)))
+    none = F.lit(None).cast("long")
+    heads = dealt.select("x", "grp").distinct().select(none.alias("comp"), none.alias("other"), "x", none.alias("y"), "grp", F.col("x").alias("node"))
+    return dealt.withColumn("node", F.col("y")).unionByName(heads).join(texts, "node").select("comp", "other", "x", "y", "text", "grp")
 
 
 def _confirmed(told: DataFrame, threshold: float) -> DataFrame:
-    """(x, y, linked) of the pairs in ``told``."""
-    return told.groupBy("grp").applyInArrow(lambda table: confirmed(table, threshold), "x bigint, y bigint, linked boolean")
+    """(comp, other, linked) of the pairs in ``told``."""
+    return told.groupBy("grp").applyInArrow(lambda table: confirmed(table, threshold), "comp bigint, other bigint, linked boolean")
 
 
 def _apart(inside: DataFrame) -> DataFrame:
@@ -287,7 +292,7 @@ def rounds(wide: DataFrame, texts: DataFrame, threshold: float, block_docs: int)
         total = picked.count()
         if total <= block_docs:
             break
-        found = picked.join(_confirmed(_told(picked.select("x", "y").distinct(), texts, total, block_docs), threshold), ["x", "y"]).filter("linked").checkpoint()
+        found = _confirmed(_told(picked, texts, total, block_docs), threshold).filter("linked").checkpoint()
         roots = _roots(found.select("comp", F.col("other").alias("parent")))
         # a table, not a checkpoint: see components
         labels = stored(labels.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
@@ -335,9 +340,8 @@ def links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, thresh
     """(node, component) of the contents that have a near duplicate; ``signed``: the stored signatures of ``docs``."""
     spark = docs.sparkSession
     full = signed.filter("content is not null")
-    speakers = full.join(full.groupBy("content").agg(F.min(F.struct("id", "row")).alias("s")).select("content", "s.id", "s.row"), ["content", "id", "row"], "left_semi")
-    # rows alike in id and text can't be told apart: any one of them will do
-    speaking = stored(speakers.dropDuplicates(["content"]).select(F.col("content").alias("node"), "id", "row", "bytes", "bands"))
+    # any row of a content can give its text; which id speaks for the class is settled later
+    speaking = stored(full.dropDuplicates(["content"]).select(F.col("content").alias("node"), "id", "row", "bytes", "bands"))
     rows = speaking.select("node", F.posexplode("bands").alias("band", "key"))
     heads = rows.groupBy("band", "key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("band", "key", "head")
     ties = rows.join(heads, ["band", "key"]).filter("node <> head").select("node", "head").distinct()
@@ -355,17 +359,17 @@ def links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, thresh
     # whole families in groups of a few MB
     count = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_BYTES))
     told = texts.join(small.select("node", F.col("node").alias("comp"), "family", F.lit(-1).alias("side"), F.pmod(F.xxhash64("family"), F.lit(count)).alias("grp")), "node")
-    linked = components(_in_blocks(told, threshold), "x", "y")
     if large.isEmpty():
-        return linked
+        return components(_in_blocks(told, threshold), "x", "y")
     wide = stored(speaking.join(family.join(large, "family", "left_semi").select("node"), "node", "left_semi").select("node", "bands"))
     labels = rounds(wide, texts, threshold, block_docs)
     inside = wide.join(labels, "node").select("node", "comp", F.posexplode("bands").alias("band", "key"))
     left = inside.join(_apart(inside), ["band", "key"]).select("node", "comp").distinct()
-    met = _in_blocks(meetings(stored(left.join(family, "node")), block_docs).join(texts, "node"), threshold)
-    # what the rounds have joined goes on as one node
-    merged = components(met.distinct(), "x", "y").select(F.col("node").alias("comp"), F.col("component").alias("to"))
-    return linked.union(labels.join(merged, "comp", "left").select("node", F.coalesce("to", "comp")))
+    met = meetings(stored(left.join(family, "node")), block_docs).join(texts, "node")
+    linked = components(_in_blocks(told.unionByName(met), threshold).distinct(), "x", "y")
+    # what the rounds have joined is one node here
+    of = labels.join(linked.select(F.col("node").alias("comp"), F.col("component").alias("to")), "comp", "left")
+    return linked.join(labels, "node", "left_anti").union(of.select("node", F.coalesce("to", "comp")))
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, block_docs: int) -> DataFrame:
