@@ -63,3 +63,10 @@ def test_no_training_rows_and_empty_tables(spark, docs):
     out = lm.score(docs, F.lit(None).cast("boolean")).collect()
     assert len(out) == docs.count() and all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["base_score"] == 0 for r in out)
     assert lm.score(odd.empty(spark), F.lit(True)).count() == 0
+
+
+def test_null_ids_are_dealt_over_the_blocks(spark, docs):
+    frame = spark.range(15_000).selectExpr("cast(null as long) doc_id", "concat('text ', cast(id + 100000 as string)) text")
+    rows, blocks, _ = lm._blocks(frame, F.lit(True), "doc_id", "text", 8_000)
+    sizes = [r["count"] for r in rows.groupBy("block").count().collect()]
+    assert blocks > 10 and len(sizes) == blocks and max(sizes) < 2 * 15_000 / blocks

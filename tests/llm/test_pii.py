@@ -77,3 +77,10 @@ def test_ibans_beside_each_other_and_after_a_token():
     assert spans(f"ID12 DE89 3704 0044 0532 0130 00 {second} end") == ["DE89 3704 0044 0532 0130 00", second]
     assert spans("x" + first) == []
     assert len(spans("AB12 " * 50_000)) == 0
+
+
+def test_context_words_stand_alone():
+    for text, ssn in (("bassnote 123-45-6789", False), ("SSN: 123-45-6789", True), ("my_ssn 123-45-6789", True), ("two ssns, 123-45-6789", True), ("social security 123-45-6789", True), ("taxidermy 123-45-6789", False)):
+        assert any(s[0] == "ssn" for s in pii.find_spans(text)) == ssn, text
+    assert [s[3] for s in pii.find_spans("description 1.2.3.4")] == [pii.BASE_SCORE["ip"]]
+    assert pii.find_spans("IP 1.2.3.4")[0][3] > pii.BASE_SCORE["ip"]

@@ -24,7 +24,7 @@ Words are known by 64-bit hashes, pairs by 52 bits of one.
 
 Nulls: a null text counts as empty; a row whose ``learn`` is null or false is scored, not learned
 from. Repeated rows each count and each get a score. Without any training row N = V = 0 and
-every token has the root's last arc, 0.5 / 0.5. An empty table gives an empty result; other columns aren't read.
+every token has the root's last arc, 0.5 / 0.5. Rows are dealt by id and text, so null ids are spread. An empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import col, total_bytes
+from .common import col, row_key, total_bytes
 
 #: The end token, and the state before a text's first word.
 END, EDGE = W.U64(0x5851F42D4C957F2D), W.U64(0x14057B7EF767814F)
@@ -172,7 +172,7 @@ def _blocks(docs: DataFrame, learn: Column, id_col: str, text_col: str, block_by
     """(id, text, learn, block) dealt by block; the number of blocks and of ranges."""
     blocks = max(1, math.ceil(total_bytes(docs, text_col) / block_bytes))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    deal = F.pmod(F.xxhash64(col(id_col), F.octet_length(col(text_col))), F.lit(blocks)).cast("int")
+    deal = F.pmod(row_key(col(id_col), col(text_col)), F.lit(blocks)).cast("int")
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), deal.alias("block"))
     return rows.repartition(max(partitions, blocks // 4), "block"), blocks, partitions
 

@@ -6,7 +6,8 @@ context words nearby, reaches a threshold. All scans are linear in the length of
 an email is searched from each ``@`` outwards, numbers by runs of digits.
 
 Map only: no shuffle, one pass, any text length. Null texts count as empty and have no
-spans; repeated rows each get their own result; columns other than the two named are not read.
+spans; a null id is given back as it is; repeated rows each get their own result; an empty table gives
+an empty result; columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ NEAR = 48
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
 BOOST, THRESHOLD = 0.3, 0.6
 CONTEXT = {
-    "email": ("mail", "contact", "write to"), "ip": ("ip", "server", "host", "address"), "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile"), "iban": ("iban", "account", "konto", "bank"), "ssn": ("ssn", "social security", "tax id"),
+    "email": ("mail", "email", "contact", "write to"), "ip": ("ip", "server", "host", "address"), "card": ("card", "visa", "credit", "payment"),
+    "phone": ("phone", "telephone", "call", "tel", "mobile"), "iban": ("iban", "account", "konto", "bank"), "ssn": ("ssn", "social security", "tax id"),
 }
+#: Context words stand alone (or with a plural s): "bassnote" is none.
+NEARBY = {kind: re.compile(rf"(?<![^\W_])(?:{'|'.join(words)})s?(?![^\W_])") for kind, words in CONTEXT.items()}
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -117,7 +120,7 @@ def find_spans(text: str) -> list[Span]:
     for kind, find in FINDERS.items():
         for start, end in find(text):
             around = (text[max(0, start - NEAR):start] + " " + text[end:end + NEAR]).lower()
-            score = min(1.0, BASE_SCORE[kind] + BOOST * any(w in around for w in CONTEXT[kind]))
+            score = min(1.0, BASE_SCORE[kind] + BOOST * bool(NEARBY[kind].search(around)))
             if kind in BASE_KINDS or score >= THRESHOLD:
                 out.append((kind, start, end, score))
     return out
