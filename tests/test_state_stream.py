@@ -70,6 +70,20 @@ def _trained(spark, rows):
     return scaler.cache(), forest.cache(), results.cache()
 
 
+def _held(spark, checkpoint):
+    """The bar times in the state, by ticker."""
+    rows = spark.read.format("statestore").option("stateVarName", "bars").load(checkpoint).selectExpr("key.ticker ticker", "user_map_key.micros micros").collect()
+    out = {}
+    for r in rows:
+        out.setdefault(r["ticker"], []).append(r["micros"])
+    return out
+
+
+def _micros(day):
+    import datetime as dt
+    return int(dt.datetime.fromisoformat(day).replace(tzinfo=dt.timezone.utc).timestamp()) * 10 ** 6
+
+
 def _same(got, results):
     a = got.select("ticker", "Date", "if_score").toPandas().sort_values(["ticker", "Date"])
     b = results.select("ticker", "Date", "if_score").toPandas().sort_values(["ticker", "Date"])
@@ -114,12 +128,15 @@ def test_state_scoring_with_bars_older_than_the_ring(spark):
     wrong = list(a[175])
     wrong[5] *= 1.3                                             # bar 175 of A comes wrong first
     first = [r for i, r in enumerate(a[:250]) if i not in (99, 100, 101, 175)] + [tuple(wrong)] + b[:200]
+    # the first batch is longer than the state; the state holds the last bars of each ticker and nothing else
     parts = [first, [a[100]] + b[200:230], [a[99], a[101], *a[250:260]] + b[230:250], [a[175], *a[260:270]], a[270:] + b[250:]]
     scaler, forest, results = _trained(spark, rows)
     sink, ck = tempfile.mkdtemp(prefix="tickscope-state-out-"), tempfile.mkdtemp(prefix="tickscope-state-ck-")
     q = start_state_scoring(spark, read_bar_stream(spark, _files(spark, parts), max_files=1), scaler, forest, None, sink, ck, available_now=True)
     q.awaitTermination()
     _same(latest_scores(spark, sink), results)
+    held = _held(spark, ck)
+    assert {t: (len(m), max(m)) for t, m in held.items()} == {"A": (98, _micros(a[299][1])), "B": (98, _micros(b[259][1]))}
 
 
 def test_a_restart_takes_up_new_models(spark):

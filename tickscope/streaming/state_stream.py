@@ -1,9 +1,10 @@
 """Keyed-state continuous scoring (X6): every new bar scored, no history re-read but for bars too old for the state.
 
-``applyInPandasWithState`` keeps, per ticker, the last RING bars in the state store: twice the longest feature
+``transformWithStateInPandas`` keeps, per ticker, the last RING bars as a map from bar time to values (RocksDB state store): twice the longest feature
 look-back (49), so that bars after a late or corrected one within the last 49 can be scored again exactly. A
-micro-batch's bars pass through in the pieces Spark hands over (``is_new`` true), never as one group; only the
-ring is kept and given out after them (``is_new`` false, without the bars replaced). A ``foreachBatch``
+micro-batch's bars pass through in the pieces Spark hands over (``is_new`` true), never as one group; a batch writes the bars that are new,
+removes those that leave the ring, and reads the values of those alone that its new bars need: the look-back before the first of them and what follows it. These
+are given out after them (``is_new`` false, without the bars replaced). A ``foreachBatch``
 then orders the rows with ordinary windows (split when a series is long), scores each new bar and each bar whose
 look-back holds a new one with the stored scaler and forest, flags them against the stored thresholds, and
 adds the scores to the sink; a replayed batch adds nothing.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.detect import comparable
 from ..operators.features import build_features
@@ -34,35 +35,60 @@ from .store import RunStore
 RING = 2 * WARMUP_BARS
 HALO_SCHEMA = ("ticker string, Date timestamp_ntz, Open double, High double, Low double, "
                "Close double, Volume double, is_new boolean, is_late boolean")
-STATE_SCHEMA = ("micros array<long>, open array<double>, high array<double>, low array<double>, "
-                "close array<double>, volume array<double>")
+VALUE_SCHEMA = "open double, high double, low double, close double, volume double"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _ring(size: int):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        columns = ["_m", *OHLCV]
-        old = pd.DataFrame(dict(zip(columns, map(list, state.get)))) if state.exists else pd.DataFrame(columns=columns)
-        ring = old
+class RingProcessor(StatefulProcessor):
+    """The last ``size`` bars of a ticker, by time."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.bars = handle.getMapState("bars", "micros long", VALUE_SCHEMA)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = sorted(k[0] for k in self.bars.keys())
         # up to here a full ring doesn't hold the look-back
-        edge = sorted(old["_m"])[min(WARMUP_BARS, size) - 1] if len(old) >= size else None
-        for new in batches:
-            new = new.assign(_m=pd.to_datetime(new[TIME]).astype("datetime64[us]").astype("int64"))
-            yield new.assign(is_new=True, is_late=new["_m"] <= edge if edge is not None else False)[[KEY, TIME, *OHLCV, "is_new", "is_late"]]
-            old = old[~old["_m"].isin(new["_m"])]
-            both = pd.concat([ring[~ring["_m"].isin(new["_m"])], new[columns]], ignore_index=True) if len(ring) else new[columns]
-            # of equal times the greatest values stay, as in the batch's own choice
-            ring = both.sort_values(columns).drop_duplicates("_m", keep="last").tail(size)
-        state.update(tuple(ring[c].tolist() for c in columns))
-        if len(old):
-            yield old.assign(ticker=key[0], Date=pd.to_datetime(old["_m"].astype("int64"), unit="us"), is_new=False, is_late=False)[[KEY, TIME, *OHLCV, "is_new", "is_late"]]
-    return step
+        edge = before[min(WARMUP_BARS, self.size) - 1] if len(before) >= self.size else None
+        stored, replaced, first = set(before), set(), None
+        fresh: dict[int, tuple] = {}
+        for new in rows:
+            micros = pd.to_datetime(new[TIME]).astype("datetime64[us]").astype("int64")
+            late = micros <= edge if edge is not None else False
+            yield new.assign(is_new=True, is_late=late)[[KEY, TIME, *OHLCV, "is_new", "is_late"]]
+            first = min([*micros, *([] if first is None else [first])])
+            replaced |= stored.intersection(micros)
+            # of equal times the greatest values stay, as in the batch's own choice; of a long batch only what can be in the ring
+            for m, values in zip(micros.tolist(), new[OHLCV].itertuples(index=False, name=None)):
+                if m not in fresh or fresh[m] < values:
+                    fresh[m] = values
+            if len(fresh) > 2 * self.size:
+                fresh = {m: fresh[m] for m in sorted(fresh)[-self.size:]}
+        ring = sorted({*before, *fresh})[-self.size:]
+        kept = set(ring)
+        lead = [m for m in before if m < first][-WARMUP_BARS:]
+        needed = [*lead, *[m for m in before if m > first and m not in replaced]]
+        old = [(m, *self.bars.getValue((m,))) for m in needed]
+        for m in before:
+            if m not in kept:
+                self.bars.removeKey((m,))
+        for m, values in fresh.items():
+            if m in kept:
+                self.bars.updateValue((m,), values)
+        if old:
+            out = pd.DataFrame(old, columns=["_m", *OHLCV])
+            yield out.assign(ticker=key[0], Date=pd.to_datetime(out["_m"], unit="us"), is_new=False, is_late=False)[[KEY, TIME, *OHLCV, "is_new", "is_late"]]
+
+    def close(self) -> None:
+        pass
 
 
 def with_halo(bar_stream: DataFrame, halo: int = RING) -> DataFrame:
-    """Streaming rows: each ticker's new bars plus its last ``halo`` stored bars."""
+    """Streaming rows: each ticker's new bars plus those of its last ``halo`` stored bars that they need."""
     return (bar_stream.select(KEY, TIME, *OHLCV).groupBy(KEY)
-            .applyInPandasWithState(_ring(halo), HALO_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.NoTimeout))
+            .transformWithStateInPandas(RingProcessor(halo), HALO_SCHEMA, "append", "none"))
 
 
 def score_new_bars(batch: DataFrame, scaler: DataFrame, forest: DataFrame,
@@ -84,6 +110,7 @@ def start_state_scoring(spark: SparkSession, bar_stream: DataFrame, scaler: Data
                         checkpoint: str, available_now: bool = False,
                         processing_time: str = "300 seconds"):
     store = RunStore(spark, sink_dir)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)   # map state needs it
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.checkpoint(eager=True)   # the stateful step runs once
