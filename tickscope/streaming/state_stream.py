@@ -36,7 +36,7 @@ RING = 2 * WARMUP_BARS
 HALO_SCHEMA = ("ticker string, Date timestamp_ntz, Open double, High double, Low double, "
                "Close double, Volume double, is_new boolean, is_late boolean")
 VALUE_SCHEMA = "open double, high double, low double, close double, volume double"
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER_CONF, PROVIDER = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class RingProcessor(StatefulProcessor):
@@ -110,7 +110,6 @@ def start_state_scoring(spark: SparkSession, bar_stream: DataFrame, scaler: Data
                         checkpoint: str, available_now: bool = False,
                         processing_time: str = "300 seconds"):
     store = RunStore(spark, sink_dir)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)   # map state needs it
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.checkpoint(eager=True)   # the stateful step runs once
@@ -131,4 +130,10 @@ def start_state_scoring(spark: SparkSession, bar_stream: DataFrame, scaler: Data
     writer = (with_halo(bar_stream).writeStream.outputMode("append").foreachBatch(on_batch)
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
-    return writer.start()
+    # map state needs RocksDB; a query takes the setting with it when it starts
+    before = spark.conf.get(PROVIDER_CONF, None)
+    spark.conf.set(PROVIDER_CONF, PROVIDER)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.unset(PROVIDER_CONF) if before is None else spark.conf.set(PROVIDER_CONF, before)
