@@ -74,3 +74,38 @@ def test_mix_of_odd_rows(spark, docs):
     only = spark.createDataFrame([(1, "a b c", "s", 5.0), (2, "d e f", "s", None)], "doc_id long, text string, source string, weight double")
     assert mixing.mixed(only, share=0.5, inclusion_col="weight").count() == 1
     assert mixing.mixed(docs.withColumn("text", F.lit(""))).count() == 0
+
+
+def test_inclusion_is_unequal_certain_at_one_and_sums_to_what_is_wanted(spark):
+    # one source of 4,000 documents: 1 to 40 words, and three so long that each is certain
+    sizes = [1 + k % 40 for k in range(4000)] + [9000, 8000, 7000]
+    frame = spark.createDataFrame([(k, " ".join(["w"] * n), "s") for k, n in enumerate(sizes)], "doc_id long, text string, source string")
+    for share, seed in ((0.4, "a"), (0.7, "b"), (1.3, "c")):
+        out, (size, _, target, copies) = mixing.sample(frame, share=share, seed=seed, keep=["doc_id"])
+        rows = out.collect()
+        whole = int(share)
+        assert len(rows) == len(sizes) and out.columns[0] == "doc_id" and "text" not in out.columns
+        assert all(r[copies] == whole + 1 for r in rows if r[size] >= 7000)
+        assert abs(sum(r[size] * r[copies] for r in rows) - rows[0][target]) <= 20
+        # inclusions as the definition gives them, by plain repetition
+        wanted, certain = rows[0][target] - whole * sum(sizes), set()
+        measure = [n >> max(n.bit_length() - 5, 0) << max(n.bit_length() - 5, 0) for n in sizes]
+        while True:
+            rest = [k for k in range(len(sizes)) if k not in certain]
+            scale = (wanted - sum(sizes[k] for k in certain)) / sum(measure[k] * sizes[k] for k in rest)
+            more = {k for k in rest if scale * measure[k] >= 1}
+            if not more:
+                break
+            certain |= more
+        for low, high in ((1, 10), (11, 20), (21, 30), (31, 40)):
+            of = [r for r in rows if low <= r[size] <= high]
+            expected = sum(min(1.0, scale * measure[r["doc_id"]]) for r in of)
+            assert abs(sum(r[copies] - whole for r in of) - expected) < 5 * (expected * (1 - expected / len(of)) + 1) ** 0.5 + 2
+        assert {r["doc_id"] for r in rows if r[copies] == whole + 1} >= certain
+
+
+def test_given_inclusion_is_kept_and_equal_inclusion_is_plain(spark):
+    frame = spark.createDataFrame([(k, "a b c d", "s", 3.0 if k % 2 else 1.0) for k in range(4000)], "doc_id long, text string, source string, weight double")
+    out, names = mixing.sample(frame, share=0.25, inclusion_col="weight")
+    taken = Counter(r["doc_id"] % 2 for r in out.filter(F.col(names[3]) > 0).collect())
+    assert abs(sum(taken.values()) - 1000) <= 1 and 2.5 < taken[1] / taken[0] < 3.6

@@ -82,11 +82,19 @@ l AS (SELECT *, ((sum(words) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap)
 water AS (SELECT arg_min(level, cap / w) AS water FROM l WHERE level <= cap / w),
 t AS (SELECT source, words, least(cap, coalesce(water, 1e300) * w) AS target FROM l LEFT JOIN water ON true),
 r AS (SELECT *, CASE WHEN words > 0 THEN floor(target / words) ELSE 0 END::INTEGER AS whole FROM t),
-q AS (SELECT d.*, words, target, whole, CASE WHEN words > 0 THEN target / words - whole ELSE 0 END AS lam, (('0x' || substr(u, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS x
+q AS (SELECT d.*, words, target, whole, target - whole * words AS wanted, (('0x' || substr(u, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS x,
+      greatest(size, 1)::BIGINT AS big, greatest(length(bin(greatest(size, 1))) - 5, 0)::INTEGER AS low
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-o AS (SELECT *, x / (1 - x) / (greatest(least(lam, 1 - 1e-9), 1e-9) / (1 - greatest(least(lam, 1 - 1e-9), 1e-9))) AS rank FROM q),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, u ROWS UNBOUNDED PRECEDING) AS until FROM o),
-k AS (SELECT *, whole + CASE WHEN lam > 0 AND until - size / 2.0::DOUBLE <= target - whole * words THEN 1 ELSE 0 END AS copies FROM c)
+m AS (SELECT *, ((big >> low) << low)::BIGINT AS measure FROM q),
+-- the level of each measure if all larger ones are certain; the largest whose inclusion is then below 1 is right
+classes AS (SELECT source, measure, any_value(wanted) AS wanted, sum(size) AS own, sum(size::HUGEINT * measure) AS mass FROM m WHERE size > 0 AND wanted > 0 GROUP BY source, measure),
+levels AS (SELECT *, coalesce(sum(own) OVER (PARTITION BY source ORDER BY measure DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sure,
+           (sum(mass) OVER (PARTITION BY source ORDER BY measure ROWS UNBOUNDED PRECEDING))::DOUBLE AS below FROM classes),
+sc AS (SELECT source, max(measure) AS top, arg_max((wanted - sure) / below, measure) AS scale, arg_max(sure, measure) AS sure FROM levels WHERE (wanted - sure) / below * measure < 1 GROUP BY source),
+p AS (SELECT m.*, top, sure, greatest(least(scale * measure, 1 - 1e-12), 1e-12) AS p FROM m LEFT JOIN sc ON m.source IS NOT DISTINCT FROM sc.source),
+o AS (SELECT *, x / (1 - x) / (p / (1 - p)) AS rank FROM p),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source, measure > top ORDER BY rank, u ROWS UNBOUNDED PRECEDING) AS until FROM o),
+k AS (SELECT *, whole + CASE WHEN measure > top OR until - size / 2.0::DOUBLE <= wanted - sure THEN 1 ELSE 0 END AS copies FROM c)
 SELECT doc_id, size::BIGINT AS size, words AS source_size, target, (size * copies)::BIGINT AS taken, copies::INTEGER AS copies FROM k
 """
 

@@ -68,7 +68,7 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, (size, source_size, target, copies) = mixing.sample(_docs(spark, sf_dir).select("doc_id", "text", "source"))
+    out, (size, source_size, target, copies) = mixing.sample(_docs(spark, sf_dir).select("doc_id", "text", "source"), keep=["doc_id"])
     return out.select("doc_id", F.col(size).alias("size"), F.col(source_size).alias("source_size"), F.col(target).alias("target"), (F.col(size) * F.col(copies)).cast("long").alias("taken"), F.col(copies).alias("copies"))
 
 
