@@ -1,26 +1,28 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is an n-gram model of order 2 with Dirichlet smoothing. With c() the training counts,
-N tokens and V distinct tokens:
+The model is an n-gram model of order ``order`` (3) with Dirichlet smoothing at each order. With c() the training counts,
+N tokens and V distinct tokens, and h' the history h without its first token:
 
     p(w)     = (c(w) + 0.5) / (N + 0.5 (V + 1))
-    p(w | v) = (c(v w) + K p(w)) / (c(v) + K)        (v: the word before; at the start, the edge)
+    p(w | h) = (c(h w) + K p(w | h')) / (c(h) + K)
 
-As an automaton: the root and one state a context v seen in training. A seen pair v w is an arc out of
-v with the weight p(w | v). Any other word takes v's failure arc, of weight K / (c(v) + K), to the root
-and there the arc of w, of weight p(w); words never seen in training share the root's last arc. Reading w leads
-to the state w, or to the root if w is no context. One traversal from left to right carries the
-state and adds up log10 weights.
+where h is the last order - 1 tokens; before a text's first token stands the edge, so early histories are shorter.
+
+As an automaton: the root and one state a history seen in training. A seen n-gram h w is an arc out of
+h with the weight p(w | h). Any other word takes h's failure arc, of weight K / (c(h) + K), to the state h', whose
+failure arc leads on, down to the root with the arc of w, of weight p(w); words never seen in training share the root's last
+arc. Reading w leads to the state of the longest seen history that the text now ends in. One traversal from left to right carries the
+state and adds up log10 weights; failure arcs are followed for all tokens of a block at once, one order a step.
 
 The automaton of a whole corpus fits no single memory, so it's never gathered: each block of
 documents gets the part that its own texts can reach. Documents are dealt into blocks of about ``block_bytes`` by hash.
-A block asks for its distinct words and pairs, with the counts of its training documents, by hash
+A block asks for its distinct n-grams of each order, with the counts of its training documents, by hash
 range; for each range, the counts are added up over all blocks and sent back in the order asked.
 The block then builds its part of the automaton and traverses its texts. Requests and replies grow in
-proportion to the input and hold each word or pair once a block, however frequent it is.
+proportion to the input and hold each n-gram once a block, however frequent it is; there is a range for each ``range_bytes`` of text.
 
 Tokens are runs of non-blanks with A-Z folded, then one end token a document (so a document without words has one token).
-Words are known by 64-bit hashes, pairs by 52 bits of one.
+N-grams are known by 64-bit hashes. A text larger than a block is in a block of its own size.
 
 Nulls: a null text counts as empty; a row whose ``learn`` is null or false is scored, not learned
 from. Repeated rows each count and each get a score. Without any training row N = V = 0 and
@@ -42,7 +44,6 @@ from .common import col, row_key, total_bytes
 
 #: The end token, and the state before a text's first word.
 END, EDGE = W.U64(0x5851F42D4C957F2D), W.U64(0x14057B7EF767814F)
-PAIR_BITS = 52
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -52,14 +53,15 @@ def pack(keys: np.ndarray) -> bytes:
     steps = np.diff(keys, prepend=W.U64(0))
     width = max(1, -(-int(steps[1:].max() if len(keys) > 1 else 0).bit_length() // 8))
     body = np.ascontiguousarray(steps[1:]).view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + keys[:1].tobytes() + np.ascontiguousarray(body).tobytes()
+    # byte by byte, so that the shuffle's compression finds equal bytes side by side
+    return bytes([width]) + keys[:1].tobytes() + np.ascontiguousarray(body.T).tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, W.U64)
     width = blob[0]
-    body = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
+    body = np.frombuffer(blob, np.uint8, offset=9).reshape(width, -1).T
     steps = np.zeros((len(body) + 1, 8), np.uint8)
     steps[1:, :width] = body
     out = steps.reshape(-1).view(W.U64)
@@ -72,13 +74,13 @@ def pack_counts(counts: np.ndarray) -> bytes:
     if not len(counts):
         return b""
     width = max(1, -(-int(counts.max()).bit_length() // 8))
-    return bytes([width]) + np.ascontiguousarray(counts.astype(W.U64)).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return bytes([width]) + np.ascontiguousarray(np.ascontiguousarray(counts.astype(W.U64)).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, W.U64)
-    body = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, blob[0])
+    body = np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1).T
     out = np.zeros((len(body), 8), np.uint8)
     out[:, :blob[0]] = body
     return out.reshape(-1).view(W.U64)
@@ -95,16 +97,21 @@ def tokens(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*parts, np.zeros(0, W.U64)]), np.append(0, np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]))).astype(np.int64)
 
 
-def before(words: np.ndarray, ranges: np.ndarray) -> np.ndarray:
-    """The token before each token; EDGE at a text's start."""
-    out = np.empty_like(words)
-    out[1:] = words[:-1]
-    out[ranges[:-1]] = EDGE
+def before(values: np.ndarray, ranges: np.ndarray, first: int | bool) -> np.ndarray:
+    """The value of the token before each token; ``first`` at a text's start."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[ranges[:-1]] = first
     return out
 
 
-def pair_keys(previous: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return W.mix(previous * W.U64(0xD1342543DE82EF95) + words) >> W.U64(64 - PAIR_BITS)
+def grams(words: np.ndarray, ranges: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For 1 to ``order``: the key of the n-gram that ends at each token, and whether there is one (the edge counts as a token before the first)."""
+    out = [(words, np.ones(len(words), bool))]
+    for k in range(2, order + 1):
+        keys, has = out[-1]
+        out.append((W.mix(before(keys, ranges, EDGE) * W.U64(0xD1342543DE82EF95) + words, 50 + k), before(has, ranges, k == 2)))
+    return out
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,23 +125,23 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[new], where
 
 
-def by_range(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
+def by_range(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Where each of ``ranges`` equal ranges of the key space begins in sorted keys, and their end."""
-    edges = np.array([(k << bits) // ranges for k in range(1, ranges)], W.U64)
+    edges = np.array([(k << 64) // ranges for k in range(1, ranges)], W.U64)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def requests(table: pa.Table, ranges: int) -> pa.Table:
-    """What a block asks of each range: its words and pairs, with the counts of its training documents."""
+def requests(table: pa.Table, ranges: int, order: int) -> pa.Table:
+    """What a block asks of each range: its n-grams of each order (g1, g2 ...), with the counts of its training documents (n1, n2 ...)."""
     words, of = tokens(table["text"])
     learn = np.repeat(table["learn"].to_numpy(), np.diff(of))
     blobs = {}
-    for name, keys, bits in (("words", words, 64), ("pairs", pair_keys(before(words, of), words), PAIR_BITS)):
-        unique, where = distinct(keys)
-        counts = np.bincount(where[learn], minlength=len(unique))
-        at = by_range(unique, bits, ranges)
-        blobs[name] = pa.array([pack(unique[a:b]) for a, b in zip(at, at[1:])], pa.binary())
-        blobs[f"{name}_counts"] = pa.array([pack_counts(counts[a:b]) for a, b in zip(at, at[1:])], pa.binary())
+    for k, (keys, has) in enumerate(grams(words, of, order), 1):
+        unique, where = distinct(keys[has])
+        counts = np.bincount(where[learn[has]], minlength=len(unique))
+        at = by_range(unique, ranges)
+        blobs[f"g{k}"] = pa.array([pack(unique[a:b]) for a, b in zip(at, at[1:])], pa.binary())
+        blobs[f"n{k}"] = pa.array([pack_counts(counts[a:b]) for a, b in zip(at, at[1:])], pa.binary())
     return pa.table({"range": pa.array(range(ranges), pa.int32()), **blobs})
 
 
@@ -148,60 +155,77 @@ def totals(key_blobs: list[bytes], count_blobs: list[bytes]) -> tuple[list[bytes
     return [pack_counts(total[where[a:b]]) for a, b in zip(bounds, bounds[1:])], int(total.sum()), int((total > 0).sum())
 
 
-def traverse(words: np.ndarray, of: np.ndarray, word_counts: np.ndarray, pair_counts: np.ndarray, n: int, v: int, starts: int, k: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def traverse(words: np.ndarray, of: np.ndarray, counts: list[np.ndarray], n: int, v: int, starts: int, k: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Builds the part of the automaton that a block reaches, and runs its texts through it.
 
-    words, of: the block's tokens and each text's range of them; word_counts, pair_counts: training
-    counts of its distinct words and pairs in sorted order. Returns each text's known tokens, base score and score.
+    words, of: the block's tokens and each text's range of them; counts: for each order, the training
+    counts of its distinct n-grams in sorted order. Returns each text's known tokens, base score and score.
     """
-    _, state = distinct(words)  # states but the edge, and arcs of the root: one a word
-    root = (word_counts + 0.5) / (n + 0.5 * (v + 1))
-    came_from = before(words, of)
-    _, arc = distinct(pair_keys(came_from, words))
-    # how often training left the state: each word but an end is followed by a token, the edge by each text's first
-    visits = np.empty(len(words))
-    visits[1:] = word_counts[state[:-1]]
-    visits[of[:-1]] = starts
-    fail = k / (visits + k)
-    weight = np.where(pair_counts[arc] > 0, (pair_counts[arc] + k * root[state]) / (visits + k), fail * root[state])
+    seen = []
+    for (keys, has), count in zip(grams(words, of, len(counts)), counts):
+        at = np.zeros(len(words))
+        at[has] = count[distinct(keys[has])[1]]
+        seen.append(at)
+    # how often training left the state of each history: as often as it came by, every history being followed by a token
+    left = [before(at, of, starts if not k_ else 0) for k_, at in enumerate(seen[:-1])]
+    arcs = [(seen[0] + 0.5) / (n + 0.5 * (v + 1))]
+    for at, visits in zip(seen[1:], left):
+        arcs.append((at + k * arcs[-1]) / (visits + k))
+    # the traversal: each token is read in the longest seen history, and fails down until an arc takes it
+    weight, waits = np.zeros(len(words)), np.ones(len(words), bool)
+    for at, visits, arc in zip(seen[:0:-1], left[::-1], arcs[:0:-1]):
+        state = waits & (visits > 0)
+        reads = state & (at > 0)
+        fails = state & ~reads
+        weight[reads] += np.log10(arc[reads])
+        weight[fails] += np.log10(k / (visits[fails] + k))
+        waits &= ~reads
+    weight[waits] += np.log10(arcs[0][waits])
     add = lambda x: np.add.reduceat(x, of[:-1]) if len(of) > 1 else np.zeros(0)
-    return add((word_counts[state] > 0).astype(np.int64)).astype(np.int64), add(np.log10(root[state])), add(np.log10(weight))
+    return add((seen[0] > 0).astype(np.int64)).astype(np.int64), add(np.log10(arcs[0])), add(weight)
 
 
-def _blocks(docs: DataFrame, learn: Column, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int, int]:
+def _blocks(docs: DataFrame, learn: Column, id_col: str, text_col: str, block_bytes: int, range_bytes: int = 32 << 20) -> tuple[DataFrame, int, int]:
     """(id, text, learn, block) dealt by block; the number of blocks and of ranges."""
-    blocks = max(1, math.ceil(total_bytes(docs, text_col) / block_bytes))
+    total = total_bytes(docs, text_col)
+    blocks = max(1, math.ceil(total / block_bytes))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deal = F.pmod(row_key(col(id_col), col(text_col)), F.lit(blocks)).cast("int")
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), deal.alias("block"))
-    return rows.repartition(max(partitions, blocks // 4), "block"), blocks, partitions
+    return rows.repartition(max(partitions, blocks // 4), "block"), blocks, max(partitions, math.ceil(total / range_bytes))
 
 
-def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", k: float = 8.0, block_bytes: int = 4 << 20) -> DataFrame:
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3, k: float = 8.0, block_bytes: int = 4 << 20, range_bytes: int = 32 << 20) -> DataFrame:
     """One row a document: id, learned, n_tokens, n_known, train_tokens, base_score, score (see the module's text)."""
-    rows, blocks, ranges = _blocks(docs, learn, id_col, text_col, block_bytes)
+    if order < 2:
+        raise ValueError("order of at least 2")
+    rows, blocks, ranges = _blocks(docs, learn, id_col, text_col, block_bytes, range_bytes)
     kind = docs.schema[id_col].dataType.simpleString()
+    orders = range(1, order + 1)
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        out = requests(table, ranges)
+        out = requests(table, ranges, order)
         starts = pa.array([int(table["learn"].to_numpy().sum()) if r == 0 else 0 for r in range(ranges)], pa.int64())
         return out.append_column("starts", starts).add_column(0, "block", pa.array([key[0].as_py()] * len(out), pa.int32()))
-    asked = rows.groupBy("block").applyInArrow(ask, "block int, range int, words binary, words_counts binary, pairs binary, pairs_counts binary, starts bigint")
+    asked = rows.groupBy("block").applyInArrow(ask, "block int, range int, " + ", ".join(f"g{j} binary, n{j} binary" for j in orders) + ", starts bigint")
 
     def reply(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        word_counts, n, v = totals(table["words"].to_pylist(), table["words_counts"].to_pylist())
-        pair_counts, _, _ = totals(table["pairs"].to_pylist(), table["pairs_counts"].to_pylist())
         long = lambda x: pa.array([x] * len(table), pa.int64())
-        return pa.table({"block": table["block"], "range": table["range"], "words_counts": pa.array(word_counts, pa.binary()), "pairs_counts": pa.array(pair_counts, pa.binary()),
-                         "n": long(n), "v": long(v), "starts": long(sum(table["starts"].to_pylist()))})
-    replies = asked.groupBy("range").applyInArrow(reply, "block int, range int, words_counts binary, pairs_counts binary, n bigint, v bigint, starts bigint")
+        out, known = {}, []
+        for j in orders:
+            counts, n, v = totals(table[f"g{j}"].to_pylist(), table[f"n{j}"].to_pylist())
+            out[f"n{j}"] = pa.array(counts, pa.binary())
+            known.append((n, v))
+        return pa.table({"block": table["block"], "range": table["range"], **out, "n": long(known[0][0]), "v": long(known[0][1]), "starts": long(sum(table["starts"].to_pylist()))})
+    # as many partitions as ranges: a task holds one range
+    replies = asked.repartition(ranges, "range").groupBy("range").applyInArrow(reply, "block int, range int, " + ", ".join(f"n{j} binary" for j in orders) + ", n bigint, v bigint, starts bigint")
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, got: pa.Table) -> pa.Table:
         got = got.sort_by("range")
         words, of = tokens(table["text"])
-        counts = [np.concatenate([unpack_counts(b) for b in got[c].to_pylist()]).astype(np.float64) for c in ("words_counts", "pairs_counts")]
+        counts = [np.concatenate([unpack_counts(b) for b in got[f"n{j}"].to_pylist()]).astype(np.float64) for j in orders]
         n, v, starts = (sum(got[c].to_pylist()) for c in ("n", "v", "starts"))
-        known, base, full = traverse(words, of, *counts, n, v, starts, k)
+        known, base, full = traverse(words, of, counts, n, v, starts, k)
         return pa.table({id_col: table["id"], "learned": table["learn"], "n_tokens": pa.array(np.diff(of)), "n_known": pa.array(known),
                          "train_tokens": pa.array(np.full(len(known), n)), "base_score": pa.array(base), "score": pa.array(full)})
     together = rows.groupBy("block").cogroup(replies.groupBy("block"))

@@ -101,15 +101,19 @@ SELECT doc_id, size::BIGINT AS size, words AS source_size, target, (size * copie
 LM = rf"""
 WITH digits AS (SELECT doc_id, coalesce(text, '') AS text, {_crc("doc_id::VARCHAR")} % 5 = 1 AS held_out FROM documents),
 d AS (SELECT doc_id, held_out, list_append({_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, ' ') AS t FROM digits),
-tok AS (SELECT doc_id, held_out, unnest(list_prepend(chr(10), t[:-2])) AS prev, unnest(t) AS w FROM d),
+tok AS (SELECT doc_id, held_out, unnest(list_concat([NULL, chr(10)], t[:-3])[:len(t)]) AS before, unnest(list_prepend(chr(10), t[:-2])) AS prev, unnest(t) AS w FROM d),
 c1 AS (SELECT w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY w),
 c2 AS (SELECT prev, w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY prev, w),
-e AS (SELECT prev, count(*) AS c FROM tok WHERE NOT held_out GROUP BY prev),
+c3 AS (SELECT before, prev, w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY before, prev, w),
+e2 AS (SELECT prev, count(*) AS c FROM tok WHERE NOT held_out GROUP BY prev),
+e3 AS (SELECT before, prev, count(*) AS c FROM tok WHERE NOT held_out GROUP BY before, prev),
 nv AS (SELECT sum(c)::DOUBLE AS n, count(*)::DOUBLE AS v FROM c1),
-x AS (SELECT doc_id, held_out, coalesce(c1.c, 0) AS c, coalesce(c2.c, 0) AS c2, coalesce(e.c, 0) AS ce, (coalesce(c1.c, 0) + 0.5::DOUBLE) / (n + 0.5::DOUBLE * (v + 1)) AS p, n
-      FROM tok LEFT JOIN c1 USING (w) LEFT JOIN c2 USING (prev, w) LEFT JOIN e USING (prev) CROSS JOIN nv)
+-- a text's first token has one token of history, the edge, so its join with the third order finds nothing
+x AS (SELECT doc_id, held_out, coalesce(c1.c, 0) AS c, coalesce(c3.c, 0) AS c3, coalesce(e3.c, 0) AS ce3, n,
+             (coalesce(c1.c, 0) + 0.5::DOUBLE) / (n + 0.5::DOUBLE * (v + 1)) AS p, (coalesce(c2.c, 0) + 8 * p) / (coalesce(e2.c, 0) + 8) AS p2
+      FROM tok LEFT JOIN c1 USING (w) LEFT JOIN c2 USING (prev, w) LEFT JOIN c3 USING (before, prev, w) LEFT JOIN e2 USING (prev) LEFT JOIN e3 USING (before, prev) CROSS JOIN nv)
 SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, any_value(n)::BIGINT AS train_tokens,
-       round(fsum(log10(p)), 5) AS base_score, round(fsum(log10((c2 + 8 * p) / (ce + 8))), 5) AS score
+       round(fsum(log10(p)), 5) AS base_score, round(fsum(log10((c3 + 8 * p2) / (ce3 + 8))), 5) AS score
 FROM x GROUP BY doc_id
 """
 
