@@ -22,7 +22,7 @@ The block then builds its part of the automaton and traverses its texts. Request
 proportion to the input and hold each n-gram once a block, however frequent it is; there is a range for each ``range_bytes`` of text.
 
 Tokens are runs of non-blanks with A-Z folded, then one end token a document (so a document without words has one token).
-N-grams are known by 64-bit hashes. A text larger than a block is in a block of its own size.
+Words are known by 64-bit hashes, longer n-grams by 56 bits of one (of n distinct ones, about n² / 2^57 pairs are taken for one). A text larger than a block is in a block of its own size.
 
 Nulls: a null text counts as empty; a row whose ``learn`` is null or false is scored, not learned
 from. Repeated rows each count and each get a score. Without any training row N = V = 0 and
@@ -44,6 +44,8 @@ from .common import col, row_key, total_bytes
 
 #: The end token, and the state before a text's first word.
 END, EDGE = W.U64(0x5851F42D4C957F2D), W.U64(0x14057B7EF767814F)
+#: Bits of a hash that an n-gram of several tokens is known by.
+GRAM_BITS = 56
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -70,20 +72,29 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs."""
+    """Two bits a count: 0, 1, 2, or 3 for those that follow, in as few bytes each as the largest needs."""
     if not len(counts):
         return b""
-    width = max(1, -(-int(counts.max()).bit_length() // 8))
-    return bytes([width]) + np.ascontiguousarray(np.ascontiguousarray(counts.astype(W.U64)).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    codes = np.zeros(-(-len(counts) // 4) * 4, np.uint8)
+    codes[:len(counts)] = np.minimum(counts, 3)
+    four = codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
+    large = np.ascontiguousarray(counts[counts >= 3].astype(W.U64))
+    width = max(1, -(-int(large.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(large.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(counts).to_bytes(4, "little") + bytes([width]) + np.bitwise_or.reduce(four, axis=1).tobytes() + planes.tobytes()
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, W.U64)
-    body = np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1).T
-    out = np.zeros((len(body), 8), np.uint8)
-    out[:, :blob[0]] = body
-    return out.reshape(-1).view(W.U64)
+    n, width = int.from_bytes(blob[:4], "little"), blob[4]
+    four = np.frombuffer(blob, np.uint8, -(-n // 4), 5)
+    out = ((four[:, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3).reshape(-1)[:n].astype(W.U64)
+    planes = np.frombuffer(blob, np.uint8, offset=5 + len(four)).reshape(width, -1).T
+    large = np.zeros((len(planes), 8), np.uint8)
+    large[:, :width] = planes
+    out[out == 3] = large.reshape(-1).view(W.U64)
+    return out
 
 
 def tokens(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +121,7 @@ def grams(words: np.ndarray, ranges: np.ndarray, order: int) -> list[tuple[np.nd
     out = [(words, np.ones(len(words), bool))]
     for k in range(2, order + 1):
         keys, has = out[-1]
-        out.append((W.mix(before(keys, ranges, EDGE) * W.U64(0xD1342543DE82EF95) + words, 50 + k), before(has, ranges, k == 2)))
+        out.append((W.mix(before(keys, ranges, EDGE) * W.U64(0xD1342543DE82EF95) + words, 50 + k) >> W.U64(64 - GRAM_BITS), before(has, ranges, k == 2)))
     return out
 
 
@@ -125,9 +136,9 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[new], where
 
 
-def by_range(keys: np.ndarray, ranges: int) -> np.ndarray:
+def by_range(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
     """Where each of ``ranges`` equal ranges of the key space begins in sorted keys, and their end."""
-    edges = np.array([(k << 64) // ranges for k in range(1, ranges)], W.U64)
+    edges = np.array([(k << bits) // ranges for k in range(1, ranges)], W.U64)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
@@ -139,7 +150,7 @@ def requests(table: pa.Table, ranges: int, order: int) -> pa.Table:
     for k, (keys, has) in enumerate(grams(words, of, order), 1):
         unique, where = distinct(keys[has])
         counts = np.bincount(where[learn[has]], minlength=len(unique))
-        at = by_range(unique, ranges)
+        at = by_range(unique, 64 if k == 1 else GRAM_BITS, ranges)
         blobs[f"g{k}"] = pa.array([pack(unique[a:b]) for a, b in zip(at, at[1:])], pa.binary())
         blobs[f"n{k}"] = pa.array([pack_counts(counts[a:b]) for a, b in zip(at, at[1:])], pa.binary())
     return pa.table({"range": pa.array(range(ranges), pa.int32()), **blobs})
@@ -195,7 +206,7 @@ def _blocks(docs: DataFrame, learn: Column, id_col: str, text_col: str, block_by
     return rows.repartition(max(partitions, blocks // 4), "block"), blocks, max(partitions, math.ceil(total / range_bytes))
 
 
-def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3, k: float = 8.0, block_bytes: int = 4 << 20, range_bytes: int = 32 << 20) -> DataFrame:
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3, k: float = 8.0, block_bytes: int = 8 << 20, range_bytes: int = 32 << 20) -> DataFrame:
     """One row a document: id, learned, n_tokens, n_known, train_tokens, base_score, score (see the module's text)."""
     if order < 2:
         raise ValueError("order of at least 2")
