@@ -81,3 +81,39 @@ def test_rolling_rate_null_until_full(spark):
     assert out.rolling_rate_pct[:29].isna().all()
     assert out.rolling_rate_pct[29] == pytest.approx(100 * 3 / 30)
     _ = F
+
+
+def test_correlation_by_tiles_equals_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    names = [f"T{i:02d}" for i in range(11)]
+    z = rng.normal(size=(400, 11)) + rng.normal(size=(400, 1))
+    z[:, 4] = -0.25
+    rows = [(n, d, float(z[d, i])) for d in range(400) for i, n in enumerate(names) if not (d % 7 == 0 and i == 2)]
+    long = P.complete_dates(spark.createDataFrame(rows, "ticker string, Date int, if_score double").repartition(5), names).checkpoint()
+    kept = np.array([d for d in range(400) if d % 7])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        want = np.corrcoef(z[kept].T)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        for tile in (3, 11, 256):
+            got = {(r.a, r.b): r.corr for r in P._pair_stats(long, names, tile).collect()}
+            assert set(got) == {(a, b) for a in names for b in names if a < b}
+            for (a, b), c in got.items():
+                i, j = names.index(a), names.index(b)
+                assert c is None if 4 in (i, j) else abs(c - want[i, j]) < 1e-12
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_correlation_of_many_tickers_joins_no_scores_by_date(spark):
+    from pyspark.sql import functions as F
+    k, dates = 500, 10_000
+    names = [f"T{i:03d}" for i in range(k)]
+    frame = spark.range(k * dates).select(F.format_string("T%03d", F.col("id") % k).alias("ticker"), F.floor(F.col("id") / k).cast("int").alias("Date"),
+                                          ((F.xxhash64("id") % 1000) / 1000.0 + F.when(F.col("id") % k < 2, (F.floor(F.col("id") / k) % 100) / 10.0).otherwise(0.0)).alias("if_score"))
+    stats = P._pair_stats(frame, names)
+    tree = stats._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in tree and "ShuffledHashJoin" not in tree and "Cartesian" not in tree and "NestedLoop" not in tree
+    got = stats.agg(F.count("*").alias("n"), F.max(F.struct("corr", "a", "b")).alias("m"), F.avg(F.abs("corr")).alias("typical")).first()
+    assert got.n == k * (k - 1) // 2 and (got.m.a, got.m.b) == ("T000", "T001") and got.m.corr > 0.9 and got.typical < 0.02

@@ -9,8 +9,10 @@ aggregates (partial-aggregated, no sort); look-back windows go through
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,25 +215,76 @@ def score_pivot(p: DataFrame, selection: Sequence[str]) -> DataFrame:
     return long.groupBy(TIME).pivot(KEY, sorted(set(selection))).agg(F.first("if_score"))
 
 
-def _pair_stats(long: DataFrame) -> DataFrame:
-    """Correlation of every pair a < b: the matrix of the selection, so its size is the selection's square."""
-    a = long.select(TIME, F.col(KEY).alias("a"), F.col("if_score").alias("sa"))
-    b = long.select(TIME, F.col(KEY).alias("b"), F.col("if_score").alias("sb"))
-    j = a.join(b, TIME).filter(F.col("a") < F.col("b"))
-    return j.groupBy("a", "b").agg(
-        F.try_divide(F.covar_samp("sa", "sb"),
-                     F.stddev_samp("sa") * F.stddev_samp("sb")).alias("corr"))
+#: Selected tickers whose scores meet in one matrix product.
+CORR_TILE = 256
+
+
+def _tile_sums(k: int, tile: int):
+    """For ``mapInArrow``: products of standardised scores, summed over the dates of a partition, for the pairs i < j of two tiles.
+
+    Rows (p, q, Date, i, z) come sorted; complete dates have a row for every ticker of tiles p and q, so rows are a matrix."""
+    def members(p: int) -> np.ndarray:
+        return np.arange(p * tile, min(k, (p + 1) * tile))
+
+    def told(p: int, q: int, total: np.ndarray) -> pa.RecordBatch:
+        i, j = np.nonzero(members(p)[:, None] < members(q)[None, :])
+        return pa.RecordBatch.from_arrays([pa.array(members(p)[i], pa.int32()), pa.array(members(q)[j], pa.int32()), pa.array(total[i, j])], names=["i", "j", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, rest = None, None, np.zeros(0)
+        for batch in batches:
+            p, q = (batch.column(c).to_numpy() for c in (0, 1))
+            z = batch.column(2).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(p) != 0) | (np.diff(q) != 0)) + 1
+            for first, end in zip(np.append(0, edges), np.append(edges, len(p))):
+                if end == first:
+                    continue
+                here = (int(p[first]), int(q[first]))
+                left, right = members(here[0]), members(here[1])
+                if here != now:
+                    if now is not None:
+                        yield told(*now, total)
+                    now, total, rest = here, np.zeros((len(left), len(right))), np.zeros(0)
+                width = len(left) if here[0] == here[1] else len(left) + len(right)
+                values = np.concatenate([rest, z[first:end]])
+                whole = len(values) // width * width
+                dates, rest = values[:whole].reshape(-1, width), values[whole:]
+                total += dates[:, :len(left)].T @ dates[:, -len(right):]
+        if now is not None:
+            yield told(*now, total)
+    return run
+
+
+def _pair_stats(long: DataFrame, selection: Sequence[str], tile: int = CORR_TILE) -> DataFrame:
+    """Correlation of every pair a < b over complete dates, null where a score does not vary: the matrix of the selection, so its size is the selection's square.
+
+    Scores are standardised and each goes to the products of its tile of tickers with every tile; partial matrices are summed by
+    pair. Rows sent grow with dates x selection x number of tiles, and a partition gives out a pair once, however many dates it holds."""
+    spark, sel = long.sparkSession, sorted(set(selection))
+    tiles = -(-len(sel) // tile)
+    # both tables are bounded by the selection, a list in the driver
+    names = F.broadcast(spark.createDataFrame(list(enumerate(sel)), f"i int, {KEY} string"))
+    spread = F.stddev_samp("if_score") * F.sqrt(F.count("if_score") - 1)
+    stats = F.broadcast(long.groupBy(KEY).agg(F.avg("if_score").alias("_mean"), spread.alias("_spread")))
+    z = F.coalesce(F.try_divide(F.col("if_score") - F.col("_mean"), F.col("_spread")), F.lit(float("nan")))
+    own = F.floor(F.col("i") / tile).cast("int")
+    rows = long.join(stats, KEY).join(names, KEY).select(TIME, "i", z.alias("z"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("other"))
+    rows = rows.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), TIME, "i", "z").repartition("p", "q", TIME)
+    sums = rows.sortWithinPartitions("p", "q", TIME, "i").select("p", "q", "z").mapInArrow(_tile_sums(len(sel), tile), "i int, j int, s double")
+    pairs = sums.groupBy("i", "j").agg(F.sum("s").alias("s"))
+    second = names.select(F.col("i").alias("j"), F.col(KEY).alias("b"))
+    named = pairs.join(names.select("i", F.col(KEY).alias("a")), "i").join(second, "j")
+    return named.select("a", "b", F.when(~F.isnan("s"), F.col("s")).alias("corr"))
 
 
 def score_corr(p: DataFrame, selection: Sequence[str]) -> DataFrame:
     """Pearson correlation of scores for every pair of selected tickers (rounded
-    to 2), over complete dates; symmetric with unit diagonal; empty for one ticker.
-    The work is dates x selection squared: the selection is a list of names that a user picks, some hundreds at most."""
+    to 2), over complete dates; symmetric with unit diagonal; empty for one ticker."""
     sel = sorted(set(selection))
     if len(sel) < 2:
         return p.sparkSession.createDataFrame([], "a string, b string, corr double")
     long = complete_dates(p, sel)
-    upper = _pair_stats(long).withColumn("corr", round_half_away(F.col("corr"), 2))
+    upper = _pair_stats(long, sel).withColumn("corr", round_half_away(F.col("corr"), 2))
     present = long.select(F.col(KEY).alias("a")).distinct()
     diag = present.select("a", F.col("a").alias("b"), F.lit(1.0).alias("corr"))
     lower = upper.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
@@ -243,7 +296,7 @@ def pair_verdict(p: DataFrame, selection: Sequence[str], pairs: Sequence[tuple[s
     long = complete_dates(p, selection)
     spark = p.sparkSession
     ptab = spark.createDataFrame([(a, b, float(c)) for a, b, c in pairs], "a string, b string, cut double")
-    st = _pair_stats(long)
+    st = _pair_stats(long, selection)
     both = st.unionByName(st.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
     return (both.join(ptab, ["a", "b"])
             .select("a", "b", "corr", "cut",
