@@ -61,3 +61,29 @@ def test_odd_rows(spark, docs):
     none = langid.predict(docs, langid.fit(docs.filter(F.lit(False))), lang_name="found", score_name="sure")
     assert {r["found"] for r in none.collect()} == {"und"}
     assert langid.predict(odd.empty(spark), langid.fit(docs)).count() == 0
+
+
+def test_every_labelled_row_is_learned(spark, monkeypatch):
+    """7,000 texts of one language and 300 of another: trees and limits come from all of them."""
+    rows = [(i, f"Word{i * 7919 % 99991} of the cat" if i % 3 else "ein Wort\u00e4", "en") for i in range(7000)] + [(9000 + i, f"la {i} casa", "es") for i in range(300)]
+    odd_rows = [(9500, None, "en"), (9501, "no label here", None), (9502, "", "es")]
+    frame = spark.createDataFrame(rows + odd_rows, "doc_id long, text string, lang string").repartition(3)
+    every = {lang: [t for _, t, x in rows if x == lang] for lang in ("en", "es")}
+    for least in (1, 2):
+        counts = {}
+        for lang, texts in every.items():
+            held = {}
+            for text in texts:
+                for gram in grams(text):
+                    held[gram] = held.get(gram, 0) + 1
+            counts[lang] = {g: n for g, n in grams(*texts).items() if held[g] >= least}
+        want, got = langid.build(counts, 1 << 26), langid.fit(frame, least_texts=least)
+        assert got.languages == want.languages and np.array_equal(got.row_of, want.row_of) and np.array_equal(got.bits, want.bits)
+    measured = []
+
+    def limits(labelled, *rest, work=langid.rate_limits):
+        measured.append(labelled.count())
+        return work(labelled, *rest)
+    monkeypatch.setattr(langid, "rate_limits", limits)
+    assert langid.recognised(frame).count() > 0
+    assert sum(measured) == len(rows) + 1 and min(measured) > 2000

@@ -7,9 +7,8 @@ bytes not seen there in proportion to the next shorter context, down to the unif
 distribution. So every context holds a full distribution, and the frozen trees give the exact
 code length of any text. The language with the shortest code wins.
 
-Training reads a bounded sample of labelled rows, ``sample_docs`` a language (chosen by a hash of
-the id), counts in Spark, and gathers only the counts: at most languages x contexts. The trees
-are laid out as one table of code lengths (context x next byte) a language and broadcast; fit()
+Training reads every labelled row, counts in Spark, and gathers only the counts: at most languages x
+contexts x bytes, however many rows there are. The trees are laid out as one table of code lengths (context x next byte) a language and broadcast; fit()
 raises if that table would pass ``max_model_bytes``. Prediction is map only over whole texts.
 
 Nulls: rows without text or label are not learned from; a null text, or one without a letter, is
@@ -79,22 +78,24 @@ def _contexts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return b, two << 8 | one
 
 
-def gram_counts(sample: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+def gram_counts(rows: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, gram, n, texts): how often and in how many texts a byte follows two bytes, gram = two bytes before << 8 | byte."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = np.array(batch.column(1).to_pylist(), object)
+            labels = batch.column(1).dictionary_encode()
+            names, code = labels.dictionary, labels.indices.to_numpy().astype(np.int64)
             for first, end, data, bounds in W.slices(batch.column(0)):
                 b, context = _contexts(data, bounds)
-                row = np.repeat(np.arange(end - first), np.diff(bounds))
-                of, once = langs[first:end][row], row << 24 | context << 8 | b
-                for lang in set(langs[first:end]):
-                    pairs, times = np.unique(once[of == lang], return_counts=True)
-                    grams, at, texts = np.unique(pairs & 0xFFFFFF, return_inverse=True, return_counts=True)
-                    n = np.bincount(at, times, len(grams))
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(texts.astype(np.int64))],
-                                                     names=["lang", "gram", "n", "texts"])
-    counted = sample.select(col(text_col), col(lang_col).alias("lang")).mapInArrow(run, "lang string, gram int, n bigint, texts bigint")
+                once = np.sort((context << 8 | b).astype(np.int64) << 32 | np.repeat(np.arange(end - first), np.diff(bounds)))
+                at = np.flatnonzero(np.append(True, once[1:] != once[:-1])[:len(once)])  # a gram and a text
+                cell = (once[at] >> 32) * len(names) + code[first:end][once[at] & 0xFFFFFFFF]
+                order = np.argsort(cell, kind="stable")
+                cell, times = cell[order], np.diff(np.append(at, len(once)))[order]
+                to = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[:len(cell)])  # a gram and a language
+                n, texts = np.add.reduceat(times, to) if len(to) else times, np.diff(np.append(to, len(cell)))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(cell[to] % len(names))).cast(pa.string()), pa.array((cell[to] // len(names)).astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(texts.astype(np.int64))],
+                                                 names=["lang", "gram", "n", "texts"])
+    counted = rows.select(col(text_col), col(lang_col).alias("lang")).mapInArrow(run, "lang string, gram int, n bigint, texts bigint")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
 
 
@@ -139,30 +140,20 @@ def build(counts: dict[str, dict[int, int]], max_model_bytes: int) -> Model:
     return Model(languages, symbol_of, row_of, bits)
 
 
-def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int) -> tuple[DataFrame, dict[str, int]]:
-    """About ``sample_docs`` labelled rows of each language, and how many rows each has in all."""
-    rows = docs.filter(col(text_col).isNotNull() & col(lang_col).isNotNull())
-    sizes = rows.groupBy(col(lang_col).alias("lang")).count().collect()  # one row a language
-    if not sizes:
-        return rows, {}
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_docs / r["count"])))])
-    u = F.pmod(F.xxhash64(col(id_col), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.filter(u < share[col(lang_col)]), {r["lang"]: r["count"] for r in sizes}
+def _labelled(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return docs.filter(col(text_col).isNotNull() & col(lang_col).isNotNull())
 
 
-def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        sample_docs: int = 2000, max_model_bytes: int = 256 << 20, least_texts: int = 1) -> Model:
-    """Learns from about ``sample_docs`` rows of each language (all, if it has fewer) among those that ``learn`` selects.
+def fit(docs: DataFrame, learn: Column | None = None, text_col: str = "text", lang_col: str = "lang",
+        max_model_bytes: int = 256 << 20, least_texts: int = 1) -> Model:
+    """Learns from all labelled rows among those that ``learn`` selects.
 
     What fewer than ``least_texts`` of a language's learned texts hold is left out of its tree.
     """
-    sample, sizes = _sample(docs.filter(learn) if learn is not None else docs, id_col, text_col, lang_col, sample_docs)
-    if not sizes:
-        return Model((), np.zeros(256, np.int32), np.zeros(65536, np.int32), np.zeros((0, 1, 1), np.float32))
+    rows = _labelled(docs.filter(learn) if learn is not None else docs, text_col, lang_col)
     counts: dict[str, dict[int, int]] = {}
-    for r in gram_counts(sample, text_col, lang_col).toLocalIterator():
-        if r["texts"] >= least_texts:
-            counts.setdefault(r["lang"], {})[r["gram"]] = r["n"]
+    for r in gram_counts(rows, text_col, lang_col).filter(F.col("texts") >= least_texts).toLocalIterator():
+        counts.setdefault(r["lang"], {})[r["gram"]] = r["n"]
     return build(counts, max_model_bytes) if counts else Model((), np.zeros(256, np.int32), np.zeros(65536, np.int32), np.zeros((0, 1, 1), np.float32))
 
 
@@ -285,21 +276,20 @@ def in_language(model: Model, limits: np.ndarray, column: pa.Array) -> np.ndarra
     return good & np.array([text is not None and any(map(str.isalpha, text)) for text in column.to_pylist()], bool)
 
 
-def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 2000) -> DataFrame:
+def recognised(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose text is in a language learned from other texts.
 
     A hash of the text deals rows into two sides. Each side is judged by trees and limits (rate_limits) of
-    its own: learned from the labelled rows of the other side, limits from about ``sample_docs`` labelled rows a language of this
-    side. So no text, nor a copy of it, is judged by trees that have seen it, and a language that only one text
+    its own: learned from all labelled rows of the other side, limits from all labelled rows of this side. So no text, nor a copy of it, is judged by trees that have seen it, and a language that only one text
     holds is not learned. What fewer than LEAST_TEXTS texts of a language hold is not learned either, so one text under a
     wrong label doesn't let others like it in. If one side has no labelled rows, the other's trees judge both, without limits.
     """
     side, (name,) = F.pmod(F.xxhash64(col(text_col), F.lit(23)), F.lit(2)).cast("int"), fresh(docs, "side")
-    models = [fit(docs, side != k, id_col, text_col, lang_col, sample_docs, least_texts=LEAST_TEXTS) for k in (0, 1)]
+    models = [fit(docs, side != k, text_col, lang_col, least_texts=LEAST_TEXTS) for k in (0, 1)]
     limits = [np.full((len(m.languages), 2), np.inf) for m in models]
     if all(m.languages for m in models):
         for k, model in enumerate(models):
-            limits[k] = rate_limits(_sample(docs.filter(side == k), id_col, text_col, lang_col, sample_docs)[0], model, text_col, lang_col)
+            limits[k] = rate_limits(_labelled(docs.filter(side == k), text_col, lang_col), model, text_col, lang_col)
     else:
         models, limits = [max(models, key=lambda m: len(m.languages))] * 2, [max(limits, key=len)] * 2
     shared = docs.sparkSession.sparkContext.broadcast((models, limits))
