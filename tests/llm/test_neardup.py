@@ -158,3 +158,44 @@ def test_a_familys_links_and_texts_grow_with_its_size_only(spark, docs, monkeypa
     out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block_docs=100)
     assert {r["component_id"] for r in out.collect()} == {0}
     assert links[-1] <= n / 4 and sum(texts) <= n * (math.log2(n / 100) + 1)
+
+
+def test_a_content_is_tied_once_not_once_a_band(spark, docs, monkeypatch):
+    """Families equal a union-find over all buckets; no component run gets more links than there are texts."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows, chain = [], [f"c{i}" for i in range(90)]
+    for i in range(900):
+        text = list(base)
+        for _ in range(rng.randrange(6)):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(text) + f" end{i}"))
+    for i in range(200):
+        chain[rng.randrange(len(chain))] = f"y{i}"
+        rows.append((5000 + i, " ".join(chain)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).checkpoint()
+    links = []
+
+    def counted(found, x, y, join=neardup.components):
+        links.append(found.filter(f"{x} <> {y}").distinct().count())
+        return join(found, x, y)
+    monkeypatch.setattr(neardup, "components", counted)
+    neardup.near_duplicates(frame).count()
+    assert links and max(links) <= len(rows)
+
+    speaking = neardup.signatures(frame, "doc_id", "text").dropDuplicates(["content"]).selectExpr("content as node", "bands").checkpoint()
+    up, head = {}, {}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    nodes = sorted((r["node"], r["bands"]) for r in speaking.collect())
+    for node, keys in nodes:
+        up[node] = node
+        for at in enumerate(keys):
+            a, b = root(head.setdefault(at, node)), root(node)
+            up[max(a, b)] = min(a, b)
+    size = Counter(root(n) for n in up)
+    got = {r["node"]: r["family"] for r in neardup.families(speaking).collect()}
+    assert got == {n: root(n) for n in up if size[root(n)] > 1} and len(set(got.values())) < len(got)

@@ -16,8 +16,9 @@ soon as its next point is later than the last register's time (early termination
 Steps:
 1. one pass over the texts: signature, content hash. Equal contents are one node of the link graph from the start, whatever
    ids hold them; the smallest id speaks for it.
-2. banding: contents that agree in a whole band of registers fall into a bucket; each is tied to the bucket's
-   smallest. Components of these ties are families: no link leads out of a family.
+2. banding: contents that agree in a whole band of registers fall into a bucket. Contents connected by buckets are a family: no link
+   leads out of it. Each content is tied once, to the least head (smallest content) of all its buckets; what these ties
+   join is one node for the buckets that still hold several, so a family of N contents costs about N ties, not one a band.
 3. families of more than ``block_docs`` first join what is easy to join: in each round, one a band, every component so far picks one pair
    with a component that shares a bucket with it, and the pair is verified exactly. Rounds go on while an eighth of the pairs
    link and more than ``block_docs`` are tried, so the components fall geometrically. What is left are the buckets whose members are still apart.
@@ -281,6 +282,21 @@ def _roots(parents: DataFrame) -> DataFrame:
             return at
 
 
+def families(speaking: DataFrame) -> DataFrame:
+    """(node, family) of the nodes of (node, bands) that share a bucket; a family is known by its smallest node (step 2)."""
+    rows = speaking.select("node", F.posexplode("bands").alias("band", "key"))
+    heads = rows.groupBy("band", "key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("band", "key", "head")
+    tied = stored(rows.join(heads, ["band", "key"]).groupBy("node").agg(F.min("head").alias("head")))
+    roots = _roots(tied.filter("head < node").select(F.col("node").alias("comp"), F.col("head").alias("parent")))
+    labels = stored(tied.join(roots.withColumnRenamed("comp", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("comp")))
+    inside = speaking.join(labels, "node").select("comp", F.posexplode("bands").alias("band", "key"))
+    apart = inside.groupBy("band", "key").agg(F.min("comp").alias("least"), F.max("comp").alias("last")).filter("least < last").select("band", "key", "least").checkpoint()
+    if apart.isEmpty():
+        return labels.withColumnRenamed("comp", "family")
+    joined = components(inside.join(apart, ["band", "key"]).select("comp", "least"), "comp", "least")
+    return stored(labels.join(joined.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("component", "comp").alias("family")))
+
+
 def rounds(wide: DataFrame, texts: DataFrame, threshold: float, block_docs: int) -> DataFrame:
     """(node, comp) of the nodes in ``wide`` (node, bands), joined by what single verified pairs join (step 3)."""
     labels = wide.select("node", F.col("node").alias("comp"))
@@ -342,10 +358,7 @@ def links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, thresh
     full = signed.filter("content is not null")
     # any row of a content can give its text; which id speaks for the class is settled later
     speaking = stored(full.dropDuplicates(["content"]).select(F.col("content").alias("node"), "id", "row", "bytes", "bands"))
-    rows = speaking.select("node", F.posexplode("bands").alias("band", "key"))
-    heads = rows.groupBy("band", "key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("band", "key", "head")
-    ties = rows.join(heads, ["band", "key"]).filter("node <> head").select("node", "head").distinct()
-    family = components(ties, "node", "head").select("node", F.col("component").alias("family"))
+    family = families(speaking)
     large = family.groupBy("family").count().filter(F.col("count") > block_docs).select("family").checkpoint()
     raw = docs.select(col(id_col).alias("id"), row_key(col(id_col), col(text_col)).alias("row"), col(text_col).alias("text"))
 
